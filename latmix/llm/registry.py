@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets
+from . import bpe, mixing, pii, quality, secrets, toxicity
 
-MODULES = (secrets, pii, mixing)
+MODULES = (bpe, secrets, toxicity, quality, pii, mixing)
 
 
 def queries():
