@@ -7,7 +7,7 @@ laid over each other), so one array access finds a pair's rank.
 
 Distinct words: words are counted over all documents (with partial counts, no word is hot). Each of
 SLOTS hash slots keeps its most frequent word, folded once; this cache is of bounded size and goes
-to the tasks as a subquery's value. Words that lost their slot are folded where they occur, so the
+to the tasks as a literal of the plan. Words that lost their slot are folded where they occur, so the
 cache decides about time only, never about results. No text is shuffled.
 
 Decoding concatenates the ids' pieces. Pieces are kept as Latin-1 strings, one character a byte, as
@@ -60,25 +60,20 @@ class Ranks:
                 rows.setdefault(self.ranks[parts[0]], {})[self.ranks[parts[1]]] = rank
         return rows
 
-    def _lay(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
+    def _lay(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], list]:
+        """Rows laid over each other at random shifts, fullest first; no entry: None."""
         import numpy as np
 
         width = len(self.pieces)
-        used, shift = np.zeros(8 * width, bool), [0] * width
-        out = np.full(8 * width, (NONE - 1) << 16, np.int64)
-        first = 0
+        size = 4 * width
+        out, shift, rng = np.full(size, -1, np.int64), [0] * width, np.random.default_rng(0)
         for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-            cols = np.fromiter(row, np.int64)
-            while used[first]:
-                first += 1
-            at = max(0, first - int(cols.max()))
-            while used[at + cols].any():
-                at += 1
-            used[at + cols] = True
+            cols, at = np.fromiter(row, np.int64), 0
+            while (out[at + cols] >= 0).any():
+                at = int(rng.integers(size - width))
             out[at + cols] = [left << 16 | v for v in row.values()]
             shift[left] = at
-        # any id may stand at the right
-        return shift, out[: max(shift) + width].tolist()
+        return shift, [None if v < 0 else v for v in out.tolist()]
 
 
 @lru_cache(maxsize=4)
@@ -86,10 +81,29 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def array_literal(values: list, kind: str) -> Column:
-    """An array that the optimizer folds to one literal."""
-    split = F.split(F.lit("Ā".join(map(str, values))), "Ā", -1)
-    return split.cast(f"array<{kind}>") if kind != "string" else split
+def constant(one: DataFrame) -> Column:
+    """The value of a frame of one row and one column as a literal.
+
+    The literal holds Spark's binary array itself, so the optimizer compares and ships it as bytes;
+    an array literal written out in a query of this size would take it many seconds.
+    """
+    jvm = one.sparkSession.sparkContext._jvm
+    row = one._jdf.queryExecution().executedPlan().executeCollect()[0]
+    kind = one._jdf.schema().apply(0).dataType()
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(row.get(0, kind), kind)
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
+class Tables:
+    """A rank file's arrays as literals; their size is that of the vocabulary."""
+
+    def __init__(self, spark: SparkSession, rank_path: str):
+        ranks, scratch = ranks_of(rank_path), Scratch(spark, "ranks")
+        shape = "shift array<int>, merged array<bigint>, pieces array<string>, first array<int>"
+        row = spark.createDataFrame([(ranks.shift, ranks.table, ranks.pieces, ranks.bytes)], shape)
+        stored = scratch.keep(row.coalesce(1), "tables")
+        self.shift, self.merged, self.pieces, self.first = (constant(stored.agg(F.first(c).alias(c))) for c in ("shift", "merged", "pieces", "first"))
+        scratch.drop("tables")
 
 
 def let(value: Column, body) -> Column:
@@ -105,15 +119,15 @@ def pre_tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def fold_word(word: Column, ranks: Ranks) -> Column:
+def fold_word(word: Column, tables: Tables) -> Column:
     """array<int>: the ids of one word."""
-    shift, merged, first = array_literal(ranks.shift, "bigint"), array_literal(ranks.table, "bigint"), array_literal(ranks.bytes, "bigint")
+    shift, merged, first = tables.shift, tables.merged, tables.first
     latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    begin = F.transform(F.split(latin, ""), lambda c: F.get(first, F.ascii(c)))
+    begin = F.transform(F.split(latin, ""), lambda c: F.get(first, F.ascii(c)).cast("bigint"))
 
     def ranked(ids: Column) -> Column:
         # at or over NONE: no merge; null: nothing to the right
-        return F.transform(ids, lambda l, i: F.get(merged, F.get(shift, l) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(l, 16)))
+        return F.transform(ids, lambda l, i: F.get(merged, (F.get(shift, l.cast("int")) + F.get(ids, i + 1)).cast("int")).bitwiseXOR(F.shiftleft(l, 16)))
 
     def merge_first(ids: Column, found: Column, best: Column) -> Column:
         p = F.array_position(found, best).cast("int")
@@ -146,30 +160,28 @@ def slot(word: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
 
 
-def cached_words(docs: DataFrame, ranks: Ranks, pattern: str, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
+def cached_words(docs: DataFrame, tables: Tables, pattern: str, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
     """(slot, word, ids): the most frequent word of each slot, over all documents."""
     words = docs.select(F.explode(pre_tokens(text_or_empty(), pattern)).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.octet_length("word") <= SHORT)
     best = counts.groupBy(slot(F.col("word"), slots).alias("slot")).agg(F.max(F.struct("n", "word")).alias("best"))
-    return scratch.keep(scratch.keep(best.select("slot", "best.word"), "words").withColumn("ids", fold_word(F.col("word"), ranks)), "cache")
+    return scratch.keep(scratch.keep(best.select("slot", "best.word"), "words").withColumn("ids", fold_word(F.col("word"), tables)), "cache")
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, *keep: str, slots: int = SLOTS) -> DataFrame:
+def encode(docs: DataFrame, tables: Tables, pattern: str, *keep: str, slots: int = SLOTS) -> DataFrame:
     """docs' columns ``keep`` and ``ids`` array<int>."""
-    ranks = ranks_of(rank_path)
-    cache = cached_words(docs, ranks, pattern, Scratch(docs.sparkSession, "bpe"), slots)
+    cache = cached_words(docs, tables, pattern, Scratch(docs.sparkSession, "bpe"), slots)
     every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(cache, "slot", "left")
     entries = F.sort_array(F.collect_list(F.struct("slot", "word", "ids")))
-    known = every.agg(F.transform(entries, lambda e: F.struct(e["word"].alias("word"), e["ids"].alias("ids"))).alias("known")).scalar()
+    known = constant(every.agg(F.transform(entries, lambda e: F.struct(e["word"].alias("word"), e["ids"].alias("ids"))).alias("known")))
     words = pre_tokens(text_or_empty(), pattern)
-    one = lambda w: let(F.get(known, slot(w, slots)), lambda e: F.when(e["word"] == w, e["ids"]).otherwise(fold_word(w, ranks)))
+    one = lambda w: let(F.get(known, slot(w, slots)), lambda e: F.when(e["word"] == w, e["ids"]).otherwise(fold_word(w, tables)))
     return docs.select(*keep, F.flatten(F.transform(words, one)).alias("ids"))
 
 
-def decode(ids: Column, rank_path: str) -> Column:
+def decode(ids: Column, tables: Tables) -> Column:
     """binary: the concatenated pieces of the ids."""
-    pieces = array_literal(ranks_of(rank_path).pieces, "string")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables.pieces, i)), ""), "ISO-8859-1")
 
 
 def little_endian(ids: Column) -> Column:
@@ -179,13 +191,13 @@ def little_endian(ids: Column) -> Column:
     return F.encode(F.array_join(text, ""), "ISO-8859-1")
 
 
-def digests(encoded: DataFrame, rank_path: str) -> DataFrame:
+def digests(encoded: DataFrame, tables: Tables) -> DataFrame:
     ids = F.col("ids")
     return encoded.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(little_endian(ids), 256).alias("ids_sha256"),
-        F.sha2(decode(ids, rank_path), 256).alias("decoded_sha256"),
+        F.sha2(decode(ids, tables), 256).alias("decoded_sha256"),
     )
 
 
@@ -194,7 +206,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode(docs, path, public_tokenizers.PATTERN, "doc_id"), path)
+    tables = Tables(spark, path)
+    return digests(encode(docs, tables, public_tokenizers.PATTERN, "doc_id"), tables)
 
 
 QUERIES = {"op1_bpe": op1_bpe}
