@@ -1 +1,8 @@
 """Mixture, lattice and catalogue analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers need not have this package installed: what runs there travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
