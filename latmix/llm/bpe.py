@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, table, text_or_empty
 
-SLOTS = 1 << 18
+SLOTS = 1 << 19
 #: Longer words are folded by rounds that merge all occurrences of a pair at once.
 SHORT = 32
 NONE = 1 << 16
@@ -123,15 +123,40 @@ def fold_word(word: Column, tables: Tables) -> Column:
     """array<int>: the ids of one word."""
     shift, merged, first = tables.shift, tables.merged, tables.first
     latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    begin = F.transform(F.split(latin, ""), lambda c: F.get(first, F.ascii(c)).cast("bigint"))
+    begin = F.transform(F.split(latin, ""), lambda c: F.get(first, F.ascii(c)))
+
+    def rank(left: Column, right: Column) -> Column:
+        """The token that the pair makes, NONE or more if it makes none, null if one is missing."""
+        return F.get(merged, F.get(shift, left) + right).bitwiseXOR(F.shiftleft(left.cast("bigint"), 16))
 
     def ranked(ids: Column) -> Column:
-        # at or over NONE: no merge; null: nothing to the right
-        return F.transform(ids, lambda l, i: F.get(merged, (F.get(shift, l.cast("int")) + F.get(ids, i + 1)).cast("int")).bitwiseXOR(F.shiftleft(l, 16)))
+        return F.transform(ids, lambda l, i: rank(l, F.get(ids, i + 1)))
+
+    def shortly() -> Column:
+        """One merge a round. Nulls at both ends of the ids; ranks[i] is that of ids[i] and ids[i + 1]."""
+
+        def step(acc, _):
+            ids, ranks = acc["ids"], acc["ranks"]
+
+            def merge(best):
+                token = best.cast("int")
 
-    def merge_first(ids: Column, found: Column, best: Column) -> Column:
-        p = F.array_position(found, best).cast("int")
-        return F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, F.size(ids)))
+                def at(p):
+                    around = F.array(rank(F.get(ids, p - 2), token), rank(token, F.get(ids, p + 1)))
+                    return F.struct(
+                        F.concat(F.slice(ids, F.lit(1), p - 1), F.array(token), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
+                        F.concat(F.slice(ranks, F.lit(1), p - 2), around, F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"),
+                        F.lit(False).alias("done"),
+                    )
+
+                stop = F.struct(ids.alias("ids"), ranks.alias("ranks"), F.lit(True).alias("done"))
+                return F.when(best < NONE, let(F.array_position(ranks, best).cast("int"), at)).otherwise(stop)
+
+            return F.when(acc["done"], acc).otherwise(let(F.array_min(ranks), merge))
+
+        padded = F.concat(F.array(F.lit(None).cast("int")), begin, F.array(F.lit(None).cast("int")))
+        start = let(padded, lambda ids: F.struct(ids.alias("ids"), ranked(ids).alias("ranks"), (F.size(ids) < 4).alias("done")))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
 
     def merge_all(ids: Column, found: Column, best: Column) -> Column:
         # of overlapping pairs, as in a run of one letter, every other one from the left
@@ -139,21 +164,21 @@ def fold_word(word: Column, tables: Tables) -> Column:
         flags = F.split(F.replace(flags, F.lit("11"), F.lit("10")), "")
         pairs = F.arrays_zip(ids.alias("id"), flags.alias("flag"), F.concat(F.array(F.lit("0")), flags).alias("before"))
         kept = F.filter(pairs, lambda x: (x["before"] == "0") & x["id"].isNotNull())
-        return F.transform(kept, lambda x: F.when(x["flag"] == "1", best).otherwise(x["id"]))
+        return F.transform(kept, lambda x: F.when(x["flag"] == "1", best.cast("int")).otherwise(x["id"]))
+
+    def at_length() -> Column:
+        """A round merges all occurrences of the best pair."""
 
-    def folded(merge) -> Column:
         def step(acc, _):
             ids = acc["ids"]
-            go = let(ranked(ids), lambda found: let(F.coalesce(F.array_min(found), F.lit(NONE).cast("bigint")), lambda best: F.when(
-                best >= NONE, F.struct(ids.alias("ids"), F.lit(True).alias("done"))
-            ).otherwise(F.struct(merge(ids, found, best).alias("ids"), F.lit(False).alias("done")))))
-            return F.when(acc["done"], acc).otherwise(go)
+            stop = F.struct(ids.alias("ids"), F.lit(True).alias("done"))
+            go = lambda found, best: F.when(best < NONE, F.struct(merge_all(ids, found, best).alias("ids"), F.lit(False).alias("done"))).otherwise(stop)
+            return F.when(acc["done"], acc).otherwise(let(ranked(ids), lambda found: let(F.array_min(found), lambda best: go(found, best))))
 
-        start = F.struct(begin.alias("ids"), (F.octet_length(word) < 2).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1))), start, step)["ids"]
+        start = F.struct(begin.alias("ids"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step, lambda acc: acc["ids"])
 
-    short = F.octet_length(word) <= SHORT
-    return F.when(short, folded(merge_first)).otherwise(folded(merge_all)).cast("array<int>")
+    return F.when(F.octet_length(word) <= SHORT, shortly()).otherwise(at_length())
 
 
 def slot(word: Column, slots: int = SLOTS) -> Column:
