@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, mixing, pii, quality, secrets, toxicity
+from . import ann, bpe, embed_dedup, jaccard, mixing, pii, quality, secrets, toxicity
 
-MODULES = (bpe, secrets, toxicity, quality, jaccard, pii, mixing)
+MODULES = (bpe, secrets, toxicity, embed_dedup, ann, quality, jaccard, pii, mixing)
 
 
 def queries():
