@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
-from .learn import SAMPLE, fit_logistic, fold_of, sample_labels, sigmoid, texts, with_labels
+from .learn import SAMPLE, best_cut, fit_logistic, fold_of, sample_labels, sigmoid, texts, with_labels
 
 #: In chain order: name, and what makes a labelled row a member.
 CATEGORIES: dict[str, Column | str] = {"junk": "quality = 0", "toxic": "toxic = 1", "abusive_prose": "toxic = 1 AND quality = 1"}
-DECIDES, FOLDS, FEATURES, LEAST_COUNT, LEAST_G2 = "toxic", 5, 256, 3, 10.83
+DECIDES, FOLDS, FEATURES, LEAST_COUNT, LEAST_G2 = "toxic", 5, 128, 3, 10.83
 STYLE = 5
 _WORD = re.compile(r"[^\W_]+")
 
@@ -99,13 +99,19 @@ class Chain:
     def fit(self, x: np.ndarray, ys: dict[str, np.ndarray], folds: np.ndarray) -> None:
         for c in self.cats:
             y = ys[c].astype(float)
-            self.models.append(fit_logistic(x, y))
+            model = fit_logistic(x, y)
             unseen = np.zeros((len(y), 1), np.float32)
             for f in range(FOLDS):
                 test = folds == f
                 w = fit_logistic(x[~test], y[~test])
                 unseen[test, 0] = sigmoid(x[test] @ w[:-1] + w[-1])
-            x = np.hstack([x, unseen])
+            # the intercept moves so that 0.5 is the cut that is best on unseen rows
+            cut = np.clip(best_cut(unseen[:, 0].astype(float), y), 1e-4, 1 - 1e-4)
+            shift = np.log(cut / (1 - cut)).astype(np.float32)
+            model[-1] -= shift
+            self.models.append(model.astype(np.float32))
+            z = np.log(np.clip(unseen, 1e-7, 1 - 1e-7) / np.clip(1 - unseen, 1e-7, 1)) - shift
+            x = np.hstack([x, sigmoid(z).astype(np.float32)])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         for w in self.models:
