@@ -216,10 +216,12 @@ def little_endian(ids: Column) -> Column:
     return F.encode(F.array_join(text, ""), "ISO-8859-1")
 
 
-def digests(encoded: DataFrame, tables: Tables) -> DataFrame:
+def digests(encoded: DataFrame, tables: Tables, *keep: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, *keep)."""
     ids = F.col("ids")
     return encoded.select(
         "doc_id",
+        *keep,
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(little_endian(ids), 256).alias("ids_sha256"),
         F.sha2(decode(ids, tables), 256).alias("decoded_sha256"),

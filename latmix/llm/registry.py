@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, embed_dedup, jaccard, mixing, pii, quality, secrets, toxicity
+import corpus_pipeline
 
-MODULES = (bpe, secrets, toxicity, embed_dedup, ann, quality, jaccard, pii, mixing)
+from . import ann, bpe, embed_dedup, jaccard, mixing, pii, quality, secrets, suffix, toxicity
+
+MODULES = (bpe, secrets, toxicity, embed_dedup, ann, quality, jaccard, pii, suffix, mixing)
 
 
 def queries():
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()} | own
