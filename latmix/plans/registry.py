@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from . import catalogues, clusters, distributions, histograms, lattices, matrices, mixtures
 
-def _modules():
-    return []
+MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues)
 
 
 def queries():
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {k: v for m in _modules() for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
