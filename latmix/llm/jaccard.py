@@ -6,9 +6,10 @@ Sets of 5-word shingles (64-bit hashes), links at Jaccard >= 0.8. Equal sets are
    and hashes order all shingles alike everywhere, rare ones first. Two linked sets share a shingle
    within the first n - ceil(0.8 n) + 1 of each, whatever the order; the order keeps passages that
    many documents share out of the lists.
-2. Index lists: (shingle, node, size, position), sorted by size. The first set of a list leads it;
-   every other is compared with the leader. Copies of each other meet the same leader over and over:
-   distinct pairs are few, linear in the list, never all pairs.
+2. Index lists: (shingle, node, size, position). The set of a list whose shingles are the most frequent
+   leads it, as the original does among copies that each differ from it in their own way; every other
+   is compared with the leader. Copies of each other meet the same leader over and over: distinct
+   pairs are few, linear in the list, never all pairs.
 3. Answers are derived from the leader's: two sets of a list need no comparison when they already
    have one component, or when their distances to the leader differ by more than 0.2 (Jaccard
    distance is a metric). Of the rest, blocks of a size-sorted list are skipped by size, and entries
@@ -119,23 +120,28 @@ def signature(h: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, classes) -> DataFrame:
-    """(doc_id, size, node, prefix) of each row; node is the set's signature, null for an empty set."""
+    """(doc_id, size, node, common, prefix) of each row; node is the set's signature, null for an empty set.
+
+    common is the mean frequency class of its shingles, in 64ths.
+    """
 
     def rows(batches):
         import pyarrow as pa
 
         known = Words()
         for batch in batches:
-            size, node, prefix = [], [], []
+            size, node, common, prefix = [], [], [], []
             for t in batch.column("text"):
                 h = shingles(t.as_py() or "", known)
                 size.append(len(h))
                 node.append(signature(h) if len(h) else None)
-                order = np.lexsort((h, classes.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+                kind = classes.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                common.append(int(64 * kind.mean()) if len(h) else 0)
+                order = np.lexsort((h, kind))
                 prefix.append(h[order[: prefix_length(len(h))]].view(np.int64) if len(h) else h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "size", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(common, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "size", "node", "common", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, size long, node long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, size long, node long, common long, prefix array<long>")
 
 
 def _columns(batch):
@@ -279,9 +285,9 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(frequency_classes(docs))  # COUNTERS bytes
     rows = scratch.keep(set_rows(docs, classes), "rows")
-    nodes = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "node", "size", F.col("pos").cast("long").alias("pos"))
-    sorted_lists = entries.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
+    nodes = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("prefix").alias("prefix"))
+    entries = nodes.select("node", "size", "common", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "node", "size", F.col("pos").cast("long").alias("pos"), "common")
+    sorted_lists = entries.repartition("shingle").sortWithinPartitions("shingle", F.desc("common"), "size", "node").drop("common")
     kind = "shingle long, node long, size long, pos long, leader long, leader_size long"
     lists = scratch.keep(sorted_lists.mapInArrow(_list_rows, kind), "lists")
     reps = scratch.keep(rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
