@@ -21,13 +21,14 @@ length times the number of different merges in it.
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, table, text_or_empty
 
-SLOTS = 1 << 19
+SLOTS = 1 << 20
 #: Longer words are folded by rounds that merge all occurrences of a pair at once.
 SHORT = 32
 NONE = 1 << 16
@@ -99,10 +100,11 @@ class Tables:
 
     def __init__(self, spark: SparkSession, rank_path: str):
         ranks, scratch = ranks_of(rank_path), Scratch(spark, "ranks")
-        shape = "shift array<int>, merged array<bigint>, pieces array<string>, first array<int>"
-        row = spark.createDataFrame([(ranks.shift, ranks.table, ranks.pieces, ranks.bytes)], shape)
+        shape = "shift array<int>, merged array<bigint>, pieces array<string>, first array<int>, low array<string>"
+        low = [struct.pack("<I", i).decode("latin-1") for i in range(len(ranks.pieces))]
+        row = spark.createDataFrame([(ranks.shift, ranks.table, ranks.pieces, ranks.bytes, low)], shape)
         stored = scratch.keep(row.coalesce(1), "tables")
-        self.shift, self.merged, self.pieces, self.first = (constant(stored.agg(F.first(c).alias(c))) for c in ("shift", "merged", "pieces", "first"))
+        self.shift, self.merged, self.pieces, self.first, self.low = (constant(stored.agg(F.first(c).alias(c))) for c in ("shift", "merged", "pieces", "first", "low"))
         scratch.drop("tables")
 
 
@@ -209,11 +211,9 @@ def decode(ids: Column, tables: Tables) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables.pieces, i)), ""), "ISO-8859-1")
 
 
-def little_endian(ids: Column) -> Column:
+def little_endian(ids: Column, tables: Tables) -> Column:
     """binary: each id as an unsigned 32-bit integer, the low byte first."""
-    byte = lambda x: F.chr(x)
-    text = F.transform(ids, lambda i: F.concat(byte(i.bitwiseAND(255)), byte(F.shiftright(i, 8).bitwiseAND(255)), byte(F.shiftright(i, 16).bitwiseAND(255)), byte(F.shiftright(i, 24).bitwiseAND(255))))
-    return F.encode(F.array_join(text, ""), "ISO-8859-1")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables.low, i)), ""), "ISO-8859-1")
 
 
 def digests(encoded: DataFrame, tables: Tables, *keep: str) -> DataFrame:
@@ -223,7 +223,7 @@ def digests(encoded: DataFrame, tables: Tables, *keep: str) -> DataFrame:
         "doc_id",
         *keep,
         F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(little_endian(ids), 256).alias("ids_sha256"),
+        F.sha2(little_endian(ids, tables), 256).alias("ids_sha256"),
         F.sha2(decode(ids, tables), 256).alias("decoded_sha256"),
     )
 
