@@ -41,7 +41,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int =
     """Weights (the last one is the intercept) of a ridge logistic model, by accelerated gradient in single precision."""
     n = len(y)
     if n == 0 or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (n + 1)
+        rate = (y.sum() + 0.5) / (n + 2)  # without rows: nothing is flagged
         return np.append(np.zeros(x.shape[1]), np.log(rate / (1 - rate)))
     x, y = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float32, copy=False), y.astype(np.float32)
     rng = np.random.default_rng(0)
