@@ -228,10 +228,10 @@ def bias_reconstruct(spark, sf_dir):
 
 
 def _dct(a, n, m):
-    return f"{(1 / math.sqrt(n) if m == 0 else math.sqrt(2 / n))!r}" + (f" * cos(pi() * (2 * ({a} - 1) + 1) * {m} / {2 * n})" if m else "")
+    return f"{(1 / math.sqrt(n) if m == 0 else math.sqrt(2 / n))!r}::DOUBLE" + (f" * cos(pi() * (2 * ({a} - 1) + 1) * {m} / {2 * n})" if m else "")
 
 
-_BIAS = " + ".join(f"({float(COEFF[p, q])!r}) * {_dct('i', 5, p)} * {_dct('j', 10, q)} * {_dct('k', 5, 0)}" for p in range(3) for q in range(2))
+_BIAS = " + ".join(f"({float(COEFF[p, q])!r}::DOUBLE) * {_dct('i', 5, p)} * {_dct('j', 10, q)} * {_dct('k', 5, 0)}" for p in range(3) for q in range(2))
 
 
 def bias_components(spark, sf_dir):
