@@ -35,6 +35,7 @@ from .graph import components
 
 WORDS, NUM, DEN = 5, 80, 100
 COUNTERS, CHUNKS = 1 << 21, 32
+FILTER, PROBES = 1 << 23, 4
 #: Sets compared with one copy of a leader.
 PER_SALT = 2000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -227,20 +228,62 @@ def _residual(batches):
         yield from emit(held[1])
 
 
+def _places(ids: np.ndarray) -> np.ndarray:
+    """PROBES places of each id in the filter."""
+    with np.errstate(over="ignore"):
+        h = mixed(ids.astype(np.int64).view(np.uint64) + _P)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(h + np.uint64(k) * step) % np.uint64(FILTER) for k in range(PROBES)]).astype(np.int64)
+
+
+def _filter_part(batches):
+    import pyarrow as pa
+
+    bits = np.zeros(FILTER, bool)
+    for batch in batches:
+        if batch.num_rows:
+            bits[_places(batch.column("doc_id").to_numpy()).ravel()] = True
+    parts = np.packbits(bits).reshape(CHUNKS, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+
+
+def _filter_union(batches):
+    import pyarrow as pa
+
+    out: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, b in zip(batch.column("chunk"), batch.column("counts")):
+            x = np.frombuffer(b.as_py(), np.uint8)
+            out[c.as_py()] = x | out[c.as_py()] if c.as_py() in out else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["chunk", "counts"])
+
+
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, size, hashes) of the nodes in reps (doc_id, node): only their texts are read again."""
+    """(node, hashes) of the nodes in reps (doc_id, node), and of few others that joins leave out.
+
+    A Bloom filter of fixed size tells which texts are read again, so that texts needn't be shuffled.
+    What it lets through beyond reps costs time only.
+    """
+    kind = "chunk int, counts binary"
+    found = reps.select("doc_id").mapInArrow(_filter_part, kind).repartition(8, "chunk").mapInArrow(_filter_union, kind).collect()
+    bits = np.zeros((CHUNKS, FILTER // 8 // CHUNKS), np.uint8)
+    for row in found:
+        bits[row[0]] = np.frombuffer(row[1], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))  # FILTER bits
 
     def rows(batches):
         import pyarrow as pa
 
         known = Words()
         for batch in batches:
-            got = [(n.as_py(), shingles(t.as_py() or "", known)) for t, n in zip(batch.column("text"), batch.column("node"))]
-            got = [(n, h) for n, h in got if len(h) and signature(h) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["node", "hashes"])
-
-    found = docs.select("doc_id", "text").join(reps, "doc_id").select("text", "node")
-    return found.mapInArrow(rows, "node long, hashes binary")
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            at = _places(batch.column("doc_id").cast(pa.int64()).to_numpy())
+            maybe = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0)
+            got = [shingles(batch.column("text")[int(i)].as_py() or "", known) for i in np.flatnonzero(maybe)]
+            got = [(signature(h), h.tobytes()) for h in got if len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["node", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "node long, hashes binary")
 
 
 def _compare(batches):
