@@ -37,28 +37,100 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 120) -> np.ndarray:
-    """Weights (the last one is the intercept) of a ridge logistic model, by accelerated gradient in single precision."""
-    n = len(y)
-    if n == 0 or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (n + 2)  # without rows: nothing is flagged
-        return np.append(np.zeros(x.shape[1]), np.log(rate / (1 - rate)))
-    x, y = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float32, copy=False), y.astype(np.float32)
-    rng = np.random.default_rng(0)
-    v = rng.normal(size=x.shape[1]).astype(np.float32)
-    for _ in range(8):  # the largest eigenvalue sets the step
-        v = x.T @ (x @ v)
-        top = np.linalg.norm(v)
-        v /= top
-    rate = np.float32(1.0 / (0.25 * top * 1.1 + ridge))
-    w = z = np.zeros(x.shape[1], np.float32)
-    penalty = np.append(np.full(x.shape[1] - 1, ridge), 0.0).astype(np.float32)
-    for k in range(steps):
-        g = x.T @ (sigmoid(x @ z) - y) + penalty * z
-        new = z - rate * g
-        z = new + np.float32(k / (k + 3)) * (new - w)
-        w = new
-    return w
+class Rows:
+    """Rows of a few present columns out of ``width``, followed by dense columns and a column of ones.
+
+    Products with the few dense columns are not left to BLAS, whose threads would wait for each other.
+    """
+
+    def __init__(self, found: list[np.ndarray], width: int, dense: np.ndarray):
+        self.width, self.dense = width, dense.astype(float)
+        self.row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        self.col = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+
+    @property
+    def columns(self) -> int:
+        return self.width + self.dense.shape[1] + 1
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], len(self.dense)) + np.einsum("ij,j->i", self.dense, w[self.width : -1]) + w[-1]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transpose times r."""
+        return np.concatenate([np.bincount(self.col, r[self.row], self.width), np.einsum("ij,i->j", self.dense, r), [r.sum()]])
+
+    def squares(self, h: np.ndarray) -> np.ndarray:
+        """The diagonal of the transpose times diag(h) times itself."""
+        return np.concatenate([np.bincount(self.col, h[self.row], self.width), h @ self.dense**2, [h.sum()]])
+
+    def corner(self, h: np.ndarray) -> np.ndarray:
+        """The dense columns' part of the transpose times diag(h) times itself."""
+        d = np.column_stack([self.dense, np.ones(len(h))])
+        return (d * h[:, None]).T @ d
+
+    def plus(self, column: np.ndarray) -> Rows:
+        """With one more dense column."""
+        out = object.__new__(Rows)
+        out.width, out.row, out.col, out.dense = self.width, self.row, self.col, np.column_stack([self.dense, column])
+        return out
+
+
+def fit_logistic(x: Rows, y: np.ndarray, used: np.ndarray | None = None, start: np.ndarray | None = None, ridge: float = 0.3, least: float = 1e-6) -> np.ndarray:
+    """Weights (the last one is the intercept) of a ridge logistic model of the used rows.
+
+    Newton's method until no entry of the gradient is over ``least`` a row; the loss is convex, so the
+    weights approach those of its only minimum, wherever they start. Steps are solved by conjugate
+    gradients over the sparse rows.
+    """
+    used = np.ones(len(y)) if used is None else used.astype(float)
+    y = np.where(used > 0, y, 0.0)
+    n, hits = used.sum(), y.sum()
+    w = np.zeros(x.columns)
+    if hits in (0, n):
+        rate = (hits + 0.5) / (n + 2)  # without rows: nothing is flagged
+        w[-1] = np.log(rate / (1 - rate))
+        return w
+    w[-1] = np.log(hits / (n - hits))
+    w = w if start is None else start.copy()
+    penalty = np.append(np.full(len(w) - 1, ridge), 0.0)
+    loss = lambda w, z: used @ (np.logaddexp(0, z) - y * z) + penalty @ w**2 / 2
+    z = x.times(w)
+    now = loss(w, z)
+    while True:
+        p = sigmoid(z)
+        g = x.back(used * (p - y)) + penalty * w
+        if np.abs(g).max() <= least * n:
+            return w
+        h = used * p * (1 - p)
+        step = _solve(lambda v: x.back(h * x.times(v)) + penalty * v, -g, x.squares(h) + penalty, x.corner(h) + np.diag(penalty[x.width :]))
+        by = x.times(step)
+        t = 1.0
+        while not (new := loss(w + t * step, z + t * by)) < now and t > 1e-9:
+            t /= 2
+        if not new < now:  # as near as doubles come
+            return w
+        w, z, now = w + t * step, z + t * by, new
+
+
+def _solve(apply, b: np.ndarray, diagonal: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Conjugate gradients, to a tenth of b; preconditioned by the diagonal, and by the dense columns' corner as a whole."""
+    at = len(b) - len(corner)
+    corner = np.linalg.pinv(corner, hermitian=True)
+    near = lambda r: np.concatenate([r[:at] / diagonal[:at], corner @ r[at:]])
+    x, r = np.zeros(len(b)), b.copy()
+    q = near(r)
+    d, rho = q.copy(), r @ q
+    end = 0.1 * np.linalg.norm(b)
+    for _ in range(10 * len(b)):
+        a = apply(d)
+        alpha = rho / (d @ a)
+        x, r = x + alpha * d, r - alpha * a
+        if np.linalg.norm(r) <= end:
+            break
+        q = near(r)
+        rho, old = r @ q, rho
+        d = q + rho / old * d
+    return x
 
 
 def fold_of(doc_id, folds: int) -> int:

@@ -4,9 +4,10 @@ Categories are predicted in order; each linear model sees the document's words a
 probabilities of the categories before it. In training these come from models that have not seen the
 row (out-of-fold), so that a link does not trust its predecessor more than it may at scoring.
 
-Fitted on at most SAMPLE labelled rows (least by hash). Words enter as presence, those that tell a
-category best by the likelihood-ratio statistic, at most FEATURES each. Scoring is one pass over
-whole texts without a shuffle; the model is a few thousand numbers.
+Fitted on at most SAMPLE labelled rows (least by hash). Words enter as presence, every one that tells
+a category by the likelihood-ratio statistic (LEAST_G2, in LEAST_COUNT rows or more): their number is
+bounded by the sample. Training runs on sparse rows to convergence. Scoring is one pass over whole
+texts without a shuffle.
 
 Null or empty text: a document without words, scored like any other. Unlabelled documents are
 scored. No labels at all, or one class only: every document gets the smoothed base rate. Repeated
@@ -21,11 +22,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
-from .learn import SAMPLE, best_cut, fit_logistic, fold_of, sample_labels, sigmoid, texts, with_labels
+from .learn import SAMPLE, Rows, best_cut, fit_logistic, fold_of, sample_labels, sigmoid, texts, with_labels
 
 #: In chain order: name, and what makes a labelled row a member.
 CATEGORIES: dict[str, Column | str] = {"junk": "quality = 0", "toxic": "toxic = 1", "abusive_prose": "toxic = 1 AND quality = 1"}
-DECIDES, FOLDS, FEATURES, LEAST_COUNT, LEAST_G2 = "toxic", 5, 128, 3, 10.83
+DECIDES, FOLDS, LEAST_COUNT, LEAST_G2 = "toxic", 5, 3, 10.83
 STYLE = 5
 _WORD = re.compile(r"[^\W_]+")
 
@@ -63,8 +64,8 @@ def _arrow(rows):
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "word" else pa.int32()) for k, v in rows.items()})
 
 
-def select_words(members: DataFrame, cats: list[str], totals: dict[str, int], rows: int, features: int = FEATURES) -> list[str]:
-    """The words that tell the categories, at most ``features`` for each."""
+def select_words(members: DataFrame, cats: list[str], totals: dict[str, int], rows: int) -> list[str]:
+    """The words that tell the categories."""
     schema = "word string, " + ", ".join(f"y_{c} int" for c in cats)
     counts = members.select("doc_id", "text", *(f"y_{c}" for c in cats)).mapInArrow(_member_words, schema)
     counts = counts.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(f"y_{c}").alias(c) for c in cats)).where(F.col("n") >= LEAST_COUNT).persist()
@@ -78,7 +79,7 @@ def select_words(members: DataFrame, cats: list[str], totals: dict[str, int], ro
         out = F.lit(float(totals[c])) - a
         rest = F.lit(float(rows)) - n
         g2 = 2 * (term(a, n * share) + term(n - a, n * (1 - share)) + term(out, rest * share + 1e-9) + term(rest - out, rest * (1 - share) + 1e-9))
-        chosen |= {r[0] for r in counts.select("word", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(features).collect()}
+        chosen |= {r[0] for r in counts.select("word", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).collect()}
     counts.unpersist()
     return sorted(chosen)
 
@@ -89,34 +90,34 @@ class Chain:
     def __init__(self, cats: list[str], words: list[str]):
         self.cats, self.place, self.models = cats, {w: i for i, w in enumerate(words)}, []
 
-    def features(self, text: str) -> np.ndarray:
+    def features(self, text: str) -> tuple[np.ndarray, list[float]]:
+        """(places of the words found, style)."""
         found, style = words_and_style(text)
-        x = np.zeros(len(self.place) + STYLE, np.float32)
-        x[[self.place[w] for w in self.place.keys() & found]] = 1.0
-        x[len(self.place) :] = style
-        return x
+        return np.array(sorted(self.place[w] for w in self.place.keys() & found), np.int32), style
 
-    def fit(self, x: np.ndarray, ys: dict[str, np.ndarray], folds: np.ndarray) -> None:
+    def rows(self, found: list[np.ndarray], style: np.ndarray) -> Rows:
+        return Rows(found, len(self.place), style)
+
+    def fit(self, x: Rows, ys: dict[str, np.ndarray], folds: np.ndarray) -> None:
         for c in self.cats:
             y = ys[c].astype(float)
             model = fit_logistic(x, y)
-            unseen = np.zeros((len(y), 1), np.float32)
+            unseen = np.zeros(len(y))
             for f in range(FOLDS):
                 test = folds == f
-                w = fit_logistic(x[~test], y[~test])
-                unseen[test, 0] = sigmoid(x[test] @ w[:-1] + w[-1])
+                unseen[test] = sigmoid(x.times(fit_logistic(x, y, ~test, model))[test])
             # the intercept moves so that 0.5 is the cut that is best on unseen rows
-            cut = np.clip(best_cut(unseen[:, 0].astype(float), y), 1e-4, 1 - 1e-4)
-            shift = np.log(cut / (1 - cut)).astype(np.float32)
+            cut = np.clip(best_cut(unseen, y), 1e-4, 1 - 1e-4)
+            shift = np.log(cut / (1 - cut))
             model[-1] -= shift
-            self.models.append(model.astype(np.float32))
+            self.models.append(model)
             z = np.log(np.clip(unseen, 1e-7, 1 - 1e-7) / np.clip(1 - unseen, 1e-7, 1)) - shift
-            x = np.hstack([x, sigmoid(z).astype(np.float32)])
+            x = x.plus(sigmoid(z))
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, x: Rows) -> np.ndarray:
         for w in self.models:
-            x = np.hstack([x, sigmoid(x @ w[:-1] + w[-1])[:, None].astype(np.float32)])
-        return x[:, x.shape[1] - len(self.models) :].astype(float)
+            x = x.plus(sigmoid(x.times(w)))
+        return x.dense[:, STYLE:]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPLE) -> Chain:
@@ -132,16 +133,19 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
 
     def rows(batches):
         for batch in batches:
-            got = [(i, [int(batch.column(f"y_{c}")[k].as_py()) for c in cats], chain.features(t).tobytes()) for k, (i, t) in enumerate(texts(batch))]
+            got = []
+            for k, (i, t) in enumerate(texts(batch)):
+                found, style = chain.features(t)
+                got.append((i, [int(batch.column(f"y_{c}")[k].as_py()) for c in cats], found.tobytes(), np.array(style).tobytes()))
             yield pa_rows(got)
 
     def pa_rows(got):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.binary())], names=["doc_id", "y", "x"])
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), *(pa.array([g[j] for g in got], pa.binary()) for j in (2, 3))], names=["doc_id", "y", "found", "style"])
 
-    fitted = members.mapInArrow(rows, "doc_id long, y array<int>, x binary").toPandas().sort_values("doc_id")  # bounded by the sample
-    x = np.stack([np.frombuffer(b, np.float32) for b in fitted["x"]]) if len(fitted) else np.zeros((0, len(chain.place) + STYLE), np.float32)
+    fitted = members.mapInArrow(rows, "doc_id long, y array<int>, found binary, style binary").toPandas().sort_values("doc_id")  # bounded by the sample
+    x = chain.rows([np.frombuffer(b, np.int32) for b in fitted["found"]], np.array([np.frombuffer(b) for b in fitted["style"]]).reshape(-1, STYLE))
     y = np.stack(fitted["y"]) if len(fitted) else np.zeros((0, len(cats)))
     chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, np.array([fold_of(i, FOLDS) for i in fitted["doc_id"]], int))
     return chain
@@ -159,7 +163,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             p = np.zeros((len(column), len(chain.cats)))
             for at in range(0, len(column), 512):
                 part = [chain.features(t.as_py() or "") for t in column.slice(at, 512)]
-                p[at : at + 512] = chain.predict(np.stack(part))
+                p[at : at + 512] = chain.predict(chain.rows([f for f, _ in part], np.array([s for _, s in part])))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i]) for i in range(p.shape[1]))], names=[*names, *(f"p_{c}" for c in chain.cats)])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"p_{c} double" for c in chain.cats]

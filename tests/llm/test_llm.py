@@ -148,6 +148,40 @@ def test_toxicity_learns_a_word(spark):
     assert toxicity.toxicity(docs.where("false"), lab).count() == 0
 
 
+def test_toxicity_uses_every_word_that_tells(spark):
+    from latmix.llm import toxicity
+
+    # 300 words that speak for toxic, each in 6 of 60 toxic rows: all pass LEAST_G2
+    rng = random.Random(2)
+    telling = [f"scum{k}x" for k in range(300)]
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 5 == 0
+        own = " ".join(w for k, w in enumerate(telling) if (k + i // 5) % 10 == 0) if bad else ""
+        rows.append((i, f"{words(rng, 40)} {own}"))
+        labels.append((i, 1, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert set(telling) <= set(toxicity.train(docs, lab).place)
+
+
+def test_logistic_converges():
+    from latmix.llm import learn
+
+    rng = np.random.default_rng(4)
+    dense = rng.normal(size=(3000, 3)) * [1.0, 0.01, 30.0]
+    found = [np.flatnonzero(rng.random(40) < 0.1) for _ in range(3000)]
+    y = (rng.random(3000) < learn.sigmoid(dense @ [1.0, 80.0, 0.02] + [len(f) - 6.0 for f in found])).astype(float)
+    used = rng.random(3000) < 0.8
+    w = learn.fit_logistic(learn.Rows(found, 40, dense), y, used)
+    x = np.zeros((3000, 44))
+    for i, f in enumerate(found):
+        x[i, f] = 1
+    x[:, 40:43], x[:, 43] = dense, 1
+    gradient = x.T @ (used * (learn.sigmoid(x @ w) - y)) + 0.3 * np.append(w[:-1], 0)
+    assert np.abs(gradient).max() <= 1.01e-6 * used.sum()  # a row
+    assert (learn.fit_logistic(learn.Rows([], 40, np.zeros((0, 3))), np.zeros(0))[:-1] == 0).all()
+
+
 def test_quality_held_out(spark, sf):
     from latmix.llm import quality
 
