@@ -11,7 +11,8 @@ texts without a shuffle.
 
 Null or empty text: a document without words, scored like any other. Unlabelled documents are
 scored. No labels at all, or one class only: every document gets the smoothed base rate. Repeated
-rows: each is scored. An empty table: no rows. Other columns are ignored.
+rows: each is scored. An empty table: no rows. Other columns are ignored. A label that is null: the
+row trains the categories whose membership the other label decides.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
-from .learn import SAMPLE, Rows, best_cut, fit_logistic, fold_of, sample_labels, sigmoid, texts, with_labels
+from .learn import SAMPLE, Rows, best_cut, fit_logistic, fold_of, sigmoid, texts, with_labels
 
 #: In chain order: name, and what makes a labelled row a member.
+#: They are made of the columns LABELS.
+LABELS = ("quality", "toxic")
 CATEGORIES: dict[str, Column | str] = {"junk": "quality = 0", "toxic": "toxic = 1", "abusive_prose": "toxic = 1 AND quality = 1"}
 DECIDES, FOLDS, LEAST_COUNT, LEAST_G2 = "toxic", 5, 3, 10.83
 STYLE = 5
@@ -64,22 +67,22 @@ def _arrow(rows):
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "word" else pa.int32()) for k, v in rows.items()})
 
 
-def select_words(members: DataFrame, cats: list[str], totals: dict[str, int], rows: int) -> list[str]:
-    """The words that tell the categories."""
+def select_words(members: DataFrame, cats: list[str], totals: dict[str, int], rows: dict[str, int]) -> list[str]:
+    """The words that tell the categories. totals, rows: members of each, and rows of known membership."""
     schema = "word string, " + ", ".join(f"y_{c} int" for c in cats)
     counts = members.select("doc_id", "text", *(f"y_{c}" for c in cats)).mapInArrow(_member_words, schema)
-    counts = counts.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(f"y_{c}").alias(c) for c in cats)).where(F.col("n") >= LEAST_COUNT).persist()
+    counts = counts.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(f"y_{c}").alias(c) for c in cats), *(F.count(f"y_{c}").alias(f"n_{c}") for c in cats)).where(F.col("n") >= LEAST_COUNT).persist()
     chosen: set[str] = set()
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     for c in cats:
-        if not 0 < totals[c] < rows:
+        if not 0 < totals[c] < rows[c]:
             continue
-        share = totals[c] / rows
-        a, n = F.col(c).cast("double"), F.col("n").cast("double")
+        share = totals[c] / rows[c]
+        a, n = F.coalesce(c, F.lit(0)).cast("double"), F.col(f"n_{c}").cast("double")
         out = F.lit(float(totals[c])) - a
-        rest = F.lit(float(rows)) - n
+        rest = F.lit(float(rows[c])) - n
         g2 = 2 * (term(a, n * share) + term(n - a, n * (1 - share)) + term(out, rest * share + 1e-9) + term(rest - out, rest * (1 - share) + 1e-9))
-        chosen |= {r[0] for r in counts.select("word", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).collect()}
+        chosen |= {r[0] for r in counts.where(F.col(f"n_{c}") >= LEAST_COUNT).select("word", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).collect()}
     counts.unpersist()
     return sorted(chosen)
 
@@ -99,15 +102,17 @@ class Chain:
         return Rows(found, len(self.place), style)
 
     def fit(self, x: Rows, ys: dict[str, np.ndarray], folds: np.ndarray) -> None:
+        """ys: NaN where a row's membership is not known; such rows are no part of that category's model."""
         for c in self.cats:
             y = ys[c].astype(float)
-            model = fit_logistic(x, y)
+            known = ~np.isnan(y)
+            model = fit_logistic(x, y, known)
             unseen = np.zeros(len(y))
             for f in range(FOLDS):
                 test = folds == f
-                unseen[test] = sigmoid(x.times(fit_logistic(x, y, ~test, model))[test])
+                unseen[test] = sigmoid(x.times(fit_logistic(x, y, known & ~test, model))[test])
             # the intercept moves so that 0.5 is the cut that is best on unseen rows
-            cut = np.clip(best_cut(unseen, y), 1e-4, 1 - 1e-4)
+            cut = np.clip(best_cut(unseen[known], y[known]), 1e-4, 1 - 1e-4)
             shift = np.log(cut / (1 - cut))
             model[-1] -= shift
             self.models.append(model)
@@ -120,23 +125,34 @@ class Chain:
         return x.dense[:, STYLE:]
 
 
+def memberships(labels: DataFrame, categories: dict[str, Column | str], most: int, columns=LABELS) -> DataFrame:
+    """(doc_id, y_<category>), null where not known; one row per doc_id with a known one, least hashes first, at most ``most``.
+
+    Of several rows of a document the least that decides a category is taken for it.
+    """
+    is_member = lambda c: (F.expr(c) if isinstance(c, str) else c).cast("int")
+    rows = labels.where("doc_id IS NOT NULL").select("doc_id", F.struct(*columns).alias("__by"), *(is_member(v).alias(f"y_{c}") for c, v in categories.items()))
+    least = lambda y: F.min(F.when(F.col(y).isNotNull(), F.struct("__by", y)))[y].alias(y)
+    ys = [f"y_{c}" for c in categories]
+    rows = rows.groupBy("doc_id").agg(*map(least, ys)).where(F.coalesce(*ys).isNotNull())
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPLE) -> Chain:
     categories = categories or CATEGORIES
     cats = list(categories)
-    sample = sample_labels(labels, [c for c in labels.columns if c != "doc_id"], most)
-    is_member = lambda c: (F.expr(c) if isinstance(c, str) else c).cast("int")
-    sample = sample.select("doc_id", *(is_member(v).alias(f"y_{c}") for c, v in categories.items()))
+    sample = memberships(labels, categories, most)
     members = with_labels(docs.select("doc_id", "text"), sample)
-    sums = sample.agg(F.count("*"), *(F.sum(f"y_{c}") for c in cats)).head()
-    totals = {c: sums[i + 1] or 0 for i, c in enumerate(cats)}
-    chain = Chain(cats, select_words(members, cats, totals, sums[0]))
+    sums = sample.agg(*(F.coalesce(f(f"y_{c}"), F.lit(0)) for f in (F.sum, F.count) for c in cats)).head()
+    totals, known = dict(zip(cats, sums)), dict(zip(cats, sums[len(cats) :]))
+    chain = Chain(cats, select_words(members, cats, totals, known))
 
     def rows(batches):
         for batch in batches:
             got = []
             for k, (i, t) in enumerate(texts(batch)):
                 found, style = chain.features(t)
-                got.append((i, [int(batch.column(f"y_{c}")[k].as_py()) for c in cats], found.tobytes(), np.array(style).tobytes()))
+                got.append((i, [batch.column(f"y_{c}")[k].as_py() for c in cats], found.tobytes(), np.array(style).tobytes()))
             yield pa_rows(got)
 
     def pa_rows(got):
@@ -146,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
 
     fitted = members.mapInArrow(rows, "doc_id long, y array<int>, found binary, style binary").toPandas().sort_values("doc_id")  # bounded by the sample
     x = chain.rows([np.frombuffer(b, np.int32) for b in fitted["found"]], np.array([np.frombuffer(b) for b in fitted["style"]]).reshape(-1, STYLE))
-    y = np.stack(fitted["y"]) if len(fitted) else np.zeros((0, len(cats)))
+    y = np.array([list(v) for v in fitted["y"]], float).reshape(-1, len(cats))
     chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, np.array([fold_of(i, FOLDS) for i in fitted["doc_id"]], int))
     return chain
 

@@ -164,6 +164,23 @@ def test_toxicity_uses_every_word_that_tells(spark):
     assert set(telling) <= set(toxicity.train(docs, lab).place)
 
 
+def test_toxicity_needs_only_the_labels_it_uses(spark):
+    from latmix.llm import toxicity
+
+    rng = random.Random(6)
+    rows = [(i, words(rng, 30) + (" scumword" if i % 5 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flagged = lambda lab: {r[0] for r in toxicity.toxicity(docs, lab).where("is_toxic").select("doc_id").collect()}
+    want = {i for i in range(300) if i % 5 == 0}
+    labels = lambda quality: spark.createDataFrame([(i, quality(i), int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    assert flagged(labels(lambda i: 1).withColumn("note", F.lit(None).cast("string"))) == want
+    # every toxic row lacks a quality
+    assert flagged(labels(lambda i: None if i % 5 == 0 else 1)) == want
+    odd = spark.createDataFrame([(1, None, 1), (1, 0, None), (2, None, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {tuple(r) for r in toxicity.memberships(odd, toxicity.CATEGORIES, 9).collect()}
+    assert got == {(1, 1, 1, 0), (2, None, 0, 0)}
+
+
 def test_logistic_converges():
     from latmix.llm import learn
 
