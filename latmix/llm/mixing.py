@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 1. Documents of a source are shuffled by the MD5 of their id and laid end to end; the line of words
-   is cut into blocks of equal length (within one word).
+   is cut into blocks of equal length (within one word), LEAST_BLOCK words at most, whatever the size
+   of the corpus: a small source has as many blocks beside a large one as alone.
 2. Targets: the sources' shares of all words by weight, none over CAP times its size; what a full
    source leaves is shared among the others by weight.
 3. Slot n of the schedule is the golden-ratio point frac((n + 1) * 0.618...), which falls into one
@@ -19,13 +20,13 @@ documents of their own. An empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import WORD, Scratch, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Blocks hold LEAST_BLOCK words at least, and more where the schedule would pass MOST_SLOTS slots.
+#: MOST_SLOTS is of the SQL below only, whose blocks are longer than LEAST_BLOCK over 16.8 million words.
 LEAST_BLOCK, MOST_SLOTS = 16, 1 << 20
 GOLDEN = 0.6180339887498949
 CHUNK, CELLS = 4096, 4096
@@ -83,14 +84,22 @@ def schedule(spark: SparkSession, plan: DataFrame, slots: int) -> DataFrame:
     return ranked.where(F.col("r") < CAP * F.col("blocks")).groupBy("sid", (F.col("r") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
 
 
+def block_of(p: str) -> Column:
+    """The block that word p of a source lies in. The product of words and blocks may pass a long."""
+    return F.expr(f"(cast({p} AS decimal(19, 0)) * blocks + blocks - 1) div source_size")
+
+
+def block_edge(k: str) -> Column:
+    """The first word of block k: floor(k * source_size / blocks)."""
+    return F.expr(f"(cast({k} AS decimal(19, 0)) * source_size) div blocks")
+
+
 def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(rid, doc_id, size, source_size, target, taken), a row for each row of docs."""
     scratch = scratch or Scratch(spark, "mix")
     rows = scratch.keep(sized(docs), "sized")
     goal = targets(rows.select("source", "size"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]  # one number
-    block = max(LEAST_BLOCK, -(-total // MOST_SLOTS))
-    blocks = F.ceil(F.col("source_size") / block)
+    blocks = F.expr(f"(source_size + {LEAST_BLOCK - 1}) div {LEAST_BLOCK}")
     demand = F.col("target") * F.col("blocks") / F.col("source_size")
     run = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
     plan = goal.withColumn("blocks", blocks).withColumn("d", F.when(F.col("source_size") > 0, demand).otherwise(0.0))
@@ -107,11 +116,8 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) ->
     order = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, 0)
     lines = rows.withColumn("own", F.sum("size").over(order) - F.col("size")).join(starts, ["sid", "bucket"])
     lines = lines.withColumn("begin", F.col("start") + F.col("own")).withColumn("end", F.col("begin") + F.col("size"))
-    # block k is [floor(k * source_size / blocks), floor((k + 1) * source_size / blocks))
-    of = lambda p: F.expr(f"(({p}) * blocks + blocks - 1) div source_size")
-    pieces = lines.where("size > 0").withColumn("block", F.explode(F.sequence(of("begin"), of("end - 1"))))
-    edge = lambda k: F.expr(f"(({k}) * source_size) div blocks")
-    pieces = pieces.withColumn("n", F.least("end", edge("block + 1")) - F.greatest("begin", edge("block"))).where("n > 0")
+    pieces = lines.where("size > 0").withColumn("block", F.explode(F.sequence(block_of("begin"), block_of("end - 1"))))
+    pieces = pieces.withColumn("n", F.least("end", block_edge("block + 1")) - F.greatest("begin", block_edge("block"))).where("n > 0")
     got = pieces.join(times, ["sid", "block"]).groupBy("rid").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     return lines.select("rid", "doc_id", "size", "source_size", "target").join(got, "rid", "left").fillna(0, ["taken"])
 

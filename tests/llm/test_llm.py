@@ -354,6 +354,25 @@ def test_mixing(spark, docs, none, sf):
     assert set(mixing.copies(spark, plain).columns) == set(plain.columns)
 
 
+def test_mixing_blocks_do_not_grow_with_the_corpus(spark, monkeypatch):
+    from latmix.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(i, words(rng, 50), "en", "b" if i < 60 else "a" if i < 1000 else "c", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, DOCS)
+    taken = lambda: sorted((r["doc_id"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix(spark, df).collect())
+    want = taken()
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 64)  # stands for a corpus of far more words
+    got = taken()
+    assert got == want
+    small = [r for r in got if r[1] == 3000]
+    assert abs(sum(r[3] for r in small) - small[0][2]) <= 0.02 * small[0][2]
+    big = 40 * 10**9
+    frame = spark.createDataFrame([(big - 1, big, big // 16)], "p long, source_size long, blocks long")
+    got = frame.select(mixing.block_of("p").alias("k"), mixing.block_edge("blocks - 1").alias("e")).head()
+    assert tuple(got) == (((big - 1) * (big // 16) + big // 16 - 1) // big, big - 16)
+
+
 # all ------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
