@@ -18,7 +18,8 @@ document. So documents are first cut to what can repeat:
 Texts of which there are copies repeat entirely, and one of them stands for all.
 
 Null or empty text: no bytes, nothing removed. Texts under LENGTH bytes: nothing removed. Repeated
-rows are copies. An empty table: no rows. Other columns are ignored.
+rows are copies. Ids tell rows apart nowhere: a text with a null doc_id, or one of several with the same
+doc_id, is a text like any other. An empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +70,14 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def text_hash(data: bytes) -> int:
+    """t of a text, as a signed long."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _scan(batches):
     import pyarrow as pa
     import xxhash
@@ -79,15 +88,15 @@ def _scan(batches):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             at, h = anchors(data)
             ctx = [xxhash.xxh3_64_intdigest(data[max(0, p - BACK) : p + LENGTH], min(p, BACK)) for p in at.tolist()]
-            out["t"].append(xxhash.xxh3_64_intdigest(data))
+            out["t"].append(text_hash(data))
             out["n"].append(len(data))
             out["sha"].append(hashlib.sha256(data).hexdigest())
             out["pos"].append(at)
             out["anchor"].append(h.view(np.int64))
             out["ctx"].append(np.array(ctx, np.uint64).view(np.int64))
         longs = pa.list_(pa.int64())
-        cols = [batch.column("doc_id").cast(pa.int64()), pa.array(np.array(out["t"], np.uint64).view(np.int64)), pa.array(out["n"], pa.int64()), pa.array(out["sha"]), *(pa.array(out[k], longs) for k in ("pos", "anchor", "ctx"))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "n", "sha", "pos", "anchor", "ctx"])
+        cols = [batch.column("doc_id").cast(pa.int64()), batch.column("k"), pa.array(out["t"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["sha"]), *(pa.array(out[k], longs) for k in ("pos", "anchor", "ctx"))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "t", "n", "sha", "pos", "anchor", "ctx"])
 
 
 def _contexts(batches):
@@ -97,9 +106,11 @@ def _contexts(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             data = (batch.column("text")[k].as_py() or "").encode("utf-8", "surrogatepass")
+            t = batch.column("t")[k].as_py()
+            if text_hash(data) != t:
+                continue
             pos = batch.column("pos")[k].as_py()
             parts = [data[max(0, p - BACK) : p + LENGTH] for p in pos]
-            t = batch.column("t")[k].as_py()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("anchor")[k].values, pa.array([t] * len(pos), pa.int64()), pa.array(pos, pa.int64()), pa.array([min(p, BACK) for p in pos], pa.int32()), pa.array(parts, pa.binary())], names=["anchor", "t", "pos", "before", "bytes"]
             )
@@ -215,16 +226,31 @@ def _cut(batches):
         got = []
         for k in range(batch.num_rows):
             data = (batch.column("text")[k].as_py() or "").encode("utf-8", "surrogatepass")
+            if text_hash(data) != batch.column("t")[k].as_py():
+                continue
             spans = merged(batch.column("a")[k].as_py(), batch.column("b")[k].as_py())
             got.append((batch.column("t")[k].as_py(), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(data, spans)).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["t", "removed", "spans", "kept"])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k, n): k is a hash of the text that is made without Python, n its bytes."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64(text).alias("k"), F.octet_length(text).cast("long").alias("n"))
+
+
+def reread(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, k, n, t, ...) with the texts that are meant; who uses them compares t."""
+    by = lambda df, *cols: df.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), "k", "n", *cols)
+    rest = [c for c in wanted.columns if c not in ("doc_id", "k", "n")]
+    return by(keyed(docs), "text").join(by(wanted, *rest), ["no_id", "id", "k", "n"]).select("text", *rest)
+
+
 def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (doc_id, t, n, sha) of all rows, and spans (t, a, b) to remove of texts without copies."""
-    kind = "doc_id long, t long, n long, sha string, pos array<long>, anchor array<long>, ctx array<long>"
-    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(_scan, kind), "rows")
+    kind = "doc_id long, k long, t long, n long, sha string, pos array<long>, anchor array<long>, ctx array<long>"
+    rows = scratch.keep(keyed(docs).mapInArrow(_scan, kind), "rows")
     # one place for each copy of a text
     places = rows.select("t", F.explode(F.arrays_zip("pos", "anchor", "ctx")).alias("x")).select("t", "x.*").distinct()
     places = scratch.keep(places, "places")
@@ -236,10 +262,11 @@ def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[D
     whole = scratch.keep(whole, "whole")
     wanted = contexts.join(shared, "anchor", "left_semi").select("anchor", "one.*")
     wanted = wanted.groupBy("t").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"))
-    reps = scratch.keep(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "reps")
-    # where a doc_id repeats with different texts, only the text that is meant is read
-    texts = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    found = texts.join(wanted.join(reps, "t"), ["doc_id", "n"]).select("t", "text", "pos", "anchor")
+    reps = scratch.keep(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("k").alias("k")), "reps")
+    # copies without an id would all be read: one stands for them
+    of_id = docs.select("doc_id", "text")
+    of_id = of_id.where("doc_id IS NOT NULL").union(of_id.where("doc_id IS NULL").groupBy(F.xxhash64("text"), F.octet_length("text")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text"))
+    found = reread(of_id, wanted.join(reps, "t")).select("t", "text", "pos", "anchor")
     kind = "anchor long, t long, pos long, before int, bytes binary"
     met = found.mapInArrow(_contexts, kind).repartition("anchor").sortWithinPartitions("anchor")
     runs = scratch.keep(met.mapInArrow(_runs, "t long, a long, b long"), "runs")
@@ -252,9 +279,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows, spans = stretches(spark, docs, scratch)
     reps = spark.read.parquet(scratch.path("reps"))
     per_text = spans.groupBy("t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    texts = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     single = per_text.join(reps.where("copies = 1"), "t")
-    done = texts.join(single, ["doc_id", "n"]).select("t", "text", "a", "b").mapInArrow(_cut, "t long, removed long, spans long, kept string")
+    done = reread(docs, single).select("t", "text", "a", "b").mapInArrow(_cut, "t long, removed long, spans long, kept string")
     done = scratch.keep(done, "done")
     nothing = hashlib.sha256(b"").hexdigest()
     copied = (F.col("copies") > 1) & (F.col("n") >= LENGTH)

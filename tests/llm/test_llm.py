@@ -334,6 +334,31 @@ def test_repeats_removed(spark, docs, none):
     assert suffix.remove_repeats(spark, none).count() == 0
 
 
+def test_repeats_without_ids(spark):
+    from latmix.llm import suffix
+
+    rng = random.Random(12)
+    fill = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two, three = fill(500), fill(500), fill(500)
+    texts = [
+        (None, fill(100) + one + fill(50)), (None, fill(70) + one + fill(80)), (None, fill(650)), (None, None), (1, fill(20) + two + fill(99)),
+        # equal lengths under one doc_id
+        (7, fill(60) + two + fill(60)), (7, fill(30) + three + fill(90)), (7, fill(620)), (8, fill(44) + three + fill(12)), (None, fill(9) + three + fill(200)),
+    ]
+    texts += [(None, texts[2][1] + one)] * 2  # copies without an id
+    rows = [(t or "").encode() for _, t in texts]
+    seen = collections.Counter(b[k : k + 400] for b in rows for k in range(len(b) - 399))
+    want = collections.Counter()
+    for (i, _), b in zip(texts, rows):
+        cover = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                cover[k : k + 400] = True
+        want[i, len(b), int(cover.sum()), int((np.diff(np.append(0, cover.astype(int))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest()] += 1
+    got = suffix.remove_repeats(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
 # 10 -------------------------------------------------------------------------------------------------
 def test_mixing(spark, docs, none, sf):
     from latmix.llm import mixing
