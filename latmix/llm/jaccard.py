@@ -364,10 +364,21 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of repeated rows one stays."""
-    found = similar(spark, docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """docs without all but one row of each component: that of the smallest doc_id, null being the largest.
+
+    Components are of rows, so rows of one doc_id or of none are told apart by their texts. A row
+    without words is near no other; of those that repeat doc_id and text one stays.
+    """
+    scratch = Scratch(spark, "keep-one")
+    rows = scratch.keep(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    found = similar(spark, rows.select(F.col("__rid").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__rid"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__component"))
+    known = rows.select("__rid", "doc_id", F.when(F.col("text").isNull(), "-").otherwise(F.sha2("text", 256)).alias("__text")).join(found, "__rid")
+    worded, rest = known.where("__component IS NOT NULL"), known.where("__component IS NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid"))["__rid"].alias("__rid")
+    kept = worded.groupBy("__component").agg(first).select("__rid")
+    kept = kept.union(rest.where("doc_id IS NULL").select("__rid")).union(rest.where("doc_id IS NOT NULL").groupBy("doc_id", "__text").agg(F.min("__rid").alias("__rid")).select("__rid"))
+    return rows.join(kept, "__rid", "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard}

@@ -310,6 +310,18 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard.similar(spark, none).count() == 0
 
 
+def test_keep_one_of_clashing_and_null_ids(spark):
+    from latmix.llm import jaccard
+
+    rng = random.Random(14)
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    rows = [(1, a), (2, a + " copy"), (2, b), (2, c), (None, d), (None, d + " copy"), (None, c + " copy"), (3, None), (3, None), (None, "")]
+    got = [tuple(r) for r in jaccard.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    key = lambda rs: sorted(map(repr, rs))
+    assert len([r for r in got if r in rows[4:6]]) == 1
+    assert key(r for r in got if r not in rows[4:6]) == key([(1, a), (2, b), (2, c), (3, None), (None, "")])
+
+
 # 9 --------------------------------------------------------------------------------------------------
 def test_repeats_removed(spark, docs, none):
     from latmix.llm import suffix
