@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share; set here only where the session has none and all runs in one process (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="latmix-")
         spark.sparkContext.setCheckpointDir(given)
         given = f"file://{given}"
@@ -48,3 +51,34 @@ class Scratch:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def unused(taken, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``taken`` needs; case is no difference."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lean(run):
+    """A function for mapInArrow that gives its memory back at a task's end: idle workers stay alive beside the next stages."""
+
+    def all_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return all_of
