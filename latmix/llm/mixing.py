@@ -1,6 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-1. Documents of a source are shuffled by the MD5 of their id and laid end to end; the line of words
+1. Documents of a source are shuffled by the MD5 of their id (of their text where there is none) and,
+   within an id, by that of their text, and laid end to end; the line of words
    is cut into blocks of equal length (within one word), LEAST_BLOCK words at most, whatever the size
    of the corpus: a small source has as many blocks beside a large one as alone.
 2. Targets: the sources' shares of all words by weight, none over CAP times its size; what a full
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, Scratch, table, text_or_empty
+from .common import WORD, Scratch, table, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -32,15 +33,16 @@ GOLDEN = 0.6180339887498949
 CHUNK, CELLS = 4096, 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, source, size, bucket, h): size in words; h orders a source's documents."""
-    h = F.md5(F.col("doc_id").cast("string"))
+def sized(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+    """(rid, doc_id, source, size, h, digest, bucket): size in words; h and digest order a source's documents."""
+    digest = F.md5(text_or_empty())
     return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if rid is None else rid).alias("rid"),
         "doc_id",
         "source",
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        F.coalesce(h, F.lit("-")).alias("h"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), digest)).alias("h"),
+        digest.alias("digest"),
     ).withColumn("bucket", F.substring("h", 1, 3))
 
 
@@ -94,10 +96,10 @@ def block_edge(k: str) -> Column:
     return F.expr(f"(cast({k} AS decimal(19, 0)) * source_size) div blocks")
 
 
-def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, size, source_size, target, taken), a row for each row of docs."""
-    scratch = scratch or Scratch(spark, "mix")
-    rows = scratch.keep(sized(docs), "sized")
+    scratch = Scratch(spark, "mix")
+    rows = scratch.keep(sized(docs, rid), "sized")
     goal = targets(rows.select("source", "size"))
     blocks = F.expr(f"(source_size + {LEAST_BLOCK - 1}) div {LEAST_BLOCK}")
     demand = F.col("target") * F.col("blocks") / F.col("source_size")
@@ -113,7 +115,7 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) ->
     rows = rows.select(*key(rows)).join(known.select(*key(known)), ["no_source", "source_key"])
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
     starts = sums.select("sid", "bucket", (F.sum("s").over(W.partitionBy("sid").orderBy("bucket")) - F.col("s")).alias("start"))
-    order = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "digest", "rid").rowsBetween(W.unboundedPreceding, 0)
     lines = rows.withColumn("own", F.sum("size").over(order) - F.col("size")).join(starts, ["sid", "bucket"])
     lines = lines.withColumn("begin", F.col("start") + F.col("own")).withColumn("end", F.col("begin") + F.col("size"))
     pieces = lines.where("size > 0").withColumn("block", F.explode(F.sequence(block_of("begin"), block_of("end - 1"))))
@@ -129,19 +131,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mix as documents: each row as often as the mix takes its words, to the nearest whole number.
 
-    Rows without words are no part of any block; they stay once.
+    Rows without words are no part of any block; they stay once. Rows are told apart by what they hold,
+    so the choice does not follow partitions; other columns are kept whatever their names.
     """
-    kept = docs.withColumn("__rid", F.monotonically_increasing_id())
-    scratch = Scratch(spark, "mix")
-    kept = scratch.keep(kept, "input")
-    taken = mix(spark, kept.select(F.col("__rid").alias("doc_id"), "source", "text"), scratch)
-    times = taken.select(F.col("doc_id").alias("__rid"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__n")).where("__n > 0")
-    return kept.join(times, "__rid").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    rid, n, i = unused(docs.columns, "rid", "n", "i")
+    kept = Scratch(spark, "mixed").keep(docs.withColumn(rid, F.monotonically_increasing_id()), "input")
+    taken = mix(spark, kept.select(F.col(rid).alias("rid"), "doc_id", "source", "text"), F.col("rid"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    times = taken.select(F.col("rid").alias(rid), times.alias(n)).where(F.col(n) > 0)
+    repeated = kept.join(times, rid).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-                  coalesce(md5(doc_id::VARCHAR), '-') AS h FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h, md5(coalesce(text, '')) AS digest FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS w FROM p),
 f AS (SELECT *, row_number() OVER o AS place,
@@ -162,7 +166,7 @@ x AS (SELECT n, (n + 1) * {GOLDEN!r}::DOUBLE - floor((n + 1) * {GOLDEN!r}::DOUBL
 s AS (SELECT n, sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY n) - 1 AS r FROM x JOIN q4 ON x.x * q4.total >= q4.low AND x.x * q4.total < q4.high),
 t AS (SELECT sid, r % blocks AS block, count(*) AS times FROM s WHERE r < {CAP} * blocks GROUP BY 1, 2),
 e AS (SELECT d.rid, d.doc_id, d.size, q4.sid, q4.source_size, q4.target, q4.blocks,
-             (sum(d.size) OVER (PARTITION BY q4.sid ORDER BY h, doc_id, size, rid ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+             (sum(d.size) OVER (PARTITION BY q4.sid ORDER BY h, doc_id, digest, rid ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
       FROM d JOIN q4 ON d.source IS NOT DISTINCT FROM q4.source),
 k AS (SELECT rid, sid, stop - size AS begin, stop, blocks, source_size,
              unnest(range(((stop - size) * blocks + blocks - 1) // source_size, ((stop - 1) * blocks + blocks - 1) // source_size + 1)) AS block FROM e WHERE size > 0),
