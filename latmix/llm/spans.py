@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Matches of a text that are gathered at once.
+RUN = 256
+
+
+def let(value: Column, body) -> Column:
+    """The body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start,stop,hit,part>> of the leftmost non-overlapping matches.
@@ -18,22 +26,26 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
         between.alias("gap"),
     )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,stop:int,hit:string,part:string>>").alias("out"),
-    )
+    kind = "array<struct<start:int,stop:int,hit:string,part:string>>"
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["hit"])
         found = F.struct(begin.alias("start"), end.alias("stop"), x["hit"].alias("hit"), x["part"].alias("part"))
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
-        )
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
+
+    def run(acc, some):
+        # an array grows by copying: matches are gathered in short runs, and the runs in an array of runs
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+        got = F.aggregate(some, begin, step)
+        return let(got, lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
+
+    def folded(found):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda k: F.slice(found, k * RUN + 1, F.lit(RUN)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.flatten(F.aggregate(runs, start, run)["out"])
 
-    folded = F.aggregate(hits, start, step)["out"]
-    empty = F.array().cast("array<struct<start:int,stop:int,hit:string,part:string>>")
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    return F.when(text.rlike(pattern), let(hits, folded)).otherwise(F.array().cast(kind))
 
 
 def labelled(kind: str, order: int, found: Column) -> Column:
