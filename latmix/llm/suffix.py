@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 
 LENGTH, GRAM = 400, 32
 BACK = LENGTH - GRAM
@@ -250,7 +250,7 @@ def reread(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (doc_id, t, n, sha) of all rows, and spans (t, a, b) to remove of texts without copies."""
     kind = "doc_id long, k long, t long, n long, sha string, pos array<long>, anchor array<long>, ctx array<long>"
-    rows = scratch.keep(keyed(docs).mapInArrow(_scan, kind), "rows")
+    rows = scratch.keep(keyed(docs).mapInArrow(lean(_scan), kind), "rows")
     # one place for each copy of a text
     places = rows.select("t", F.explode(F.arrays_zip("pos", "anchor", "ctx")).alias("x")).select("t", "x.*").distinct()
     places = scratch.keep(places, "places")
@@ -268,8 +268,8 @@ def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[D
     of_id = of_id.where("doc_id IS NOT NULL").union(of_id.where("doc_id IS NULL").groupBy(F.xxhash64("text"), F.octet_length("text")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text"))
     found = reread(of_id, wanted.join(reps, "t")).select("t", "text", "pos", "anchor")
     kind = "anchor long, t long, pos long, before int, bytes binary"
-    met = found.mapInArrow(_contexts, kind).repartition("anchor").sortWithinPartitions("anchor")
-    runs = scratch.keep(met.mapInArrow(_runs, "t long, a long, b long"), "runs")
+    met = found.mapInArrow(lean(_contexts), kind).repartition("anchor").sortWithinPartitions("anchor")
+    runs = scratch.keep(met.mapInArrow(lean(_runs), "t long, a long, b long"), "runs")
     return rows.select("doc_id", "t", "n", "sha"), whole.union(runs)
 
 
@@ -280,7 +280,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = spark.read.parquet(scratch.path("reps"))
     per_text = spans.groupBy("t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     single = per_text.join(reps.where("copies = 1"), "t")
-    done = reread(docs, single).select("t", "text", "a", "b").mapInArrow(_cut, "t long, removed long, spans long, kept string")
+    done = reread(docs, single).select("t", "text", "a", "b").mapInArrow(lean(_cut), "t long, removed long, spans long, kept string")
     done = scratch.keep(done, "done")
     nothing = hashlib.sha256(b"").hexdigest()
     copied = (F.col("copies") > 1) & (F.col("n") >= LENGTH)
