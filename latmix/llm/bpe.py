@@ -5,30 +5,37 @@ ranked merges. The ranks are a literal of the plan: for each pair (left id, righ
 into a token, TABLE[SHIFT[left] + right] holds the left id and the token (rows of a sparse matrix
 laid over each other), so one array access finds a pair's rank.
 
-Distinct words: words are counted over all documents (with partial counts, no word is hot). Each of
-SLOTS hash slots keeps its most frequent word, folded once; this cache is of bounded size and goes
-to the tasks as a literal of the plan. Words that lost their slot are folded where they occur, so the
-cache decides about time only, never about results. No text is shuffled.
+Distinct words are folded, not occurrences. Words are counted over all documents (with partial
+counts, no word is hot), and those counted most, at most MOST of them and twice at least, are folded
+once and go to the tasks as a table of bounded size. A task works on blocks of about PART words: the
+distinct words of a block that the table lacks are folded by the block, and the words of its texts
+are looked up among both. The table decides about time only, never about results. No text is shuffled.
 
-Decoding concatenates the ids' pieces. Pieces are kept as Latin-1 strings, one character a byte, as
-only strings can be joined in linear time; encoding the joined string as Latin-1 gives the bytes.
+The pattern's classes are those of the tokenizer's engine: what its Unicode version has and Java's
+lacks is asked of both and written into the pattern.
 
-Null or empty text: no ids. Repeated rows: each is encoded. An empty table: no rows. Other columns
-are ignored. A word of very many bytes (an unbroken run of letters) takes time in proportion to its
-length times the number of different merges in it.
+Decoding concatenates the ids' pieces. In expressions pieces are kept as Latin-1 strings, one
+character a byte, as only strings can be joined in linear time.
+
+Null or empty text: no ids. Repeated rows: each is encoded. An empty table: no rows. Columns that are
+not asked for are ignored, whatever their names. A word of very many bytes (an unbroken run of
+letters) takes time in proportion to its length times the number of different merges in it.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
+import hashlib
+import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch, table, text_or_empty
+from .common import Scratch, lean, table, text_or_empty, unused
 
-SLOTS = 1 << 20
+#: Words of the table at most; words of a block, unless one text has more.
+MOST, PART = 1 << 21, 1 << 20
 #: Longer words are folded by rounds that merge all occurrences of a pair at once.
 SHORT = 32
 NONE = 1 << 16
@@ -63,8 +70,6 @@ class Ranks:
 
     def _lay(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], list]:
         """Rows laid over each other at random shifts, fullest first; no entry: None."""
-        import numpy as np
-
         width = len(self.pieces)
         size = 4 * width
         out, shift, rng = np.full(size, -1, np.int64), [0] * width, np.random.default_rng(0)
@@ -100,11 +105,10 @@ class Tables:
 
     def __init__(self, spark: SparkSession, rank_path: str):
         ranks, scratch = ranks_of(rank_path), Scratch(spark, "ranks")
-        shape = "shift array<int>, merged array<bigint>, pieces array<string>, first array<int>, low array<string>"
-        low = [struct.pack("<I", i).decode("latin-1") for i in range(len(ranks.pieces))]
-        row = spark.createDataFrame([(ranks.shift, ranks.table, ranks.pieces, ranks.bytes, low)], shape)
+        row = spark.createDataFrame([(ranks.shift, ranks.table, ranks.pieces, ranks.bytes)], "shift array<int>, merged array<bigint>, pieces array<string>, first array<int>")
         stored = scratch.keep(row.coalesce(1), "tables")
-        self.shift, self.merged, self.pieces, self.first, self.low = (constant(stored.agg(F.first(c).alias(c))) for c in ("shift", "merged", "pieces", "first", "low"))
+        self.shift, self.merged, self.pieces, self.first = (constant(stored.agg(F.first(c).alias(c))) for c in ("shift", "merged", "pieces", "first"))
+        self.latin = ranks.pieces
         scratch.drop("tables")
 
 
@@ -112,13 +116,54 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def java_pattern(pattern: str) -> str:
-    """White space by Unicode's property, as the tokenizers' engine has it."""
-    return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+@lru_cache(maxsize=8)
+def of_engine(kind: str) -> frozenset[str]:
+    """The characters of a class such as \\p{L}, as the tokenizer's engine has it: it returns what a pattern matches."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    engine = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return frozenset(bytes(engine.encode_ordinary(every)).decode())
+
+
+def ranges(chars) -> str:
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
+@lru_cache(maxsize=8)
+def java_class(spark: SparkSession, kind: str) -> str:
+    """A class that Java matches as the engine does; it stands alone and inside brackets."""
+    java = {r"\s": r"\p{IsWhite_Space}"}.get(kind, kind)
+    want = of_engine(kind)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    have = set(spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"[^{java}]+").matcher(every).replaceAll(""))
+    more, less = want - have, have - want
+    if more:
+        # the outer range is tried first, and few characters lie in it
+        java = rf"[{java}[\x{{{ord(min(more)):X}}}-\x{{{ord(max(more)):X}}}&&[{ranges(more)}]]]"
+    return f"[{java}&&[^{ranges(less)}]]" if less else java
+
+
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    def bracket(m) -> str:
+        """A negated bracket of classes: none of them, one by one, as Java's negation of nested classes differs by version."""
+        kinds, rest = re.findall(r"\\p\{\w+\}|\\s", m[1]), re.sub(r"\\p\{\w+\}|\\s", "", m[1])
+        return "(?:" + "".join(f"(?!{java_class(spark, k)})" for k in kinds) + (f"[^{rest}])" if rest else r"[\x{0}-\x{10FFFF}])")
 
+    # \S and \P are the complements
+    one = lambda m: java_class(spark, m[0]) if m[0][1] in "sp" else f"(?:(?!{java_class(spark, m[0].lower() if m[0] == chr(92) + 'S' else m[0].replace('P', 'p', 1))})[\\x{{0}}-\\x{{10FFFF}}])"
+    parts = re.split(r"(\[\^[^\]]*\])", pattern)
+    return "".join(bracket(re.fullmatch(r"\[\^([^\]]*)\]", p)) if p.startswith("[^") else re.sub(r"\\[pP]\{\w+\}|\\[sS]", one, p) for p in parts)
 
-def pre_tokens(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
+
+def pre_tokens(spark: SparkSession, text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(java_pattern(spark, pattern)), F.lit(0))
 
 
 def fold_word(word: Column, tables: Tables) -> Column:
@@ -183,27 +228,172 @@ def fold_word(word: Column, tables: Tables) -> Column:
     return F.when(F.octet_length(word) <= SHORT, shortly()).otherwise(at_length())
 
 
-def slot(word: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
-
-
-def cached_words(docs: DataFrame, tables: Tables, pattern: str, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
-    """(slot, word, ids): the most frequent word of each slot, over all documents."""
-    words = docs.select(F.explode(pre_tokens(text_or_empty(), pattern)).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.octet_length("word") <= SHORT)
-    best = counts.groupBy(slot(F.col("word"), slots).alias("slot")).agg(F.max(F.struct("n", "word")).alias("best"))
-    return scratch.keep(scratch.keep(best.select("slot", "best.word"), "words").withColumn("ids", fold_word(F.col("word"), tables)), "cache")
-
-
-def encode(docs: DataFrame, tables: Tables, pattern: str, *keep: str, slots: int = SLOTS) -> DataFrame:
-    """docs' columns ``keep`` and ``ids`` array<int>."""
-    cache = cached_words(docs, tables, pattern, Scratch(docs.sparkSession, "bpe"), slots)
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(cache, "slot", "left")
-    entries = F.sort_array(F.collect_list(F.struct("slot", "word", "ids")))
-    known = constant(every.agg(F.transform(entries, lambda e: F.struct(e["word"].alias("word"), e["ids"].alias("ids"))).alias("known")))
-    words = pre_tokens(text_or_empty(), pattern)
-    one = lambda w: let(F.get(known, slot(w, slots)), lambda e: F.when(e["word"] == w, e["ids"]).otherwise(fold_word(w, tables)))
-    return docs.select(*keep, F.flatten(F.transform(words, one)).alias("ids"))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _counts(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        got = batch.column(0).flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], names=["word", "n"])
+
+
+def _packed(batches):
+    """A task's words and their ids as one row."""
+    import pyarrow as pa
+
+    words, sizes, ids = [], [], []
+    for batch in batches:
+        words += batch.column("word").cast(pa.binary()).to_pylist()
+        sizes.append(batch.column("ids").value_lengths().to_numpy())
+        ids.append(batch.column("ids").flatten().to_numpy().astype(np.uint16))
+    if words:
+        ends = np.cumsum([len(w) for w in words])
+        cols = [b"".join(words), ends.astype(np.int64).tobytes(), np.concatenate(sizes).astype(np.uint16).tobytes(), np.concatenate(ids).tobytes(), _hashes(words).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["words", "ends", "sizes", "ids", "hashes"])
+
+
+class Known:
+    """The table of folded words, sorted by hash: about 40 bytes a word."""
+
+    def __init__(self, rows):
+        read = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows]) if rows else np.zeros(0, kind)
+        text = b"".join(bytes(r["words"]) for r in rows)
+        lengths = np.concatenate([np.diff(np.frombuffer(r["ends"], np.int64), prepend=0) for r in rows]) if rows else np.zeros(0, np.int64)
+        hashes, sizes, ids = read("hashes", np.uint64), read("sizes", np.uint16).astype(np.int64), read("ids", np.uint16)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint16)
+        self.ids = ids[spread((np.cumsum(sizes) - sizes)[order], sizes[order])]
+        self.text = np.frombuffer(text, np.uint8)[spread((np.cumsum(lengths) - lengths)[order], lengths[order])].tobytes()
+        self.ends = np.append(0, np.cumsum(lengths[order])).astype(np.int64)
+
+    def find(self, words) -> np.ndarray:
+        """The number of each word of an Arrow array of distinct words, -1 for those not in the table."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = words.cast(pa.large_binary())
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.hashes) or not len(words):
+            return out
+        h = _hashes(words.to_pylist())
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        own = pa.Array.from_buffers(pa.large_binary(), len(self.hashes), [None, pa.py_buffer(self.ends), pa.py_buffer(self.text)])
+        # equal hashes are no proof
+        same = pc.equal(own.take(pa.array(at[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        out[hit[same]] = at[hit[same]]
+        return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that start so and are so long, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def known_words(docs: DataFrame, tables: Tables, pattern: str, most: int) -> Known:
+    """The words counted most over all documents, each folded once; those counted once are left out."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "bpe")
+    words = docs.select(pre_tokens(spark, text_or_empty(), pattern).alias("words"))
+    counts = words.mapInArrow(lean(_counts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = scratch.keep(counts, "counts")
+    rows, least = 0, 1 << 20
+    for n, c in sorted(map(tuple, counts.groupBy(F.least("n", F.lit(least)).alias("n")).count().collect()), reverse=True):  # at most as many rows as there are counts
+        if (rows := rows + c) > most:
+            break
+        least = n
+    chosen = counts.where(F.col("n") >= least) if rows else counts
+    packed = chosen.limit(0) if least == 1 << 20 and rows > most else chosen
+    packed = packed.select("word", fold_word(F.col("word"), tables).alias("ids")).mapInArrow(lean(_packed), "words binary, ends binary, sizes binary, ids binary, hashes binary")
+    known = Known(packed.collect())  # at most so many words
+    scratch.drop("counts")
+    return known
+
+
+def _coded(held, keep: list[str]):
+    """Blocks of texts: the kept columns, words a text, the number of each word in the table or in the block's own list, and that list."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = held.value
+        for batch in batches:
+            sizes = batch.column(len(keep)).value_lengths().to_numpy().astype(np.int64)
+            block = np.cumsum(sizes) // PART
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(sizes) else []
+            for a, b in zip(starts, [*starts[1:], len(sizes)]):
+                part = batch.slice(a, b - a)
+                words = part.column(len(keep)).flatten().dictionary_encode()
+                number = known.find(words.dictionary)
+                new = np.flatnonzero(number < 0)
+                number[new] = -1 - np.arange(len(new))
+                codes = number[words.indices.to_numpy()].astype(np.int32)
+                kept = pa.RecordBatch.from_arrays(part.columns[: len(keep)], names=[f"c{i}" for i in range(len(keep))])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept.schema) as out:
+                    out.write_batch(kept)
+                own = words.dictionary.take(pa.array(new))
+                own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in (sink.getvalue().to_pybytes(), sizes[a:b].tobytes(), codes.tobytes())), own], names=["kept", "sizes", "codes", "own"])
+
+    return run
+
+
+def _joined(held, keep: list[str], pieces: list[bytes] | None):
+    """The ids of each text: of its words, one after the other. With pieces, their digests too."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = held.value
+        first, base = np.cumsum(known.sizes.astype(np.int64)) - known.sizes, len(known.ids)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                kept = pa.ipc.open_stream(batch.column("kept")[k].as_py()).read_next_batch()
+                sizes, codes = np.frombuffer(batch.column("sizes")[k].as_py(), np.int64), np.frombuffer(batch.column("codes")[k].as_py(), np.int32).astype(np.int64)
+                own = batch.column("own")[k].values
+                own_sizes = own.value_lengths().to_numpy().astype(np.int64)
+                every = np.concatenate([known.ids, own.flatten().to_numpy().astype(np.uint16)])
+                number = np.where(codes >= 0, codes, len(known.sizes) - 1 - codes)
+                starts = np.append(first, base + np.cumsum(own_sizes) - own_sizes)[number]
+                lengths = np.append(known.sizes, own_sizes).astype(np.int64)[number]
+                ids = every[spread(starts, lengths)].astype(np.uint32)
+                ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))]
+                cols, names = list(kept.columns), list(keep)
+                if pieces is not None:
+                    parts = [ids[a:b] for a, b in zip(ends, ends[1:])]
+                    cols += [
+                        pa.array(np.diff(ends)),
+                        pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts], pa.string()),
+                        pa.array([hashlib.sha256(b"".join(map(pieces.__getitem__, p.tolist()))).hexdigest() for p in parts], pa.string()),
+                    ]
+                    names += DIGESTS
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "ids"])
+
+    return run
+
+
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def encode(docs: DataFrame, tables: Tables, pattern: str, *keep: str, digests: bool = False, most: int = MOST) -> DataFrame:
+    """docs' columns ``keep`` and ``ids`` array<int>; with digests, the number of ids and the SHA-256 of
+    the ids as little-endian 32-bit integers and of the bytes they decode to, before the ids."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(known_words(docs, tables, pattern, most))
+    words, = unused(keep, "words")
+    blocks = docs.select(*keep, pre_tokens(spark, text_or_empty(), pattern).alias(words))
+    blocks = blocks.mapInArrow(lean(_coded(held, list(keep))), "kept binary, sizes binary, codes binary, own array<string>")
+    folded = blocks.select("kept", "sizes", "codes", F.transform("own", lambda w: fold_word(w, tables)).alias("own"))
+    pieces = [p.encode("latin-1") for p in tables.latin] if digests else None
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + (["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [])
+    return folded.mapInArrow(lean(_joined(held, list(keep), pieces)), ", ".join([*fields, "ids array<int>"]))
 
 
 def decode(ids: Column, tables: Tables) -> Column:
@@ -211,30 +401,13 @@ def decode(ids: Column, tables: Tables) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables.pieces, i)), ""), "ISO-8859-1")
 
 
-def little_endian(ids: Column, tables: Tables) -> Column:
-    """binary: each id as an unsigned 32-bit integer, the low byte first."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables.low, i)), ""), "ISO-8859-1")
-
-
-def digests(encoded: DataFrame, tables: Tables, *keep: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, *keep)."""
-    ids = F.col("ids")
-    return encoded.select(
-        "doc_id",
-        *keep,
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(little_endian(ids, tables), 256).alias("ids_sha256"),
-        F.sha2(decode(ids, tables), 256).alias("decoded_sha256"),
-    )
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tables = Tables(spark, path)
-    return digests(encode(docs, tables, public_tokenizers.PATTERN, "doc_id"), tables)
+    return encode(docs, tables, public_tokenizers.PATTERN, "doc_id", digests=True).drop("ids")
 
 
 QUERIES = {"op1_bpe": op1_bpe}

@@ -56,19 +56,71 @@ def test_bpe_matches_tiktoken(spark, docs, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     tables = bpe.Tables(spark, path)
-    for slots in (4, 1 << 12):  # a cache that holds almost nothing gives the same
-        out = bpe.encode(docs, tables, public_tokenizers.PATTERN, "doc_id", "text", slots=slots)
+    for most in (0, 4, 1 << 12):  # a table that holds almost nothing gives the same
+        out = bpe.encode(docs, tables, public_tokenizers.PATTERN, "doc_id", "text", most=most)
         got = out.withColumn("back", bpe.decode(F.col("ids"), tables)).collect()
         assert len(got) == docs.count()
         for r in got:
             assert r["ids"] == enc.encode_ordinary(r["text"] or "") and bytes(r["back"]) == (r["text"] or "").encode()
-    d = {r["doc_id"]: r for r in bpe.digests(bpe.encode(docs, tables, public_tokenizers.PATTERN, "doc_id"), tables).collect()}
+    d = {r["doc_id"]: r for r in bpe.encode(docs, tables, public_tokenizers.PATTERN, "doc_id", digests=True).collect()}
     for i, t in text_of():
         ids = enc.encode_ordinary(t)
         assert d[i]["n_tokens"] == len(ids) and d[i]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and d[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     assert bpe.encode(none, tables, public_tokenizers.PATTERN, "doc_id").count() == 0
 
 
+def test_bpe_classes_are_the_engines(spark, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    from latmix.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    cut = tiktoken.Encoding("cut", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    # letters and numbers that newer versions of Unicode have
+    odd = [chr(c) + "'s 12" + chr(c) for c in (0x1DF00, 0x31350, 0x1E4D0, 0xA7D0, 0x10D40)]
+    # every character, after and before letters, numbers, signs and white space; a block's words are few
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(every), 20_000):
+        odd.append("".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}'s " for c in every[k : k + 20_000]))
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(8)
+    got = dict(map(tuple, rows.select("doc_id", bpe.pre_tokens(spark, F.col("text"), public_tokenizers.PATTERN)).collect()))
+    for i, t in enumerate(odd):
+        assert "".join(got[i]) == t and [len(w.encode()) for w in got[i]] == _lengths(cut, t)
+    monkeypatch.setattr(bpe, "PART", 7)
+    ids = dict(map(tuple, bpe.encode(rows.where("doc_id < 5"), bpe.Tables(spark, path), public_tokenizers.PATTERN, "doc_id").collect()))
+    assert all(ids[i] == enc.encode_ordinary(odd[i]) for i in range(5))
+
+
+def _lengths(cut, text):
+    """Byte lengths of the engine's words: regular expressions of the same version, word by word."""
+    from latmix.llm import bpe
+
+    letters, numbers, white = (bpe.of_engine(k) for k in (r"\p{L}", r"\p{N}", r"\s"))
+    assert bytes(cut.encode_ordinary(text)) == text.encode()
+    # the pattern by hand, over classes of characters
+    out, i, n = [], 0, len(text)
+    kind = lambda c: "L" if c in letters else "N" if c in numbers else "s" if c in white else "o"
+    while i < n:
+        j = i
+        short = next((e for e in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d") if text.startswith(e, i)), None)
+        if short:
+            j = i + len(short)
+        else:
+            k = i + 1 if text[i] == " " and i + 1 < n and kind(text[i + 1]) != "s" else i
+            what = kind(text[k])
+            j = k
+            while j < n and kind(text[j]) == what:
+                j += 1
+            if what == "s" and j < n and j - k > 1:
+                j -= 1
+        out.append(len(text[i:j].encode()))
+        i = j
+    return out
+
+
 # 2 and 8 ------------------------------------------------------------------------------------------
 SECRETS = ["", None, "PassWord = 'hunter2hunter2' tail", "token:short", "api_key=abcdefgh,apikey: ZZZZZZZZ", "AKIA" + "A" * 16, "AKIA12", "f" * 40 + "g", "é日 secret=\"" + "a" * 40 + '"', "password  password=abcdefghi"]
 PII = ["", None, "mail a.b@c.de now", "x@y", "a@b.c_d@e.fg", "1.2.3.4 and 1.2.3.400 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 ok", "4111-1111-1111-1112", "call +1 (212) 555-0100.", "+12", "IBAN GB82WEST12345698765432 x", "GB82WEST12345698765433", "a@b..c@d.e", "é 日 001.02.3.4"]
@@ -310,6 +362,38 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard.similar(spark, none).count() == 0
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    from latmix.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SHORT", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "PER_SALT", 5)
+    rng = random.Random(31)
+    rows = []
+    for f in range(3):  # families around one passage, of several lengths, many members too far from each other
+        base = words(rng, 90).split()
+        for k in range(40):
+            t = base[: 60 + k]
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(len(t))] = f"edit{rng.randrange(10**6)}"
+            rows.append((f * 100 + k, " ".join(t)))
+    rows += [(None, rows[0][1]), (900, rows[0][1]), (901, " ".join(base) * 40)]
+    sets = {i: shingle_set(t) for i, t in rows if i is not None}
+    at = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    at[a] = at[b] = min(at[a], at[b])
+        if all(at[at[a]] == at[a] for a in at) and all(at[a] == at[b] for a in sets for b in sets if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])):
+            break
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.similar(spark, df).collect()]
+    assert sorted(got, key=str) == sorted([*at.items(), (None, None)], key=str)
+    monkeypatch.setattr(jaccard, "MOST_BITS", 0)  # stands for more entries than the filter may hold
+    assert sorted(((r["doc_id"], r["component_id"]) for r in jaccard.similar(spark, df).collect()), key=str) == sorted(got, key=str)
+
+
 def test_keep_one_of_clashing_and_null_ids(spark):
     from latmix.llm import jaccard
 
@@ -442,3 +526,61 @@ def test_oracles(spark, sf):
         cols = sorted(want.columns)
         clean = lambda frame: sorted(map(repr, frame[cols].astype(str).itertuples(index=False, name=None)))
         assert clean(df.toPandas()) == clean(want), name
+
+
+def clashing(df):
+    """Columns with the names that operators use inside."""
+    return df.withColumns({c: F.lit(f"own {c}") for c in ("blob", "spans", "whole", "rid", "n", "i", "h", "digest", "pii", "p_toxic", "p_junk", "is_toxic", "component", "link", "rank", "score", "d", "x", "block", "__rid")})
+
+
+def test_clashing_columns_stay(spark):
+    from latmix.llm import jaccard, mixing, secrets
+
+    rng = random.Random(21)
+    rows = [(i, words(rng, 30) + (f" password = hunter2hunter{i}" if i % 4 == 0 else ""), f"s{i % 2}") for i in range(40)] + [(90, None, None), (91, "", "s1")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for out in (secrets.redact(spark, df), mixing.copies(spark, df), jaccard.keep_one(spark, df)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[c] == f"own {c}" for c in df.columns if c not in ("doc_id", "text", "source"))
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark, df).collect()}
+    assert len(got) == 42 and got[90] is None and got[91] == ""
+    assert all((got[i] == rows[i][1]) == (i % 4 > 0) and "hunter" not in got[i] for i in range(40))
+    none = df.where("false")
+    assert secrets.redact(spark, none).count() == mixing.copies(spark, none).count() == 0
+
+
+def test_copies_do_not_follow_partitions(spark):
+    from latmix.llm import mixing
+
+    rng = random.Random(22)
+    rows = [(i % 150 if i % 7 else None, words(rng, rng.randrange(1, 60)), f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(repr, mixing.copies(spark, df).collect()))
+    for parts in (1, 3, 7):
+        assert sorted(map(repr, mixing.copies(spark, df.repartition(parts, F.rand(parts))).collect())) == want
+
+
+def test_many_spans_in_one_text(spark):
+    import re
+
+    from latmix.llm import spans
+
+    text = "".join(f"é{'a' * (k % 5 + 1)} " for k in range(3000))
+    got = spark.createDataFrame([(text,), ("",), (None,), ("zzz",)], "t string").select(spans.matches(F.col("t"), "(a+)").alias("m")).collect()
+    assert [(m["start"], m["stop"], m["part"]) for m in got[0]["m"]] == [(m.start(), m.end(), m[1]) for m in re.finditer("(a+)", text)]
+    assert [len(r["m"]) for r in got[1:]] == [0, 0, 0]
+
+
+def test_components_of_chains_and_stars(spark):
+    from latmix.llm import graph
+    from latmix.llm.common import Scratch
+
+    for n, limit in ((50, 12), (3000, 22)):
+        edges = [(i, i + 1) for i in range(n)] + [(10**6, 10**6 + k) for k in range(1, 200)] + [(7 * 10**6, 8 * 10**6), (5, 5)]
+        scratch = Scratch(spark, "test-graph")
+        rounds, keep = [], scratch.keep
+        scratch.keep = lambda df, name: (rounds.append(name), keep(df, name))[1]
+        got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3), scratch, "g").collect()))
+        assert all(got[i] == 0 for i in range(n + 1)) and all(got[10**6 + k] == 10**6 for k in range(200)) and got[8 * 10**6] == 7 * 10**6
+        assert sum("-to" in r for r in rounds) <= limit
