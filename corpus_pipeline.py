@@ -31,11 +31,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, and the digests of the ids and of the bytes they decode to."""
+    """doc_id, source, the digests of the ids and of the bytes they decode to, and the ids."""
     import public_tokenizers
 
     tables = bpe.Tables(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(bpe.encode(docs, tables, public_tokenizers.PATTERN, "doc_id", "source"), tables, "source", "ids")
+    return bpe.encode(docs, tables, public_tokenizers.PATTERN, "doc_id", "source", digests=True)
 
 
 STAGES = [
