@@ -32,10 +32,10 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch, lean, table, text_or_empty, unused
+from .common import Scratch, give_back, lean, table, text_or_empty, unused
 
-#: Words of the table at most; words of a block, unless one text has more.
-MOST, PART = 1 << 21, 1 << 20
+#: Words of the table at most; words of a block, unless one text has more: its row stays small for the JVM's heap.
+MOST, PART = 1 << 21, 1 << 16
 #: Longer words are folded by rounds that merge all occurrences of a pair at once.
 SHORT = 32
 NONE = 1 << 16
@@ -229,9 +229,10 @@ def fold_word(word: Column, tables: Tables) -> Column:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 makes of each word."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 def _counts(batches):
@@ -243,33 +244,32 @@ def _counts(batches):
 
 
 def _packed(batches):
-    """A task's words and their ids as one row."""
+    """A task's words and their ids as one row, in the order of their hashes."""
     import pyarrow as pa
 
-    words, sizes, ids = [], [], []
+    hashes, words, lengths, sizes, ids = [], [], [], [], []
     for batch in batches:
-        words += batch.column("word").cast(pa.binary()).to_pylist()
-        sizes.append(batch.column("ids").value_lengths().to_numpy())
+        word = batch.column("word").cast(pa.binary())
+        hashes.append(batch.column("hash").to_numpy())
+        words.append(b"".join(word.to_pylist()))
+        lengths.append(np.diff(np.frombuffer(word.buffers()[1], np.int32, len(word) + 1, 4 * word.offset)))
+        sizes.append(batch.column("ids").value_lengths().to_numpy().astype(np.int32))
         ids.append(batch.column("ids").flatten().to_numpy().astype(np.uint16))
     if words:
-        ends = np.cumsum([len(w) for w in words])
-        cols = [b"".join(words), ends.astype(np.int64).tobytes(), np.concatenate(sizes).astype(np.uint16).tobytes(), np.concatenate(ids).tobytes(), _hashes(words).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["words", "ends", "sizes", "ids", "hashes"])
+        cols = [*(np.concatenate(c).tobytes() for c in (hashes, lengths, sizes, ids)), b"".join(words)]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["hashes", "lengths", "sizes", "ids", "words"])
 
 
 class Known:
-    """The table of folded words, sorted by hash: about 40 bytes a word."""
+    """The table of folded words, by hash: about 40 bytes a word. What finds words and what holds their ids go to different tasks."""
 
     def __init__(self, rows):
+        """rows: in the order of their hashes."""
         read = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows]) if rows else np.zeros(0, kind)
-        text = b"".join(bytes(r["words"]) for r in rows)
-        lengths = np.concatenate([np.diff(np.frombuffer(r["ends"], np.int64), prepend=0) for r in rows]) if rows else np.zeros(0, np.int64)
-        hashes, sizes, ids = read("hashes", np.uint64), read("sizes", np.uint16).astype(np.int64), read("ids", np.uint16)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.uint16)
-        self.ids = ids[spread((np.cumsum(sizes) - sizes)[order], sizes[order])]
-        self.text = np.frombuffer(text, np.uint8)[spread((np.cumsum(lengths) - lengths)[order], lengths[order])].tobytes()
-        self.ends = np.append(0, np.cumsum(lengths[order])).astype(np.int64)
+        self.hashes, self.text = read("hashes", np.int64), read("words", np.uint8)
+        self.ends = np.append(0, np.cumsum(read("lengths", np.int32), dtype=np.int64))
+        #: The ids of all words, and where each word's begin.
+        self.ids = read("ids", np.uint16), np.append(0, np.cumsum(read("sizes", np.int32))).astype(np.int32)
 
     def find(self, words) -> np.ndarray:
         """The number of each word of an Arrow array of distinct words, -1 for those not in the table."""
@@ -309,9 +309,11 @@ def known_words(docs: DataFrame, tables: Tables, pattern: str, most: int) -> Kno
         least = n
     chosen = counts.where(F.col("n") >= least) if rows else counts
     packed = chosen.limit(0) if least == 1 << 20 and rows > most else chosen
-    packed = packed.select("word", fold_word(F.col("word"), tables).alias("ids")).mapInArrow(lean(_packed), "words binary, ends binary, sizes binary, ids binary, hashes binary")
+    packed = packed.select(F.xxhash64("word").alias("hash"), "word").repartitionByRange("hash").sortWithinPartitions("hash")
+    packed = packed.select("hash", "word", fold_word(F.col("word"), tables).alias("ids")).mapInArrow(lean(_packed), "hashes binary, lengths binary, sizes binary, ids binary, words binary")
     known = Known(packed.collect())  # at most so many words
     scratch.drop("counts")
+    give_back()
     return known
 
 
@@ -344,25 +346,28 @@ def _coded(held, keep: list[str]):
     return run
 
 
-def _joined(held, keep: list[str], pieces: list[bytes] | None):
+def _joined(held, keep: list[str], pieces: list[bytes] | None, with_ids: bool):
     """The ids of each text: of its words, one after the other. With pieces, their digests too."""
 
     def run(batches):
         import pyarrow as pa
 
-        known = held.value
-        first, base = np.cumsum(known.sizes.astype(np.int64)) - known.sizes, len(known.ids)
+        known, ends_of = held.value
         for batch in batches:
             for k in range(batch.num_rows):
                 kept = pa.ipc.open_stream(batch.column("kept")[k].as_py()).read_next_batch()
                 sizes, codes = np.frombuffer(batch.column("sizes")[k].as_py(), np.int64), np.frombuffer(batch.column("codes")[k].as_py(), np.int32).astype(np.int64)
                 own = batch.column("own")[k].values
                 own_sizes = own.value_lengths().to_numpy().astype(np.int64)
-                every = np.concatenate([known.ids, own.flatten().to_numpy().astype(np.uint16)])
-                number = np.where(codes >= 0, codes, len(known.sizes) - 1 - codes)
-                starts = np.append(first, base + np.cumsum(own_sizes) - own_sizes)[number]
-                lengths = np.append(known.sizes, own_sizes).astype(np.int64)[number]
-                ids = every[spread(starts, lengths)].astype(np.uint32)
+                new = codes < 0
+                number = np.where(new, 0, codes)
+                starts, lengths = (ends_of[number], ends_of[np.minimum(number + 1, len(ends_of) - 1)] - ends_of[number])
+                starts, lengths = starts.astype(np.int64), lengths.astype(np.int64)
+                lengths[new] = own_sizes[-1 - codes[new]]
+                starts[new] = (np.cumsum(own_sizes) - own_sizes)[-1 - codes[new]]
+                at, of_own = spread(starts, lengths), np.repeat(new, lengths)
+                ids = np.empty(len(at), np.uint32)
+                ids[~of_own], ids[of_own] = known[at[~of_own]], own.flatten().to_numpy()[at[of_own]]
                 ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))]
                 cols, names = list(kept.columns), list(keep)
                 if pieces is not None:
@@ -373,8 +378,10 @@ def _joined(held, keep: list[str], pieces: list[bytes] | None):
                         pa.array([hashlib.sha256(b"".join(map(pieces.__getitem__, p.tolist()))).hexdigest() for p in parts], pa.string()),
                     ]
                     names += DIGESTS
-                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "ids"])
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -382,18 +389,20 @@ def _joined(held, keep: list[str], pieces: list[bytes] | None):
 DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def encode(docs: DataFrame, tables: Tables, pattern: str, *keep: str, digests: bool = False, most: int = MOST) -> DataFrame:
+def encode(docs: DataFrame, tables: Tables, pattern: str, *keep: str, digests: bool = False, ids: bool = True, most: int = MOST) -> DataFrame:
     """docs' columns ``keep`` and ``ids`` array<int>; with digests, the number of ids and the SHA-256 of
     the ids as little-endian 32-bit integers and of the bytes they decode to, before the ids."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(known_words(docs, tables, pattern, most))
+    known = known_words(docs, tables, pattern, most)
+    ids_of, known.ids = spark.sparkContext.broadcast(known.ids), None
+    held = spark.sparkContext.broadcast(known)
     words, = unused(keep, "words")
     blocks = docs.select(*keep, pre_tokens(spark, text_or_empty(), pattern).alias(words))
     blocks = blocks.mapInArrow(lean(_coded(held, list(keep))), "kept binary, sizes binary, codes binary, own array<string>")
     folded = blocks.select("kept", "sizes", "codes", F.transform("own", lambda w: fold_word(w, tables)).alias("own"))
     pieces = [p.encode("latin-1") for p in tables.latin] if digests else None
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + (["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [])
-    return folded.mapInArrow(lean(_joined(held, list(keep), pieces)), ", ".join([*fields, "ids array<int>"]))
+    return folded.mapInArrow(lean(_joined(ids_of, list(keep), pieces, ids)), ", ".join(fields + ["ids array<int>"] * ids))
 
 
 def decode(ids: Column, tables: Tables) -> Column:
@@ -407,7 +416,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tables = Tables(spark, path)
-    return encode(docs, tables, public_tokenizers.PATTERN, "doc_id", digests=True).drop("ids")
+    return encode(docs, tables, public_tokenizers.PATTERN, "doc_id", digests=True, ids=False)
 
 
 QUERIES = {"op1_bpe": op1_bpe}

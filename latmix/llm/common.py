@@ -64,6 +64,19 @@ def unused(taken, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run):
     """A function for mapInArrow that gives its memory back at a task's end: idle workers stay alive beside the next stages."""
 
@@ -71,14 +84,6 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return all_of

@@ -94,6 +94,20 @@ def test_bpe_classes_are_the_engines(spark, monkeypatch):
     assert all(ids[i] == enc.encode_ordinary(odd[i]) for i in range(5))
 
 
+def test_bpe_table_finds_its_words(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from latmix.llm import bpe
+
+    own = [f"w{k}é" for k in range(2000)]
+    rows = spark.createDataFrame([(" ".join(own[k::3]),) for k in range(3)] * 2, "text string").repartition(3)
+    known = bpe.known_words(rows, bpe.Tables(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, 1 << 14)
+    at = known.find(pa.array([" w", "é", "none", "199", ""]))
+    assert (np.diff(known.hashes) > 0).all() and (at[[0, 1, 3]] >= 0).all() and (at[[2, 4]] == -1).all()
+    assert len(bpe.known_words(rows, bpe.Tables(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, 5).hashes) <= 5
+
+
 def _lengths(cut, text):
     """Byte lengths of the engine's words: regular expressions of the same version, word by word."""
     from latmix.llm import bpe
