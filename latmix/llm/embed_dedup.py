@@ -3,8 +3,9 @@
 Vectors are compared within a label. Equal vectors are one class first. Unit vectors are rotated to
 the principal axes (of the second moments of all of them), so that leading dimensions carry most of
 a product. Rows are range-partitioned by label and leading coordinate and cut into tiles of at most
-TILE rows; a hot label spans partitions. Two tiles are compared only if their boxes come near enough.
-Within a pair of tiles products accumulate by blocks of dimensions; what is left is bounded by the
+TILE rows; a hot label spans partitions. Tiles meet in pairs of groups of GROUP tiles, so that a tile
+travels once for GROUP tiles that it is compared with; groups meet only if their boxes come near
+enough, and so do tiles. Within a pair of tiles products accumulate by blocks of dimensions; what is left is bounded by the
 product of the suffix norms, and a pair is dropped as soon as the bound is under the threshold.
 
 A pair of tiles reports for every row the number of its links and one root of its linked rows there,
@@ -21,11 +22,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 from .graph import components
-from .vectors import matrix, second_moments, usable
+from .vectors import second_moments, unit, usable
 
-THRESHOLD, TILE, STEP, BOX, ROWS = 0.93, 2048, 16, 8, 256
+THRESHOLD, TILE, GROUP, STEP, BOX, ROWS = 0.93, 2048, 8, 16, 8, 256
 
 
 def tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
@@ -35,7 +36,7 @@ def tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            c = np.array([(np.array(v.as_py()) @ axes[len(v)][:, 0]) / np.linalg.norm(v.as_py()) for v in batch.column("x")])
+            c = np.array([unit(np.array([v.as_py()]))[0] @ axes[len(v)][:, 0] for v in batch.column("x")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c, pa.float64())], names=[*batch.schema.names, "c"])
 
     def cut(batches):
@@ -46,8 +47,7 @@ def tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
 
         def tile(rows):
             nonlocal number
-            x = np.array([r[2] for r in rows])
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[key[1]]
+            x = unit(np.array([r[2] for r in rows])) @ axes[key[1]]
             number += 1
             cols = [[key[0]], [key[1]], [task << 32 | number], [x[:, :BOX].min(0).tolist()], [x[:, :BOX].max(0).tolist()], [np.array([r[0] for r in rows], np.int64).tobytes()], [np.array([r[1] for r in rows], np.int64).tobytes()], [x.tobytes()]]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
@@ -115,33 +115,46 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold):
-    def run(batches):
+    """The first group's tiles are held, the second's are read past them; a group alone meets itself."""
+
+    def links(p, q):
         import pyarrow as pa
 
+        (tile, lo, hi, ids, counts, a), same = p, p[0] == q[0]
+        b, shift = a, 0
+        gap = np.maximum(np.maximum(lo - q[2], q[1] - hi), 0)
+        if (gap**2).sum() > 2 - 2 * threshold + 1e-9:
+            return
+        if not same:
+            b, shift, ids, counts = q[5], len(a), np.concatenate([ids, q[3]]), np.concatenate([counts, q[4]])
+        degree, fi, fj = np.zeros(len(ids)), [], []
+        for i, j in linked(a, b, same, threshold):
+            j = j + shift
+            degree += np.bincount(i, counts[j], len(ids)) + np.bincount(j, counts[i], len(ids))
+            # a forest of each part is enough to know what hangs together
+            r = roots(len(ids), i, j)
+            moved = np.flatnonzero(r != np.arange(len(ids)))
+            fi.append(moved)
+            fj.append(r[moved])
+        if not fi:
+            return
+        r = roots(len(ids), np.concatenate(fi), np.concatenate(fj))
+        hit = np.flatnonzero(degree)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(degree[hit].astype(np.int64)), pa.array(ids[r[hit]])], names=["rep", "links", "root"])
+
+    def run(batches):
+        held, key = [], None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                read = lambda s: (np.frombuffer(row[f"ids{s}"], np.int64), np.frombuffer(row[f"counts{s}"], np.int64), np.frombuffer(row[f"rows{s}"]).reshape(-1, row["d"]))
-                same = row["tile_a"] == row["tile_b"]
-                ids, counts, a = read("_a")
-                b, shift = a, 0
-                if not same:
-                    ids_b, counts_b, b = read("_b")
-                    shift, ids, counts = len(a), np.concatenate([ids, ids_b]), np.concatenate([counts, counts_b])
-                degree, fi, fj = np.zeros(len(ids)), [], []
-                for i, j in linked(a, b, same, threshold):
-                    j = j + shift
-                    degree += np.bincount(i, counts[j], len(ids)) + np.bincount(j, counts[i], len(ids))
-                    # a forest of each part is enough to know what hangs together
-                    r = roots(len(ids), i, j)
-                    moved = np.flatnonzero(r != np.arange(len(ids)))
-                    fi.append(moved)
-                    fj.append(r[moved])
-                if not fi:
-                    continue
-                r = roots(len(ids), np.concatenate(fi), np.concatenate(fj))
-                hit = np.flatnonzero(degree)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(degree[hit].astype(np.int64)), pa.array(ids[r[hit]])], names=["rep", "links", "root"])
+                if (row["label"], row["d"], row["g"], row["g2"]) != key:
+                    held, key = [], (row["label"], row["d"], row["g"], row["g2"])
+                tile = (row["tile"], np.array(row["lo"]), np.array(row["hi"]), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["rows"]).reshape(-1, row["d"]))
+                if not row["second"]:
+                    held.append(tile)
+                if row["second"] or row["g"] == row["g2"]:
+                    for other in held:
+                        yield from links(other, tile)
 
     return run
 
@@ -163,16 +176,19 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
     kind = embeddings.schema["label"].dataType.typeName()
     number = F.col("label") if kind in ("integer", "long", "short", "byte") else F.xxhash64("label")
     made = scratch.keep(tiles(classes.withColumn("label", number), axes), "tiles")
-    box = made.select("label", "d", "tile", "lo", "hi")
-    a, b = (box.select("label", "d", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "lo", "hi"))) for s in "ab")
-    gap = F.aggregate(
-        F.arrays_zip("lo_a", "hi_a", "lo_b", "hi_b"), F.lit(0.0), lambda t, v: t + F.pow(F.greatest(v["lo_a"] - v["hi_b"], v["lo_b"] - v["hi_a"], F.lit(0.0)), 2)
-    )
-    pairs = a.join(b, ["label", "d"]).where((F.col("tile_a") <= F.col("tile_b")) & (gap <= 2 - 2 * threshold + 1e-9)).select("d", "tile_a", "tile_b")
-    load = lambda s: made.select(F.col("tile").alias(f"tile_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "rows")))
-    spread = pairs.repartition("tile_a", "tile_b")
-    met = spread.join(load("a"), "tile_a").join(load("b"), "tile_b").repartition("tile_a", "tile_b")
-    found = scratch.keep(met.mapInArrow(_compare(threshold), "rep long, links long, root long"), "found")
+    # tiles of a label in the order of its leading coordinate; of each only its box takes part here
+    number = F.expr(f"(row_number() over (partition by label, d order by tile) - 1) div {GROUP}")
+    place = scratch.keep(made.select("label", "d", "tile", "lo", "hi").withColumn("g", number), "places")
+    ends = lambda c, f: F.array(*(f(F.get(c, k)) for k in range(BOX))).alias(c)
+    box = place.groupBy("label", "d", "g").agg(ends("lo", F.min), ends("hi", F.max))
+    other = box.select("label", "d", F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    apart = lambda v: F.coalesce(F.greatest(v["lo"] - v["hi2"], v["lo2"] - v["hi"], F.lit(0.0)), F.lit(0.0))
+    gap = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.lit(0.0), lambda t, v: t + F.pow(apart(v), 2))
+    pairs = box.join(other, ["label", "d"]).where((F.col("g") <= F.col("g2")) & (gap <= 2 - 2 * threshold + 1e-9)).select("label", "d", "g", "g2")
+    legs = pairs.withColumn("second", F.lit(False)).withColumn("own", F.col("g")).union(pairs.where("g < g2").withColumn("second", F.lit(True)).withColumn("own", F.col("g2")))
+    of_tile = legs.join(place.select("label", "d", F.col("g").alias("own"), "tile"), ["label", "d", "own"]).select("g", "g2", "second", "tile")
+    met = of_tile.join(made, "tile").repartition("label", "d", "g", "g2").sortWithinPartitions("label", "d", "g", "g2", "second", "tile")
+    found = scratch.keep(met.mapInArrow(lean(_compare(threshold)), "rep long, links long, root long"), "found")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch, "links")
     of_class = classes.select(*key, "rep", "n").join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

@@ -19,6 +19,12 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are brought to a largest component of 1 first: squares of huge or tiny ones are no numbers."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def second_moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
     """By vector length: how many unit vectors x there are, and the sum of x x'. rows: (x array<double>).
 
@@ -33,7 +39,7 @@ def second_moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
             lengths = np.array([len(v) for v in batch.column("x")])
             for d in np.unique(lengths):
                 m = matrix(batch.column("x").filter(pa.array(lengths == d)))
-                m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                m = unit(m)
                 got = total.setdefault(int(d), [0, np.zeros((d, d))])
                 got[0] += len(m)
                 got[1] += m.T @ m
