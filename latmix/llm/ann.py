@@ -15,28 +15,31 @@ its nearest codes where the radius holds fewer than k.
 
 The stated query set meets all rows in blocks: blocks of queries and of rows are paired by number.
 
-Vectors that are null, zero, or hold null or non-finite components take no part; of the others,
-those of the most frequent length do. Fewer than k candidates: all of them. Ties go to the smaller
-vec_id. Repeated rows are candidates of their own. An empty table: no rows. Other columns are ignored.
+Vectors that are null, zero, or hold null or non-finite components take no part. An inner product is
+of vectors of one length: each length is searched by itself. Components may be huge; a product that
+no double holds is infinite. Fewer than k candidates: all of them. Ties go to the smaller vec_id.
+Repeated rows are candidates of their own. An empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Scratch, table
-from .vectors import matrix, usable
+from .common import Scratch, lean, table
+from .vectors import matrix, unit, usable
 
 K, SAMPLE, TURNS, BITS, SUBSTRINGS, TARGET = 20, 20_000, 4, 64, 16, 0.97
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+QUERY_BLOCK, ROW_BLOCK = 8192, 8192
 
 
 class Codes:
-    """Learned axes, rotations and radius."""
+    """Learned axes, rotations and radius. scale: the largest component; top: the largest norm, in its units."""
 
-    def __init__(self, x: np.ndarray, top: float, k: int):
-        self.top = top
+    def __init__(self, x: np.ndarray, scale: float, top: float, k: int):
+        self.scale, self.top = scale, top
         y = self.extend(x)
         self.mean = y.mean(0)
         keep = min(BITS, y.shape[1])
@@ -54,12 +57,13 @@ class Codes:
         self.radius = self._radius(x, k)
 
     def extend(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.top**2 - (x * x).sum(1), 0))
-        return np.hstack([x, rest[:, None]]) / self.top
+        x = x / self.scale / self.top
+        rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+        return np.hstack([x, rest[:, None]])
 
     def of(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """n x SUBSTRINGS substrings of 16 bits. A query's added dimension is 0 and its norm is no matter."""
-        y = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))]) if query else self.extend(x)
+        y = np.hstack([unit(x), np.zeros((len(x), 1))]) if query else self.extend(x)
         p = (y - self.mean) @ self.axes
         bits = np.zeros((len(x), TURNS, BITS), bool)
         for t, r in enumerate(self.turns):
@@ -69,7 +73,7 @@ class Codes:
     def _radius(self, x: np.ndarray, k: int) -> int:
         q = x[:: max(1, len(x) // 200)][:200]
         k = min(k + 1, len(x))
-        near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]  # the row itself among them
+        near = np.argsort(-(unit(q) @ (x / self.scale).T), axis=1, kind="stable")[:, :k]  # the row itself among them
         a, b = self.of(q, True), self.of(x)
         far = np.sort(np.stack([np.bitwise_count(a[i] ^ b[near[i]]).sum(1) for i in range(len(q))]).ravel())
         return int(far[min(len(far) - 1, int(np.ceil(TARGET * len(far))))])
@@ -119,7 +123,8 @@ def _search(codes: Codes, k: int):
                         far = np.bitwise_count(index.words ^ np.ascontiguousarray(q_codes[n]).view(np.uint64)).sum(1)
                         rows = np.argsort(far, kind="stable")[: 2 * k + 1]
                         rows = rows[ids[rows] != q_ids[n]]
-                    score = np.einsum("ij,j->i", x[rows], q[n])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = np.einsum("ij,j->i", x[rows], q[n])
                     best = np.lexsort((ids[rows], -score))[:k]
                     out.append((np.full(len(best), q_ids[n]), ids[rows[best]], score[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
@@ -162,22 +167,27 @@ def search(spark: SparkSession, embeddings: DataFrame, is_query, k: int = K) ->
     x = F.transform("embedding", lambda v: v.cast("double"))
     rows = embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", x.alias("x"))
     rows = rows.withColumn("d", F.size("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.sum(F.when(is_query, 1).otherwise(0)).alias("queries")).orderBy(F.desc("n"), "d").head()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None or not sizes["queries"]:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.col("d") == sizes["d"])
+    largest = F.array_max(F.transform("x", F.abs))
+    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(largest).alias("scale"), F.sum(F.when(is_query, 1).otherwise(0)).alias("queries")).where("queries > 0").orderBy("d").collect()  # a row a length
+    found = [_of_length(spark, rows.where(F.col("d") == s["d"]), s, is_query, k, scratch) for s in sizes]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return reduce(DataFrame.union, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(spark: SparkSession, rows: DataFrame, size, is_query, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, vec_id, score): nearest rows of each block, among vectors of one length."""
+    d = size["d"]
+    top = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.pow(v / F.lit(size["scale"]), 2))))).head()[0]
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()])
-    codes = Codes(sample, float(sizes["top"]) or 1.0, k)
-    n_q, n_r = -(-sizes["queries"] // QUERY_BLOCK), -(-sizes["n"] // ROW_BLOCK)
-    q = scratch.keep(blocks(rows.where(is_query), n_q, "q").drop("d"), "queries")
-    r = scratch.keep(blocks(rows, n_r, "r"), "rows")
+    codes = Codes(sample, size["scale"], top, k)
+    n_q, n_r = -(-size["queries"] // QUERY_BLOCK), -(-size["n"] // ROW_BLOCK)
+    q = scratch.keep(blocks(rows.where(is_query), n_q, "q").drop("d"), f"queries-{d}")
+    r = scratch.keep(blocks(rows, n_r, "r"), f"rows-{d}")
     pairs = spark.range(n_q * n_r).select((F.col("id") % n_q).alias("q"), F.expr(f"id div {n_q}").alias("r"))
     met = pairs.join(q, "q").join(r, "r").repartition("q", "r")
-    found = met.mapInArrow(_search(codes, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(lean(_search(codes, k)), "query_id long, vec_id long, score double")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
