@@ -68,6 +68,12 @@ class Rows:
         d = np.column_stack([self.dense, np.ones(len(h))])
         return (d * h[:, None]).T @ d
 
+    def only(self, used: np.ndarray) -> Rows:
+        """Without the sparse columns that are not used; places stay."""
+        out, live = object.__new__(Rows), used[self.col]
+        out.width, out.row, out.col, out.dense = self.width, self.row[live], self.col[live], self.dense
+        return out
+
     def plus(self, column: np.ndarray) -> Rows:
         """With one more dense column."""
         out = object.__new__(Rows)

@@ -2,7 +2,8 @@
 
 Categories are predicted in order; each linear model sees the document's words and style and the
 probabilities of the categories before it. In training these come from models that have not seen the
-row (out-of-fold), so that a link does not trust its predecessor more than it may at scoring.
+row (out-of-fold), neither in their weights nor in the choice of their words, so that a link does not
+trust its predecessor more than it may at scoring.
 
 Fitted on at most SAMPLE labelled rows (least by hash). Words enter as presence, every one that tells
 a category by the likelihood-ratio statistic (LEAST_G2, in LEAST_COUNT rows or more): their number is
@@ -18,11 +19,12 @@ row trains the categories whose membership the other label decides.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import lean, table
 from .learn import SAMPLE, Rows, best_cut, fit_logistic, fold_of, sigmoid, texts, with_labels
 
 #: In chain order: name, and what makes a labelled row a member.
@@ -52,10 +54,11 @@ def words_and_style(text: str) -> tuple[set[str], list[float]]:
 def _member_words(batches):
     for batch in batches:
         cats = [c for c in batch.schema.names if c.startswith("y_")]
-        rows = {"word": [], **{c: [] for c in cats}}
+        rows = {"word": [], "fold": [], **{c: [] for c in cats}}
         for k, (_, text) in enumerate(texts(batch)):
-            found = [w for w in words_and_style(text)[0] if len(w) <= 40]
+            found = words_and_style(text)[0]
             rows["word"] += found
+            rows["fold"] += [batch.column("fold")[k].as_py()] * len(found)
             for c in cats:
                 rows[c] += [batch.column(c)[k].as_py()] * len(found)
         yield _arrow(rows)
@@ -67,31 +70,46 @@ def _arrow(rows):
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "word" else pa.int32()) for k, v in rows.items()})
 
 
-def select_words(members: DataFrame, cats: list[str], totals: dict[str, int], rows: dict[str, int]) -> list[str]:
-    """The words that tell the categories. totals, rows: members of each, and rows of known membership."""
-    schema = "word string, " + ", ".join(f"y_{c} int" for c in cats)
-    counts = members.select("doc_id", "text", *(f"y_{c}" for c in cats)).mapInArrow(_member_words, schema)
-    counts = counts.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(f"y_{c}").alias(c) for c in cats), *(F.count(f"y_{c}").alias(f"n_{c}") for c in cats)).where(F.col("n") >= LEAST_COUNT).persist()
-    chosen: set[str] = set()
+def select_words(members: DataFrame, cats: list[str], totals: list[dict[str, int]], rows: list[dict[str, int]]) -> tuple[list[str], list[set[str]]]:
+    """The words that tell the categories: all of them, and those that rows outside each fold tell and at
+    last those that all rows tell. totals, rows: members of each category, and rows of known membership, by fold.
+    """
+    schema = "word string, fold int, " + ", ".join(f"y_{c} int" for c in cats)
+    seen = members.select("doc_id", "text", "fold", *(f"y_{c}" for c in cats)).mapInArrow(lean(_member_words), schema)
+    in_fold = lambda v, f: F.when(F.col("fold") == f, v)
+    sums = [F.coalesce(F.sum(in_fold(F.col(f"y_{c}"), f)), F.lit(0)).alias(f"a_{c}_{f}") for c in cats for f in range(FOLDS)]
+    sums += [F.count(in_fold(F.col(f"y_{c}"), f)).alias(f"n_{c}_{f}") for c in cats for f in range(FOLDS)]
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= LEAST_COUNT)
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    for c in cats:
-        if not 0 < totals[c] < rows[c]:
-            continue
-        share = totals[c] / rows[c]
-        a, n = F.coalesce(c, F.lit(0)).cast("double"), F.col(f"n_{c}").cast("double")
-        out = F.lit(float(totals[c])) - a
-        rest = F.lit(float(rows[c])) - n
+
+    def tells(c: str, left_out: int) -> Column:
+        folds = [f for f in range(FOLDS) if f != left_out]
+        total, known = (sum(x[f][c] for f in folds) for x in (totals, rows))
+        if not 0 < total < known:
+            return F.lit(False)
+        share = total / known
+        a, n = (sum((F.col(f"{k}_{c}_{f}") for f in folds), F.lit(0)).cast("double") for k in "an")
+        out = F.lit(float(total)) - a
+        rest = F.lit(float(known)) - n
         g2 = 2 * (term(a, n * share) + term(n - a, n * (1 - share)) + term(out, rest * share + 1e-9) + term(rest - out, rest * (1 - share) + 1e-9))
-        chosen |= {r[0] for r in counts.where(F.col(f"n_{c}") >= LEAST_COUNT).select("word", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).collect()}
-    counts.unpersist()
-    return sorted(chosen)
+        return (n >= LEAST_COUNT) & (g2 >= LEAST_G2)
+
+    either = [reduce(Column.__or__, [tells(c, f) for c in cats]) for f in range(FOLDS + 1)]
+    chosen: list[set[str]] = [set() for _ in either]
+    for word, told in counts.select("word", F.array(*either).alias("told")).where(F.exists("told", lambda t: t)).collect():  # bounded by the sample
+        for own, yes in zip(chosen, told):
+            if yes:
+                own.add(word)
+    return sorted(set().union(*chosen)), chosen
 
 
 class Chain:
     """Linear models in chain order over word presence, style and earlier probabilities."""
 
-    def __init__(self, cats: list[str], words: list[str]):
+    def __init__(self, cats: list[str], words: list[str], chosen: list[set[str]]):
         self.cats, self.place, self.models = cats, {w: i for i, w in enumerate(words)}, []
+        #: Which words a fold's models may use; the last: those of all rows.
+        self.used = [np.array([w in own for w in words], bool) for own in chosen]
 
     def features(self, text: str) -> tuple[np.ndarray, list[float]]:
         """(places of the words found, style)."""
@@ -106,11 +124,11 @@ class Chain:
         for c in self.cats:
             y = ys[c].astype(float)
             known = ~np.isnan(y)
-            model = fit_logistic(x, y, known)
+            model = fit_logistic(x.only(self.used[-1]), y, known)
             unseen = np.zeros(len(y))
             for f in range(FOLDS):
-                test = folds == f
-                unseen[test] = sigmoid(x.times(fit_logistic(x, y, known & ~test, model))[test])
+                test, own = folds == f, x.only(self.used[f])
+                unseen[test] = sigmoid(own.times(fit_logistic(own, y, known & ~test, model))[test])
             # the intercept moves so that 0.5 is the cut that is best on unseen rows
             cut = np.clip(best_cut(unseen[known], y[known]), 1e-4, 1 - 1e-4)
             shift = np.log(cut / (1 - cut))
@@ -142,10 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
     categories = categories or CATEGORIES
     cats = list(categories)
     sample = memberships(labels, categories, most)
+    sample = sample.withColumn("fold", F.expr(f"crc32(cast(doc_id as string)) % {FOLDS}").cast("int"))
     members = with_labels(docs.select("doc_id", "text"), sample)
-    sums = sample.agg(*(F.coalesce(f(f"y_{c}"), F.lit(0)) for f in (F.sum, F.count) for c in cats)).head()
-    totals, known = dict(zip(cats, sums)), dict(zip(cats, sums[len(cats) :]))
-    chain = Chain(cats, select_words(members, cats, totals, known))
+    by_fold = {r["fold"]: r for r in sample.groupBy("fold").agg(*(F.coalesce(f(f"y_{c}"), F.lit(0)).alias(f"{k}_{c}") for k, f in (("a", F.sum), ("n", F.count)) for c in cats)).collect()}
+    totals, known = ([{c: by_fold[f][f"{k}_{c}"] if f in by_fold else 0 for c in cats} for f in range(FOLDS)] for k in "an")
+    chain = Chain(cats, *select_words(members, cats, totals, known))
 
     def rows(batches):
         for batch in batches:
@@ -160,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
 
         return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), *(pa.array([g[j] for g in got], pa.binary()) for j in (2, 3))], names=["doc_id", "y", "found", "style"])
 
-    fitted = members.mapInArrow(rows, "doc_id long, y array<int>, found binary, style binary").toPandas().sort_values("doc_id")  # bounded by the sample
+    fitted = members.mapInArrow(lean(rows), "doc_id long, y array<int>, found binary, style binary").toPandas().sort_values("doc_id")  # bounded by the sample
     x = chain.rows([np.frombuffer(b, np.int32) for b in fitted["found"]], np.array([np.frombuffer(b) for b in fitted["style"]]).reshape(-1, STYLE))
     y = np.array([list(v) for v in fitted["y"]], float).reshape(-1, len(cats))
     chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, np.array([fold_of(i, FOLDS) for i in fitted["doc_id"]], int))
@@ -168,14 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs with p_<category> for each category."""
+    """docs with p_<category> for each category, in place of columns that have such a name."""
+    mine = [f"p_{c}" for c in chain.cats]
+    docs = docs.drop(*mine)
     names = docs.columns
 
     def scored(batches):
         import pyarrow as pa
 
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column(names.index("text"))
             p = np.zeros((len(column), len(chain.cats)))
             for at in range(0, len(column), 512):
                 part = [chain.features(t.as_py() or "") for t in column.slice(at, 512)]
@@ -183,7 +204,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i]) for i in range(p.shape[1]))], names=[*names, *(f"p_{c}" for c in chain.cats)])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"p_{c} double" for c in chain.cats]
-    return docs.mapInArrow(scored, ", ".join(fields))
+    return docs.mapInArrow(lean(scored), ", ".join(fields))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -191,6 +212,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     return score(docs, train(docs, labels)).withColumn("is_toxic", F.col(f"p_{DECIDES}") >= threshold)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns and no others."""
+    chain = train(docs.select("doc_id", "text"), labels)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*("text" if c == "text" else n for c, n in zip(docs.columns, names)))
+    kept = score(plain, chain).where(F.col(f"p_{DECIDES}") < threshold)
+    return kept.select(*(F.col("text" if c == "text" else n).alias(c) for c, n in zip(docs.columns, names)))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity(docs, table(spark, sf_dir, "labels"))
