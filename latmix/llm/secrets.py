@@ -7,22 +7,26 @@ and new findings are appended to it. Findings are then joined back to all paths
 Only DataFrame functions run here. Texts travel once, keyed by their address, after copies within a
 task have been merged; copies of one text, however many, therefore meet as one row a task. The join
 back moves addresses and findings only, both sides by an exchange that AQE may split at hot blobs.
+``redact`` passes rows by in which no rule matches at all, and moves the others only.
 
-Null or empty text: the empty blob, no findings. Repeated rows: each gets its findings. An empty
-table: no rows. Columns other than the path and the text are ignored.
+A blob that two runs over one ledger wrote twice counts once. Null or empty text: the empty blob, no
+findings; ``redact`` leaves it as it is. Repeated rows: each gets its findings. An empty table: no
+rows. Columns other than the path and the text are ignored, ``redact`` keeps them whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, table, text_or_empty
+from .common import Scratch, table, text_or_empty, unused
 from .spans import by_start, joined, labelled, matches
 
 #: Kinds in the order in which equal starts are listed. Java patterns; (?i) there folds ASCII only.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
+#: Runs under 32 characters can't pass, and a run of 32 needs no other test; this pattern never retries.
+LONG_HEX = r"(?:(?<![0-9a-f])|\G)[0-9a-f]{32,}+"
 RULES = "base-1"
 FINDINGS = "blob string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -30,13 +34,11 @@ FINDINGS = "blob string, rules string, n_assign long, n_access long, n_hex long,
 def scan(blobs: DataFrame, rules: str = RULES) -> DataFrame:
     """Findings of each (blob, text) row; the text is not kept."""
     t = F.col("text")
-    # Runs under 32 characters can't pass, and a run of 32 needs no other test; this pattern never retries.
-    long_hex = r"(?:(?<![0-9a-f])|\G)[0-9a-f]{32,}+"
     found = blobs.select(
         "blob",
         F.filter(matches(t, ASSIGN, 2), lambda m: F.length(m["part"]) >= 8).alias("assign"),
         F.filter(matches(t, ACCESS), lambda m: F.length(m["hit"]) >= 16).alias("access"),
-        matches(t, long_hex).alias("hex"),
+        matches(t, LONG_HEX).alias("hex"),
     )
     spans = by_start(F.concat(labelled("assign", 0, F.col("assign")), labelled("access", 1, F.col("access")), labelled("hex", 2, F.col("hex"))))
     text = joined(spans)
@@ -61,7 +63,8 @@ def update_ledger(spark: SparkSession, versions: DataFrame, ledger: str, rules:
         # before the texts meet: seen blobs don't travel
         texts = versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
     scan(texts, rules).write.mode("append").parquet(ledger)
-    return spark.read.schema(FINDINGS).parquet(ledger).where(F.col("rules") == rules)
+    # two runs at once may both have written a blob
+    return spark.read.schema(FINDINGS).parquet(ledger).where(F.col("rules") == rules).dropDuplicates(["blob"])
 
 
 def address(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,28 +80,28 @@ def scan_documents(spark: SparkSession, docs: DataFrame, ledger: str | None = No
     return back.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-def redact(spark: SparkSession, docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, mark: str = "[secret]", ledger: str | None = None) -> DataFrame:
     """Replaces every secret in the text by a mark; documents without secrets stay as they are."""
-    rows = docs.withColumn("__blob", F.sha2(text_or_empty(), 256))
-    versions = docs.select(F.lit(0).alias("path"), text_or_empty().alias("text")).select("path", F.sha2("text", 256).alias("blob"), "text")
-    findings = update_ledger(spark, versions, Scratch(spark, "secrets").path("ledger"))
-    marked = findings.where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    span = F.transform(F.split("__spans", ","), lambda s: F.transform(F.slice(F.split(s, ":"), 2, 2), lambda x: x.cast("int")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blob, found, whole = unused([*docs.columns, "text"], "blob", "spans", "whole")
+    some = F.coalesce(F.col("text").rlike(f"{ASSIGN}|(?-i:{ACCESS})|(?-i:{LONG_HEX})"), F.lit(False))
+    scratch = Scratch(spark, "secrets")
+    suspects = scratch.keep(docs.where(some).withColumn(blob, F.sha2("text", 256)), "suspects")
+    findings = update_ledger(spark, suspects.select(F.lit(0).alias("path"), F.col(blob).alias("blob"), "text"), ledger or scratch.path("ledger"))
+    marked = findings.where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(found))
+    span = F.transform(F.split(found, ","), lambda s: F.transform(F.slice(F.split(s, ":"), 2, 2), lambda x: x.cast("int")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         # spans of two kinds may overlap: what is already marked is passed over
         begin, end = s[0], s[1]
-        kept = F.when(begin > acc["at"], F.expr("__text_").substr(acc["at"] + 1, begin - acc["at"])).otherwise("")
+        kept = F.when(begin > acc["at"], F.col(whole).substr(acc["at"] + 1, begin - acc["at"])).otherwise("")
         sign = F.when(begin >= acc["at"], F.lit(mark)).otherwise("")
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], kept, sign).alias("out"))
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], F.array(F.concat(kept, sign))).alias("out"))
 
-    joined_rows = rows.join(marked, "__blob", "left").withColumnRenamed("text", "__text_")
-    done = F.aggregate(span, zero, step)
-    clean = F.when(F.col("__spans").isNull(), F.col("__text_")).otherwise(
-        F.concat(done["out"], F.col("__text_").substr(done["at"] + 1, F.length("__text_")))
-    )
-    return joined_rows.withColumn("text", clean).select(*docs.columns)
+    done = F.aggregate(span, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.col(whole).substr(acc["at"] + 1, F.length(whole))))
+    clean = F.when(F.col(found).isNull(), F.col(whole)).otherwise(done)
+    rows = suspects.join(marked, blob, "left").withColumnRenamed("text", whole).withColumn("text", clean)
+    return docs.where(~some).unionByName(rows.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

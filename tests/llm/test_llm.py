@@ -313,6 +313,27 @@ def test_embedding_links(spark, monkeypatch):
                 todo.append(j)
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(link[i]), min(seen), min(seen) == i)
     assert embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").where("false")).count() == 0
+    monkeypatch.setattr(embed_dedup, "GROUP", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("g", "tile", "rows", "ok", "d")})
+    assert {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark, df).collect()} == got
+
+
+def test_huge_vectors(spark):
+    from latmix.llm import ann, embed_dedup
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    x[20:30] = x[0] * np.logspace(-300, 300, 10)[:, None] / 4  # one direction at every length
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(100 + i, [float(v) for v in r], 1) for i, r in enumerate(rng.normal(size=(30, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark, df).collect()}
+    assert all(got[i]["component_id"] == 0 and got[i]["n_links"] >= 10 for i in range(20, 30))
+    near = collections.defaultdict(list)
+    for r in ann.search(spark, df, F.col("vec_id") % 20 == 0).collect():
+        near[r["query_id"]].append(r["vec_id"])
+    # each length is searched by itself
+    assert set(near) == {0, 20, 40, 100, 120} and all(len(v) == 20 and all((i >= 100) == (q >= 100) for i in v) for q, v in near.items())
+    assert 29 in near[0]
 
 
 def test_neighbours_recall(spark, sf):
@@ -548,12 +569,13 @@ def clashing(df):
 
 
 def test_clashing_columns_stay(spark):
-    from latmix.llm import jaccard, mixing, secrets
+    from latmix.llm import jaccard, mixing, secrets, toxicity
 
     rng = random.Random(21)
     rows = [(i, words(rng, 30) + (f" password = hunter2hunter{i}" if i % 4 == 0 else ""), f"s{i % 2}") for i in range(40)] + [(90, None, None), (91, "", "s1")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    for out in (secrets.redact(spark, df), mixing.copies(spark, df), jaccard.keep_one(spark, df)):
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    for out in (secrets.redact(spark, df), mixing.copies(spark, df), jaccard.keep_one(spark, df), toxicity.without_toxic(df, labels)):
         assert out.columns == df.columns
         for r in out.collect():
             assert all(r[c] == f"own {c}" for c in df.columns if c not in ("doc_id", "text", "source"))
