@@ -3,6 +3,13 @@
 Documents that are predicted toxic go; of each group of near-duplicates one document stays; secrets
 are replaced by a mark; sources are mixed to their target weights by repeating or leaving documents;
 what is left is encoded.
+
+Every stage but the last returns the columns it was given, whatever they are called. Null and empty
+texts are documents without words: not toxic unless the classifier says so, near no other, without
+secrets, kept once by the mix, encoded to no ids. Rows without an id, and several rows of one id, are
+told apart by their texts; of rows that repeat id and text the second stage keeps one. An empty table
+gives an empty table at every stage. Ties are broken by id, then by a digest of the text, so results
+do not follow partitions.
 """
 
 from __future__ import annotations
@@ -14,8 +21,7 @@ from latmix.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return found.where("NOT is_toxic").select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
