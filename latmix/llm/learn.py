@@ -45,8 +45,8 @@ class Rows:
 
     def __init__(self, found: list[np.ndarray], width: int, dense: np.ndarray):
         self.width, self.dense = width, dense.astype(float)
-        self.row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        self.col = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+        self.col = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
 
     @property
     def columns(self) -> int:

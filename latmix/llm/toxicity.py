@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lean, table
+from .common import give_back, lean, table
 from .learn import SAMPLE, Rows, best_cut, fit_logistic, fold_of, sigmoid, texts, with_labels
 
 #: In chain order: name, and what makes a labelled row a member.
@@ -182,7 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
     fitted = members.mapInArrow(lean(rows), "doc_id long, y array<int>, found binary, style binary").toPandas().sort_values("doc_id")  # bounded by the sample
     x = chain.rows([np.frombuffer(b, np.int32) for b in fitted["found"]], np.array([np.frombuffer(b) for b in fitted["style"]]).reshape(-1, STYLE))
     y = np.array([list(v) for v in fitted["y"]], float).reshape(-1, len(cats))
-    chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, np.array([fold_of(i, FOLDS) for i in fitted["doc_id"]], int))
+    folds = np.array([fold_of(i, FOLDS) for i in fitted["doc_id"]], int)
+    del fitted
+    chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, folds)
+    del x
+    give_back()  # what training took on the driver
     return chain
 
 
