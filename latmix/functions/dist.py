@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from . import special
 
 LOG2PI = math.log(2 * math.pi)
@@ -30,6 +32,36 @@ def normal_kl_conjugate(mu1, n1, mu0, n0, prec):
     return f"(0.5e0 * (({n0}) / ({n1}) - ln(({n0}) / ({n1})) - 1e0 + ({n0}) * ({prec}) * power(({mu1}) - ({mu0}), 2)))"
 
 
+def normal_logpdf_precision(x, mu, prec, n="1e0"):
+    """Of a precision that n degrees scale."""
+    return f"(0.5e0 * (ln(({n}) * ({prec})) - {LOG2PI!r} - ({n}) * ({prec}) * power(({x}) - ({mu}), 2)))"
+
+
+def mv_normal_logpdf(x: list[str], mu, matrix, kind: str = "covariance", n: float = 1.0) -> str:
+    """Of K columns; matrix is the covariance or ('precision') the precision, which n degrees scale."""
+    a = np.asarray(matrix, float)
+    a = np.linalg.inv(a) if kind == "covariance" else n * a
+    d = [f"(({c}) - ({float(m)!r}))" for c, m in zip(x, mu)]
+    quad = " + ".join(f"({float(a[i, j])!r}) * {d[i]} * {d[j]}" for i in range(len(x)) for j in range(len(x)))
+    return f"(-0.5e0 * ({len(x) * LOG2PI - float(np.linalg.slogdet(a)[1])!r} + {quad}))"
+
+
+def mv_normal_pdf(x, mu, matrix, kind: str = "covariance", n: float = 1.0) -> str:
+    return f"exp({mv_normal_logpdf(x, mu, matrix, kind, n)})"
+
+
+def mv_normal_kl(mu1, cov1, mu0, cov0) -> float:
+    d, a0 = np.asarray(mu1, float) - np.asarray(mu0, float), np.linalg.inv(cov0)
+    m = a0 @ np.asarray(cov1, float)
+    return float(0.5 * (np.trace(m) - np.linalg.slogdet(m)[1] - len(d) + d @ a0 @ d))
+
+
+def mv_normal_kl_conjugate(mu1, n1, mu0, n0, prec) -> float:
+    """Of means whose precisions are n1 and n0 times one matrix."""
+    d = np.asarray(mu1, float) - np.asarray(mu0, float)
+    return float(0.5 * (len(d) * (n0 / n1 - math.log(n0 / n1) - 1) + n0 * d @ np.asarray(prec, float) @ d))
+
+
 def normal_update(mu, n, mu0, n0):
     """(mean, degrees)"""
     return f"((({n0}) * ({mu0}) + ({n}) * ({mu})) / (({n0}) + ({n})))", f"(({n0}) + ({n}))"
@@ -138,6 +170,21 @@ def wishart_logpdf(logdet_x, trace, n, logdet_v, k):
     return f"(0.5e0 * (({n}) - {k} - 1e0) * ({logdet_x}) - 0.5e0 * ({trace}) - 0.5e0 * ({n}) * {k * math.log(2)!r} - 0.5e0 * ({n}) * ({logdet_v}) - {special.mv_lgamma(f'({n}) / 2e0', k)})"
 
 
+def wishart_pdf(logdet_x, trace, n, logdet_v, k):
+    return f"exp({wishart_logpdf(logdet_x, trace, n, logdet_v, k)})"
+
+
+def wishart_mean(scale, n: float, kind: str = ""):
+    """The expected matrix; 'normal': the scale is the expected matrix itself."""
+    return np.asarray(scale, float) * (1.0 if kind == "normal" else n)
+
+
+def wishart_update(mean, n: float, mean0, n0: float) -> tuple[np.ndarray, float]:
+    """(expected matrix, degrees) after n observations of an expected matrix: its inverses average by their degrees."""
+    total = n + n0
+    return total * np.linalg.inv(n0 * np.linalg.inv(mean0) + n * np.linalg.inv(mean)), total
+
+
 def wishart_kl(n1, logdet1, n0, logdet0, trace, k):
     """trace is that of inverse(V0) V1."""
     h1, h0 = f"({n1}) / 2e0", f"({n0}) / 2e0"

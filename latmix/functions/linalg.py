@@ -13,13 +13,16 @@ def logdet(a: np.ndarray) -> float:
     return float(value)
 
 
-def load_diag(a: np.ndarray) -> np.ndarray:
-    """Adds growing multiples of the largest diagonal element until the matrix is well conditioned."""
-    out, scale = a.copy(), 1e-7
-    while np.linalg.cond(out) > 1e5 and scale < 1e3:
-        out = out + scale * max(np.diag(out).max(), 1e-300) * np.eye(len(a))
-        scale *= 10
-    return out
+def load_diag(a: np.ndarray, least: float = 1e-5) -> np.ndarray:
+    """The matrix with the least of ten loads on its diagonal at which its eigenvalues' ratio is ``least`` or more.
+
+    Loads are those of steps of 1e-7, 1e-6, ... times the largest diagonal element at the time, added
+    up: after k steps that element has grown by the product of (1 + step).
+    """
+    w = np.linalg.eigvalsh((a + a.T) / 2)
+    loads = np.append(0.0, np.cumprod(1 + 10.0 ** np.arange(-7, 3)) - 1) * max(np.diag(a).max(), 1e-300)
+    fit = np.flatnonzero(w.min() + loads >= least * (w.max() + loads))
+    return a + loads[fit[0] if len(fit) else -1] * np.eye(len(a))
 
 
 def threshold_eig(a: np.ndarray) -> np.ndarray:
@@ -33,14 +36,13 @@ def inverse(a: np.ndarray) -> np.ndarray:
 
 
 def sym_indices(n: int) -> np.ndarray:
-    """n x n map to packed positions (from 0): the diagonal first, then the rows of the upper triangle."""
-    out = np.diag(np.arange(n))
-    k = n
-    for i in range(n):
-        for j in range(i + 1, n):
-            out[i, j] = out[j, i] = k
-            k += 1
-    return out
+    """n x n map to packed positions (from 0): the diagonal first, then the rows of the upper triangle.
+
+    Row r of the triangle starts after the rows above it, which hold n - 1, n - 2, ... elements.
+    """
+    row, col = np.indices((n, n))
+    low, high = np.minimum(row, col), np.maximum(row, col)
+    return np.where(row == col, row, n + low * n - low * (low + 1) // 2 + high - low - 1)
 
 
 def sym_size(packed: int) -> int:

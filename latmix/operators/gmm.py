@@ -398,22 +398,48 @@ def prune(model: Mixture, threshold: float, renormalise: bool = False) -> Mixtur
     return Mixture(model.mu[keep], model.A[keep], logpi, pick(model.b), pick(model.V), pick(model.n), pick(model.alpha))
 
 
+#: How fast a split cluster's spread passes to its parts' means. Fixed value.
+SPLIT_RATE = 0.25
+
+
 def more_gaussians(model: Mixture, lkp, seed: int = 0) -> Mixture:
-    """Splits cluster k into as many as lkp holds k (from 0): means spread along the scale, variances shrunk."""
-    rng = np.random.default_rng(seed)
-    lkp = np.asarray(lkp)
-    mu, A, logpi = [], [], []
-    for k in range(len(model.mu)):
-        n = int((lkp == k).sum())
-        share = 1 / (1 + math.exp(-0.25 * (n - 1))) - 0.5
-        cov = np.linalg.inv(model.A[k])
-        w, v = np.linalg.eigh(cov)
-        root = (v * np.sqrt(np.maximum(w, 0))) @ v.T
-        for d in np.sort(rng.normal(size=(n, mu and len(mu[0]) or model.mu.shape[1])), axis=0) if n > 1 else np.zeros((n, model.mu.shape[1])):
-            mu.append(model.mu[k] + root @ d * share)
-            A.append(np.linalg.inv(cov * (1 - share)))
-            logpi.append(model.logpi[k] - math.log(n))
-    return Mixture(np.array(mu), np.array(A), np.array(logpi))
+    """Cluster k as so many parts as lkp holds k (from 0).
+
+    With n parts a share of the covariance, from 0 for one towards a half, goes to the parts' means,
+    which are drawn along its root and put in order; the rest is every part's covariance.
+    """
+    of = np.sort(np.asarray(lkp))
+    parts = np.bincount(of, minlength=len(model.mu))[of]
+    share = np.tanh(SPLIT_RATE * (parts - 1) / 2) / 2
+    cov = np.linalg.inv(model.A)
+    values, vectors = np.linalg.eigh(cov)
+    root = np.einsum("kij,kj,klj->kil", vectors, np.sqrt(np.maximum(values, 0)), vectors)
+    draws = np.random.default_rng(seed).normal(size=(len(of), model.mu.shape[1]))
+    for d in range(draws.shape[1]):  # in order within a cluster
+        draws[:, d] = draws[np.lexsort((draws[:, d], of)), d]
+    mu = model.mu[of] + share[:, None] * np.einsum("kij,kj->ki", root[of], draws)
+    return Mixture(mu, np.linalg.inv(cov[of] * (1 - share)[:, None, None]), model.logpi[of] - np.log(parts))
+
+
+def label_start(df: DataFrame, cols: list[str], label: str, weight: str | None = None) -> Mixture:
+    """Moments of labelled rows as a start, labels in order: means of what is observed, and covariances
+    of pairs that are observed together. One aggregate; a row a label reaches the driver."""
+    p = len(cols)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = [F.col(c).cast("double") for c in cols]
+    both = lambda i, j: x[i].isNotNull() & x[j].isNotNull()
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(w).alias("n"), *(F.sum(w * x[i]).alias(f"m{i}") for i in range(p)), *(F.sum(F.when(x[i].isNotNull(), w)).alias(f"w{i}") for i in range(p))]
+    sums += [F.sum(F.when(both(i, j), w * x[i] * x[j])).alias(f"q{i}_{j}") for i, j in pairs] + [F.sum(F.when(both(i, j), w)).alias(f"c{i}_{j}") for i, j in pairs]
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(*sums).orderBy(label).collect()
+    mu = np.array([[r[f"m{i}"] / r[f"w{i}"] for i in range(p)] for r in rows])
+    cov = np.zeros((len(rows), p, p))
+    for k, r in enumerate(rows):
+        for i, j in pairs:
+            if r[f"c{i}_{j}"]:
+                cov[k, i, j] = cov[k, j, i] = r[f"q{i}_{j}"] / r[f"c{i}_{j}"] - mu[k, i] * mu[k, j]
+    n = np.array([r["n"] for r in rows])
+    return Mixture(mu, np.linalg.inv(cov), np.log(n / n.sum()))
 
 
 def collapse_gaussians(model: Mixture, lkp) -> Mixture:

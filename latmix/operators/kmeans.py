@@ -131,9 +131,16 @@ def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None
     return c[perm], cost, sums[perm]
 
 
-def categorical_draw(df: DataFrame, weight: str, key: str, u: Column) -> DataFrame:
-    """Rows with the cumulative share at which an inverse-CDF draw of u picks them (``picked``)."""
-    run = F.sum(weight).over(W.orderBy(key))
-    total = F.sum(weight).over(W.partitionBy())
-    out = df.withColumn("cum", run / total)
-    return out.withColumn("picked", (u < F.col("cum")) & (u >= F.col("cum") - F.col(weight) / total))
+def categorical_draw(df: DataFrame, weight: str, key: str, u: Column, buckets: int = 1024) -> DataFrame:
+    """Rows with the cumulative share at which an inverse-CDF draw of u picks them (``picked``).
+
+    Rows lie in the order of their buckets (by a hash of the key), then of the key: running sums are
+    taken within buckets and of the buckets' totals, so no task sees all rows.
+    """
+    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sums = rows.groupBy("__bucket").agg(F.sum(weight).alias("__sum"))
+    ends = sums.select("__bucket", (F.sum("__sum").over(W.orderBy("__bucket")) - F.col("__sum")).alias("__start"), F.sum("__sum").over(W.partitionBy()).alias("__total"))
+    out = rows.join(F.broadcast(ends), "__bucket").withColumn("__run", F.col("__start") + F.sum(weight).over(W.partitionBy("__bucket").orderBy(key)))  # so many rows as there are buckets
+    low = (F.col("__run") - F.col(weight)) / F.col("__total")
+    out = out.withColumn("cum", F.col("__run") / F.col("__total")).withColumn("picked", (u < F.col("cum")) & (u >= low))
+    return out.drop("__bucket", "__start", "__total", "__run")

@@ -20,35 +20,39 @@ def lattice(spark: SparkSession, dim) -> DataFrame:
     return spark.range(step).select(*cols)
 
 
-def _line(axis: str, axes=AXES) -> W:
-    return W.partitionBy(*(a for a in axes if a != axis)).orderBy(axis)
+def _at(value, axis: str, offset: int, axes=AXES, key=()) -> Column:
+    """The value of the voxel that lies offset further along an axis; null where the table has none there.
+
+    Voxels are found by their index, not by their place in the table, and within one image: key names
+    the columns that tell images apart.
+    """
+    line = W.partitionBy(*key, *(a for a in axes if a != axis)).orderBy(axis)
+    return F.max(value).over(line.rangeBetween(offset, offset))
 
 
-def gradient(img: DataFrame, vx=(1.0, 1.0, 1.0), axes=AXES) -> DataFrame:
-    """img with d<axis>: forward differences, 0 at the far edge."""
-    return img.withColumns({f"d{a}": F.coalesce((F.lead("v").over(_line(a, axes)) - F.col("v")) / F.lit(float(s)), F.lit(0.0)) for a, s in zip(axes, vx)})
+def gradient(img: DataFrame, vx=(1.0, 1.0, 1.0), axes=AXES, key=()) -> DataFrame:
+    """img with d<axis>: forward differences, 0 at the far edge and before an absent voxel."""
+    return img.withColumns({f"d{a}": F.coalesce((_at("v", a, 1, axes, key) - F.col("v")) / F.lit(float(s)), F.lit(0.0)) for a, s in zip(axes, vx)})
 
 
-def divergence(field: DataFrame, dim, vx=(1.0, 1.0, 1.0), axes=AXES) -> DataFrame:
-    """Adjoint of the forward differences, from columns d<axis>: (axes, v)."""
+def divergence(field: DataFrame, dim, vx=(1.0, 1.0, 1.0), axes=AXES, key=()) -> DataFrame:
+    """Adjoint of the forward differences, from columns d<axis>: (key, axes, v)."""
     total = F.lit(0.0)
     for a, n, s in zip(axes, dim, vx):
-        before = F.lag(f"d{a}").over(_line(a, axes))
         here = F.when(F.col(a) < n, F.col(f"d{a}")).otherwise(0.0)
-        total = total + (F.coalesce(before, F.lit(0.0)) - here) / F.lit(float(s))
-    return field.select(*axes, total.alias("v"))
+        total = total + (F.coalesce(_at(f"d{a}", a, -1, axes, key), F.lit(0.0)) - here) / F.lit(float(s))
+    return field.select(*key, *axes, total.alias("v"))
 
 
-def smooth(img: DataFrame, fwhm=10.0, vs=(1.0, 1.0, 1.0), axes=AXES) -> DataFrame:
+def smooth(img: DataFrame, fwhm=10.0, vs=(1.0, 1.0, 1.0), axes=AXES, key=()) -> DataFrame:
     """Separable Gaussian of the given width in mm; what reaches over the edge is left out, not renormalised."""
     for a, s in zip(axes, vs):
         f = fwhm / s
         sd, radius = f / math.sqrt(8 * math.log(2)), round(6 * f / math.sqrt(8 * math.log(2)))
         k = [math.exp(-0.5 * (x / sd) ** 2) for x in range(-radius, radius + 1)] if radius else [1.0]
-        line = _line(a, axes)
         total = F.lit(0.0)
         for x, w in zip(range(-radius, radius + 1), k):
-            total = total + F.coalesce(F.lag("v", x).over(line) if x else F.col("v"), F.lit(0.0)) * F.lit(w / sum(k))
+            total = total + F.coalesce(_at("v", a, -x, axes, key) if x else F.col("v"), F.lit(0.0)) * F.lit(w / sum(k))
         img = img.withColumn("v", total)
     return img
 
@@ -118,25 +122,27 @@ def mm_to_voxel(warp: DataFrame, vs) -> DataFrame:
 def sample(img: DataFrame, warp: DataFrame, dim, values=("v",), degree: int = 1, bnd: str = "circular") -> DataFrame:
     """img's values at the warp's places (in voxels): nearest (0) or trilinear (1).
 
-    Every place joins its one or eight neighbours by index; weights are summed up again by voxel. A
-    constant boundary makes what lies outside 0.
+    Every place joins its one or eight neighbours by index; their weighted values meet again by voxel
+    and are added in the corners' order, whatever order they come in. A constant boundary makes what
+    lies outside 0.
     """
     y = [F.col(f"y{n}") for n in (1, 2, 3)]
     if degree == 0:
-        at = warp.withColumns({f"s{a}": source_index(F.floor(c + 0.5).cast("int"), n, bnd).cast("int") for a, c, n in zip(AXES, y, dim)}).withColumn("w", F.lit(1.0))
+        at = warp.withColumns({f"s{a}": source_index(F.floor(c + 0.5).cast("int"), n, bnd).cast("int") for a, c, n in zip(AXES, y, dim)}).withColumn("w", F.lit(1.0)).withColumn("corner", F.lit(0))
     elif degree == 1:
         corners = []
-        for c in itertools.product((0, 1), repeat=3):
+        for number, c in enumerate(itertools.product((0, 1), repeat=3)):
             weight = F.lit(1.0)
             for u, v in zip(c, y):
                 weight = weight * ((v - F.floor(v)) if u else (1 - (v - F.floor(v))))
-            corners.append(F.struct(*(source_index((F.floor(v) + u).cast("int"), n, bnd).cast("int").alias(f"s{a}") for a, v, u, n in zip(AXES, y, c, dim)), weight.alias("w")))
+            corners.append(F.struct(*(source_index((F.floor(v) + u).cast("int"), n, bnd).cast("int").alias(f"s{a}") for a, v, u, n in zip(AXES, y, c, dim)), weight.alias("w"), F.lit(number).alias("corner")))
         at = warp.select(*AXES, F.explode(F.array(*corners)).alias("x")).select(*AXES, "x.*").where("w <> 0")
     else:
         raise ValueError("nearest and trilinear sampling only")
     src = img.select(*(F.col(a).alias(f"s{a}") for a in AXES), *values)
     joined = at.join(src, [f"s{a}" for a in AXES], "left")
-    return joined.groupBy(*AXES).agg(*(F.sum(F.col("w") * F.coalesce(v, F.lit(0.0))).alias(v) for v in values))
+    part = lambda v, n: F.coalesce(F.max(F.when(F.col("corner") == n, F.col("w") * F.coalesce(v, F.lit(0.0)))), F.lit(0.0))
+    return joined.groupBy(*AXES).agg(*(sum((part(v, n) for n in range(1, 8 if degree else 1)), part(v, 0)).alias(v) for v in values))
 
 
 def compose(first: DataFrame, second: DataFrame, dim) -> DataFrame:
@@ -240,6 +246,21 @@ def downsample(img: DataFrame, M, dim, axes=(0, 1), least: float = 1.0):
     return sample(img, affine_warp(img.sparkSession, T, new), dim, degree=0, bnd="replicate"), np.asarray(M, float) @ T, new
 
 
+def reslice(images: list[tuple[DataFrame, np.ndarray, tuple]], ref: int | None = None, degree: int = 1) -> list[DataFrame]:
+    """All images on the grid of the one with the largest field of view (or a given one), 0 outside their own."""
+    volume = [float(np.prod(voxel_size(M) * np.asarray(dim))) for _, M, dim in images]
+    r = int(np.argmax(volume)) if ref is None else ref
+    img, M_ref, dim_ref = images[r]
+    out = []
+    for n, (own, M, dim) in enumerate(images):
+        if n == r:
+            out.append(own)
+            continue
+        warp = affine_warp(own.sparkSession, np.linalg.solve(np.asarray(M, float), np.asarray(M_ref, float)), dim_ref)
+        out.append(mask_field_of_view(sample(own, warp, dim, degree=degree, bnd="replicate"), M_ref, M, dim))
+    return out
+
+
 def reference_image(headers: DataFrame, rule: str = "smallest_voxel") -> DataFrame:
     """The one row of (name, vx1..3, d1..3) with the smallest voxel volume or the largest field of view."""
     voxel = F.col("vx1") * F.col("vx2") * F.col("vx3")

@@ -12,6 +12,10 @@ CENTRES = np.array([[1.0, 1.0, 1.0], [2.5, 2.5, 2.0], [4.0, 4.0, 3.0]])
 COLS = ["x1", "x2", "x3"]
 
 
+#: Components of an embedding.
+CHANNELS = 64
+
+
 def _dist_sql(c, cols, metric):
     if metric == "sqeuclidian":
         return "sqrt(" + " + ".join(f"coalesce(power({x} - {float(v)!r}, 2), 0)" for x, v in zip(cols, c)) + ")"
@@ -66,16 +70,16 @@ def _fit_sql():
 
 
 def kmeans_embeddings(spark, sf_dir):
-    """City-block assignment of eight embedding channels, and the objective by label."""
-    e = table(spark, sf_dir, "embeddings").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8))).withColumnRenamed("label", "topic")
-    cents = [[0.1 * (k - 1)] * 8 for k in range(3)]
-    out = kmeans.assign(e, [f"e{i}" for i in range(8)], cents, "cityblock")
+    """City-block assignment of the embeddings, all channels, and the objective by label."""
+    e = table(spark, sf_dir, "embeddings").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(CHANNELS))).withColumnRenamed("label", "topic")
+    cents = [[0.1 * (k - 1)] * CHANNELS for k in range(3)]
+    out = kmeans.assign(e, [f"e{i}" for i in range(CHANNELS)], cents, "cityblock")
     return out.groupBy("topic", "label").agg(F.count("*").alias("n"), r(F.sum("dist")).alias("objective"))
 
 
 def _embeddings_sql():
-    src = "(SELECT label AS topic, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
-    inner = _label_sql([[0.1 * (k - 1)] * 8 for k in range(3)], [f"e{i}" for i in range(8)], "cityblock", src)
+    src = "(SELECT label AS topic, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(CHANNELS)) + " FROM embeddings)"
+    inner = _label_sql([[0.1 * (k - 1)] * CHANNELS for k in range(3)], [f"e{i}" for i in range(CHANNELS)], "cityblock", src)
     return f"SELECT topic, label, count(*) AS n, {rs('sum(dist)')} AS objective FROM ({inner}) GROUP BY topic, label"
 
 

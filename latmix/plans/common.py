@@ -9,13 +9,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def r(c: Column | str, digits: int = 6) -> Column:
+#: For values of few decimals, which lie on the edge between two rounded ones: an edge that none lies on.
+OFF = 0.4937
+
+
+def r(c: Column | str, digits: int = 6, half: float = 0.5) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * F.lit(10.0**digits) + 0.5) / F.lit(10.0**digits)
+    return F.floor(c * F.lit(10.0**digits) + half) / F.lit(10.0**digits)
 
 
-def rs(text: str, digits: int = 6) -> str:
-    return f"(floor(({text}) * 1e{digits} + 0.5e0) / 1e{digits})"
+def rs(text: str, digits: int = 6, half: float = 0.5) -> str:
+    return f"(floor(({text}) * 1e{digits} + {half!r}::DOUBLE) / 1e{digits})"
 
 
 #: lineitem with gaps in two channels, scaled to like ranges.

@@ -31,16 +31,23 @@ def _family(parts: dict):
     return run, sql
 
 
-def _both(f, *args):
-    return f(*args), f(*args)
+def _psi(x):
+    """Digamma for the oracle: twenty steps up, then four terms of the series."""
+    z = f"(({x}) + 20)"
+    return f"(ln({z}) - 0.5 / {z} - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - list_sum([1 / (({x}) + q) FOR q IN range(20)]))"
+
+
+def _psi1(x):
+    z = f"(({x}) + 20)"
+    return f"(1 / {z} + 0.5 / {z} ** 2 + 1 / (6 * {z} ** 3) - 1 / (30 * {z} ** 5) + list_sum([1 / ((({x}) + q) * (({x}) + q)) FOR q IN range(20)]))"
 
 
 _mu, _dn = dist.normal_update("m", "n", "1e0", "10e0")
 NORMAL = {
-    "logpdf": _both(dist.normal_logpdf, "1.5e0", "m", "v"),
-    "pdf": _both(dist.normal_pdf, "m + 0.1e0", "m", "v"),
+    "logpdf": (dist.normal_logpdf("1.5e0", "m", "v"), "-0.5 * ln(2 * pi() * v) - (1.5 - m) * (1.5 - m) / (2 * v)"),
+    "pdf": (dist.normal_pdf("m + 0.1e0", "m", "v"), "exp(-0.005 / v) / sqrt(2 * pi() * v)"),
     "kl": (dist.normal_kl("m", "v", "0e0", "v + 1e0"), "0.5 * (v / (v + 1) - ln(v / (v + 1)) - 1 + m * m / (v + 1))"),
-    "kl_conjugate": _both(dist.normal_kl_conjugate, "m / (1e0 + abs(m))", "n", "0e0", "5e0", "1e0 / v"),
+    "kl_conjugate": (dist.normal_kl_conjugate("m / (1e0 + abs(m))", "n", "0e0", "5e0", "1e0 / v"), "0.5 * (5 / n - 1 - ln(5 / n) + 5 / v * (m / (1 + abs(m))) ** 2)"),
     "mu1": (_mu, "(10 * 1e0 + n * m) / (10 + n)"),
     "n1": (_dn, "n + 10"),
 }
@@ -55,14 +62,14 @@ GAMMA = {
     "pdf": (dist.gamma_pdf("0.7e0", _a, _b), dist.gamma_pdf("0.7e0", _a, _b, _LG)),
     "pdf_normal": (dist.gamma_pdf("0.7e0", _na, _nb), dist.gamma_pdf("0.7e0", _na, _nb, _LG)),
     "pdf_gamma": (dist.gamma_pdf("0.7e0", _ga, _gb), dist.gamma_pdf("0.7e0", _ga, _gb, _LG)),
-    "kl": (dist.gamma_kl(_a, _b, "2e0", "1e0"), dist.gamma_kl(_a, _b, "2e0", "1e0", _LG)),
-    "e": _both(dist.gamma_mean, _a, _b),
-    "var": _both(dist.gamma_var, _a, _b),
-    "elog": _both(dist.gamma_elog, _a, _b),
-    "vlog": _both(dist.gamma_vlog, _a),
-    "up": (_lam, _lam),
-    "up_n": (_ln, _ln),
-    "up_suffstat": (_slam, _slam),
+    "kl": (dist.gamma_kl(_a, _b, "2e0", "1e0"), dist.gamma_kl(_a, _b, "2e0", "1e0", _LG, _psi)),
+    "e": (dist.gamma_mean(_a, _b), f"{_a} / {_b}"),
+    "var": (dist.gamma_var(_a, _b), f"{_a} / ({_b} * {_b})"),
+    "elog": (dist.gamma_elog(_a, _b), f"{_psi(_a)} - ln({_b})"),
+    "vlog": (dist.gamma_vlog(_a), _psi1(_a)),
+    "up": (_lam, "(5 + n / 100) / (2.5 + n / 100 / (1 + v / (1 + v)))"),
+    "up_n": (_ln, "5 + n / 100"),
+    "up_suffstat": (_slam, "(5 + n / 100) / (2.5 + (s2 - 2 * m * s1 + n / 100 * m * m) / (1 + v))"),
 }
 _p = "(0.1e0 + 0.8e0 * abs(m) / (1e0 + abs(m)))"
 BETA = {}
@@ -70,15 +77,16 @@ for _kind in ("ber", "bin", "nbin", "geom"):
     _x, _y = dist.beta_params(_kind, _p, "4e0", "3e0")
     BETA |= {
         f"logpdf_{_kind}": (dist.beta_logpdf("0.3e0", _x, _y), dist.beta_logpdf("0.3e0", _x, _y, _BL)),
-        f"mean_{_kind}": _both(dist.beta_mean, _x, _y),
-        f"var_{_kind}": _both(dist.beta_var, _x, _y),
-        f"elog_{_kind}": _both(dist.beta_elog, _x, _y),
-        f"vlog_{_kind}": _both(dist.beta_vlog, _x, _y),
-        f"kl_{_kind}": (dist.beta_kl(_x, _y, "2e0", "3e0"), dist.beta_kl(_x, _y, "2e0", "3e0", _BL)),
+        f"mean_{_kind}": (dist.beta_mean(_x, _y), f"1 / (1 + {_y} / {_x})"),
+        f"var_{_kind}": (dist.beta_var(_x, _y), f"{_x} / ({_x} + {_y}) * {_y} / ({_x} + {_y}) / ({_x} + {_y} + 1)"),
+        f"elog_{_kind}": (dist.beta_elog(_x, _y), f"{_psi(_x)} - {_psi(f'{_x} + {_y}')}"),
+        f"vlog_{_kind}": (dist.beta_vlog(_x, _y), f"{_psi1(_x)} - {_psi1(f'{_x} + {_y}')}"),
+        f"kl_{_kind}": (dist.beta_kl(_x, _y, "2e0", "3e0"), dist.beta_kl(_x, _y, "2e0", "3e0", _BL, _psi)),
     }
-for _kind in ("ber", "bin", "nbin", "geom", "fgeom"):
+#: the rates of a quarter as many successes as trials, of 2 trials or failures each
+for _kind, _share in (("ber", "0.25"), ("bin", "0.125"), ("nbin", "1 / 9"), ("geom", "4"), ("fgeom", "0.8")):
     _rate = dist.beta_rate(_kind, "n", "n / 4e0", "2e0")
-    BETA[f"up_{_kind}"] = _both(lambda rate: dist.beta_update(rate, "n", "0.5e0", "10e0")[0], _rate)
+    BETA[f"up_{_kind}"] = (dist.beta_update(_rate, "n", "0.5e0", "10e0")[0], f"(5 + n * ({_share})) / (10 + n)")
 BETA["pdf"] = (dist.beta_pdf("0.3e0", "2e0 + n / (1e0 + n)", "3e0"), dist.beta_pdf("0.3e0", "2e0 + n / (1e0 + n)", "3e0", _BL))
 
 #: two-dimensional: V = [[1 + v', 0.2], [0.2, 1]] with v' bounded
@@ -91,15 +99,16 @@ def _mvlg2(x):
 
 
 WISHART = {
-    "elogdet": _both(dist.wishart_elogdet, "5e0", _ldv, 2),
-    "vlogdet": _both(dist.wishart_vlogdet, f"3e0 + {_v}", 2),
+    "elogdet": (dist.wishart_elogdet("5e0", _ldv, 2), f"{_psi('2.5')} + {_psi('2.0')} + 2 * ln(2) + {_ldv}"),
+    "vlogdet": (dist.wishart_vlogdet(f"3e0 + {_v}", 2), f"{_psi1(f'(3 + {_v}) / 2')} + {_psi1(f'(2 + {_v}) / 2')}"),
     "logz": (dist.wishart_logz("5e0", _ldv, 2), f"0.5 * 5 * ({_ldv} + 2 * ln(2e0)) + {_mvlg2('2.5e0')}"),
     # of X = identity: trace of the inverse of V is (1 + v11) / det
     "logpdf": (dist.wishart_logpdf("0e0", f"(1e0 + {_v}) / ({_v} - 0.04e0)", "5e0", _ldv, 2), f"-0.5 * (1 + {_v}) / ({_v} - 0.04) - 5 * ln(2e0) - 2.5 * {_ldv} - {_mvlg2('2.5e0')}"),
+    "pdf": (dist.wishart_pdf("0e0", f"(1e0 + {_v}) / ({_v} - 0.04e0)", "5e0", _ldv, 2), f"exp(-0.5 * (1 + {_v}) / ({_v} - 0.04)) / (32 * ({_v} - 0.04) ** 2.5 * exp({_mvlg2('2.5e0')}))"),
     # against the identity with 4 degrees: the trace is v11 + 1
-    "kl": (dist.wishart_kl("5e0", _ldv, "4e0", "0e0", f"({_v} + 1e0)", 2), f"0.5 * 4 * (0 - {_ldv}) + 2.5 * ({_v} + 1 - 2) + 0.5 * {special.mv_polygamma('2.5e0', 2)} + {_mvlg2('2e0')} - {_mvlg2('2.5e0')}"),
+    "kl": (dist.wishart_kl("5e0", _ldv, "4e0", "0e0", f"({_v} + 1e0)", 2), f"0.5 * 4 * (0 - {_ldv}) + 2.5 * ({_v} + 1 - 2) + 0.5 * ({_psi('2.5')} + {_psi('2.0')}) + {_mvlg2('2e0')} - {_mvlg2('2.5e0')}"),
     "mv_lgamma": (special.mv_lgamma("2e0 + n / (1e0 + n)", 3), "1.5 * ln(pi()) + lgamma(2 + n / (1 + n)) + lgamma(1.5 + n / (1 + n)) + lgamma(1 + n / (1 + n))"),
-    "mv_digamma": _both(special.mv_polygamma, "2e0 + n / (1e0 + n)", 3),
+    "mv_digamma": (special.mv_polygamma("2e0 + n / (1e0 + n)", 3), f"{_psi('2 + n / (1 + n)')} + {_psi('1.5 + n / (1 + n)')} + {_psi('1 + n / (1 + n)')}"),
 }
 
 QUERIES, ORACLE = {}, {}

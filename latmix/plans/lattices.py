@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import bias, histogram, lattice, sparse
-from .common import r, rs, table
+from .common import OFF, r, rs, table
 
 DIM = (5, 10, 5)
 #: parts by brand digit, size decile and brand series: a small volume of mean prices
@@ -82,7 +82,7 @@ def warp_affine(spark, sf_dir):
 
 def warp_trilinear(spark, sf_dir):
     out = lattice.sample(volume(spark, sf_dir), lattice.affine_warp(spark, A, DIM), DIM)
-    return out.select("i", "j", "k", r("v").alias("v"))
+    return out.select("i", "j", "k", r("v", half=OFF).alias("v"))
 
 
 def _trilinear_sql():
@@ -90,9 +90,9 @@ def _trilinear_sql():
     for c in np.ndindex(2, 2, 2):
         w = " * ".join(f"(y{n + 1} - floor(y{n + 1}))" if u else f"(1 - (y{n + 1} - floor(y{n + 1})))" for n, u in enumerate(c))
         s = ", ".join(f"(((floor(y{n + 1}) + {u} - 1)::INT % {d} + {d}) % {d} + 1) AS s{a}" for n, (u, d, a) in enumerate(zip(c, DIM, "ijk")))
-        parts.append(f"SELECT i, j, k, {s}, {w} AS w FROM y")
+        parts.append(f"SELECT i, j, k, {s}, {w} AS w, {4 * c[0] + 2 * c[1] + c[2]} AS corner FROM y")
     y = ", ".join(f"{e} AS y{n + 1}" for n, e in enumerate(_Y))
-    return f"WITH f AS (SELECT * FROM {_FULL}), y AS (SELECT i, j, k, {y} FROM f), x AS ({' UNION ALL '.join(parts)}) SELECT x.i, x.j, x.k, {rs('sum(w * v)')} AS v FROM x JOIN f ON f.i = si AND f.j = sj AND f.k = sk GROUP BY x.i, x.j, x.k"
+    return f"WITH f AS (SELECT * FROM {_FULL}), y AS (SELECT i, j, k, {y} FROM f), x AS ({' UNION ALL '.join(parts)}) SELECT x.i, x.j, x.k, {rs(' + '.join(f'coalesce(max(w * v) FILTER (corner = {n}), 0)' for n in range(8)), half=OFF)} AS v FROM x JOIN f ON f.i = si AND f.j = sj AND f.k = sk GROUP BY x.i, x.j, x.k"
 
 
 def resample_nearest(spark, sf_dir):
@@ -207,8 +207,8 @@ _HES = " UNION ALL ".join(_gtg_sql(i, 1, j, 1, -1.0, (3 * i + j) * N) for i in r
 
 
 def spmv(spark, sf_dir):
-    field = volume(spark, sf_dir).where("i <= 4 AND j <= 3 AND k <= 2").select((F.col("i") - 1 + 4 * (F.col("j") - 1) + 12 * (F.col("k") - 1)).cast("long").alias("idx"), "v")
-    return sparse.spmv(sparse.laplacian(spark, LAT, VS), field).select("idx", r("v").alias("v"))
+    field = volume(spark, sf_dir).select((F.col("i") - 1 + 5 * (F.col("j") - 1) + 50 * (F.col("k") - 1)).cast("long").alias("idx"), "v")
+    return sparse.spmv(sparse.laplacian(spark, DIM, VS), field).select("idx", r("v", half=OFF).alias("v"))
 
 
 def precision_bending(spark, sf_dir):
@@ -280,7 +280,12 @@ ORACLE = {
     "coo_divergence": _sum_sql(" UNION ALL ".join(f"SELECT row, col + {i * N} AS col, val FROM {_g_sql(i, 1, 'neumann')}" for i in range(3))), "coo_symjac": _symjac_sql(),
     "coo_euclidean": " UNION ALL ".join(f"SELECT id + {i * N} AS row, id + {i * N} AS col, {v!r}::DOUBLE AS val FROM {_CELLS}" for i, v in enumerate(VS)),
     "coo_precision_absolute": _precision_sql(0.7, 0, 0, 0), "coo_precision_membrane": _precision_sql(0, 0.5, 0, 0), "coo_precision_elastic": _precision_sql(0, 0, 0.3, 0.2),
-    "coo_spmv": f"WITH l AS (SELECT row, col, sum(val) AS val FROM ({_LAP}) GROUP BY row, col), f AS (SELECT (i - 1) + 4 * (j - 1) + 12 * (k - 1) AS idx, v FROM {_FULL} WHERE i <= 4 AND j <= 3 AND k <= 2) SELECT row AS idx, {rs('sum(val * v)')} AS v FROM l JOIN f ON col = idx GROUP BY row",
+    # minus the gradient's adjoint of the gradient, by neighbours
+    "coo_spmv": "WITH f AS (SELECT * FROM %s), n AS (SELECT *, %s FROM f) SELECT ((i - 1) + 5 * (j - 1) + 50 * (k - 1))::BIGINT AS idx, %s AS v FROM n" % (
+        _FULL,
+        ", ".join(f"coalesce(lead(v) OVER ({o}) - v, 0) AS up{a}, coalesce(v - lag(v) OVER ({o}), 0) AS down{a}" for a, o in _ORDER.items()),
+        rs(" + ".join(f"(up{a} - down{a}) / {s * s!r}" for a, s in zip("ijk", VS)), half=OFF),
+    ),
     "bias_reconstruct": f"SELECT i, j, k, {rs('exp(b)')} AS bias, {rs('exp(b) * v')} AS v FROM (SELECT *, {_BIAS} AS b FROM {_FULL})",
     "bias_components": "SELECT axis::INT AS axis, greatest(1, ceil(2 * vs * n / 30))::INT AS components FROM (VALUES (1, 64, 1e0), (2, 64, 1e0), (3, 40, 2e0)) t(axis, n, vs)",
     "affine_basis": "SELECT generator::INT AS generator, i::INT AS i, j::INT AS j, v::DOUBLE AS v FROM (VALUES (1,1,4,1),(2,2,4,1),(3,3,4,1),(4,1,2,1),(4,2,1,-1),(5,1,3,1),(5,3,1,-1),(6,2,3,1),(6,3,2,-1)) t(generator, i, j, v)",
