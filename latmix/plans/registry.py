@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogues, clusters, distributions, histograms, lattices, matrices, mixtures
+from . import catalogues, clusters, distributions, extras, histograms, lattices, matrices, mixtures
 
-MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues)
+MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras)
 
 
 def queries():
