@@ -53,6 +53,7 @@ class Ranks:
             self.pieces[i] = piece.decode("latin-1")
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
         self.shift, self.table = self._lay(self._pairs())
+        self.ranks = None
 
     def _pairs(self) -> dict[int, dict[int, int]]:
         """The one pair from which merging by rank makes each token."""
@@ -116,7 +117,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@lru_cache(maxsize=8)
 def of_engine(kind: str) -> frozenset[str]:
     """The characters of a class such as \\p{L}, as the tokenizer's engine has it: it returns what a pattern matches."""
     import tiktoken

@@ -37,31 +37,48 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _sums(values: np.ndarray, of: np.ndarray, ends: np.ndarray, runs: int = 1 << 11) -> np.ndarray:
+    """Sums of runs of values[of], one after the other; a run may be empty. So many runs are gathered at once."""
+    out = np.zeros(len(ends) - 1)
+    for a in range(0, len(out), runs):
+        part = ends[a : a + runs + 1]
+        some = np.flatnonzero(np.diff(part))
+        if len(some):
+            out[a + some] = np.add.reduceat(values[of[part[0] : part[-1]]], part[some] - part[0])
+    return out
+
+
 class Rows:
     """Rows of a few present columns out of ``width``, followed by dense columns and a column of ones.
 
-    Products with the few dense columns are not left to BLAS, whose threads would wait for each other.
+    Entries are held by row and by column, so that both products are sums of runs. Products with the
+    few dense columns are not left to BLAS, whose threads would wait for each other.
     """
 
     def __init__(self, found: list[np.ndarray], width: int, dense: np.ndarray):
         self.width, self.dense = width, dense.astype(float)
-        self.row = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
         self.col = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+        self.row_ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int64)
+        self._by_column(np.repeat(np.arange(len(found), dtype=np.int32), np.diff(self.row_ends)))
+
+    def _by_column(self, row: np.ndarray) -> None:
+        self.row = row[np.argsort(self.col, kind="stable")]
+        self.col_ends = np.append(0, np.cumsum(np.bincount(self.col, minlength=self.width))).astype(np.int64)
 
     @property
     def columns(self) -> int:
         return self.width + self.dense.shape[1] + 1
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], len(self.dense)) + np.einsum("ij,j->i", self.dense, w[self.width : -1]) + w[-1]
+        return _sums(w, self.col, self.row_ends) + np.einsum("ij,j->i", self.dense, w[self.width : -1]) + w[-1]
 
     def back(self, r: np.ndarray) -> np.ndarray:
         """The transpose times r."""
-        return np.concatenate([np.bincount(self.col, r[self.row], self.width), np.einsum("ij,i->j", self.dense, r), [r.sum()]])
+        return np.concatenate([_sums(r, self.row, self.col_ends), np.einsum("ij,i->j", self.dense, r), [r.sum()]])
 
     def squares(self, h: np.ndarray) -> np.ndarray:
         """The diagonal of the transpose times diag(h) times itself."""
-        return np.concatenate([np.bincount(self.col, h[self.row], self.width), h @ self.dense**2, [h.sum()]])
+        return np.concatenate([_sums(h, self.row, self.col_ends), h @ self.dense**2, [h.sum()]])
 
     def corner(self, h: np.ndarray) -> np.ndarray:
         """The dense columns' part of the transpose times diag(h) times itself."""
@@ -71,13 +88,16 @@ class Rows:
     def only(self, used: np.ndarray) -> Rows:
         """Without the sparse columns that are not used; places stay."""
         out, live = object.__new__(Rows), used[self.col]
-        out.width, out.row, out.col, out.dense = self.width, self.row[live], self.col[live], self.dense
+        out.width, out.dense, out.col = self.width, self.dense, self.col[live]
+        out.row_ends = np.append(0, np.cumsum(live))[self.row_ends]
+        out._by_column(np.repeat(np.arange(len(self.dense), dtype=np.int32), np.diff(out.row_ends)))
         return out
 
     def plus(self, column: np.ndarray) -> Rows:
         """With one more dense column."""
         out = object.__new__(Rows)
-        out.width, out.row, out.col, out.dense = self.width, self.row, self.col, np.column_stack([self.dense, column])
+        out.width, out.col, out.row, out.row_ends, out.col_ends = self.width, self.col, self.row, self.row_ends, self.col_ends
+        out.dense = np.column_stack([self.dense, column])
         return out
 
 
