@@ -19,7 +19,6 @@ row trains the categories whose membership the other label decides.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,29 +79,43 @@ def select_words(members: DataFrame, cats: list[str], totals: list[dict[str, int
     sums = [F.coalesce(F.sum(in_fold(F.col(f"y_{c}"), f)), F.lit(0)).alias(f"a_{c}_{f}") for c in cats for f in range(FOLDS)]
     sums += [F.count(in_fold(F.col(f"y_{c}"), f)).alias(f"n_{c}_{f}") for c in cats for f in range(FOLDS)]
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= LEAST_COUNT)
-    term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-
-    def tells(c: str, left_out: int) -> Column:
-        folds = [f for f in range(FOLDS) if f != left_out]
-        total, known = (sum(x[f][c] for f in folds) for x in (totals, rows))
-        if not 0 < total < known:
-            return F.lit(False)
-        share = total / known
-        a, n = (sum((F.col(f"{k}_{c}_{f}") for f in folds), F.lit(0)).cast("double") for k in "an")
-        out = F.lit(float(total)) - a
-        rest = F.lit(float(known)) - n
-        g2 = 2 * (term(a, n * share) + term(n - a, n * (1 - share)) + term(out, rest * share + 1e-9) + term(rest - out, rest * (1 - share) + 1e-9))
-        return (n >= LEAST_COUNT) & (g2 >= LEAST_G2)
-
-    either = [reduce(Column.__or__, [tells(c, f) for c in cats]) for f in range(FOLDS + 1)]
-    chosen: list[set[str]] = [set() for _ in either]
-    for word, told in counts.select("word", F.array(*either).alias("told")).where(F.exists("told", lambda t: t)).collect():  # bounded by the sample
+    chosen: list[set[str]] = [set() for _ in range(FOLDS + 1)]
+    for word, told in counts.mapInArrow(lean(_telling(cats, totals, rows)), "word string, told array<boolean>").collect():  # bounded by the sample
         for own, yes in zip(chosen, told):
             if yes:
                 own.add(word)
     return sorted(set().union(*chosen)), chosen
 
 
+def _telling(cats: list[str], totals: list[dict[str, int]], rows: list[dict[str, int]]):
+    """Words that tell a category by the likelihood-ratio statistic, for rows outside each fold and for all rows."""
+
+    def term(o, e):
+        return np.where(o > 0, o * np.log(np.where(o > 0, o, 1) / e), 0.0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            told = np.zeros((batch.num_rows, FOLDS + 1), bool)
+            for c in cats:
+                of = lambda k: np.stack([batch.column(f"{k}_{c}_{f}").to_numpy() for f in range(FOLDS)]).astype(float)
+                hits, seen = of("a"), of("n")
+                for left_out in range(FOLDS + 1):
+                    folds = [f for f in range(FOLDS) if f != left_out]
+                    total, known = (sum(x[f][c] for f in folds) for x in (totals, rows))
+                    if not 0 < total < known:
+                        continue
+                    share, a, n = total / known, hits[folds].sum(0), seen[folds].sum(0)
+                    out, rest = total - a, known - n
+                    g2 = 2 * (term(a, np.maximum(n, 1) * share) + term(n - a, np.maximum(n, 1) * (1 - share)) + term(out, rest * share + 1e-9) + term(rest - out, rest * (1 - share) + 1e-9))
+                    told[:, left_out] |= (n >= LEAST_COUNT) & (g2 >= LEAST_G2)
+            some = np.flatnonzero(told.any(1))
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(some)), pa.array(told[some].tolist(), pa.list_(pa.bool_()))], names=["word", "told"])
+
+    return run
+
+
 class Chain:
     """Linear models in chain order over word presence, style and earlier probabilities."""
 
@@ -159,6 +172,7 @@ def memberships(labels: DataFrame, categories: dict[str, Column | str], most: in
 def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPLE) -> Chain:
     categories = categories or CATEGORIES
     cats = list(categories)
+    give_back()
     sample = memberships(labels, categories, most)
     sample = sample.withColumn("fold", F.expr(f"crc32(cast(doc_id as string)) % {FOLDS}").cast("int"))
     members = with_labels(docs.select("doc_id", "text"), sample)
