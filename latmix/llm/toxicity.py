@@ -23,7 +23,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import give_back, lean, table
+from .common import lean, table
 from .learn import SAMPLE, Rows, best_cut, fit_logistic, fold_of, sigmoid, texts, with_labels
 
 #: In chain order: name, and what makes a labelled row a member.
@@ -172,7 +172,6 @@ def memberships(labels: DataFrame, categories: dict[str, Column | str], most: in
 def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPLE) -> Chain:
     categories = categories or CATEGORIES
     cats = list(categories)
-    give_back()
     sample = memberships(labels, categories, most)
     sample = sample.withColumn("fold", F.expr(f"crc32(cast(doc_id as string)) % {FOLDS}").cast("int"))
     members = with_labels(docs.select("doc_id", "text"), sample)
@@ -193,14 +192,19 @@ def train(docs: DataFrame, labels: DataFrame, categories=None, most: int = SAMPL
 
         return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), *(pa.array([g[j] for g in got], pa.binary()) for j in (2, 3))], names=["doc_id", "y", "found", "style"])
 
-    fitted = members.mapInArrow(lean(rows), "doc_id long, y array<int>, found binary, style binary").toPandas().sort_values("doc_id")  # bounded by the sample
-    x = chain.rows([np.frombuffer(b, np.int32) for b in fitted["found"]], np.array([np.frombuffer(b) for b in fitted["style"]]).reshape(-1, STYLE))
-    y = np.array([list(v) for v in fitted["y"]], float).reshape(-1, len(cats))
-    folds = np.array([fold_of(i, FOLDS) for i in fitted["doc_id"]], int)
-    del fitted
-    chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, folds)
-    del x
-    give_back()  # what training took on the driver
+    def fit(batches):
+        import pyarrow as pa
+
+        held = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.int32())), ("found", pa.binary()), ("style", pa.binary())])).sort_by("doc_id")
+        ids, ys, found, style = (held.column(c).to_pylist() for c in ("doc_id", "y", "found", "style"))
+        x = chain.rows([np.frombuffer(b, np.int32) for b in found], np.array([np.frombuffer(b) for b in style]).reshape(-1, STYLE))
+        y = np.array(ys, float).reshape(-1, len(cats))
+        chain.fit(x, {c: y[:, i] for i, c in enumerate(cats)}, np.array([fold_of(i, FOLDS) for i in ids], int))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cats)), pa.int32()), pa.array([w.tobytes() for w in chain.models], pa.binary())], names=["k", "weights"])
+
+    # the sample, and so the task that trains on it, is bounded; the driver gets the weights only
+    sampled = members.mapInArrow(lean(rows), "doc_id long, y array<int>, found binary, style binary").repartition(1)
+    chain.models = [np.frombuffer(r["weights"]) for r in sorted(sampled.mapInArrow(lean(fit), "k int, weights binary").collect())]
     return chain
 
 
