@@ -13,25 +13,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start,stop,hit,part>> of the leftmost non-overlapping matches.
+def matches(text: Column, pattern: str, group: int = 0, context: int = 0) -> Column:
+    """array<struct<start,stop,hit,part,before>> of the leftmost non-overlapping matches.
 
     ``split`` gives what lies between the matches and ``regexp_extract_all`` the matches, so the
     running sum of both lengths gives the offsets. ``part`` is the given group. No match or a null
-    text: an empty array. Offsets count code points; the stop is exclusive.
+    text: an empty array. Offsets count code points; the stop is exclusive. ``before`` is what lies
+    between a match and the one before it, or the text's beginning: its last ``context`` code points
+    after one more of it, or after a space where there is none.
     """
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    gaps = F.split(text, pattern, -1)
+    last = lambda p: F.when(F.length(p) > context, F.right(p, F.lit(context + 1))).otherwise(F.concat(F.lit(" "), p))
     hits = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
-        between.alias("gap"),
+        F.transform(gaps, lambda p: F.length(p)).alias("gap"),
+        F.transform(gaps, last if context else lambda p: F.lit("")).alias("before"),
     )
-    kind = "array<struct<start:int,stop:int,hit:string,part:string>>"
+    kind = "array<struct<start:int,stop:int,hit:string,part:string,before:string>>"
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["hit"])
-        found = F.struct(begin.alias("start"), end.alias("stop"), x["hit"].alias("hit"), x["part"].alias("part"))
+        found = F.struct(begin.alias("start"), end.alias("stop"), x["hit"].alias("hit"), x["part"].alias("part"), x["before"].alias("before"))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
 
     def run(acc, some):

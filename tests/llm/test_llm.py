@@ -195,6 +195,25 @@ def test_pii(spark):
     assert [s["kind"] for s in spans[10]] == ["iban"] and spans[11] == [] and spans[10][0]["score"] > 0.9
 
 
+def test_pii_context(spark):
+    from latmix.llm import pii
+
+    def scores(text):
+        df = spark.createDataFrame([(1, text, "own")], "doc_id long, text string, pii string")
+        return [(s["kind"], round(s["score"], 3)) for s in pii.find(df).head()["pii"]]
+
+    assert scores("the ship 10.0.0.1") == [("ip", 0.6)] and scores("IP 10.0.0.1") == [("ip", 0.9)]
+    assert scores("hotel +1 212 555 0100") == [("phone", 0.6)] and scores("Tel.+1 212 555 0100") == [("phone", 0.9)]
+    # words are near within 40 code points, and after the proposal before
+    assert scores("call" + "é" * 36 + "+1 212 555 0100") == [("phone", 0.9)] and scores("call" + " " * 37 + "+1 212 555 0100") == [("phone", 0.6)]
+    assert scores("x" + "call" + " " * 36 + "+1 212 555 0100") == [("phone", 0.6)]
+    assert scores("server 10.0.0.1, 10.0.0.2") == [("ip", 0.9), ("ip", 0.6)]
+    assert scores("") == scores(None) == []
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    same = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c")], "doc_id long, text string")
+    assert [len(r["pii"]) for r in pii.find(same).collect()] == [1, 1]
+
+
 # 3 and 6 --------------------------------------------------------------------------------------------
 def test_toxicity_learns_a_word(spark):
     from latmix.llm import toxicity
