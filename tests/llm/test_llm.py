@@ -549,20 +549,107 @@ def test_mixing_blocks_do_not_grow_with_the_corpus(spark, monkeypatch):
 
 
 # all ------------------------------------------------------------------------------------------------
+def plain_scores(chain, text):
+    """The chain's probabilities, summed word by word."""
+    from latmix.llm import toxicity
+
+    found, style = toxicity.words_and_style(text)
+    given = list(style)
+    for w in chain.models:
+        z = w[-1] + sum(w[chain.place[x]] for x in found if x in chain.place) + sum(a * b for a, b in zip(given, w[len(chain.place) : -1]))
+        given.append(1 / (1 + np.exp(-z)))
+    return given[len(style) :]
+
+
+def plain_kept(rows):
+    """The rows that stay of each component of documents that link, found by counting common shingles."""
+    sets, parent, lists = [shingle_set(r["text"] or "") for r in rows], list(range(len(rows))), collections.defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        common = collections.Counter(j for g in own for j in lists[g])
+        for j, n in common.items():
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+        for g in own:
+            lists[g].append(i)
+    least = {}
+    for i, r in enumerate(rows):
+        key = find(i) if sets[i] else (r["doc_id"], r["text"])
+        least[key] = min(least.get(key, i), i, key=lambda k: rows[k]["doc_id"])
+    return sorted(repr(rows[i]) for i in least.values())
+
+
+def plain_redacted(text):
+    import re
+
+    spans = [m.span() for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    spans += [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [m.span() for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    secret = [0] * (len(text) + 1)  # 1: inside a secret; 2: a secret that touches none before it begins
+    for start, stop in spans:
+        secret[start:stop] = [x or 1 for x in secret[start:stop]]
+    for start, _ in spans:
+        if not any(a < start < b for a, b in spans):
+            secret[start] = 2
+    return "".join("[secret]" if k == 2 else "" if k else c for c, k in zip(text, secret))
+
+
 def test_pipeline_stages(spark, sf):
+    """Every stage against a plain version of it, each on what the stage before kept."""
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline
+    from latmix.llm import mixing, toxicity
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before, n = docs, docs.count()
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    extra = [(10**6, None, None), (10**6 + 1, "", None), (10**6 + 2, "token = abcdefgh12345678, " + "0" * 40, "odd"), (10**6 + 2, "word " * 3000, "odd"), (10**6 + 3, "word " * 3000 + "end", "odd")]
+    docs = docs.select("doc_id", "text", "source").union(spark.createDataFrame(extra, "doc_id long, text string, source string"))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "secret_scan", "mixing", "bpe"]
+    before, kept = docs, docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, before, sf)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns, name
-            before = spark.createDataFrame(out.collect(), docs.schema)
-            if k < 3:
-                assert 0.5 * n < before.count() <= n
+        got = out.collect()
+        if name == "toxicity":
+            chain = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            p = [plain_scores(chain, r["text"] or "")[chain.cats.index("toxic")] for r in kept]
+            assert min(abs(x - 0.5) for x in p) > 1e-9
+            assert sorted(map(repr, got)) == sorted(repr(r) for r, x in zip(kept, p) if x < 0.5)
+            scored = {r["doc_id"]: r for r in toxicity.op3_toxicity(spark, sf).collect()}
+            assert len(scored) == len(kept) - len(extra)
+            own = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+            for r in kept[: -len(extra)]:
+                want = plain_scores(own, r["text"] or "")
+                assert np.allclose([scored[r["doc_id"]][f"p_{c}"] for c in own.cats], want, atol=1e-9)
+        elif name == "ngram_jaccard":
+            assert sorted(map(repr, got)) == plain_kept(kept)
+        elif name == "secret_scan":
+            want = [r.asDict() | {"text": r["text"] and plain_redacted(r["text"])} for r in kept]
+            assert sorted(repr(r.asDict()) for r in got) == sorted(map(repr, want)) and any("[secret]" in (r["text"] or "") for r in got)
+        elif name == "mixing":
+            con = duckdb.connect()
+            con.register("documents", before.toPandas().astype({"doc_id": "int64"}))
+            want = collections.Counter()
+            for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({mixing.ORACLE_SQL})").fetchall():
+                want[i] += int(taken / size + 0.5) if size else 1
+            assert +collections.Counter(r["doc_id"] for r in got) == +want
         else:
-            assert out.count() == before.count()
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+            enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            want = [(r["doc_id"], r["source"], enc.encode_ordinary(r["text"] or "")) for r in kept]
+            assert sorted(map(repr, ((r["doc_id"], r["source"], r["ids"]) for r in got))) == sorted(map(repr, want))
+            break
+        assert out.columns == docs.columns, name
+        assert {repr(r) for r in got} <= {repr(r) for r in kept} or name == "secret_scan"
+        before, kept = spark.createDataFrame(got, docs.schema), got
+    none = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
 
 
 def test_oracles(spark, sf):
