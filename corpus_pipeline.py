@@ -57,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    read: list[str] = []
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(*read)  # the stage that read it is written
+        read = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
