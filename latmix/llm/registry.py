@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, embed_dedup, jaccard, mixing, pii, quality, secrets, suffix, toxicity
+from . import ann, bpe, embed_dedup, fim, jaccard, lexical, mixing, pii, quality, rules, secrets, suffix, toxicity
 
-MODULES = (bpe, secrets, toxicity, embed_dedup, ann, quality, jaccard, pii, suffix, mixing)
+MODULES = (bpe, secrets, toxicity, embed_dedup, ann, quality, jaccard, pii, suffix, mixing, fim, lexical, rules)
 
 
 def queries():
