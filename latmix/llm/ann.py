@@ -18,7 +18,9 @@ The stated query set meets all rows in blocks: blocks of queries and of rows are
 Vectors that are null, zero, or hold null or non-finite components take no part. An inner product is
 of vectors of one length: each length is searched by itself. Components may be huge; a product that
 no double holds is infinite. Fewer than k candidates: all of them. Ties go to the smaller vec_id.
-Repeated rows are candidates of their own. An empty table: no rows. Other columns are ignored.
+A row is known by its place in its written block, not by its id: repeated rows are queries of their
+own, each with its own ranks, and candidates for each other. An empty table: no rows. Other columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -103,6 +105,17 @@ class Index:
         return rows[far <= radius], far
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products; where a sum overflows on the way, of vectors that are scaled to 1 first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("ij,j->i", x, q)
+        odd = np.flatnonzero(~np.isfinite(score))
+        if len(odd):
+            scale, own = np.abs(x[odd]).max(1), np.abs(q).max()
+            score[odd] = np.einsum("ij,j->i", x[odd] / scale[:, None], q / own) * scale * own
+    return score
+
+
 def _search(codes: Codes, k: int):
     radii = codes.radii()
 
@@ -112,36 +125,42 @@ def _search(codes: Codes, k: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
-                read = lambda s: (np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"x_{s}"]).reshape(-1, row["d"]))
-                (q_ids, q), (ids, x) = read("q"), read("r")
+                read = lambda s: (np.frombuffer(row[f"keys_{s}"], np.int64), np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"x_{s}"]).reshape(-1, row["d"]))
+                (q_keys, q_ids, q), (keys, ids, x) = read("q"), read("r")
                 index, q_codes = Index(codes.of(x)), codes.of(q, True)
                 out = []
                 for n in range(len(q)):
                     rows, _ = index.within(q_codes[n], codes.radius, radii)
-                    rows = rows[ids[rows] != q_ids[n]]
+                    rows = rows[keys[rows] != q_keys[n]]
                     if len(rows) < k:
                         far = np.bitwise_count(index.words ^ np.ascontiguousarray(q_codes[n]).view(np.uint64)).sum(1)
-                        rows = np.argsort(far, kind="stable")[: 2 * k + 1]
-                        rows = rows[ids[rows] != q_ids[n]]
-                    with np.errstate(over="ignore", invalid="ignore"):
-                        score = np.einsum("ij,j->i", x[rows], q[n])
+                        rows = np.flatnonzero(far <= np.partition(far, min(2 * k, len(far) - 1))[min(2 * k, len(far) - 1)])  # with all as far as the last
+                        rows = rows[keys[rows] != q_keys[n]]
+                    score = products(x[rows], q[n])
                     best = np.lexsort((ids[rows], -score))[:k]
-                    out.append((np.full(len(best), q_ids[n]), ids[rows[best]], score[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    out.append((np.full(len(best), q_keys[n]), np.full(len(best), q_ids[n]), ids[rows[best]], score[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
 def blocks(rows: DataFrame, number: int, name: str) -> DataFrame:
-    """(block, ids, x, d): rows dealt over so many blocks by hash, each block one row."""
+    """(block, d, keys, ids, asks, x): rows dealt over so many blocks by hash, each block one row.
+
+    rows: vec_id, x, asks, and key where rows have one; else block and place in it are a row's key.
+    """
+    keyed = "key" in rows.columns
 
     def pack(batches):
         import pyarrow as pa
 
-        held, x, key = [], [], None
+        held, key = [], None
+
         def block():
-            m = np.concatenate(x)
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([m.shape[1]], pa.int32()), pa.array([np.concatenate(held).astype(np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["block", "d", "ids", "x"])
+            ids, asks, keys, x = (np.concatenate(c) for c in zip(*held))
+            keys = keys if keyed else (key << 32) + np.arange(len(ids))
+            parts = [keys.astype(np.int64).tobytes(), ids.astype(np.int64).tobytes(), asks.astype(bool).tobytes(), x.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x.shape[1]], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["block", "d", "keys", "ids", "asks", "x"])
 
         for batch in batches:
             b = batch.column("block").to_numpy()
@@ -149,45 +168,64 @@ def blocks(rows: DataFrame, number: int, name: str) -> DataFrame:
             for s, e in zip(starts, [*starts[1:], len(b)]):
                 if held and key != b[s]:
                     yield block()
-                    held, x = [], []
+                    held = []
                 key = int(b[s])
-                held.append(batch.column("vec_id").slice(s, e - s).to_numpy())
-                x.append(matrix(batch.column("x").slice(s, e - s)))
+                part = batch.slice(s, e - s)
+                held.append((*(part.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "asks", "key")), matrix(part.column("x"))))
         if held:
             yield block()
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(number))).repartition("block").sortWithinPartitions("block")
-    made = dealt.select("block", F.col("vec_id").cast("long").alias("vec_id"), "x").mapInArrow(pack, "block long, d int, ids binary, x binary")
-    return made.select(F.col("block").alias(name), "d", F.col("ids").alias(f"ids_{name}"), F.col("x").alias(f"x_{name}"))
+    dealt = dealt.select("block", F.col("vec_id").cast("long").alias("vec_id"), "asks", F.col("key") if keyed else F.lit(0).cast("long").alias("key"), "x")
+    made = dealt.mapInArrow(pack, "block long, d int, keys binary, ids binary, asks binary, x binary")
+    return made.select(F.col("block").alias(name), "d", *(F.col(c).alias(f"{c}_{name}") for c in ("keys", "ids", "asks", "x")))
+
+
+def asking(made: DataFrame) -> DataFrame:
+    """(vec_id, x, asks, key) of the rows of blocks that ask."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                asks = np.frombuffer(row["asks_r"], bool)
+                x = np.frombuffer(row["x_r"]).reshape(-1, row["d"])[asks]
+                ids, keys = (np.frombuffer(row[c], np.int64)[asks] for c in ("ids_r", "keys_r"))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * row["d"], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), lists, pa.array(np.ones(len(x), bool)), pa.array(keys)], names=["vec_id", "x", "asks", "key"])
+
+    return made.mapInArrow(run, "vec_id long, x array<double>, asks boolean, key long")
 
 
 def search(spark: SparkSession, embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found, by inner product."""
     scratch = Scratch(spark, "ann")
     x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", x.alias("x"))
+    rows = embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.withColumn("d", F.size("x"))
     largest = F.array_max(F.transform("x", F.abs))
-    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(largest).alias("scale"), F.sum(F.when(is_query, 1).otherwise(0)).alias("queries")).where("queries > 0").orderBy("d").collect()  # a row a length
-    found = [_of_length(spark, rows.where(F.col("d") == s["d"]), s, is_query, k, scratch) for s in sizes]
+    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(largest).alias("scale"), F.sum(F.col("asks").cast("int")).alias("queries")).where("queries > 0").orderBy("d").collect()  # a row a length
+    found = [_of_length(spark, rows.where(F.col("d") == s["d"]), s, k, scratch) for s in sizes]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("d", "query").orderBy(F.desc("score"), "vec_id"))
     return reduce(DataFrame.union, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _of_length(spark: SparkSession, rows: DataFrame, size, is_query, k: int, scratch: Scratch) -> DataFrame:
-    """(query_id, vec_id, score): nearest rows of each block, among vectors of one length."""
+def _of_length(spark: SparkSession, rows: DataFrame, size, k: int, scratch: Scratch) -> DataFrame:
+    """(query, query_id, vec_id, score, d): nearest rows of each block, among vectors of one length."""
     d = size["d"]
     top = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.pow(v / F.lit(size["scale"]), 2))))).head()[0]
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()])
     codes = Codes(sample, size["scale"], top, k)
     n_q, n_r = -(-size["queries"] // QUERY_BLOCK), -(-size["n"] // ROW_BLOCK)
-    q = scratch.keep(blocks(rows.where(is_query), n_q, "q").drop("d"), f"queries-{d}")
     r = scratch.keep(blocks(rows, n_r, "r"), f"rows-{d}")
+    q = scratch.keep(blocks(asking(r), n_q, "q").drop("d", "asks_q"), f"queries-{d}")
+    r = r.drop("asks_r")
     pairs = spark.range(n_q * n_r).select((F.col("id") % n_q).alias("q"), F.expr(f"id div {n_q}").alias("r"))
     met = pairs.join(q, "q").join(r, "r").repartition("q", "r")
-    return met.mapInArrow(lean(_search(codes, k)), "query_id long, vec_id long, score double")
+    return met.mapInArrow(lean(_search(codes, k)), "query long, query_id long, vec_id long, score double").withColumn("d", F.lit(d))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

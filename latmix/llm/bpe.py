@@ -261,15 +261,21 @@ def _packed(batches):
 
 
 class Known:
-    """The table of folded words, by hash: about 40 bytes a word. What finds words and what holds their ids go to different tasks."""
+    """The table of folded words, by hash: about 40 bytes a word. What finds words and what holds their ids go to different tasks.
 
-    def __init__(self, rows):
-        """rows: in the order of their hashes."""
+    What goes to tasks are arrays: a broadcast is pickled by reference, and workers need not have this package.
+    """
+
+    def __init__(self, hashes: np.ndarray, text: np.ndarray, ends: np.ndarray):
+        self.hashes, self.text, self.ends = hashes, text, ends
+
+    @classmethod
+    def of(cls, rows) -> "Known":
+        """rows: in the order of their hashes. ids: those of all words, and where each word's begin."""
         read = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows]) if rows else np.zeros(0, kind)
-        self.hashes, self.text = read("hashes", np.int64), read("words", np.uint8)
-        self.ends = np.append(0, np.cumsum(read("lengths", np.int32), dtype=np.int64))
-        #: The ids of all words, and where each word's begin.
-        self.ids = read("ids", np.uint16), np.append(0, np.cumsum(read("sizes", np.int32))).astype(np.int32)
+        out = cls(read("hashes", np.int64), read("words", np.uint8), np.append(0, np.cumsum(read("lengths", np.int32), dtype=np.int64)))
+        out.ids = read("ids", np.uint16), np.append(0, np.cumsum(read("sizes", np.int32))).astype(np.int32)
+        return out
 
     def find(self, words) -> np.ndarray:
         """The number of each word of an Arrow array of distinct words, -1 for those not in the table."""
@@ -311,7 +317,7 @@ def known_words(docs: DataFrame, tables: Tables, pattern: str, most: int) -> Kno
     packed = chosen.limit(0) if least == 1 << 20 and rows > most else chosen
     packed = packed.select(F.xxhash64("word").alias("hash"), "word").repartitionByRange("hash").sortWithinPartitions("hash")
     packed = packed.select("hash", "word", fold_word(F.col("word"), tables).alias("ids")).mapInArrow(lean(_packed), "hashes binary, lengths binary, sizes binary, ids binary, words binary")
-    known = Known(packed.collect())  # at most so many words
+    known = Known.of(packed.collect())  # at most so many words
     scratch.drop("counts")
     give_back()
     return known
@@ -323,7 +329,7 @@ def _coded(held, keep: list[str]):
     def run(batches):
         import pyarrow as pa
 
-        known = held.value
+        known = Known(*held.value)
         for batch in batches:
             sizes = batch.column(len(keep)).value_lengths().to_numpy().astype(np.int64)
             block = np.cumsum(sizes) // PART
@@ -394,8 +400,8 @@ def encode(docs: DataFrame, tables: Tables, pattern: str, *keep: str, digests: b
     the ids as little-endian 32-bit integers and of the bytes they decode to, before the ids."""
     spark = docs.sparkSession
     known = known_words(docs, tables, pattern, most)
-    ids_of, known.ids = spark.sparkContext.broadcast(known.ids), None
-    held = spark.sparkContext.broadcast(known)
+    ids_of, held = spark.sparkContext.broadcast(known.ids), spark.sparkContext.broadcast((known.hashes, known.text, known.ends))
+    del known
     words, = unused(keep, "words")
     blocks = docs.select(*keep, pre_tokens(spark, text_or_empty(), pattern).alias(words))
     blocks = blocks.mapInArrow(lean(_coded(held, list(keep))), "kept binary, sizes binary, codes binary, own array<string>")

@@ -228,3 +228,67 @@ def test_oracles(spark, sf):
         want = con.execute(m.ORACLE[name])
         assert [d[0] for d in want.description] == df.columns
         assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, want.fetchall()))
+
+
+# workers and repeated rows --------------------------------------------------------------------------
+BARE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+
+def held(batches):
+    import importlib.util
+    for b in batches:
+        assert importlib.util.find_spec("latmix") is None
+        yield b
+
+spark.range(4).mapInArrow(held, "id long").count()
+import __spark_entry__
+from corpus_pipeline import encode
+docs = spark.read.parquet(sys.argv[3] + "/documents.parquet").limit(40)
+names = [n for n in __spark_entry__.queries() if n[:4] in ("op1_", "op11", "op12")]
+for name in names:
+    assert __spark_entry__.queries()[name](spark, sys.argv[3]).count() > 0
+assert len(names) == 3 and encode(spark, docs, sys.argv[3]).count() == 40
+print("fine")
+"""
+
+
+def test_workers_need_not_have_the_package(spark, sf, tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_ENV_LOADED", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    repo = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", BARE, repo, str(tmp_path), sf], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-3000:]
+
+
+def test_neighbours_of_repeated_rows(spark, monkeypatch):
+    from latmix.llm import ann
+
+    monkeypatch.setattr(ann, "ROW_BLOCK", 40)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 6))
+    x[30:40] = x[0]  # ties
+    rows = [(i, x[i].tolist()) for i in range(90)] + [(20, x[20].tolist()), (20, x[20].tolist()), (20, x[7].tolist()), (None, x[3].tolist()), (91, [1e308] * 3 + [-1e308] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("block", "query", "key", "ids_q", "rank", "x", "d", "asks")})
+    for k in (5, 200):
+        want = []
+        own = [r for r in rows if r[0] is not None]
+        for n, (i, q) in enumerate(own):
+            if i % 20 == 0:
+                score = ann.products(np.array([v for _, v in own]), np.array(q))
+                near = sorted((-score[m], j) for m, (j, _) in enumerate(own) if m != n)[:k]
+                want += [(i, r, j, f"{-s:.9g}") for r, (s, j) in enumerate(near, 1)]
+        monkeypatch.setattr(ann, "TARGET", 1.0)
+        got = [(r["query_id"], r["rank"], r["vec_id"], f"{r['score']:.9g}") for r in ann.search(spark, frame, F.col("vec_id") % 20 == 0, k).collect()]
+        if k == 200:
+            assert sorted(got) == sorted(want)
+        assert len(got) == len(want) and len(set(want) & set(got)) >= 0.9 * len(set(want))
+    big = ann.products(np.array([[1e308, 1e308, -1e308], [1e308, -1e308, 0.0], [3.0, 0.5, 0.0]]), np.array([1e10, 1e10, 1e10]))
+    assert list(big) == [float("inf"), 0.0, 3.5e10]
