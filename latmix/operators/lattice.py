@@ -8,7 +8,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-AXES = ("i", "j", "k")
+from . import splines
+from .splines import AXES
 
 
 def lattice(spark: SparkSession, dim) -> DataFrame:
@@ -66,6 +67,9 @@ def source_index(i: Column, n: int, method: str) -> Column:
     if method == "symmetric":
         r = F.pmod(i - 1, F.lit(2 * n))
         return F.when(r < n, r + 1).otherwise(2 * n - r)
+    if method == "mirror":  # at the outermost centres
+        r = F.pmod(i - 1, F.lit(max(2 * n - 2, 1)))
+        return F.when(r < n, r + 1).otherwise(2 * n - 1 - r)
     if method == "constant":
         return F.when(i.between(1, n), i)
     raise ValueError(f"unknown padding {method}")
@@ -120,36 +124,36 @@ def mm_to_voxel(warp: DataFrame, vs) -> DataFrame:
 
 
 def sample(img: DataFrame, warp: DataFrame, dim, values=("v",), degree: int = 1, bnd: str = "circular") -> DataFrame:
-    """img's values at the warp's places (in voxels): nearest (0) or trilinear (1).
+    """img's values at the warp's places (in voxels) by splines of degree 0 (nearest), 1 (trilinear) to 7."""
+    return splines.sample(img, warp, dim, values, degree, bnd)
 
-    Every place joins its one or eight neighbours by index; their weighted values meet again by voxel
-    and are added in the corners' order, whatever order they come in. A constant boundary makes what
-    lies outside 0.
+
+def compose(*chain, dim=None, vs=(1.0, 1.0, 1.0), degree: int = 1, bnd: str = "circular") -> DataFrame:
+    """The chain's transforms one after another, the last one first: (i, j, k, y1, y2, y3).
+
+    A link is a 4 x 4 affine or a warp; a warp may come with its own lattice and voxel size, as (warp,
+    dim, vs). Warps give places in mm. Affines in a row are multiplied first, so a chain costs one
+    sampling for each warp but the last: its displacement is sampled where the later links point, with
+    the given boundary, and added. The last link is a warp, and its lattice that of the result.
     """
-    y = [F.col(f"y{n}") for n in (1, 2, 3)]
-    if degree == 0:
-        at = warp.withColumns({f"s{a}": source_index(F.floor(c + 0.5).cast("int"), n, bnd).cast("int") for a, c, n in zip(AXES, y, dim)}).withColumn("w", F.lit(1.0)).withColumn("corner", F.lit(0))
-    elif degree == 1:
-        corners = []
-        for number, c in enumerate(itertools.product((0, 1), repeat=3)):
-            weight = F.lit(1.0)
-            for u, v in zip(c, y):
-                weight = weight * ((v - F.floor(v)) if u else (1 - (v - F.floor(v))))
-            corners.append(F.struct(*(source_index((F.floor(v) + u).cast("int"), n, bnd).cast("int").alias(f"s{a}") for a, v, u, n in zip(AXES, y, c, dim)), weight.alias("w"), F.lit(number).alias("corner")))
-        at = warp.select(*AXES, F.explode(F.array(*corners)).alias("x")).select(*AXES, "x.*").where("w <> 0")
-    else:
-        raise ValueError("nearest and trilinear sampling only")
-    src = img.select(*(F.col(a).alias(f"s{a}") for a in AXES), *values)
-    joined = at.join(src, [f"s{a}" for a in AXES], "left")
-    part = lambda v, n: F.coalesce(F.max(F.when(F.col("corner") == n, F.col("w") * F.coalesce(v, F.lit(0.0)))), F.lit(0.0))
-    return joined.groupBy(*AXES).agg(*(sum((part(v, n) for n in range(1, 8 if degree else 1)), part(v, 0)).alias(v) for v in values))
-
-
-def compose(first: DataFrame, second: DataFrame, dim) -> DataFrame:
-    """first(second(x)) in voxels: first's displacement is sampled where second points, and added."""
-    d = first.select(*AXES, *((F.col(f"y{n + 1}") - F.col(a)).alias(f"u{n + 1}") for n, a in enumerate(AXES)))
-    got = sample(d, second, dim, ("u1", "u2", "u3"))
-    return second.join(got, list(AXES)).select(*AXES, *((F.col(f"y{n}") + F.col(f"u{n}")).alias(f"y{n}") for n in (1, 2, 3)))
+    links = [c if isinstance(c, tuple) else (c, dim, vs) for c in chain]
+    if not links or not isinstance(links[-1][0], DataFrame):
+        raise ValueError("the last link gives the lattice: it must be a warp")
+    out, affine = links[-1][0], np.eye(4)
+    flush = lambda w: w if (affine == np.eye(4)).all() else transform_warp(w, affine)
+    for link, own_dim, own_vs in reversed(links[:-1]):
+        if not isinstance(link, DataFrame):
+            affine = np.asarray(link, float) @ affine
+            continue
+        if own_dim is None:
+            raise ValueError("the lattice of a warp that is sampled must be given")
+        out, affine = flush(out), np.eye(4)
+        moved = link.select(*AXES, *((F.col(f"y{n + 1}") - F.col(a) * F.lit(float(s))).alias(f"u{n + 1}") for n, (a, s) in enumerate(zip(AXES, own_vs))))
+        # the places ride along, so the sampled displacement need not be joined back
+        places = mm_to_voxel(out.withColumns({f"x{n}": F.col(f"y{n}") for n in (1, 2, 3)}), own_vs)
+        got = splines.sample(moved, places, own_dim, ("u1", "u2", "u3"), degree, bnd, keep=(*AXES, "x1", "x2", "x3"))
+        out = got.select(*AXES, *((F.col(f"x{n}") + F.col(f"u{n}")).alias(f"y{n}") for n in (1, 2, 3)))
+    return flush(out)
 
 
 # headers and boxes ---------------------------------------------------------------------------------

@@ -135,35 +135,80 @@ def stencil(n: int, vs: float, direction: int, bnd: str) -> np.ndarray:
     return out
 
 
-def kronecker(spark: SparkSession, lat, lines: dict[int, np.ndarray], by: float = 1.0) -> DataFrame:
-    """The product over dimensions of small line matrices (identity where none is given), times a number.
+#: A line this long has every kind of row: three at each edge and those between, which are alike.
+LINE = 7
 
-    Every row of the lattice looks up its lines' entries, so there is no join and no shuffle.
-    """
-    out = spark.range(math.prod(lat)).select(F.col("id").alias("row"), F.lit(0).cast("long").alias("col"), F.lit(float(by)).alias("val"))
-    for d in range(len(lat)):
-        c, step = _coordinate(F.col("row"), lat, d), math.prod(lat[:d])
-        if d not in lines:
-            out = out.withColumn("col", F.col("col") + c * step)
-            continue
-        rows = F.array(*(F.array(*(F.struct(F.lit(int(j)).alias("j"), F.lit(float(r[j])).alias("v")) for j in np.flatnonzero(r))).cast("array<struct<j:int,v:double>>") for r in lines[d]))
-        out = out.withColumn("e", F.explode(F.get(rows, c.cast("int")))).select("row", (F.col("col") + F.col("e.j") * step).alias("col"), (F.col("val") * F.col("e.v")).alias("val"))
+
+def _by_class(matrix: np.ndarray, wraps: bool) -> np.ndarray:
+    """classes x (2 LINE - 1): a line matrix by class of row and offset of column."""
+    m = len(matrix)
+    out = np.zeros((m, 2 * LINE - 1))
+    for k, j in zip(*np.nonzero(matrix)):
+        o = (j - k + m // 2) % m - m // 2 if wraps else j - k
+        out[k, o + LINE - 1] += matrix[k, j]
     return out
 
 
+def stencils(spark: SparkSession, lat, blocks: dict, bnd: str) -> DataFrame:
+    """(row, col, val) of sums of products over dimensions of line matrices.
+
+    blocks: (row component, column component) -> list of ({dimension: line matrix}, factor), the
+    matrices for lines of min(LINE, side) voxels with bands of at most two on each side; identity where
+    none is given. All terms of a block are added here, for every class of row: the table of classes
+    and offsets is bounded by LINE, whatever the lattice, and every row looks its entries up in it, so
+    nothing is shuffled.
+    """
+    d, n = len(lat), math.prod(lat)
+    small = [min(LINE, x) for x in lat]
+    wraps = [bnd == CIRCULANT and x > LINE for x in lat]
+    unit = [_by_class(np.eye(m), w) for m, w in zip(small, wraps)]
+    entries = []
+    for (c, e), terms in blocks.items():
+        total = 0.0
+        for lines, by in terms:
+            part = np.full((1, 1), by)
+            for i in range(d):  # classes of the first dimensions x offsets of these
+                part = np.kron(_by_class(lines[i], wraps[i]) if i in lines else unit[i], part)
+            total = total + part
+        if np.ndim(total):
+            rows, cols = np.nonzero(np.abs(total) > 1e-300)
+            entries.append((np.full(len(rows), c), np.full(len(rows), e), rows, cols, total[rows, cols]))
+    names = ["c", "kind", "e", "offset", "val"]
+    schema = "c long, kind long, e long, offset long, val double"
+    if not entries:
+        return spark.createDataFrame([], "row long, col long, val double")
+    import pandas as pd
+
+    c, e, kind, offset, val = (np.concatenate(x) for x in zip(*entries))
+    table = spark.createDataFrame(pd.DataFrame(dict(zip(names, (c, kind, e, offset, val)))), schema)
+    rows = spark.range(n * max(c + 1)).select(F.col("id").alias("row"), F.expr(f"id div {n}").alias("c"), F.pmod("id", F.lit(n)).alias("voxel"))
+    kind, step = F.lit(0).cast("long"), 1
+    for i, m in enumerate(small):
+        at = _coordinate(F.col("voxel"), lat, i)
+        own = at if lat[i] <= LINE else F.when(at < LINE // 2, at).when(at >= lat[i] - LINE // 2, at - lat[i] + LINE).otherwise(LINE // 2)
+        kind, step = kind + own * step, step * m
+    met = rows.withColumn("kind", kind).join(F.broadcast(table), ["c", "kind"])  # bounded by LINE
+    col = F.col("e") * n
+    for i in range(d):
+        o = F.pmod(F.expr(f"offset div {(2 * LINE - 1) ** i}"), F.lit(2 * LINE - 1)) - (LINE - 1)
+        there = _coordinate(F.col("voxel"), lat, i) + o
+        col = col + (F.pmod(there, F.lit(lat[i])) if wraps[i] else there) * math.prod(lat[:i])
+    return met.select("row", col.cast("long").alias("col"), "val")
+
+
 def precision(spark, lat, vs, param=DEFAULT_PARAM, bnd: str = NEUMANN, diffeo: bool = False) -> DataFrame:
     """Regulariser of a displacement field: absolute, membrane, bending and linear-elastic terms.
 
     Derivative terms are means over the one-sided directions of each dimension; as the directions of
     different dimensions are independent, every term is a product over dimensions of line matrices.
     """
-    n, d = math.prod(lat), len(lat)
+    d = len(lat)
     absolute, membrane, bending, mu, lam = param
-    sides = [[stencil(lat[i], vs[i], s, bnd) for s in (1, -1)] for i in range(d)]
+    sides = [[stencil(min(LINE, lat[i]), vs[i], s, bnd) for s in (1, -1)] for i in range(d)]
     mean = [sum(g) / 2 for g in sides]
     square = [sum(g.T @ g for g in gs) / 2 for gs in sides]
     fourth = [sum((g.T @ g) @ (g.T @ g) for g in gs) / 2 for gs in sides]
-    parts = []
+    blocks = {}
     for c in range(d):
         for e in range(d):
             terms = []
@@ -182,8 +227,8 @@ def precision(spark, lat, vs, param=DEFAULT_PARAM, bnd: str = NEUMANN, diffeo: b
                     terms.append(({e: mean[e].T, c: mean[c]}, mu))
                 if lam:
                     terms.append(({c: mean[c].T, e: mean[e]}, lam))
-            parts += [shift(kronecker(spark, lat, lines, by * (vs[c] * vs[e] if diffeo else 1.0)), c * n, e * n) for lines, by in terms]
-    return add(*parts)
+            blocks[c, e] = [(lines, by * (vs[c] * vs[e] if diffeo else 1.0)) for lines, by in terms]
+    return stencils(spark, lat, blocks, bnd).where("val <> 0")
 
 
 def kernel(op: DataFrame, lat, component: int = 0) -> DataFrame:

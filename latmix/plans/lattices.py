@@ -105,7 +105,7 @@ _NEAREST = f"WITH f AS (SELECT * FROM {_FULL}) SELECT a.i, a.j, a.k, {rs('b.v')}
 
 def warp_compose(spark, sf_dir):
     one, two = (lattice.translation_warp(spark, t, DIM) for t in ([1.0, 0.0, 0.5], [0.25, 2.0, 0.0]))
-    return lattice.compose(one, two, DIM).select("i", "j", "k", *(r(f"y{n}").alias(f"y{n}") for n in (1, 2, 3)))
+    return lattice.compose(one, two, dim=DIM).select("i", "j", "k", *(r(f"y{n}").alias(f"y{n}") for n in (1, 2, 3)))
 
 
 M = np.array([[2.0, 0, 0, -5], [0, 1.0, 0, 3], [0, 0, 1.5, 0], [0, 0, 0, 1]])
@@ -137,21 +137,36 @@ def slice_central(spark, sf_dir):
     return lattice.central_slice(volume(spark, sf_dir), DIM, "j").select("i", "j", "k", r("v").alias("v"))
 
 
-# sparse operators on a small lattice; the oracle writes them as sums over neighbours -------------------
-LAT, VS = (4, 3, 2), (0.5, 0.4, 0.3)
-_CELLS = "(SELECT i + 4 * j + 12 * k AS id, i, j, k FROM range(4) a(i), range(3) b(j), range(2) c(k))"
+# sparse operators, applied to the volume; the oracle writes them as sums over neighbours ------------------
+LAT, VS, N = DIM, (0.5, 0.4, 0.3), math.prod(DIM)
+_CELLS = f"(SELECT i + {LAT[0]} * j + {LAT[0] * LAT[1]} * k AS id, i, j, k FROM range({LAT[0]}) a(i), range({LAT[1]}) b(j), range({LAT[2]}) c(k))"
+_INDEX = f"(i - 1 + {LAT[0]} * (j - 1) + {LAT[0] * LAT[1]} * (k - 1))"
 
 
-def _coo(build):
+def field(spark, sf_dir, components: int):
+    """(idx, v): the volume as each component of a vector field, by growing factors."""
+    v = volume(spark, sf_dir).select(F.expr(_INDEX).alias("at"), "v", F.explode(F.array(*(F.lit(c) for c in range(components)))).alias("c"))
+    return v.select((F.col("at") + F.col("c") * N).cast("long").alias("idx"), (F.col("v") * (1 + F.col("c") * 0.5)).alias("v"))
+
+
+def _field_sql(components):
+    return f"(SELECT {_INDEX} + c * {N} AS idx, v * (1 + c * 0.5e0) AS v FROM {_FULL}, (SELECT unnest(range({components})) AS c))"
+
+
+def _coo(build, components=1):
     def run(spark, sf_dir):
-        return build(spark).select("row", "col", r("val").alias("val"))
+        return sparse.spmv(build(spark), field(spark, sf_dir, components)).select("idx", r("v", half=OFF).alias("v"))
 
     return run
 
 
+def _apply_sql(text, components=1, of=None):
+    return f"WITH e AS (SELECT row, col, sum(val) AS val FROM ({text}) GROUP BY row, col) SELECT e.row::BIGINT AS idx, {rs('sum(e.val * f.v)', half=OFF)} AS v FROM e JOIN {of or _field_sql(components)} f ON e.col = f.idx WHERE abs(e.val) > 1e-12 GROUP BY e.row"
+
+
 def _g_sql(d, s, bnd):
     """(row, col, val) of a one-sided difference."""
-    a, n, step, vs = "ijk"[d], LAT[d], (1, 4, 12)[d], VS[d]
+    a, n, step, vs = "ijk"[d], LAT[d], math.prod(LAT[:d]), VS[d]
     there = f"({a} + {s})"
     inside = f"{there} BETWEEN 0 AND {n - 1}"
     other = f"id + (({there} + {n}) % {n} - {a}) * {step}" if bnd == "circulant" else f"id + {s * step}"
@@ -160,17 +175,10 @@ def _g_sql(d, s, bnd):
     return f"(SELECT id AS row, id AS col, {-s / vs!r}::DOUBLE AS val FROM {_CELLS} WHERE {keep_self} UNION ALL SELECT id, {other}, {s / vs!r}::DOUBLE FROM {_CELLS} WHERE {keep_other})"
 
 
-def _sum_sql(text):
-    return f"SELECT row, col, {rs('val')} AS val FROM (SELECT row, col, sum(val) AS val FROM ({text}) GROUP BY row, col) WHERE abs(val) > 1e-12"
-
-
 def _gtg_sql(i, si, j, sj, scale, row=0, col=0, bnd="neumann"):
     return f"SELECT a.col + {row} AS row, b.col + {col} AS col, {scale!r} * a.val * b.val AS val FROM {_g_sql(i, si, bnd)} a JOIN {_g_sql(j, sj, bnd)} b ON a.row = b.row"
 
 
-N = 24
-
-
 def _precision_sql(absolute, membrane, mu, lam):
     parts = [f"SELECT id + {c * N} AS row, id + {c * N} AS col, {absolute!r} AS val FROM {_CELLS}" for c in range(3)] if absolute else []
     for c in range(3):
@@ -187,11 +195,11 @@ def _precision_sql(absolute, membrane, mu, lam):
                         parts.append(_gtg_sql(e, se, c, sc, mu / share, c * N, e * N))
                     if lam:
                         parts.append(_gtg_sql(c, sc, e, se, lam / share, c * N, e * N))
-    return _sum_sql(" UNION ALL ".join(parts))
+    return _apply_sql(" UNION ALL ".join(parts), 3)
 
 
 def _jac_sql():
-    return _sum_sql(" UNION ALL ".join(f"SELECT row + {(c * 3 + j) * N} AS row, col + {c * N} AS col, val FROM {_g_sql(j, 1, 'neumann')}" for c in range(2) for j in range(3)))
+    return _apply_sql(" UNION ALL ".join(f"SELECT row + {(c * 3 + j) * N} AS row, col + {c * N} AS col, val FROM {_g_sql(j, 1, 'neumann')}" for c in range(2) for j in range(3)), 2)
 
 
 def _symjac_sql():
@@ -199,7 +207,7 @@ def _symjac_sql():
     for i in range(3):
         for j in range(3):
             parts += [f"SELECT row + {(i * 3 + j) * N} AS row, col + {i * N} AS col, 0.5 * val AS val FROM {_g_sql(j, 1, 'neumann')}", f"SELECT row + {(i * 3 + j) * N} AS row, col + {j * N} AS col, 0.5 * val AS val FROM {_g_sql(i, 1, 'neumann')}"]
-    return _sum_sql(" UNION ALL ".join(parts))
+    return _apply_sql(" UNION ALL ".join(parts), 3)
 
 
 _LAP = " UNION ALL ".join(_gtg_sql(i, 1, i, 1, -1.0) for i in range(3))
@@ -212,9 +220,20 @@ def spmv(spark, sf_dir):
 
 
 def precision_bending(spark, sf_dir):
-    """Kernel of the bending energy; its products of products are checked against numpy in the tests."""
-    op = sparse.precision(spark, (3, 3, 1), (0.5, 0.4, 0.3), (0, 0, 1.0, 0, 0))
-    return sparse.kernel(op, (3, 3, 1)).select("component", "idx", r("v").alias("v"))
+    """Kernel of the bending energy: its response to an impulse where the volume is largest."""
+    v = field(spark, sf_dir, 1)
+    impulse = v.withColumn("v", F.when(F.struct("v", "idx") == v.select(F.max(F.struct("v", "idx"))).scalar(), 1.0).otherwise(0.0))
+    return sparse.spmv(sparse.precision(spark, LAT, VS, (0, 0, 1.0, 0, 0)), impulse).select("idx", r("v", half=OFF).alias("v"))
+
+
+def _bending_sql():
+    """Products of products of one-sided differences."""
+    one = {(d, s): f"(SELECT row, col, sum(val) AS val FROM ({_gtg_sql(d, s, d, s, 1.0)}) GROUP BY row, col)" for d in range(3) for s in (1, -1)}
+    square = {d: f"(SELECT row, col, sum(val) AS val FROM (SELECT row, col, val / 2 AS val FROM {one[d, 1]} UNION ALL SELECT row, col, val / 2 FROM {one[d, -1]}) GROUP BY row, col)" for d in range(3)}
+    times = lambda a, b, by: f"SELECT a.row AS row, b.col AS col, {by} * a.val * b.val AS val FROM {a} a JOIN {b} b ON a.col = b.row"
+    parts = [times(one[d, s], one[d, s], 0.5) for d in range(3) for s in (1, -1)] + [times(square[d], square[e], 1) for d in range(3) for e in range(3) if d != e]
+    impulse = f"(SELECT idx, CASE WHEN row_number() OVER (ORDER BY v DESC, idx DESC) = 1 THEN 1e0 ELSE 0e0 END AS v FROM {_field_sql(1)})"
+    return _apply_sql(" UNION ALL ".join(parts), of=impulse)
 
 
 # bias --------------------------------------------------------------------------------------------------
@@ -255,10 +274,10 @@ QUERIES = {
     "warp_affine_mm2vox": warp_affine, "warp_trilinear": warp_trilinear, "resample_nn": resample_nearest, "warp_compose": warp_compose,
     "bbox_threshold": bbox_threshold, "crop": crop_box, "fov_mask": fov_mask, "header_geometry": headers, "central_slice": slice_central,
     **{f"coo_gradient_{b}": _coo(lambda s, b=b: sparse.gradient(s, LAT, VS, 1, -1 if b == "dirichlet" else 1, b)) for b in ("circulant", "neumann", "dirichlet")},
-    "coo_jacobian": _coo(lambda s: sparse.jacobian(s, LAT, VS, 2)), "coo_laplacian": _coo(lambda s: sparse.laplacian(s, LAT, VS)), "coo_hessian": _coo(lambda s: sparse.hessian(s, LAT, VS)),
-    "coo_divergence": _coo(lambda s: sparse.divergence(s, LAT, VS)), "coo_symjac": _coo(lambda s: sparse.symmetric_jacobian(s, LAT, VS)), "coo_euclidean": _coo(lambda s: sparse.euclidean(s, LAT, VS)),
-    "coo_precision_absolute": _coo(lambda s: sparse.precision(s, LAT, VS, (0.7, 0, 0, 0, 0))), "coo_precision_membrane": _coo(lambda s: sparse.precision(s, LAT, VS, (0, 0.5, 0, 0, 0))),
-    "coo_precision_elastic": _coo(lambda s: sparse.precision(s, LAT, VS, (0, 0, 0, 0.3, 0.2))),
+    "coo_jacobian": _coo(lambda s: sparse.jacobian(s, LAT, VS, 2), 2), "coo_laplacian": _coo(lambda s: sparse.laplacian(s, LAT, VS)), "coo_hessian": _coo(lambda s: sparse.hessian(s, LAT, VS)),
+    "coo_divergence": _coo(lambda s: sparse.divergence(s, LAT, VS), 3), "coo_symjac": _coo(lambda s: sparse.symmetric_jacobian(s, LAT, VS), 3), "coo_euclidean": _coo(lambda s: sparse.euclidean(s, LAT, VS), 3),
+    "coo_precision_absolute": _coo(lambda s: sparse.precision(s, LAT, VS, (0.7, 0, 0, 0, 0)), 3), "coo_precision_membrane": _coo(lambda s: sparse.precision(s, LAT, VS, (0, 0.5, 0, 0, 0)), 3),
+    "coo_precision_elastic": _coo(lambda s: sparse.precision(s, LAT, VS, (0, 0, 0, 0.3, 0.2)), 3),
     "coo_spmv": spmv, "coo_kernel_bending": precision_bending,
     "bias_reconstruct": bias_reconstruct, "bias_components": bias_components, "affine_basis": affine_basis, "linspace_vec": linspace_vec,
 }
@@ -275,10 +294,10 @@ ORACLE = {
     "fov_mask": f"SELECT i, j, k, {rs('CASE WHEN i - 1 >= 1 AND j + 2 <= 10 THEN v ELSE 0 END')} AS v FROM {_FULL}",
     "header_geometry": "SELECT * FROM (VALUES (1::INT, 2e0, -3e0, 5e0, -6e0), (2, 1e0, 4e0, 13e0, -5.5e0), (3, 1.5e0, 1.5e0, 7.5e0, -4.5e0)) t(axis, size, lo, hi, origin)",
     "central_slice": f"SELECT i, k AS j, 1::INT AS k, {rs('v')} AS v FROM {_FULL} WHERE j = 6",
-    **{f"coo_gradient_{b}": _sum_sql(f"SELECT * FROM {_g_sql(1, -1 if b == 'dirichlet' else 1, b)}") for b in ("circulant", "neumann", "dirichlet")},
-    "coo_jacobian": _jac_sql(), "coo_laplacian": _sum_sql(_LAP), "coo_hessian": _sum_sql(_HES),
-    "coo_divergence": _sum_sql(" UNION ALL ".join(f"SELECT row, col + {i * N} AS col, val FROM {_g_sql(i, 1, 'neumann')}" for i in range(3))), "coo_symjac": _symjac_sql(),
-    "coo_euclidean": " UNION ALL ".join(f"SELECT id + {i * N} AS row, id + {i * N} AS col, {v!r}::DOUBLE AS val FROM {_CELLS}" for i, v in enumerate(VS)),
+    **{f"coo_gradient_{b}": _apply_sql(f"SELECT * FROM {_g_sql(1, -1 if b == 'dirichlet' else 1, b)}") for b in ("circulant", "neumann", "dirichlet")},
+    "coo_jacobian": _jac_sql(), "coo_laplacian": _apply_sql(_LAP), "coo_hessian": _apply_sql(_HES), "coo_kernel_bending": _bending_sql(),
+    "coo_divergence": _apply_sql(" UNION ALL ".join(f"SELECT row, col + {i * N} AS col, val FROM {_g_sql(i, 1, 'neumann')}" for i in range(3)), 3), "coo_symjac": _symjac_sql(),
+    "coo_euclidean": _apply_sql(" UNION ALL ".join(f"SELECT id + {i * N} AS row, id + {i * N} AS col, {v!r}::DOUBLE AS val FROM {_CELLS}" for i, v in enumerate(VS)), 3),
     "coo_precision_absolute": _precision_sql(0.7, 0, 0, 0), "coo_precision_membrane": _precision_sql(0, 0.5, 0, 0), "coo_precision_elastic": _precision_sql(0, 0, 0.3, 0.2),
     # minus the gradient's adjoint of the gradient, by neighbours
     "coo_spmv": "WITH f AS (SELECT * FROM %s), n AS (SELECT *, %s FROM f) SELECT ((i - 1) + 5 * (j - 1) + 50 * (k - 1))::BIGINT AS idx, %s AS v FROM n" % (
