@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogues, clusters, distributions, extras, histograms, lattices, matrices, mixtures, warps
+from . import biases, catalogues, clusters, distributions, extras, histograms, lattices, matrices, mixtures, warps
 
-MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras, warps)
+MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras, warps, biases)
 
 
 def queries():
