@@ -70,3 +70,16 @@ def np_mv_digamma(x: float, p: int) -> float:
 
 def np_mv_lgamma(x: float, p: int) -> float:
     return p * (p - 1) / 4 * math.log(math.pi) + sum(math.lgamma(x + (1 - i) / 2) for i in range(1, p + 1))
+
+
+def np_trigamma(x: float) -> float:
+    total = 0.0
+    while x < 12:
+        total += 1 / (x * x)
+        x += 1
+    y = 1 / (x * x)
+    return total + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
+
+
+def np_mv_trigamma(x: float, p: int) -> float:
+    return sum(np_trigamma(x - i / 2) for i in range(p))

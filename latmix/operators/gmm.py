@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.special import np_digamma, np_mv_digamma, np_mv_lgamma
+from ..functions.special import np_digamma, np_mv_digamma, np_mv_lgamma, np_mv_trigamma
 from . import kmeans
 from .observations import ranges
 
@@ -121,16 +121,32 @@ def log_density(model: Mixture, cols: list[str], k: int, code: int, variance=Non
     return out
 
 
-def score(df: DataFrame, cols: list[str], model: Mixture, missing: bool = True, variance=None, label_logs: list[str] | None = None, log_mg=None, row_logpi: list[str] | None = None, name: str = "z") -> DataFrame:
+#: Channels up to which every pattern of gaps has its expression; with more, those that occur are looked up.
+ALL_CODES = 4
+
+
+def code_of(cols: list[str]) -> Column:
+    return sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+
+
+def observed_codes(df: DataFrame, cols: list[str]) -> list[int]:
+    """The patterns that expressions are built for: all of few channels, else those that occur (a pass; all on a stream)."""
+    if len(cols) <= ALL_CODES or df.isStreaming:
+        return list(range(1 << len(cols)))
+    return sorted(r[0] for r in df.select(code_of(cols).alias("code")).distinct().collect())
+
+
+def score(df: DataFrame, cols: list[str], model: Mixture, missing: bool = True, variance=None, label_logs: list[str] | None = None, log_mg=None, row_logpi: list[str] | None = None, name: str = "z", codes: list[int] | None = None) -> DataFrame:
     """df with ``name``: array of responsibilities, and ``log_evidence``. A projection; streams too.
 
-    A row with nothing observed gets the proportions. missing False: rows with a null get nulls.
+    codes: the patterns of gaps that occur (looked up by default). A row with nothing observed gets the proportions. missing False: rows with a null get nulls.
     label_logs: columns added to the clusters' log-probabilities; row_logpi: columns in place of the
     model's proportions; log_mg: weights of clusters within their class.
     """
     p, k = len(cols), len(model.mu)
-    code = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    code = code_of(cols)
     full = (1 << p) - 1
+    codes = (observed_codes(df, cols) if codes is None else codes) if missing else []
 
     def logp(i: int) -> Column:
         prior = F.col(row_logpi[i]) if row_logpi else F.lit(float(model.logpi[i]))
@@ -140,7 +156,7 @@ def score(df: DataFrame, cols: list[str], model: Mixture, missing: bool = True,
             prior = prior + F.col(label_logs[i])
         chain = F.when(F.col("__code") == full, log_density(model, cols, i, full, variance))
         if missing:
-            for c in range(1, full):
+            for c in sorted({*codes} - {0, full}):
                 chain = chain.when(F.col("__code") == c, log_density(model, cols, i, c, variance))
             chain = chain.when(F.col("__code") == 0, F.lit(0.0))
         return chain + prior
@@ -151,14 +167,29 @@ def score(df: DataFrame, cols: list[str], model: Mixture, missing: bool = True,
     return out.drop("__code", "__l", "__m", "__e", "__s")
 
 
-def infer_missing(scored: DataFrame, cols: list[str], model: Mixture, z: str = "z", suffix: str = "") -> DataFrame:
-    """Missing channels become sums over clusters of z times the conditional mean."""
+def normal_draw(seed: int, *parts) -> Column:
+    """A standard normal number that follows from the seed and the parts alone, whatever the partitions.
+
+    Box-Muller on two 48-bit pieces of a hash of them, colons between; a null counts as empty.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce((p if isinstance(p, Column) else F.lit(p)).cast("string"), F.lit("")) for p in parts))
+    piece = lambda at: (F.conv(F.substring(F.md5(text), at, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
+    return F.sqrt(-2 * F.log(piece(1))) * F.cos(F.lit(2 * math.pi) * piece(13))
+
+
+def infer_missing(scored: DataFrame, cols: list[str], model: Mixture, z: str = "z", suffix: str = "", sample: int | None = None, key: tuple = (), codes: list[int] | None = None) -> DataFrame:
+    """Missing channels become sums over clusters of z times the conditional mean.
+
+    sample: a seed; each cluster's mean then gets a draw from the conditional covariance of the row's
+    pattern, by the row's columns ``key``: rows of one key draw alike.
+    """
     p, full = len(cols), (1 << len(cols)) - 1
-    code = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    code = code_of(cols)
+    codes = [c for c in (observed_codes(scored, cols) if codes is None else codes) if c != full]
     values = {}
     for ci, c in enumerate(cols):
         chain = None
-        for code_value in range(full):
+        for code_value in codes:
             o, m = split(code_value, p)
             if ci not in m:
                 continue
@@ -169,6 +200,12 @@ def infer_missing(scored: DataFrame, cols: list[str], model: Mixture, z: str = "
                 mean = F.lit(float(model.mu[k, ci]))
                 for j, oj in enumerate(o):
                     mean = mean + F.lit(float(s[m.index(ci), j])) * (F.lit(float(model.mu[k, oj])) - F.col(cols[oj]))
+                if sample is not None:
+                    # the inverse of the precision's upper root: its square is the conditional covariance
+                    root = np.linalg.inv(np.linalg.cholesky(prec[np.ix_(m, m)]).T)[m.index(ci)]
+                    for j, mj in enumerate(m):
+                        if root[j]:
+                            mean = mean + F.lit(float(root[j])) * normal_draw(sample, *(F.col(x) for x in key), k, mj)
                 total = total + F.get(z, F.lit(k)) * mean
             chain = (F if chain is None else chain).when(code == code_value, total)
         values[c + suffix] = F.coalesce(F.col(c), chain) if chain is not None else F.col(c)
@@ -192,13 +229,13 @@ def suffstats(df: DataFrame, cols: list[str], z: list[Column], weight: Column |
 def _pass(df: DataFrame, cols, model: Mixture, weight, variance, log_mg, label_logs, row_logpi):
     """{code: (s0 K, s1 K x P, s2 K x P x P)}, sum of w z log p, of w z (log pi + ...), of w z log z."""
     p, k = len(cols), len(model.mu)
-    terms = {c: [pattern_terms(model, c, i) for i in range(k)] for c in range(1, 1 << p)}
     extra = [*([weight] if weight else []), *(label_logs or []), *(row_logpi or [])]
 
     def run(batches):
         import pyarrow as pa
 
         acc: dict[int, list] = {}
+        terms: dict[int, list] = {}  # of the patterns that occur
         for batch in batches:
             get = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
             x = np.stack([get(c) for c in cols], 1)
@@ -216,7 +253,9 @@ def _pass(df: DataFrame, cols, model: Mixture, weight, variance, log_mg, label_l
                 o = split(int(code), p)[0]
                 xo, wo = x[rows][:, o], w[rows]
                 logp = np.empty((len(xo), k))
-                for i, (A, const, _) in enumerate(terms[int(code)]):
+                if code not in terms:
+                    terms[code] = [pattern_terms(model, int(code), i) for i in range(k)]
+                for i, (A, const, _) in enumerate(terms[code]):
                     logp[:, i] = const - 0.5 * ((xo - 2 * model.mu[i, o]) @ A * xo).sum(1)
                     if variance is not None:
                         logp[:, i] -= 0.5 * (np.diag(A) * variance[o]).sum()
@@ -350,8 +389,47 @@ def initial(df: DataFrame, cols, k, method="kmeans", weight=None, prior: Prior |
     return Mixture(mu, np.tile(np.diag(spread ** (2 / p) / var), (k, 1, 1)), np.full(k, -math.log(k)))
 
 
-def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None = None, prior: Prior | None = None, start="kmeans", missing: bool = True, iterations: int = 1000, tolerance: float = 1e-4, bin_width=None, lkp=None, label_logs=None, row_logpi=None, fixed_pi: bool = False, seed: int = 0) -> Mixture:
-    """EM. start: a method's name or a Mixture. bin_width adds the variance of binned values."""
+#: Updates between two bounds of the sub-EM. Fixed value.
+UPDATES = 4
+
+
+def sub_em(stats: dict[int, list], model: Mixture, prior: Prior | None, iterations: int = 1024, tolerance: float = 1e-4, trace: list | None = None):
+    """(mu, A, b, V, n) of given statistics by pattern: responsibilities stay, what is missing is completed anew.
+
+    One pattern needs one update. A cluster whose precision turns out not positive definite keeps its
+    last one. trace: gets the bounds.
+    """
+
+    def bound(now: Mixture) -> float:
+        return marginal_sum(stats, now) - (kl_gauss_wishart(now, prior) if prior is not None and now.V is not None else 0.0)
+
+    now, bounds = model, [bound(model)]
+    for _ in range(iterations):
+        for _ in range(UPDATES if len(stats) > 1 else 1):
+            mu, A, b, V, n = update_clusters(*complete(stats, now.mu, now.A), prior)
+            for i in range(len(A)):
+                if not np.linalg.eigvalsh((A[i] + A[i].T) / 2).min() > 0:
+                    A[i] = now.A[i]
+                    if V is not None and now.V is not None:
+                        V[i], n[i] = now.V[i], now.n[i]
+            now = Mixture(mu, A, model.logpi, b, V, n, model.alpha)
+        bounds.append(bound(now))
+        step = bounds[-1] - bounds[-2]
+        if len(stats) == 1 or step <= np.finfo(np.float32).eps * abs(bounds[-1]) or step <= tolerance * (max(bounds[1:]) - min(bounds[1:])):
+            break
+    if trace is not None:
+        trace += bounds
+    return now.mu, now.A, now.b, now.V, now.n
+
+
+def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None = None, prior: Prior | None = None, start="kmeans", missing: bool = True, iterations: int = 1000, tolerance: float = 1e-4, bin_width=None, lkp=None, label_logs=None, row_logpi=None, fixed_pi: bool = False, seed: int = 0, sub_iterations: int = 1024, sub_tolerance: float = 1e-4, last_score: bool = True) -> Mixture:
+    """EM. start: a method's name or a Mixture. bin_width adds the variance of binned values.
+
+    A round passes over the rows once and then runs a fixed-point loop on the patterns' statistics (sub-EM:
+    clusters complete what is missing, and are updated by it) until its bound gains less than
+    sub_tolerance, or sub_iterations. last_score: if the rounds run out, the last model is scored too,
+    so that the last bound is of the model that is returned.
+    """
     rows = df if missing else df.na.drop("any", subset=cols)
     base = rows.select(*(F.col(c).cast("double").alias(c) for c in cols), *([F.col(weight).cast("double").alias(weight)] if weight else []), *(label_logs or []), *(row_logpi or [])).persist()
     variance = None if bin_width is None else np.broadcast_to(np.asarray(bin_width, float) ** 2 / 12, (len(cols),))
@@ -359,29 +437,31 @@ def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None
         model = start if isinstance(start, Mixture) else initial(base, cols, k, start, weight, prior, seed)
         k = len(model.mu)
         mg, bounds = None if lkp is None else class_weights(np.ones(k), lkp), []
-        for _ in range(iterations):
+        def passed(model, mg):
+            """Statistics of a pass, and the bound of the model that it scores with."""
             log_mg = None if mg is None else np.log(np.maximum(mg, EPS))
             stats, (lx, lz, entropy) = _pass(base, cols, model, weight, variance, log_mg, label_logs, row_logpi)
-            # the bound of the model that this pass has scored with
             bound = lx + lz - entropy
             if prior is not None and model.V is not None:
                 bound -= kl_gauss_wishart(model, prior)
                 if prior.alpha is not None and model.alpha is not None:
                     bound -= kl_dirichlet(model.alpha, prior.alpha)
             bounds.append(float(bound))
+            return stats
+
+        done = False
+        for _ in range(iterations):
+            stats = passed(model, mg)
             if len(bounds) > 2 and abs(bounds[-1] - bounds[-2]) <= tolerance * (max(bounds) - min(bounds)):
+                done = True
                 break
-            mu, A, b, V, n = model.mu, model.A, model.b, model.V, model.n
-            inner = 4 if len(stats) > 1 else 1
-            for _ in range(inner):
-                new = update_clusters(*complete(stats, mu, A), prior)
-                if any(np.linalg.eigvalsh((a + a.T) / 2).min() <= 0 for a in new[1]):
-                    break  # not positive definite: the last good one stays
-                mu, A, b, V, n = new
+            mu, A, b, V, n = sub_em(stats, model, prior, sub_iterations, sub_tolerance)
             s0 = sum(s[0] for s in stats.values())
             logpi, alpha = (model.logpi, model.alpha) if fixed_pi or row_logpi else update_proportions(s0, None if prior is None else prior.alpha)
             mg = None if lkp is None else class_weights(s0, lkp)
             model = Mixture(mu, A, logpi, b, V, n, alpha)
+        if last_score and not done and iterations:
+            passed(model, mg)
         model.bound = bounds
         return model
     finally:
@@ -456,8 +536,75 @@ def collapse_gaussians(model: Mixture, lkp) -> Mixture:
     return Mixture(*map(np.array, out))
 
 
+def wishart_order(mean: np.ndarray, elog: float) -> float:
+    """n of the Wishart with this mean whose expected log-determinant this is: psi_p(n / 2) - p log(n / 2) + log|mean| = elog, by bisection."""
+    p = len(mean)
+    gap = lambda n: np_mv_digamma(n / 2, p) - p * math.log(n / 2) + np.linalg.slogdet(mean)[1] - elog
+    lo, hi = p - 1 + 1e-6, 1e8
+    for _ in range(200):
+        mid = math.sqrt(lo * hi)
+        lo, hi = (mid, hi) if gap(mid) < 0 else (lo, mid)
+    return lo
+
+
+@dataclass
+class SharedPrior:
+    """A prior whose clusters' inverse scales are draws of one Wishart: V0, p0 of that, V and p of each cluster's, and the bound by round."""
+
+    prior: Prior
+    V0: np.ndarray
+    p0: float
+    V: np.ndarray
+    p: np.ndarray
+    bound: list
+
+
+def shared_hyper(models: list[Mixture], rounds: int = 200, tolerance: float = 1e-10) -> SharedPrior:
+    """Empirical Bayes with one Wishart over all clusters' inverse scale matrices.
+
+    Means and their strengths are those of ``update_hyper``. In turn: each cluster's posterior of the
+    inverse scale given the shared prior, p = p0 + S n0 and V^-1 = V0^-1 + the fits' summed mean
+    precisions; each cluster's n0 where the gradient of the expected likelihood is 0, by Newton with p
+    tied to it; then the shared V0 and p0 that make the posteriors most likely. It ends when the bound
+    (minus the divergences from the shared prior) gains less than tolerance of its size.
+    """
+    out = update_hyper(models)
+    k, d = models[0].mu.shape
+    s = len(models)
+    precision = np.array([[m.n[i] * m.V[i] for m in models] for i in range(k)])  # cluster, fit
+    total = precision.sum(1)
+    seen = np.array([np.mean([np.linalg.slogdet(m.V[i])[1] + np_mv_digamma(m.n[i] / 2, d) for m in models]) for i in range(k)])
+    p0, V0 = s * out.n.mean(), np.linalg.inv(precision).sum((0, 1)) / k / (s * out.n.mean())
+    V, p, bounds = np.zeros((k, d, d)), np.zeros(k), []
+    for _ in range(rounds):
+        for i in range(k):
+            V[i] = np.linalg.inv(np.linalg.inv(V0) + total[i])
+            n = out.n[i]
+            for _ in range(100):
+                p[i] = p0 + s * n
+                # the scale's expected log-determinant is minus that of its inverse
+                log_scale = -(np_mv_digamma(p[i] / 2, d) + d * math.log(2) + np.linalg.slogdet(V[i])[1])
+                g = 0.5 * s * (log_scale - seen[i] + np_mv_digamma(n / 2, d))
+                h = 0.25 * s * (np_mv_trigamma(n / 2, d) - s * np_mv_trigamma(p[i] / 2, d))
+                step = g / h if h > 0 else 4 * g / (s * np_mv_trigamma(n / 2, d))
+                new = max(n - step, (n + d - 1) / 2)
+                if abs(new - n) <= 1e-13 * n:
+                    break
+                n = new
+            out.n[i], p[i] = n, p0 + s * n
+            out.V[i] = np.linalg.inv(p[i] * V[i])
+        mean = np.einsum("i,ijk->jk", p, V) / k
+        elog = np.mean([np_mv_digamma(p[i] / 2, d) + d * math.log(2) + np.linalg.slogdet(V[i])[1] for i in range(k)])
+        p0 = wishart_order(mean, elog)
+        V0 = mean / p0
+        bounds.append(-sum(kl_wishart(V[i], p[i], V0, p0) for i in range(k)))
+        if len(bounds) > 1 and abs(bounds[-1] - bounds[-2]) <= tolerance * max(abs(bounds[-1]), 1e-300):
+            break
+    return SharedPrior(out, V0, p0, V, p, bounds)
+
+
 def update_hyper(models: list[Mixture], iterations: int = 50) -> Prior:
-    """Empirical Bayes: the Gauss-Wishart prior that makes the posteriors of several fits most likely."""
+    """Empirical Bayes: the Gauss-Wishart prior that makes the posteriors of several fits most likely, each cluster by itself."""
     k, p = models[0].mu.shape
     out = make_prior(k, p)
     for i in range(k):
@@ -468,14 +615,8 @@ def update_hyper(models: list[Mixture], iterations: int = 50) -> Prior:
         out.b[i] = len(models) * p / max(quad, EPS)
         mean_a = total / len(models)
         elog = np.mean([np_mv_digamma(m.n[i] / 2, p) + p * math.log(2) + np.linalg.slogdet(m.V[i])[1] for m in models])
-        # n solves psi_p(n / 2) - p log(n / 2) + log|mean A| = mean E log|A|, by bisection; V = mean A / n
-        gap = lambda n: np_mv_digamma(n / 2, p) - p * math.log(n / 2) + np.linalg.slogdet(mean_a)[1] - elog
-        lo, hi = p - 1 + 1e-6, 1e8
-        for _ in range(200):
-            mid = math.sqrt(lo * hi)
-            lo, hi = (mid, hi) if gap(mid) < 0 else (lo, mid)
-        out.n[i] = lo
-        out.V[i] = mean_a / lo
+        out.n[i] = wishart_order(mean_a, elog)
+        out.V[i] = mean_a / out.n[i]
     return out
 
 

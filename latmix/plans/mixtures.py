@@ -83,6 +83,105 @@ def _infer_sql():
     return f"SELECT l_linenumber, {cols} FROM ({_scored_sql(MODEL)}) GROUP BY l_linenumber"
 
 
+SEED, KEY = 7, ("l_orderkey", "l_linenumber")
+
+
+def gmm_sample_missing(spark, sf_dir):
+    """Missing channels drawn from their conditional distributions."""
+    out = gmm.infer_missing(gmm.score(gaps(spark, sf_dir), COLS, MODEL), COLS, MODEL, sample=SEED, key=KEY)
+    return out.groupBy("l_linenumber").agg(*(r(F.sum(c) / 1000).alias(c) for c in COLS), *(r(F.sum(F.col(c) * F.col(c)) / 1000).alias(f"{c}_2") for c in COLS))
+
+
+def _sample_sql():
+    """Of one missing channel the deviation is 1 / sqrt(A_pp); of two the root of the inverse of their 2 x 2 block is written out."""
+
+    def draw(k, j):
+        h = f"md5('{SEED}:' || {KEY[0]} || ':' || {KEY[1]} || ':{k}:{j}')"
+        u = [f"((('0x' || substr({h}, {at}, 12))::BIGINT + 0.5e0) / {2.0**48!r})" for at in (1, 13)]
+        return f"(sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]}))"
+
+    def expr(ci):
+        parts = []
+        for code in range(1, 7):
+            o, m = gmm.split(code, 3)
+            if ci not in m:
+                continue
+            total = []
+            for k in range(2):
+                A, mu = MODEL.A[k], MODEL.mu[k]
+                if len(m) == 1:
+                    a = float(A[ci, ci])
+                    slope, noise = {j: float(A[ci, j]) / a for j in o}, [(1 / math.sqrt(a), ci)]
+                else:
+                    (p, q), j = m, o[0]
+                    det = float(A[p, p] * A[q, q] - A[p, q] ** 2)
+                    other = q if ci == p else p
+                    slope = {j: float(A[other, other] * A[ci, j] - A[ci, other] * A[other, j]) / det}
+                    # upper root R of the block: R_pp = sqrt(A_pp), R_pq = A_pq / R_pp, R_qq = sqrt(A_qq - R_pq^2)
+                    rpp = math.sqrt(A[p, p])
+                    rpq = A[p, q] / rpp
+                    rqq = math.sqrt(A[q, q] - rpq**2)
+                    noise = [(1 / rpp, p), (-rpq / (rpp * rqq), q)] if ci == p else [(1 / rqq, q)]
+                mean = f"{float(mu[ci])!r}" + "".join(f" + ({v!r}) * ({float(mu[j])!r} - {COLS[j]})" for j, v in slope.items())
+                total.append(f"z{k} * ({mean}" + "".join(f" + ({float(f)!r}) * {draw(k, j)}" for f, j in noise) + ")")
+            parts.append(f"WHEN {code} THEN {' + '.join(total)}")
+        return f"coalesce({COLS[ci]}, CASE code {' '.join(parts)} END)"
+
+    filled = ", ".join(f"{expr(i)} AS y{i}" for i in range(3))
+    cols = ", ".join([f"{rs(f'sum(y{i}) / 1000')} AS {c}" for i, c in enumerate(COLS)] + [f"{rs(f'sum(y{i} * y{i}) / 1000')} AS {c}_2" for i, c in enumerate(COLS)])
+    return f"SELECT l_linenumber, {cols} FROM (SELECT l_linenumber, {filled} FROM ({_scored_sql(MODEL)})) GROUP BY l_linenumber"
+
+
+# priors shared by fits -----------------------------------------------------------------------------------
+def _posteriors(spark, sf_dir):
+    """A posterior for each return flag, of three clusters known by the line's number and of unlike spreads, in two channels."""
+    k = F.col("l_linenumber") % 3
+    rows = gaps(spark, sf_dir).select("l_returnflag", k.alias("k"), (F.col("x1") * (1 + 2 * k)).alias("x1"), (F.coalesce("x2", F.lit(2.0)) * (1 + k)).alias("x2"))
+    sums = rows.groupBy("l_returnflag", "k").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("x1", "x2")), *(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in (("x1", "x1"), ("x1", "x2"), ("x2", "x2"))))
+    flags: dict[str, dict] = {}
+    for s in sums.orderBy("l_returnflag", "k").collect():  # a row a flag and cluster
+        flags.setdefault(s["l_returnflag"], {})[s["k"]] = s
+    prior = gmm.make_prior(3, 2, mu=[2.5, 2.0], b=2.0, V=0.5 * np.eye(2), n=4.0)
+    out = []
+    for f in flags.values():
+        s0, s1 = np.array([f[k]["n"] for k in range(3)], float), np.array([[f[k]["x1"], f[k]["x2"]] for k in range(3)])
+        s2 = np.array([[[f[k]["x1x1"], f[k]["x1x2"]], [f[k]["x1x2"], f[k]["x2x2"]]] for k in range(3)])
+        # a few rows' worth of each group, so that fits differ
+        mu, A, b, V, n = gmm.update_clusters(s0 / s0 * 40, s1 / s0[:, None] * 40, s2 / s0[:, None, None] * 40, prior)
+        out.append(gmm.Mixture(mu, A, np.full(3, -math.log(3)), b, V, n))
+    return out
+
+
+def gmm_shared_prior(spark, sf_dir):
+    """The prior of the flags' fits: means and strengths, and what is left of the equations that the rest must satisfy."""
+    from ..functions.special import np_mv_digamma
+
+    fits = _posteriors(spark, sf_dir)
+    h = gmm.shared_hyper(fits, 1000, 1e-14)
+    s, rows = len(fits), []
+    elog = lambda V, p: np_mv_digamma(p / 2, 2) + 2 * math.log(2) + np.linalg.slogdet(V)[1]
+    top = elog(h.V0, h.p0) - np.mean([elog(h.V[k], h.p[k]) for k in range(3)])
+    for k in range(3):
+        total = sum(m.n[k] * m.V[k] for m in fits)
+        seen = np.mean([np.linalg.slogdet(m.V[k])[1] + np_mv_digamma(m.n[k] / 2, 2) for m in fits])
+        left = [np.abs(np.linalg.inv(h.V[k]) - np.linalg.inv(h.V0) - total).max() / np.abs(total).max(), h.p[k] - h.p0 - s * h.prior.n[k], np_mv_digamma(h.prior.n[k] / 2, 2) - elog(h.V[k], h.p[k]) - seen, np.abs(h.prior.V[k] @ (h.p[k] * h.V[k]) - np.eye(2)).max(), top, np.abs(h.p0 * h.V0 - sum(h.p[c] * h.V[c] for c in range(3)) / 3).max() / np.abs(h.V0).max()]
+        rows.append((k, *map(float, h.prior.mu[k]), float(h.prior.b[k]), bool(max(map(abs, left)) < 1e-5)))
+    return spark.createDataFrame(rows, "k int, mu1 double, mu2 double, b double, stationary boolean").select("k", *(r(c).alias(c) for c in ("mu1", "mu2", "b")), "stationary")
+
+
+def _shared_sql():
+    """Posteriors and the closed forms of the prior's mean and strength; 2 x 2 inverses written out."""
+    return f"""WITH s AS (SELECT l_returnflag, l_linenumber % 3 AS k, avg(x1) * 40 AS a1, avg(y) * 40 AS a2, avg(x1 * x1) * 40 AS q11, avg(x1 * y) * 40 AS q12, avg(y * y) * 40 AS q22
+      FROM (SELECT * REPLACE (x1 * (1 + 2 * (l_linenumber % 3)) AS x1), coalesce(x2, 2e0) * (1 + l_linenumber % 3) AS y FROM {GAPS}) GROUP BY 1, 2),
+    m AS (SELECT *, (a1 + 5) / 42 AS m1, (a2 + 4) / 42 AS m2 FROM s),
+    c AS (SELECT *, q11 + 2 * 6.25 - 42 * m1 * m1 + 2 AS c11, q12 + 2 * 5 - 42 * m1 * m2 AS c12, q22 + 2 * 4 - 42 * m2 * m2 + 2 AS c22 FROM m),
+    p AS (SELECT *, 44 * c22 / (c11 * c22 - c12 * c12) AS p11, -44 * c12 / (c11 * c22 - c12 * c12) AS p12, 44 * c11 / (c11 * c22 - c12 * c12) AS p22 FROM c),
+    t AS (SELECT k, sum(p11) AS t11, sum(p12) AS t12, sum(p22) AS t22, sum(p11 * m1 + p12 * m2) AS u1, sum(p12 * m1 + p22 * m2) AS u2 FROM p GROUP BY k),
+    g AS (SELECT k, (t22 * u1 - t12 * u2) / (t11 * t22 - t12 * t12) AS g1, (t11 * u2 - t12 * u1) / (t11 * t22 - t12 * t12) AS g2 FROM t)
+    SELECT k::INT AS k, {rs('any_value(g1)')} AS mu1, {rs('any_value(g2)')} AS mu2, {rs('2 * count(*) / sum(p11 * (m1 - g1) * (m1 - g1) + 2 * p12 * (m1 - g1) * (m2 - g2) + p22 * (m2 - g2) * (m2 - g2) + 2 / 42e0)')} AS b, true AS stationary
+    FROM p JOIN g USING (k) GROUP BY k"""
+
+
 def _stats(weighted, variance=None):
     def run(spark, sf_dir):
         z = gmm.score(gaps(spark, sf_dir), COLS, MODEL)
@@ -218,12 +317,16 @@ QUERIES = {
     "gmm_linspace_start": gmm_start_linspace,
     "gmm_fit_variational": gmm_fit_variational,
     "gmm_cat2rgb": gmm_colours,
+    "gmm_sample_missing": gmm_sample_missing,
+    "gmm_shared_prior": gmm_shared_prior,
 }
 ORACLE = {
     "gmm_apply_flag_mass": _FLAG_SQL.format(f"SELECT * FROM ({_scored_sql(MODEL)}) WHERE code = 7"),
     "gmm_apply_missing": _FLAG_SQL.format(_scored_sql(MODEL)),
     "gmm_apply_dirichlet_props": _FLAG_SQL.format(_scored_sql(_with_dirichlet())),
     "gmm_infer_missing": _infer_sql(),
+    "gmm_sample_missing": _sample_sql(),
+    "gmm_shared_prior": _shared_sql(),
     "gmm_suffstat_by_code": _stats_sql(False),
     "gmm_suffstat_weighted": _stats_sql(True),
     "gmm_suffstat_uncertainty": _stats_sql(False, 0.25),
