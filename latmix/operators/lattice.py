@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -294,24 +295,149 @@ def affine_basis(kind: str = "affine", flat: bool = False) -> np.ndarray:
     return np.array({"translation": shifts, "rotation": turns, "rigid": shifts + turns, "similitude": shifts + turns + zoom, "affine": shifts + turns + zooms + shears}[kind])
 
 
+# headers as a table ------------------------------------------------------------------------------------
+def expm(a: np.ndarray) -> np.ndarray:
+    """Exponential of a small matrix, by squaring a series."""
+    halvings = max(0, int(np.ceil(np.log2(max(np.abs(a).sum(1).max(), 1e-300)))) + 4)
+    x, term, out = a / 2**halvings, np.eye(len(a)), np.eye(len(a))
+    for n in range(1, 14):
+        term = term @ x / n
+        out = out + term
+    for _ in range(halvings):
+        out = out @ out
+    return out
+
+
+def logm(a: np.ndarray) -> np.ndarray:
+    """Principal logarithm of a small matrix without eigenvalues on the negative axis, by square roots and a series."""
+    eye, roots = np.eye(len(a)), 0
+    while np.abs(a - eye).max() > 0.05 and roots < 60:
+        y, z = a, eye
+        for _ in range(50):  # both converge, to the root and to its inverse
+            y, z, old = (y + np.linalg.inv(z)) / 2, (z + np.linalg.inv(y)) / 2, y
+            if np.abs(y - old).max() <= 1e-15 * np.abs(y).max():
+                break
+        a, roots = y, roots + 1
+    x = np.linalg.solve(a + eye, a - eye)
+    out, term = np.zeros_like(x), x
+    for n in range(1, 40, 2):
+        out = out + 2 * term / n
+        term = term @ x @ x
+    return out * 2**roots
+
+
+def to_axial(M, dim) -> tuple[np.ndarray, tuple]:
+    """(affine, dims) with axes permuted and flipped so that its rotation is as near to none as can be."""
+    M, dim = np.asarray(M, float), np.asarray(dim, float)
+    turn = M[:3, :3] / voxel_size(M)
+    ways = [np.diag(f) @ np.eye(3)[list(p)] for p in itertools.permutations(range(3)) for f in itertools.product((-1.0, 1.0), repeat=3)]
+    best = min(ways, key=lambda w: ((turn @ w.T - np.eye(3)) ** 2).sum())  # its inverse is its transpose
+    new, back = np.abs(best @ dim), np.eye(4)
+    back[:3, :3] = best.T
+    back[:3, 3] = best.T @ ((best.T.sum(0) - 1) / 2 * (new + 1))  # a flipped axis counts from its other end
+    return M @ back, tuple(int(n) for n in new)
+
+
+def without_shear(M) -> np.ndarray:
+    """The nearest product of a rigid motion and zooms, by Gauss-Newton; M itself if it has no shear."""
+    M = np.asarray(M, float)
+    gram = M[:3, :3].T @ M[:3, :3]
+    zooms = np.sqrt(np.diag(gram))
+    if np.abs(gram / np.outer(zooms, zooms) - np.eye(3)).max() < 1e-8:
+        return M
+    u, _, vt = np.linalg.svd(M[:3, :3] / zooms)
+    rigid = np.eye(4)
+    rigid[:3, :3], rigid[:3, 3] = u @ vt, M[:3, 3]
+    basis, log_zoom = affine_basis("rigid"), np.log(zooms)
+    for _ in range(1000):
+        zoom = np.diag([*np.exp(log_zoom), 1.0])
+        now = rigid @ zoom
+        ways = [(rigid @ b @ zoom).ravel() for b in basis] + [(now @ np.diag(np.eye(4)[a])).ravel() for a in range(3)]
+        J = np.array(ways).T
+        gap = (now - M).ravel()
+        step = np.linalg.lstsq(J, gap, rcond=None)[0]
+        rigid, log_zoom = rigid @ expm(-np.tensordot(step[:6], basis, 1)), log_zoom - step[6:]
+        if ((J.T @ gap) ** 2).sum() < 1e-20:
+            break
+    return rigid @ np.diag([*np.exp(log_zoom), 1.0])
+
+
+def _folded_headers(headers: DataFrame, of_one, fold) -> np.ndarray | None:
+    """fold of of_one(affine, dims) over a header table (mat: 16 numbers by row, dim): one row a task reaches the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            for m, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.asarray(of_one(np.array(m).reshape(4, 4), d), float)
+                total = got if total is None else fold(total, got)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    out = None
+    for row in headers.select("mat", "dim").mapInArrow(run, "s binary").toLocalIterator():
+        got = np.frombuffer(row[0])
+        out = got if out is None else fold(out, got)
+    return out
+
+
+def average_header(headers: DataFrame, rounds: int = 100) -> tuple[np.ndarray, tuple]:
+    """(affine, dims) of an average image over a header table (mat: 16 numbers by row, dim: 3).
+
+    Headers are brought to axial, averaged by the mean of their logarithms about the average (a pass a
+    round, until that mean is 0), stripped of shear, and the grid is set to the box of all images in the
+    average's voxels, without a twentieth at its upper ends and at the lower ones of the first two axes.
+    Flat images keep one slice.
+    """
+    return _average(lambda of_one, fold: _folded_headers(headers, of_one, fold), rounds)
+
+
 def average_affine(mats, dims) -> tuple[np.ndarray, tuple]:
-    """Log-Euclidean-free mean: headers are brought to positive axes, averaged, and stripped of shear."""
-    pos = []
-    for M, dim in zip(mats, dims):
-        M = np.asarray(M, float).copy()
-        order = [int(np.argmax(np.abs(M[r, :3]))) for r in range(3)]
-        if sorted(order) == [0, 1, 2]:
-            M = M[:, [*order, 3]]
-            dim = [dim[o] for o in order]
-        for a in range(3):
-            if M[a, a] < 0:
-                M[:3, 3] += M[:3, a] * (dim[a] + 1)
-                M[:3, a] *= -1
-        pos.append((M, dim))
-    mean = np.mean([m for m, _ in pos], 0)
-    u, _, vt = np.linalg.svd(mean[:3, :3])
-    mean[:3, :3] = (u @ vt) @ np.diag(np.linalg.norm(mean[:3, :3], axis=0))
-    boxes = union_boxes([world_to_voxel_box(mean, world_box(m, d)).T for m, d in pos])
+    """``average_header`` of a few headers that are at hand."""
+    return _average(lambda of_one, fold: functools.reduce(fold, (np.asarray(of_one(np.asarray(m, float), d), float) for m, d in zip(mats, dims))), 100)
+
+
+def _average(over, rounds: int) -> tuple[np.ndarray, tuple]:
+    first = over(lambda m, d: [1.0, *to_axial(m, d)[0].ravel(), float(d[2] > 1)], np.add)
+    if first is None:
+        raise ValueError("no headers")
+    count, mean = first[0], first[1:17].reshape(4, 4) / first[0]
+    for _ in range(rounds):
+        inverse = np.linalg.inv(mean)
+        off = over(lambda m, d, i=inverse: logm(i @ to_axial(m, d)[0]).ravel(), np.add).reshape(4, 4) / count
+        mean = mean @ expm(off)
+        if (off**2).sum() < 1e-20:
+            break
+    mean = without_shear(mean)
+    inverse = np.linalg.inv(mean)
+
+    def corners(m, d):
+        c = np.array([[*x, 1] for x in itertools.product(*((1, n) for n in d))], float)
+        v = (inverse @ m @ c.T)[:3]
+        return np.concatenate([v.min(1), -v.max(1)])
+
+    box = over(corners, np.minimum)
+    low, high = box[:3], -box[3:]
+    near = lambda x: np.where(np.abs(x - np.round(x)) < 1e-9, np.round(x), x)
+    high = np.ceil(near(high - (high - low) * 0.05))
+    low = np.floor(near(low + (high - low) * np.array([0.05, 0.05, 0.0])))
+    dim = high - low + 1
+    if first[17] == 0:
+        low[2], dim[2] = 1, 1
     shift = np.eye(4)
-    shift[:3, 3] = np.floor(boxes[0]) - 1
-    return mean @ shift, tuple(int(x) for x in np.ceil(boxes[1] - np.floor(boxes[0])) + 1)
+    shift[:3, 3] = low - 1
+    return mean @ shift, tuple(int(n) for n in dim)
+
+
+def reorient(img: DataFrame, M, dim, vx=1.0, degree: int = 4) -> tuple[DataFrame, np.ndarray, tuple]:
+    """(image, affine, dims) in transverse orientation with voxels of vx mm: the grid begins at the least corner, to whole mm, and reaches the largest."""
+    M, vx = np.asarray(M, float), np.broadcast_to(np.asarray(vx, float), (3,))
+    whole = lambda x: np.sign(x) * np.floor(np.abs(x) + 0.5)
+    low, high = whole(world_box(M, dim))
+    out = np.diag([*vx, 1.0])
+    out[:3, 3] = low - vx
+    new = tuple(int(n) for n in np.ceil((high - out[:3, 3]) / vx - 1e-9))
+    warp = affine_warp(img.sparkSession, np.linalg.solve(M, out), new)
+    return sample(img, warp, dim, degree=degree, bnd="constant"), out, new

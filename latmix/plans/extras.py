@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist, linalg
 from ..operators import bias, gmm, kmeans, lattice
-from ..sources import catalog, nifti
+from ..sources import catalog
 from .common import OFF, r, rs, table
 from .lattices import _FULL, DIM, volume
 
@@ -227,6 +227,8 @@ def _folder(spark, name):
 
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         given = "file://" + tempfile.mkdtemp(prefix="latmix-")
@@ -261,23 +263,6 @@ JSON = """SELECT r_name || '_' || n_name AS subject, r_name AS population, 'unkn
 CASE WHEN row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey DESC) = 1 THEN 'one.JSON' ELSE 'all.json' END AS file FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 
-def nifti_round(spark, sf_dir):
-    """The volume as image files of two kinds, one compressed, read again; a broken file gives nothing."""
-    import gzip
-
-    rows = volume(spark, sf_dir).select("i", "j", "k", "v").toPandas()  # 250 voxels
-    values = np.zeros(DIM)
-    values[rows.i - 1, rows.j - 1, rows.k - 1] = rows.v
-    root = _folder(spark, "nifti")
-    _put(spark, f"{root}/a.nii", nifti.build(values, np.diag([2.0, 1.0, 1.5, 1.0]), 64))
-    _put(spark, f"{root}/b.nii.gz", gzip.compress(nifti.build(values, np.eye(4), 4, 0.001, 1.0)))
-    _put(spark, f"{root}/c.nii", b"no image")
-    got = nifti.read(spark, root).join(nifti.headers(spark, root).select("path", F.get("mat", F.lit(10)).alias("size")), "path")
-    return got.select(F.regexp_extract("path", r"/([abc])\.", 1).alias("file"), "i", "j", "k", r("v", 3).alias("v"), r("size").alias("size"))
-
-
-NIFTI = f"SELECT x.file, f.i, f.j, f.k, {rs('CASE WHEN x.file = chr(97) THEN f.v ELSE round_even((f.v - 1) / 0.001e0, 0) * 0.001e0 + 1 END', 3)} AS v, CASE WHEN x.file = 'a' THEN 1.5e0 ELSE 1e0 END AS size FROM {_FULL} f, (VALUES ('a'), ('b')) x(file)"
-
 QUERIES, ORACLE = {}, {}
 for _name, (_run, _sql) in {
     "general_mm": _general(4, 2, 3), "general_ms": _general(2, 4, 4, sym_b=True), "general_sm": _general(4, 4, 2, sym_a=True), "general_ss": _general(4, 4, 4, True, True),
@@ -285,6 +270,6 @@ for _name, (_run, _sql) in {
     "general_t_vv": (_shape, _SHAPE), "small_matrices": (small_matrices, SMALL), "wishart_updates": (wishart_updates, WISHART_UP), "kl_terms": (kl_terms, _kl_sql()), "mv_normal": (mv_normal, MV),
     "gmm_start_labels": (start_from_labels, STARTS), "categorical_draw": (draw, f"SELECT 1::BIGINT AS picked, 1e0 AS top, count(*) AS n, {rs('sum(c_acctbal)', 2)} AS total FROM customer WHERE c_acctbal > 0"),
     "warp_family": (warp_family, WARPS), "downsample": (downsample, DOWN), "resize": (resized, RESIZED), "reslice": (resliced, RESLICED), "bias_bases": (bases, BASES),
-    "cat_json_scan": (json_scan, JSON), "nifti_round_trip": (nifti_round, NIFTI),
+    "cat_json_scan": (json_scan, JSON),
 }.items():
     QUERIES[_name], ORACLE[_name] = _run, _sql

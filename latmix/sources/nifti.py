@@ -1,4 +1,4 @@
-"""NIfTI-1 volumes as a source and a sink: one file is one row, its payload exploded to voxels."""
+"""NIfTI-1 volumes as a source: one file is one row, its payload exploded to voxels. nifti_sink writes them."""
 
 from __future__ import annotations
 
@@ -30,18 +30,30 @@ def parse(data: bytes):
         return None
 
 
-def build(values: np.ndarray, affine, code: int = 16, slope: float = 1.0, inter: float = 0.0, description: str = "") -> bytes:
-    head = bytearray(HEADER + 4)
-    struct.pack_into("<i", head, 0, HEADER)
-    struct.pack_into("<8h", head, 40, values.ndim, *values.shape, *[1] * (7 - values.ndim))
-    struct.pack_into("<2h", head, 70, code, np.dtype(TYPES[code]).itemsize * 8)
-    struct.pack_into("<3f", head, 108, HEADER + 4, slope, inter)
-    head[148 : 148 + min(79, len(description))] = description.encode()[:79]
-    struct.pack_into("<2h", head, 252, 0, 2)
-    head[280:328] = np.asarray(affine, "<f4")[:3].tobytes()
-    head[344:348] = b"n+1\x00"
+def head(dim, affine, code: int = 16, slope: float = 1.0, inter: float = 0.0, description: str = "") -> bytes:
+    out = bytearray(HEADER + 4)
+    struct.pack_into("<i", out, 0, HEADER)
+    struct.pack_into("<8h", out, 40, len(dim), *dim, *[1] * (7 - len(dim)))
+    struct.pack_into("<2h", out, 70, code, np.dtype(TYPES[code]).itemsize * 8)
+    struct.pack_into("<3f", out, 108, HEADER + 4, slope, inter)
+    said = description.encode()[:79]
+    out[148 : 148 + len(said)] = said
+    struct.pack_into("<2h", out, 252, 0, 2)
+    out[280:328] = np.asarray(affine, "<f4")[:3].tobytes()
+    out[344:348] = b"n+1\x00"
+    return bytes(out)
+
+
+def stored(values: np.ndarray, code: int = 16, slope: float = 1.0, inter: float = 0.0) -> bytes:
+    """Values as the file holds them: whole types are rounded and kept in range."""
     data = (values - inter) / slope
-    return bytes(head) + np.asarray(np.round(data) if TYPES[code][0] in "iu" else data, "<" + TYPES[code]).tobytes(order="F")
+    if TYPES[code][0] in "iu":
+        data = np.clip(np.round(data), *((k := np.iinfo(TYPES[code])).min, k.max))
+    return np.asarray(data, "<" + TYPES[code]).tobytes(order="F")
+
+
+def build(values: np.ndarray, affine, code: int = 16, slope: float = 1.0, inter: float = 0.0, description: str = "") -> bytes:
+    return head(values.shape, affine, code, slope, inter, description) + stored(values, code, slope, inter)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
