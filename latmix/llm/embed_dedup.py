@@ -104,6 +104,8 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         to = np.arange(n)
         np.minimum.at(to, i, j)
         np.minimum.at(to, j, i)
+        while (to[to] != to).any():  # a chain of pointers is followed to its end, so rounds are few
+            to = to[to]
         root = to[root]
         i, j = to[i], to[j]
         live = i != j
@@ -195,6 +197,7 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
     of_class = scratch.keep(of_class.select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "classes-out")
     out = rows.where("ok").select("vec_id", *key).join(of_class, key).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     out = out.union(rows.where("NOT ok").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    scratch.drop("classes", "tiles", "places", "found", "links-components")  # of_class is written
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

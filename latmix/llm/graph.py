@@ -35,6 +35,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         live = scratch.keep(drawn.where("u <> v").distinct(), f"{name}-edges{n}")
         scratch.drop(f"{name}-edges{n - 1}" if n else f"{name}-edges")
     if not steps:
+        scratch.drop(f"{name}-edges")
         return spark.createDataFrame([], "node long, component long")
     read = lambda step: spark.read.schema("node long, to long").parquet(scratch.path(step))
     last = read(steps[-1]).select("node", F.col("to").alias("root"))
@@ -47,5 +48,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     last = scratch.keep(last, f"{name}-roots")
     least = last.groupBy("root").agg(F.min("node").alias("component"))
     out = scratch.keep(last.join(least, "root").select("node", "component"), f"{name}-components")
-    scratch.drop(*steps, f"{name}-roots")
+    scratch.drop(*steps, f"{name}-roots", *(f"{name}-roots{k}" for k in range(len(steps))), f"{name}-edges{len(steps) - 1}")
     return out
