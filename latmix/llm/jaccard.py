@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, lean, table, unused
+from .common import Scratch, lean, row_digest, table, unused
 from .graph import components
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -446,12 +446,13 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = similar(spark, rows.select(F.col(rid).alias("doc_id"), "text"))
     found = found.select(F.col("doc_id").alias("rid"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
     digest = F.when(F.col("text").isNull(), "-").otherwise(F.sha2("text", 256)).alias("digest")
-    known = rows.select(F.col(rid).alias("rid"), "doc_id", digest).join(found, "rid")
+    tie = row_digest(rows.select(*(F.col(f"`{c}`") for c in docs.columns))).alias("tie")
+    known = rows.select(F.col(rid).alias("rid"), "doc_id", digest, tie).join(found, "rid")
     worded, rest = known.where("component IS NOT NULL"), known.where("component IS NULL")
     # rows are told apart by what they hold before their number, which follows partitions
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "rid"))["rid"].alias("rid")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "tie", "rid"))["rid"].alias("rid")
     kept = worded.groupBy("component").agg(first).select("rid")
-    kept = kept.union(rest.where("doc_id IS NULL").select("rid")).union(rest.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("rid").alias("rid")).select("rid"))
+    kept = kept.union(rest.where("doc_id IS NULL").select("rid")).union(rest.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min(F.struct("tie", "rid"))["rid"].alias("rid")).select("rid"))
     kept = scratch.keep(kept.withColumnRenamed("rid", rid), "kept")
     return rows.join(kept, rid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 

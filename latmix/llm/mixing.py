@@ -23,18 +23,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, Scratch, table, text_or_empty, unused
+from .common import WORD, Scratch, row_digest, table, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: MOST_SLOTS is of the SQL below only, whose blocks are longer than LEAST_BLOCK over 16.8 million words.
-LEAST_BLOCK, MOST_SLOTS = 16, 1 << 20
+LEAST_BLOCK = 16
 GOLDEN = 0.6180339887498949
 CHUNK, CELLS = 4096, 4096
 
 
-def sized(docs: DataFrame, rid: Column | None = None) -> DataFrame:
-    """(rid, doc_id, source, size, h, digest, bucket): size in words; h and digest order a source's documents."""
+def sized(docs: DataFrame, rid: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """(rid, doc_id, source, size, h, digest, tie, bucket): size in words; h, digest and tie order a source's documents."""
     digest = F.md5(text_or_empty())
     return docs.select(
         (F.monotonically_increasing_id() if rid is None else rid).alias("rid"),
@@ -43,6 +42,7 @@ def sized(docs: DataFrame, rid: Column | None = None) -> DataFrame:
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), digest)).alias("h"),
         digest.alias("digest"),
+        (F.lit("") if tie is None else tie).alias("tie"),
     ).withColumn("bucket", F.substring("h", 1, 3))
 
 
@@ -96,10 +96,10 @@ def block_edge(k: str) -> Column:
     return F.expr(f"(cast({k} AS decimal(19, 0)) * source_size) div blocks")
 
 
-def mix(spark: SparkSession, docs: DataFrame, rid: Column | None = None) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, rid: Column | None = None, tie: Column | None = None) -> DataFrame:
     """(rid, doc_id, size, source_size, target, taken), a row for each row of docs."""
     scratch = Scratch(spark, "mix")
-    rows = scratch.keep(sized(docs, rid), "sized")
+    rows = scratch.keep(sized(docs, rid, tie), "sized")
     goal = targets(rows.select("source", "size"))
     blocks = F.expr(f"(source_size + {LEAST_BLOCK - 1}) div {LEAST_BLOCK}")
     demand = F.col("target") * F.col("blocks") / F.col("source_size")
@@ -115,7 +115,7 @@ def mix(spark: SparkSession, docs: DataFrame, rid: Column | None = None) -> Data
     rows = rows.select(*key(rows)).join(known.select(*key(known)), ["no_source", "source_key"])
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
     starts = sums.select("sid", "bucket", (F.sum("s").over(W.partitionBy("sid").orderBy("bucket")) - F.col("s")).alias("start"))
-    order = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "digest", "rid").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "digest", "tie", "rid").rowsBetween(W.unboundedPreceding, 0)
     lines = rows.withColumn("own", F.sum("size").over(order) - F.col("size")).join(starts, ["sid", "bucket"])
     lines = lines.withColumn("begin", F.col("start") + F.col("own")).withColumn("end", F.col("begin") + F.col("size"))
     pieces = lines.where("size > 0").withColumn("block", F.explode(F.sequence(block_of("begin"), block_of("end - 1"))))
@@ -136,7 +136,8 @@ def copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     rid, n, i = unused(docs.columns, "rid", "n", "i")
     kept = Scratch(spark, "mixed").keep(docs.withColumn(rid, F.monotonically_increasing_id()), "input")
-    taken = mix(spark, kept.select(F.col(rid).alias("rid"), "doc_id", "source", "text"), F.col("rid"))
+    tie = row_digest(kept.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    taken = mix(spark, kept.select(F.col(rid).alias("rid"), "doc_id", "source", "text", tie.alias("tie")), F.col("rid"), F.col("tie"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     times = taken.select(F.col("rid").alias(rid), times.alias(n)).where(F.col(n) > 0)
     repeated = kept.join(times, rid).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
@@ -156,8 +157,7 @@ f AS (SELECT *, row_number() OVER o AS place,
 l AS (SELECT min(place) AS place, arg_min(rest, place) AS rest, arg_min(rest_w, place) AS rest_w FROM f WHERE rest * w < {CAP} * source_size * rest_w),
 g AS (SELECT f.sid, f.source, source_size, CASE WHEN l.place IS NULL OR f.place < l.place THEN ({CAP} * source_size)::DOUBLE
              ELSE (w * l.rest)::DOUBLE / l.rest_w::DOUBLE END AS target FROM f, l),
-z AS (SELECT greatest({LEAST_BLOCK}, (coalesce(sum(size), 0)::BIGINT + {MOST_SLOTS - 1}) // {MOST_SLOTS}) AS block FROM d),
-q AS (SELECT g.*, ceil(source_size / block)::BIGINT AS blocks FROM g, z),
+q AS (SELECT g.*, (source_size + {LEAST_BLOCK - 1}) // {LEAST_BLOCK} AS blocks FROM g),
 q2 AS (SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS dem FROM q),
 q3 AS (SELECT *, sum(dem) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS high, sum(dem) OVER () AS total FROM q2),
 q4 AS (SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low FROM q3),
