@@ -77,7 +77,7 @@ def _contexts(batches):
                 add(parts)
                 parts, held = [gap], 0
     add(parts)
-    each = np.hstack([total.reshape(-1, DIMS)[:BUCKETS], counts[:BUCKETS, None]]).astype(np.float32).reshape(CHUNKS, -1)
+    each = np.hstack([total.reshape(-1, DIMS)[:BUCKETS], counts[:BUCKETS, None]]).reshape(CHUNKS, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([e.tobytes() for e in each], pa.binary())], names=["chunk", "sums"])
 
 
@@ -87,8 +87,7 @@ def _added(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, b in zip(batch.column("chunk"), batch.column("sums")):
-            x = np.frombuffer(b.as_py(), np.float32)
-            sums[c.as_py()] = sums.get(c.as_py(), 0) + x.astype(np.float64)
+            sums[c.as_py()] = sums.get(c.as_py(), 0) + np.frombuffer(b.as_py())
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sums"])
 
 
