@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .common import Scratch, lean, table
 
 K = 20
-SHARD_BYTES, SHARD_DOCS, QUERY_BYTES = 32 << 20, 1 << 16, 4 << 20
+SHARD_BYTES, SHARD_DOCS, QUERY_BYTES = 16 << 20, 1 << 16, 4 << 20
 LONGEST, RUN, SINGLE, PRICE = 64, 256, 8, 16_000_000
 #: Of intervals that are read at once, as multiples of k documents.
 STEP = 4
@@ -336,7 +336,9 @@ def search(spark: SparkSession, index: DataFrame, n_docs: int, items: DataFrame,
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "lexical")
     index, n_docs = build(table(spark, sf_dir, "documents"), scratch)
-    return search(spark, index, n_docs, table(spark, sf_dir, "benchmark"))
+    ranked = scratch.keep(search(spark, index, n_docs, table(spark, sf_dir, "benchmark")), "ranked")  # k rows an item
+    scratch.drop("index")
+    return ranked
 
 
 _TERMS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')"
