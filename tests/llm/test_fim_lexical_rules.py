@@ -292,3 +292,50 @@ def test_neighbours_of_repeated_rows(spark, monkeypatch):
         assert len(got) == len(want) and len(set(want) & set(got)) >= 0.9 * len(set(want))
     big = ann.products(np.array([[1e308, 1e308, -1e308], [1e308, -1e308, 0.0], [3.0, 0.5, 0.0]]), np.array([1e10, 1e10, 1e10]))
     assert list(big) == [float("inf"), 0.0, 3.5e10]
+
+
+def test_rows_that_differ_in_other_columns(spark):
+    """Which of them stays, and how often, does not follow partitions."""
+    from latmix.llm import jaccard, mixing
+
+    rng = random.Random(31)
+    text = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(6, 30))) for _ in range(6)]
+    rows = [(i % 5, text[i % 6], f"s{i % 2}", i, None if i % 3 else f"x{i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, other string")
+    for op in (mixing.copies, jaccard.keep_one):
+        want = sorted(map(repr, op(spark, df).collect()))
+        assert want
+        for parts in (1, 6):
+            assert sorted(map(repr, op(spark, df.repartition(parts, F.rand(parts))).collect())) == want
+
+
+def test_roots_of_a_chain():
+    """Ascending chains of any length take few rounds."""
+    from latmix.llm import embed_dedup
+
+    n = 200_000
+    assert (embed_dedup.roots(n, np.arange(n - 1), np.arange(1, n)) == 0).all()
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 3000, (2, 2200))
+    got, want = embed_dedup.roots(3000, i, j), np.arange(3000)
+    while True:
+        new = want.copy()
+        np.minimum.at(new, i, want[j])
+        np.minimum.at(new, j, want[i])
+        if (new == want).all():
+            break
+        want = new
+    assert (got == want).all()
+
+
+def test_tables_of_a_run_are_dropped(spark, sf):
+    import os
+
+    from latmix.llm import embed_dedup, lexical
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    for query in (embed_dedup.op4_embedding_dedup, lexical.op12_lexical):
+        query(spark, sf).count()
+    left = {t for d in set(os.listdir(root)) - before for t in os.listdir(f"{root}/{d}") if not t.startswith(".")}
+    assert left == {"classes-out", "ranked"}
