@@ -45,6 +45,12 @@ def sym_indices(n: int) -> np.ndarray:
     return np.where(row == col, row, n + low * n - low * (low + 1) // 2 + high - low - 1)
 
 
+def unpack(x: Column, n: int) -> Column:
+    """The n x n matrix of a packed symmetric one."""
+    at = _el(x, n, n, True, False)
+    return F.array(*(at(i, j) for i in range(n) for j in range(n)))
+
+
 def sym_size(packed: int) -> int:
     return int((np.sqrt(8 * packed + 1) - 1) / 2)
 

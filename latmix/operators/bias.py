@@ -28,6 +28,11 @@ def components(lat, vs, fwhm) -> list[int]:
     return [max(1, math.ceil(2 * v * n / f)) for n, v, f in zip(lat, vs, np.broadcast_to(fwhm, (len(lat),)))]
 
 
+def component_count(side, vs, fwhm: float):
+    """``components`` of columns: one axis of a header table."""
+    return F.greatest(F.lit(1), F.ceil(2 * vs * side / F.lit(float(fwhm)))).cast("int")
+
+
 def lattice_of(img: DataFrame, axes=("i", "j", "k")) -> tuple[list[str], tuple]:
     """(channels, sides) of an image table: every other column is a channel, a side is the largest index; trailing axes that are missing are left out."""
     have = [a for a in axes if a in img.columns]

@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import splines
 from .splines import AXES
@@ -383,6 +384,21 @@ def _folded_headers(headers: DataFrame, of_one, fold) -> np.ndarray | None:
     return out
 
 
+def header_geometry(headers: DataFrame) -> DataFrame:
+    """headers (mat: 16 numbers by row, dim: 3) with vs, lo, hi and origin: voxel sizes, the world box, and where ``reset_origin`` puts the first voxel's neighbour."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(np.array(m).reshape(4, 4), d) for m, d in zip(batch.column("mat").to_pylist(), batch.column("dim").to_pylist())]
+            made = [[voxel_size(m) for m, _ in rows], [world_box(m, d)[0] for m, d in rows], [world_box(m, d)[1] for m, d in rows], [reset_origin(m, d)[:3, 3] for m, d in rows]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x.tolist() for x in c], pa.list_(pa.float64())) for c in made)], names=[*batch.schema.names, "vs", "lo", "hi", "origin"])
+
+    triple = lambda n: StructField(n, ArrayType(DoubleType()))
+    return headers.mapInArrow(run, StructType([*headers.schema.fields, *map(triple, ("vs", "lo", "hi", "origin"))]))
+
+
 def average_header(headers: DataFrame, rounds: int = 100) -> tuple[np.ndarray, tuple]:
     """(affine, dims) of an average image over a header table (mat: 16 numbers by row, dim: 3).
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import dist, linalg
-from ..operators import bias, gmm, kmeans, lattice
+from ..operators import gmm, kmeans, lattice
 from ..sources import catalog
 from .common import OFF, r, rs, table
 from .lattices import _FULL, DIM, volume
@@ -162,15 +162,26 @@ def draw(spark, sf_dir):
 
 # warps and resampling ------------------------------------------------------------------------------------------
 def warp_family(spark, sf_dir):
-    """Identity, translation and linear warps, and an affine of one."""
+    """Identity, translation and linear warps, an affine of one, and the nearest voxels of the volume there."""
     one = lattice.identity_warp(spark, DIM, (1.0, 2.0, 0.5))
     two = lattice.translation_warp(spark, [0.5, -1.0, 2.0], DIM)
     three = lattice.transform_warp(lattice.linear_warp(spark, [[0.5, 0.0, 0.1], [0.0, 2.0, 0.0], [0.0, 0.3, 1.0]], DIM), np.array([[1, 0, 0, 1.0], [0, 0, 1, 0], [0, 1, 0, -1], [0, 0, 0, 1]]))
     name = lambda w, p: w.select("i", "j", "k", *(r(f"y{n}").alias(f"{p}{n}") for n in (1, 2, 3)))
-    return name(one, "a").join(name(two, "b"), ["i", "j", "k"]).join(name(three, "c"), ["i", "j", "k"])
+    places = name(one, "a").join(name(two, "b"), ["i", "j", "k"]).join(name(three, "c"), ["i", "j", "k"])
+    img, seen = volume(spark, sf_dir), []
+    for w, n in ((one, "va"), (two, "vb"), (three, "vc")):
+        got = lattice.sample(img, w, DIM, degree=0, bnd="replicate")
+        seen.append(got.select("i", "j", "k", r("v").alias(n)))
+    return places.join(seen[0], ["i", "j", "k"]).join(seen[1], ["i", "j", "k"]).join(seen[2], ["i", "j", "k"])
 
 
-WARPS = f"SELECT i, j, k, {rs('i * 1e0')} AS a1, {rs('j * 2e0')} AS a2, {rs('k * 0.5e0')} AS a3, {rs('i + 0.5e0')} AS b1, {rs('j - 1e0')} AS b2, {rs('k + 2e0')} AS b3, {rs('0.5e0 * i + 0.1e0 * k + 1')} AS c1, {rs('0.3e0 * j + k')} AS c2, {rs('2e0 * j - 1')} AS c3 FROM {_FULL}"
+def _at(n):
+    """The nearest voxel of the places n1, n2, n3, moved to the edge."""
+    on = " AND ".join(f"{n}.{a} = least(greatest(floor(w.{n}{m + 1} + 0.5), 1), {d})" for m, (a, d) in enumerate(zip("ijk", DIM)))
+    return f" JOIN f {n} ON {on}"
+
+
+WARPS = f"WITH f AS (SELECT * FROM {_FULL}), w AS (SELECT i, j, k, {rs('i * 1e0')} AS a1, {rs('j * 2e0')} AS a2, {rs('k * 0.5e0')} AS a3, {rs('i + 0.5e0')} AS b1, {rs('j - 1e0')} AS b2, {rs('k + 2e0')} AS b3, {rs('0.5e0 * i + 0.1e0 * k + 1')} AS c1, {rs('0.3e0 * j + k')} AS c2, {rs('2e0 * j - 1')} AS c3 FROM f) SELECT w.*, {rs('a.v')} AS va, {rs('b.v')} AS vb, {rs('c.v')} AS vc FROM w{_at('a')}{_at('b')}{_at('c')}"
 
 
 def downsample(spark, sf_dir):
@@ -207,19 +218,6 @@ def resliced(spark, sf_dir):
 RESLICED = f"WITH f AS (SELECT * FROM {_FULL}) SELECT f.i, f.j, f.k, {rs('CASE WHEN f.i BETWEEN 2 AND 4 AND f.j BETWEEN 3 AND 8 THEN f.v ELSE 0 END')} AS v, {rs('g.v')} AS cropped FROM f LEFT JOIN f g ON g.i = f.i + 0 AND g.j = f.j + 2 AND g.k = f.k AND f.i <= 4 AND f.j <= 6"
 
 
-def bases(spark, sf_dir):
-    """Fourier and cosine bases, and the energy of a field's coefficients."""
-    d, c, e = bias.dft_basis(4, 3), bias.dct_basis(4, 3), np.diag(bias.regulariser((4, 3), (3, 2), (0.5, 2.0), 0.1, 0.2, 0.3))
-    rows = [("dft", i, k, float(d[i, k].real), float(d[i, k].imag)) for i in range(4) for k in range(3)] + [("dct", i, k, float(c[i, k]), 0.0) for i in range(4) for k in range(3)] + [("energy", i, k, float(e[i + 3 * k]), 0.0) for i in range(3) for k in range(2)]
-    return spark.createDataFrame(rows, "kind string, i int, k int, re double, im double").select("kind", "i", "k", r("re").alias("re"), r("im").alias("im"))
-
-
-_T = "((pi() * i / 2) ** 2 + (pi() * k / 6) ** 2)"
-BASES = f"""SELECT 'dft' AS kind, i::INT AS i, k::INT AS k, {rs('cos(2 * pi() * i * k / 4) / 2')} AS re, {rs('-sin(2 * pi() * i * k / 4) / 2')} AS im FROM range(4) a(i), range(3) b(k)
-UNION ALL SELECT 'dct', i::INT, k::INT, {rs('CASE WHEN k = 0 THEN 0.5 ELSE cos(pi() * (2 * i + 1) * k / 8) / sqrt(2) END')}, 0e0 FROM range(4) a(i), range(3) b(k)
-UNION ALL SELECT 'energy', i::INT, k::INT, {rs(f'0.1 + 0.2 * {_T} + 0.3 * {_T} ** 2')}, 0e0 FROM range(3) a(i), range(2) b(k)"""
-
-
 # files -----------------------------------------------------------------------------------------------------------
 def _folder(spark, name):
     """A new folder that all tasks share."""
@@ -269,7 +267,7 @@ for _name, (_run, _sql) in {
     "general_tmm": _general(4, 2, 3, trans=True), "general_mv": _general(4, 5, 1), "general_sv": _general(4, 4, 1, sym_a=True), "general_tmv": _general(5, 4, 1, trans=True),
     "general_t_vv": (_shape, _SHAPE), "small_matrices": (small_matrices, SMALL), "wishart_updates": (wishart_updates, WISHART_UP), "kl_terms": (kl_terms, _kl_sql()), "mv_normal": (mv_normal, MV),
     "gmm_start_labels": (start_from_labels, STARTS), "categorical_draw": (draw, f"SELECT 1::BIGINT AS picked, 1e0 AS top, count(*) AS n, {rs('sum(c_acctbal)', 2)} AS total FROM customer WHERE c_acctbal > 0"),
-    "warp_family": (warp_family, WARPS), "downsample": (downsample, DOWN), "resize": (resized, RESIZED), "reslice": (resliced, RESLICED), "bias_bases": (bases, BASES),
+    "warp_family": (warp_family, WARPS), "downsample": (downsample, DOWN), "resize": (resized, RESIZED), "reslice": (resliced, RESLICED),
     "cat_json_scan": (json_scan, JSON),
 }.items():
     QUERIES[_name], ORACLE[_name] = _run, _sql

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import lattice
+from ..operators import bias, lattice
 from ..sources import nifti, nifti_sink
 from .common import OFF, r, rs, table
 from .extras import _folder, _put
@@ -53,6 +55,86 @@ def _average_sql():
     SELECT (a + 1)::INT AS axis, {', '.join(f'{rs(f"CASE WHEN a = {n} THEN g ELSE 0 END", half=OFF)} AS m{n + 1}' for n in range(3))}, {rs('c * (1 - g) + g * (low - 1)', half=OFF)} AS m4, (top - low + 1)::INT AS dim FROM u"""
 
 
+def header_geometry(spark, sf_dir):
+    """Voxel sizes, world box and centred origin of each header."""
+    g = lattice.header_geometry(headers(spark, sf_dir))
+    return g.select("p_brand", *(r(F.get(c, F.lit(n)), half=OFF).alias(f"{c}{n + 1}") for c in ("vs", "lo", "hi", "origin") for n in range(3)))
+
+
+_HEADERS = f"""(SELECT p_brand, {', '.join(f'({e.strip()})::DOUBLE AS z{n}' for n, e in enumerate(_ZOOMS.split(',')))}, sum(p_partkey) % 3 = 0 AS swap, sum(p_partkey) % 2 = 1 AS flip, 10 + count(*) % 3 AS d0, 12 AS d1, 8 AS d2 FROM part GROUP BY p_brand)"""
+
+
+def _geometry_sql():
+    size = ["CASE WHEN swap THEN z1 ELSE z0 END", "CASE WHEN swap THEN z0 ELSE z1 END", "z2"]
+    side = ["CASE WHEN swap THEN d1 ELSE d0 END", "CASE WHEN swap THEN d0 ELSE d1 END", "d2"]
+    cols = [f"{rs(x, half=OFF)} AS vs{n + 1}" for n, x in enumerate(size)]
+    cols += [f"{rs(f'({c!r}) * (1 - z{n}) + z{n}', half=OFF)} AS lo{n + 1}" for n, c in enumerate(FIXED)] + [f"{rs(f'({c!r}) * (1 - z{n}) + z{n} * d{n}', half=OFF)} AS hi{n + 1}" for n, c in enumerate(FIXED)]
+    turned = "CASE WHEN swap = flip THEN -1 ELSE 1 END"
+    cols += [f"{rs(f'({turned if n == 0 else -1}) * ({x}) * (({d}) + 1) / 2', half=OFF)} AS origin{n + 1}" for n, (x, d) in enumerate(zip(size, side))]
+    return f"SELECT p_brand, {', '.join(cols)} FROM {_HEADERS}"
+
+
+def bias_components(spark, sf_dir):
+    """Bases along each axis of each header's image."""
+    g = lattice.header_geometry(headers(spark, sf_dir))
+    return g.select("p_brand", *(bias.component_count(F.get("dim", F.lit(n)), F.get("vs", F.lit(n)), 7.0).alias(f"n{n + 1}") for n in range(3)))
+
+
+_COMPONENTS = f"SELECT p_brand, {', '.join(f'greatest(1, ceil(2 * ({z}) * ({d}) / 7))::INT AS n{n}' for n, z, d in ((1, 'CASE WHEN swap THEN z1 ELSE z0 END', 'CASE WHEN swap THEN d1 ELSE d0 END'), (2, 'CASE WHEN swap THEN z0 ELSE z1 END', 'CASE WHEN swap THEN d0 ELSE d1 END'), (3, 'z2', 'd2')))} FROM {_HEADERS}"
+
+
+def affine_basis(spark, sf_dir):
+    """Each kind's generators, weighted by a brand's parts, as one matrix."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg((F.avg("p_size") / 100).alias("w"))
+    kinds = [(k, flat) for k in ("translation", "rotation", "rigid", "similitude", "affine") for flat in (False, True)]
+    cells = [F.struct(F.lit(f"{k}{'2' if flat else ''}").alias("kind"), F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), (F.col("w") * F.lit(float(m[i, j]))).alias("v")) for k, flat in kinds for m in [sum((g + 1) * b for g, b in enumerate(lattice.affine_basis(k, flat)))] for i in range(3) for j in range(4) if m[i, j]]
+    return p.select("p_brand", F.inline(F.array(*cells))).select("p_brand", "kind", "i", "j", r("v", half=OFF).alias("v"))
+
+
+def _basis_sql():
+    """Generators by hand: shifts, turns (each rotates one plane), then zooms and shears."""
+    flat = {"shift": [[(1, 4, 1)], [(2, 4, 1)]], "turn": [[(1, 2, 1), (2, 1, -1)]], "zoom": [[(1, 1, 1)], [(2, 2, 1)]], "shear": [[(1, 2, 1), (2, 1, 1)]]}
+    full = {"shift": [*flat["shift"], [(3, 4, 1)]], "turn": [*flat["turn"], [(1, 3, 1), (3, 1, -1)], [(2, 3, 1), (3, 2, -1)]], "zoom": [*flat["zoom"], [(3, 3, 1)]], "shear": [*flat["shear"], [(1, 3, 1), (3, 1, 1)], [(2, 3, 1), (3, 2, 1)]]}
+    rows = []
+    for mark, of in (("", full), ("2", flat)):
+        one = [[c for g in of["zoom"] for c in g]]
+        for kind, generators in {"translation": of["shift"], "rotation": of["turn"], "rigid": of["shift"] + of["turn"], "similitude": of["shift"] + of["turn"] + one, "affine": of["shift"] + of["turn"] + of["zoom"] + of["shear"]}.items():
+            rows += [f"('{kind}{mark}', {i}, {j}, {n * s})" for n, g in enumerate(generators, 1) for i, j, s in g]
+    return f"SELECT p_brand, kind, i::INT AS i, j::INT AS j, {rs('w * m', half=OFF)} AS v FROM (SELECT p_brand, avg(p_size) / 100 AS w FROM part GROUP BY p_brand), (SELECT kind, i, j, sum(m) AS m FROM (VALUES {', '.join(rows)}) t(kind, i, j, m) GROUP BY ALL HAVING sum(m) <> 0)"
+
+
+def linspace_vec(spark, sf_dir):
+    """Even steps between each brand's least and largest size and price."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(*(f(c).cast("double").alias(f"{n}_{e}") for n, c in (("a", "p_size"), ("b", "p_retailprice")) for e, f in (("lo", F.min), ("hi", F.max))))
+    steps = F.explode(F.array(*(F.struct(F.lit(n + 1).alias("step"), F.lit(float(t)).alias("t")) for n, t in enumerate(lattice.linspace_vec([0.0], [1.0], 5)[0]))))
+    return p.select("*", steps.alias("s")).select("p_brand", "s.step", *(r(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col("s.t"), half=OFF).alias(n) for n in "ab"))
+
+
+_LINSPACE = f"SELECT p_brand, step::INT AS step, {rs('a0 + (a1 - a0) * (step - 1) / 4', half=OFF)} AS a, {rs('b0 + (b1 - b0) * (step - 1) / 4', half=OFF)} AS b FROM (SELECT p_brand, min(p_size)::DOUBLE AS a0, max(p_size)::DOUBLE AS a1, min(p_retailprice)::DOUBLE AS b0, max(p_retailprice)::DOUBLE AS b1 FROM part GROUP BY p_brand), (SELECT unnest([1, 2, 3, 4, 5]) AS step)"
+
+
+def bias_bases(spark, sf_dir):
+    """The volume summed against each boundary's basis along the second axis, and the energy of the cosine part."""
+    n, k, vs = DIM[1], 4, 0.5
+    made = {b: bias.derivative_bases(n, k, vs, b)[0] for b in bias.BOUNDARIES}
+    basis = spark.createDataFrame([(b, j + 1, a, float(np.real(m[j, a])), float(np.imag(m[j, a]))) for b, m in made.items() for j in range(n) for a in range(k)], "boundary string, j int, a int, re double, im double")
+    c = volume(spark, sf_dir).join(F.broadcast(basis), "j").groupBy("boundary", "a").agg(F.sum(F.col("v") * F.col("re")).alias("re"), F.sum(F.col("v") * F.col("im")).alias("im"))
+    e = F.get(F.array(*(F.lit(float(x)) for x in np.diag(bias.regulariser((n,), (k,), (vs,), 0.1, 0.2, 0.3)))), F.col("a"))
+    return c.select("boundary", "a", r("re", half=OFF).alias("re"), r("im", half=OFF).alias("im"), r(F.when(F.col("boundary") == "neumann", e * F.col("re") * F.col("re")), 4, OFF).alias("energy"))
+
+
+def _bases_sql():
+    n, x = DIM[1], "(j - 1)"
+    of = {
+        "neumann": (f"CASE WHEN a = 0 THEN {1 / math.sqrt(n)!r} ELSE {math.sqrt(2 / n)!r} * cos(pi() * a * (2 * {x} + 1) / {2 * n}) END", "0e0"),
+        "circulant": (f"cos(2 * pi() * a * {x} / {n}) / {math.sqrt(n)!r}", f"-sin(2 * pi() * a * {x} / {n}) / {math.sqrt(n)!r}"),
+        "dirichlet": (f"{math.sqrt(2 / (n + 1))!r} * sin(pi() * (a + 1) * j / {n + 1})", "0e0"),
+    }
+    parts = " UNION ALL ".join(f"SELECT '{b}' AS boundary, a, sum(v * ({re})) AS re, sum(v * ({im})) AS im FROM f, (SELECT unnest(range(4)) AS a) GROUP BY a" for b, (re, im) in of.items())
+    w = f"power(pi() * a / {n * 0.5!r}, 2)"
+    return f"WITH f AS (SELECT * FROM {_FULL}), c AS ({parts}) SELECT boundary, a::INT AS a, {rs('re', half=OFF)} AS re, {rs('im', half=OFF)} AS im, CASE WHEN boundary = 'neumann' THEN {rs(f'0.5 * (0.1 + 0.2 * {w} + 0.3 * {w} * {w}) * re * re', 4, OFF)} END AS energy FROM c"
+
+
 OBLIQUE = np.array([[0.0, -1.6, 0.3, 4.0], [0.9, 0.1, 0.2, -3.0], [0.1, -0.2, -1.4, 6.0], [0, 0, 0, 1]])
 
 
@@ -90,5 +172,11 @@ def nifti_round(spark, sf_dir):
 
 NIFTI = f"SELECT x.file, f.i, f.j, f.k, {rs('CASE WHEN x.file = chr(97) THEN f.v ELSE round_even((f.v - 1) / 0.001e0, 0) * 0.001e0 + 1 END', 3)} AS v, CASE WHEN x.file = 'a' THEN 1.5e0 ELSE 1e0 END AS size FROM {_FULL} f, (VALUES ('a'), ('b')) x(file)"
 
-QUERIES = {"average_header": average_header, "reorient": reorient, "nifti_round_trip": nifti_round}
-ORACLE = {"average_header": _average_sql(), "reorient": _reorient_sql(), "nifti_round_trip": NIFTI}
+QUERIES = {
+    "header_geometry": header_geometry, "bias_components": bias_components, "affine_basis": affine_basis, "linspace_vec": linspace_vec, "bias_bases": bias_bases,
+    "average_header": average_header, "reorient": reorient, "nifti_round_trip": nifti_round,
+}
+ORACLE = {
+    "header_geometry": _geometry_sql(), "bias_components": _COMPONENTS, "affine_basis": _basis_sql(), "linspace_vec": _LINSPACE, "bias_bases": _bases_sql(),
+    "average_header": _average_sql(), "reorient": _reorient_sql(), "nifti_round_trip": NIFTI,
+}

@@ -76,8 +76,10 @@ _Y = [" + ".join(f"({float(A[n, m])!r}) * {a}" for m, a in enumerate("ijk")) + f
 
 
 def warp_affine(spark, sf_dir):
-    w = lattice.mm_to_voxel(lattice.transform_warp(lattice.affine_warp(spark, A, DIM, (1.0, 1.0, 1.0)), np.diag([2.0, 2.0, 2.0, 1.0])), (2.0, 2.0, 4.0))
-    return w.select("i", "j", "k", *(r(f"y{n}").alias(f"y{n}") for n in (1, 2, 3)))
+    """An affine after a warp that the volume makes, in voxels of another image."""
+    moved = volume(spark, sf_dir).select("i", "j", "k", *((F.col(a) + F.col("v") * c).alias(f"y{n + 1}") for n, (a, c) in enumerate(zip("ijk", (0.15, 0.25, -0.35)))))
+    w = lattice.mm_to_voxel(lattice.transform_warp(lattice.transform_warp(moved, A), np.diag([2.0, 2.0, 2.0, 1.0])), (2.0, 2.0, 4.0))
+    return w.select("i", "j", "k", *(r(f"y{n}", half=OFF).alias(f"y{n}") for n in (1, 2, 3)))
 
 
 def warp_trilinear(spark, sf_dir):
@@ -104,8 +106,10 @@ _NEAREST = f"WITH f AS (SELECT * FROM {_FULL}) SELECT a.i, a.j, a.k, {rs('b.v')}
 
 
 def warp_compose(spark, sf_dir):
-    one, two = (lattice.translation_warp(spark, t, DIM) for t in ([1.0, 0.0, 0.5], [0.25, 2.0, 0.0]))
-    return lattice.compose(one, two, dim=DIM).select("i", "j", "k", *(r(f"y{n}").alias(f"y{n}") for n in (1, 2, 3)))
+    """A warp that the volume makes, after one that moves by whole voxels."""
+    one = volume(spark, sf_dir).select("i", "j", "k", *((F.col(a) + F.col("v") * c).alias(f"y{n + 1}") for n, (a, c) in enumerate(zip("ijk", (0.5, 0.25, -0.125)))))
+    two = lattice.translation_warp(spark, [1.0, 2.0, 0.0], DIM)
+    return lattice.compose(one, two, dim=DIM).select("i", "j", "k", *(r(f"y{n}", half=OFF).alias(f"y{n}") for n in (1, 2, 3)))
 
 
 M = np.array([[2.0, 0, 0, -5], [0, 1.0, 0, 3], [0, 0, 1.5, 0], [0, 0, 0, 1]])
@@ -127,12 +131,6 @@ def fov_mask(spark, sf_dir):
     return lattice.mask_field_of_view(volume(spark, sf_dir), M, M @ np.array([[1, 0, 0, 1.0], [0, 1, 0, -2], [0, 0, 1, 0], [0, 0, 0, 1]]), DIM).select("i", "j", "k", r("v").alias("v"))
 
 
-def headers(spark, sf_dir):
-    """Voxel sizes, world box, and centred origin of an affine."""
-    vs, box, org = lattice.voxel_size(M), lattice.world_box(M, DIM), lattice.reset_origin(M, DIM)
-    return spark.createDataFrame([(n + 1, float(vs[n]), float(box[0, n]), float(box[1, n]), float(org[n, 3])) for n in range(3)], "axis int, size double, lo double, hi double, origin double")
-
-
 def slice_central(spark, sf_dir):
     return lattice.central_slice(volume(spark, sf_dir), DIM, "j").select("i", "j", "k", r("v").alias("v"))
 
@@ -253,46 +251,30 @@ def _dct(a, n, m):
 _BIAS = " + ".join(f"({float(COEFF[p, q])!r}::DOUBLE) * {_dct('i', 5, p)} * {_dct('j', 10, q)} * {_dct('k', 5, 0)}" for p in range(3) for q in range(2))
 
 
-def bias_components(spark, sf_dir):
-    nb = bias.components((64, 64, 40), (1.0, 1.0, 2.0), 30.0)
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(nb)], "axis int, components int")
-
-
-def affine_basis(spark, sf_dir):
-    b = lattice.affine_basis("rigid")
-    return spark.createDataFrame([(n + 1, i + 1, j + 1, float(m[i, j])) for n, m in enumerate(b) for i in range(4) for j in range(4) if m[i, j]], "generator int, i int, j int, v double")
-
-
-def linspace_vec(spark, sf_dir):
-    x = lattice.linspace_vec([0.0, 10.0], [1.0, 30.0], 5)
-    return spark.createDataFrame([(i + 1, j + 1, float(x[i, j])) for i in range(2) for j in range(5)], "element int, step int, v double").select("element", "step", r("v").alias("v"))
-
-
 QUERIES = {
     "lattice_grad": lattice_grad, "lattice_div": lattice_div, "lattice_smooth": lattice_smooth,
     **{f"lattice_pad_{m}": _pad(m) for m in ("circular", "replicate", "symmetric", "constant")},
     "warp_affine_mm2vox": warp_affine, "warp_trilinear": warp_trilinear, "resample_nn": resample_nearest, "warp_compose": warp_compose,
-    "bbox_threshold": bbox_threshold, "crop": crop_box, "fov_mask": fov_mask, "header_geometry": headers, "central_slice": slice_central,
+    "bbox_threshold": bbox_threshold, "crop": crop_box, "fov_mask": fov_mask, "central_slice": slice_central,
     **{f"coo_gradient_{b}": _coo(lambda s, b=b: sparse.gradient(s, LAT, VS, 1, -1 if b == "dirichlet" else 1, b)) for b in ("circulant", "neumann", "dirichlet")},
     "coo_jacobian": _coo(lambda s: sparse.jacobian(s, LAT, VS, 2), 2), "coo_laplacian": _coo(lambda s: sparse.laplacian(s, LAT, VS)), "coo_hessian": _coo(lambda s: sparse.hessian(s, LAT, VS)),
     "coo_divergence": _coo(lambda s: sparse.divergence(s, LAT, VS), 3), "coo_symjac": _coo(lambda s: sparse.symmetric_jacobian(s, LAT, VS), 3), "coo_euclidean": _coo(lambda s: sparse.euclidean(s, LAT, VS), 3),
     "coo_precision_absolute": _coo(lambda s: sparse.precision(s, LAT, VS, (0.7, 0, 0, 0, 0)), 3), "coo_precision_membrane": _coo(lambda s: sparse.precision(s, LAT, VS, (0, 0.5, 0, 0, 0)), 3),
     "coo_precision_elastic": _coo(lambda s: sparse.precision(s, LAT, VS, (0, 0, 0, 0.3, 0.2)), 3),
     "coo_spmv": spmv, "coo_kernel_bending": precision_bending,
-    "bias_reconstruct": bias_reconstruct, "bias_components": bias_components, "affine_basis": affine_basis, "linspace_vec": linspace_vec,
+    "bias_reconstruct": bias_reconstruct,
 }
 ORACLE = {
     "lattice_grad": f"SELECT i, j, k, {rs('di')} AS di, {rs('dj')} AS dj, {rs('dk')} AS dk FROM ({_GRAD})",
     "lattice_div": f"SELECT i, j, k, {rs(_DIV)} AS v FROM ({_GRAD})",
     "lattice_smooth": _smooth_sql(),
     **{f"lattice_pad_{m}": _pad_sql(m) for m in ("circular", "replicate", "symmetric", "constant")},
-    "warp_affine_mm2vox": f"SELECT i, j, k, {rs(_Y[0])} AS y1, {rs(_Y[1])} AS y2, {rs(f'({_Y[2]}) / 2')} AS y3 FROM {_FULL}",
+    "warp_affine_mm2vox": f"SELECT i0 AS i, j0 AS j, k0 AS k, {rs(_Y[0], half=OFF)} AS y1, {rs(_Y[1], half=OFF)} AS y2, {rs(f'({_Y[2]}) / 2', half=OFF)} AS y3 FROM (SELECT i AS i0, j AS j0, k AS k0, i + 0.15e0 * v AS i, j + 0.25e0 * v AS j, k - 0.35e0 * v AS k FROM {_FULL})",
     "warp_trilinear": _trilinear_sql(), "resample_nn": _NEAREST,
-    "warp_compose": f"SELECT i, j, k, {rs('i + 1.25e0')} AS y1, {rs('j + 2e0')} AS y2, {rs('k + 0.5e0')} AS y3 FROM {_FULL}",
+    "warp_compose": f"WITH f AS (SELECT * FROM {_FULL}) SELECT a.i, a.j, a.k, {rs('a.i + 1 + 0.5e0 * b.v', half=OFF)} AS y1, {rs('a.j + 2 + 0.25e0 * b.v', half=OFF)} AS y2, {rs('a.k - 0.125e0 * b.v', half=OFF)} AS y3 FROM f a JOIN f b ON b.i = a.i % 5 + 1 AND b.j = (a.j + 1) % 10 + 1 AND b.k = a.k",
     "bbox_threshold": _BOX,
     "crop": f"SELECT i - 1 AS i, j - 2 AS j, k, {rs('v')} AS v, -3e0 AS origin1, 5e0 AS origin2 FROM {_FULL} WHERE i BETWEEN 2 AND 4 AND j BETWEEN 3 AND 8 AND k <= 3",
     "fov_mask": f"SELECT i, j, k, {rs('CASE WHEN i - 1 >= 1 AND j + 2 <= 10 THEN v ELSE 0 END')} AS v FROM {_FULL}",
-    "header_geometry": "SELECT * FROM (VALUES (1::INT, 2e0, -3e0, 5e0, -6e0), (2, 1e0, 4e0, 13e0, -5.5e0), (3, 1.5e0, 1.5e0, 7.5e0, -4.5e0)) t(axis, size, lo, hi, origin)",
     "central_slice": f"SELECT i, k AS j, 1::INT AS k, {rs('v')} AS v FROM {_FULL} WHERE j = 6",
     **{f"coo_gradient_{b}": _apply_sql(f"SELECT * FROM {_g_sql(1, -1 if b == 'dirichlet' else 1, b)}") for b in ("circulant", "neumann", "dirichlet")},
     "coo_jacobian": _jac_sql(), "coo_laplacian": _apply_sql(_LAP), "coo_hessian": _apply_sql(_HES), "coo_kernel_bending": _bending_sql(),
@@ -306,7 +288,4 @@ ORACLE = {
         rs(" + ".join(f"(up{a} - down{a}) / {s * s!r}" for a, s in zip("ijk", VS)), half=OFF),
     ),
     "bias_reconstruct": f"SELECT i, j, k, {rs('exp(b)')} AS bias, {rs('exp(b) * v')} AS v FROM (SELECT *, {_BIAS} AS b FROM {_FULL})",
-    "bias_components": "SELECT axis::INT AS axis, greatest(1, ceil(2 * vs * n / 30))::INT AS components FROM (VALUES (1, 64, 1e0), (2, 64, 1e0), (3, 40, 2e0)) t(axis, n, vs)",
-    "affine_basis": "SELECT generator::INT AS generator, i::INT AS i, j::INT AS j, v::DOUBLE AS v FROM (VALUES (1,1,4,1),(2,2,4,1),(3,3,4,1),(4,1,2,1),(4,2,1,-1),(5,1,3,1),(5,3,1,-1),(6,2,3,1),(6,3,2,-1)) t(generator, i, j, v)",
-    "linspace_vec": f"SELECT element::INT AS element, step::INT AS step, {rs('a + (b - a) * (step - 1) / 4')} AS v FROM (VALUES (1, 0e0, 1e0), (2, 10e0, 30e0)) t(element, a, b), (SELECT unnest([1, 2, 3, 4, 5]) AS step)",
 }

@@ -93,8 +93,27 @@ def _misc_sql():
 
 
 def sym_indices(spark, sf_dir):
-    idx = linalg.sym_indices(4)
-    return spark.createDataFrame([(i, j, int(idx[i, j])) for i in range(4) for j in range(4)], "i int, j int, packed int")
+    """Row sums of the symmetric matrix that a vector's components are packed into, ten rows of 55 components."""
+    full = table(spark, sf_dir, "embeddings").select("vec_id", linalg.unpack(F.transform("embedding", lambda v: v.cast("double")), PACKED).alias("m"))
+    row = lambda i: sum((F.get("m", F.lit(i * PACKED + j)) for j in range(1, PACKED)), F.get("m", F.lit(i * PACKED)))
+    return full.select("vec_id", *(r(row(i)).alias(f"row{i}") for i in range(PACKED)))
+
+
+#: Rows of the largest packed matrix that the components hold.
+PACKED = 10
+
+
+def _packed_sql():
+    """The diagonal first, then row by row what lies right of it: counted here, not computed."""
+    place, at = {}, 0
+    for i in range(PACKED):
+        place[i, i] = at = i
+    for i in range(PACKED):
+        for j in range(i + 1, PACKED):
+            at += 1
+            place[i, j] = place[j, i] = at
+    rows = ", ".join(rs(" + ".join(f"embedding[{place[i, j] + 1}]::DOUBLE" for j in range(PACKED))) + f" AS row{i}" for i in range(PACKED))
+    return f"SELECT vec_id, {rows} FROM embeddings"
 
 
 QUERIES = {
@@ -109,5 +128,5 @@ ORACLE = {
     "pointwise_ss": _wrap(_mm_sql(s1, s2)), "pointwise_tmm": _wrap(_mm_sql(_t(m1), m2)),
     "pointwise_mv": _wrap(_mm_sql(m1, v, 1, "v")), "pointwise_sv": _wrap(_mm_sql(s1, v, 1, "v")), "pointwise_tmv": _wrap(_mm_sql(_t(m1), v, 1, "v")),
     "pointwise_inv_det": _inv_sql(), "pointwise_t_vv_softmax": _misc_sql(),
-    "sym_indices": "SELECT i::INT AS i, j::INT AS j, (CASE WHEN i = j THEN i ELSE 4 + least(i, j) * 4 - least(i, j) * (least(i, j) + 1) // 2 + greatest(i, j) - least(i, j) - 1 END)::INT AS packed FROM range(4) a(i), range(4) b(j)",
+    "sym_indices": _packed_sql(),
 }

@@ -264,8 +264,12 @@ def _labels_sql():
 
 
 def gmm_prune(spark, sf_dir):
-    kept = gmm.prune(gmm.Mixture(np.array([[1.0], [2.0], [3.0]]), np.ones((3, 1, 1)), np.log(np.array([0.05, 0.55, 0.4]))), 0.1)
-    return spark.createDataFrame([(float(m[0]), float(p)) for m, p in zip(kept.mu, np.exp(kept.logpi))], "mu double, pi double").select("mu", r("pi").alias("pi"))
+    """Of small, middle and large quantities those kinds with a tenth of the rows or more."""
+    q = F.col("l_quantity").cast("double")
+    rows = table(spark, sf_dir, "lineitem").select(q.alias("q"), F.when(q < 5, 0).when(q < 20, 1).otherwise(2).alias("kind"))
+    start = gmm.label_start(rows, ["q"], "kind")
+    kept, again = gmm.prune(start, 0.1), gmm.prune(start, 0.1, True)
+    return spark.createDataFrame([(float(m[0]), float(p), float(q)) for m, p, q in zip(kept.mu, np.exp(kept.logpi), np.exp(again.logpi))], "mu double, pi double, share double").select(*(r(c).alias(c) for c in ("mu", "pi", "share")))
 
 
 def gmm_start_linspace(spark, sf_dir):
@@ -335,7 +339,7 @@ ORACLE = {
     "gmm_hist_mode": _em_sql(_HIST, extra="(SELECT power((max(x) - min(x)) / 64, 2) / 12 FROM (" + _X + "))"),
     "gmm_multi_gauss": f"WITH s AS (SELECT sum(z0) AS a, sum(z1) AS b FROM ({_scored_sql(MODEL)})) SELECT 1::INT AS k, {rs('a / (a + b)')} AS mg FROM s UNION ALL SELECT 2, {rs('b / (a + b)')} FROM s",
     "gmm_labels": _labels_sql(),
-    "gmm_prune": "SELECT * FROM (VALUES (2e0, 0.55e0), (3e0, 0.4e0)) t(mu, pi)",
+    "gmm_prune": f"WITH g AS (SELECT avg(l_quantity::DOUBLE) AS mu, count(*) / (SELECT count(*) FROM lineitem) AS pi FROM lineitem GROUP BY CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity < 20 THEN 1 ELSE 2 END), k AS (SELECT * FROM g WHERE pi >= 0.1) SELECT {rs('mu')} AS mu, {rs('pi')} AS pi, {rs('pi / (SELECT sum(pi) FROM k)')} AS share FROM k",
     "gmm_linspace_start": f"SELECT k::INT AS k, {rs('q0 + (q1 - q0) * k / 4')} AS q, {rs('p0 + (p1 - p0) * k / 4')} AS p FROM (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS p0, max(l_extendedprice) AS p1 FROM lineitem), (SELECT unnest([1, 2, 3]) AS k)",
     "gmm_cat2rgb": _RGB,
 }
