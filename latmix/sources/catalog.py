@@ -66,23 +66,42 @@ def resolve_paths(recs: DataFrame, listing: DataFrame) -> DataFrame:
 def subjects(recs: DataFrame) -> DataFrame:
     """One row per subject: fields of the first record, nested modalities, channels, labels, segmentations, last open fields.
 
-    Order is that of first sight; of open fields the last value wins.
+    Order is that of first sight; of open fields the last value wins. A record's parts become entries of
+    one kind each, which are gathered by channel, then by modality, then by subject: one plan without
+    joins, whose exchanges carry less from one to the next.
     """
     r = validate(recs).withColumn("subject", subject_key())
     kind = F.coalesce("type", F.lit("image"))
-    item = F.struct("seq", "modality", "channel", "ix_img", "pth")
-    channels = r.where(kind == "image").groupBy("subject", "modality", "channel").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(item)).alias("files"))
-    modalities = channels.groupBy("subject", "modality").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", "channel", F.size("files").alias("n")))).alias("channels"))
-    nested = modalities.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("seq", "modality", "channels"))).alias("modalities"))
-    labels = r.where(kind == "label").groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("seq", "rater", "protocol", "pth"))).alias("labels"))
-    classes = r.where(kind == "segmentation").groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("seq", "tissue", "pth"))).alias("segmentations"))
-    # of equal keys the entry of the latest record stays
-    entries = r.select("subject", "seq", F.explode("open").alias("k", "v")).groupBy("subject", "k").agg(F.max_by("v", "seq").alias("v"))
-    opens = entries.groupBy("subject").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("open"))
-    first = r.groupBy("subject").agg(F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"), F.min_by("population", "seq").alias("population"), F.min_by("hospital", "seq").alias("hospital"), F.count("*").alias("records"))
-    for part in (nested, labels, classes, opens):
-        first = first.join(part, "subject", "left")
-    return first
+    shape = f"section string, a string, b string, v string, file struct<seq:{r.schema['seq'].dataType.simpleString()},modality:string,channel:string,ix_img:int,pth:string>, label struct<seq:{r.schema['seq'].dataType.simpleString()},rater:string,protocol:string,pth:string>, class struct<seq:{r.schema['seq'].dataType.simpleString()},tissue:string,pth:string>"
+    entry = f"struct<{', '.join(':'.join(f.split(' ', 1)) for f in shape.split(', '))}>"
+    none = F.lit(None)
+
+    def part(section: str, a=none, b=none, v=none, file=none, label=none, klass=none) -> Column:
+        return F.struct(F.lit(section), a, b, v, file, label, klass).cast(entry)
+
+    image = part("image", F.col("modality"), F.col("channel"), file=F.struct("seq", "modality", "channel", "ix_img", "pth"))
+    label = part("label", label=F.struct("seq", "rater", "protocol", "pth"))
+    klass = part("segmentation", klass=F.struct("seq", "tissue", "pth"))
+    own = F.when(kind == "image", F.array(image)).when(kind == "label", F.array(label)).when(kind == "segmentation", F.array(klass)).otherwise(F.array().cast(f"array<{entry}>"))
+    opens = F.transform(F.map_entries("open"), lambda e: part("open", e["key"], v=e["value"]))
+    entries = r.select("subject", "seq", "name", "population", "hospital", F.explode(F.concat(F.array(part("record")), own, F.coalesce(opens, F.array().cast(f"array<{entry}>")))).alias("e"))
+    first = [F.min_by(c, "seq").alias(c) for c in ("name", "population", "hospital")]
+    one = entries.groupBy("subject", "e.section", "e.a", "e.b").agg(
+        F.min("seq").alias("seq"), F.count("*").alias("n"), *first, F.max_by("e.v", "seq").alias("v"), F.sort_array(F.collect_list("e.file")).alias("files"), F.sort_array(F.collect_list("e.label")).alias("labels"), F.sort_array(F.collect_list("e.class")).alias("classes")
+    )
+    channel = F.when(F.col("section") == "image", F.struct("seq", F.col("b").alias("channel"), F.size("files").alias("n")))
+    two = one.groupBy("subject", "section", "a").agg(
+        F.min("seq").alias("seq"), F.sum("n").alias("n"), *first, F.max_by("v", "seq").alias("v"), F.sort_array(F.collect_list(channel)).alias("channels"), F.first("labels").alias("labels"), F.first("classes").alias("classes")
+    )
+    is_of = lambda s: F.col("section") == s
+    some = lambda c: F.when(F.size(c) > 0, c)
+    gathered = two.groupBy("subject").agg(
+        F.min("seq").alias("seq"), *first, F.max(F.when(is_of("record"), F.col("n"))).alias("records"),
+        F.sort_array(F.collect_list(F.when(is_of("image"), F.struct("seq", F.col("a").alias("modality"), "channels")))).alias("modalities"),
+        F.first(F.when(is_of("label"), F.col("labels")), True).alias("labels"), F.first(F.when(is_of("segmentation"), F.col("classes")), True).alias("segmentations"),
+        F.sort_array(F.collect_list(F.when(is_of("open"), F.struct(F.col("a").alias("k"), "v")))).alias("open"),
+    )
+    return gathered.select("subject", "seq", "name", "population", "hospital", "records", some(F.col("modalities")).alias("modalities"), "labels", "segmentations", F.map_from_entries(some(F.col("open"))).alias("open"))
 
 
 def merge_catalogues(*cats: DataFrame) -> DataFrame:

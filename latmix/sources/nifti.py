@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,31 @@ TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 76
 HEADER = 348
 
 
-def parse(data: bytes):
-    """(dims, 4 x 4 affine, values in file order), or None where the file can't be read."""
+def parse_header(data: bytes):
+    """(dims, 4 x 4 affine, value type, offset, slope, intercept) from a file's beginning, or None where it can't be read."""
     try:
         if data[:2] == b"\x1f\x8b":
-            data = gzip.decompress(data)
+            data = zlib.decompressobj(31).decompress(data, HEADER + 4)
         end = "<" if struct.unpack("<i", data[:4])[0] == HEADER else ">"
         dims = struct.unpack(end + "8h", data[40:56])
-        dim = dims[1 : 1 + dims[0]]
-        code = struct.unpack(end + "h", data[70:72])[0]
+        kind = end + TYPES[struct.unpack(end + "h", data[70:72])[0]]
         offset, slope, inter = struct.unpack(end + "3f", data[108:120])
         affine = np.vstack([np.frombuffer(data[280:328], end + "f4").reshape(3, 4), [0, 0, 0, 1]]).astype(float)
-        values = np.frombuffer(data, end + TYPES[code], int(np.prod(dim)), int(offset)).astype(float)
-        return dim, affine, values * (slope or 1.0) + inter
-    except (struct.error, KeyError, ValueError, OSError):
+        return dims[1 : 1 + dims[0]], affine, kind, int(offset), slope or 1.0, inter
+    except (struct.error, KeyError, ValueError, zlib.error):
+        return None
+
+
+def parse(data: bytes):
+    """(dims, 4 x 4 affine, values in file order), or None where the file can't be read."""
+    head = parse_header(data)
+    if head is None:
+        return None
+    dim, affine, kind, offset, slope, inter = head
+    try:
+        data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        return dim, affine, np.frombuffer(data, kind, int(np.prod(dim)), offset).astype(float) * slope + inter
+    except (ValueError, OSError, EOFError, zlib.error):
         return None
 
 
@@ -75,13 +87,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, dim, mat): headers without voxels."""
+    """(path, dim, mat): headers; voxels are not decoded."""
 
     def rows(batches):
         import pandas as pd
 
         for frame in batches:
-            got = [(p, parse(c)) for p, c in zip(frame["path"], frame["content"])]
+            got = [(p, parse_header(c)) for p, c in zip(frame["path"], frame["content"])]
             got = [(p, list(map(int, g[0])), g[1].ravel().tolist()) for p, g in got if g]
             yield pd.DataFrame(got, columns=["path", "dim", "mat"])
 
