@@ -161,10 +161,13 @@ def score(df: DataFrame, cols: list[str], model: Mixture, missing: bool = True,
             chain = chain.when(F.col("__code") == 0, F.lit(0.0))
         return chain + prior
 
-    out = df.withColumn("__code", code).withColumn("__l", F.array(*(logp(i) for i in range(k)))).withColumn("__m", F.array_max("__l"))
-    out = out.withColumn("__e", F.transform("__l", lambda v: F.exp(v - F.col("__m")))).withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, v: a + v))
-    out = out.withColumn(name, F.transform("__e", lambda v: v / F.col("__s"))).withColumn("log_evidence", F.col("__m") + F.log("__s"))
-    return out.drop("__code", "__l", "__m", "__e", "__s")
+    # a column a cluster, not an array: scalars stay in generated code
+    logs, parts = [f"__l{i}" for i in range(k)], [f"__e{i}" for i in range(k)]
+    out = df.withColumn("__code", code).withColumns({n: logp(i) for i, n in enumerate(logs)})
+    out = out.withColumn("__m", F.greatest(*logs) if k > 1 else F.col(logs[0])).withColumns({e: F.exp(F.col(n) - F.col("__m")) for e, n in zip(parts, logs)})
+    out = out.withColumn("__s", sum((F.col(e) for e in parts[1:]), F.col(parts[0])))
+    out = out.withColumn(name, F.array(*(F.col(e) / F.col("__s") for e in parts))).withColumn("log_evidence", F.col("__m") + F.log("__s"))
+    return out.drop("__code", "__m", "__s", *logs, *parts)
 
 
 def normal_draw(seed: int, *parts) -> Column:
@@ -603,6 +606,17 @@ def shared_hyper(models: list[Mixture], rounds: int = 200, tolerance: float = 1e
     return SharedPrior(out, V0, p0, V, p, bounds)
 
 
+def collapse_prior(prior: Prior, lkp) -> Prior:
+    """One cluster for each class of a prior: means of the clusters' means, strengths and degrees, and the mean of their expected covariances."""
+    lkp = np.asarray(lkp)
+    covs = np.linalg.inv(prior.n[:, None, None] * prior.V)
+    of = [lkp == c for c in np.unique(lkp)]
+    n = np.array([prior.n[o].mean() for o in of])
+    V = np.array([np.linalg.inv(covs[o].mean(0)) for o in of]) / n[:, None, None]
+    alpha = None if prior.alpha is None else np.array([prior.alpha[o].sum() for o in of])
+    return Prior(np.array([prior.mu[o].mean(0) for o in of]), np.array([prior.b[o].mean() for o in of]), V, n, alpha)
+
+
 def update_hyper(models: list[Mixture], iterations: int = 50) -> Prior:
     """Empirical Bayes: the Gauss-Wishart prior that makes the posteriors of several fits most likely, each cluster by itself."""
     k, p = models[0].mu.shape

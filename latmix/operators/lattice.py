@@ -296,6 +296,12 @@ def affine_basis(kind: str = "affine", flat: bool = False) -> np.ndarray:
     return np.array({"translation": shifts, "rotation": turns, "rigid": shifts + turns, "similitude": shifts + turns + zoom, "affine": shifts + turns + zooms + shears}[kind])
 
 
+def regularised(kind: str = "affine", flat: bool = False) -> list[int]:
+    """Which generators of ``affine_basis`` (from 0) are neither shifts nor turns."""
+    rigid = len(affine_basis("rigid", flat))
+    return list(range(rigid, len(affine_basis(kind, flat)))) if kind in ("similitude", "affine") else []
+
+
 # headers as a table ------------------------------------------------------------------------------------
 def expm(a: np.ndarray) -> np.ndarray:
     """Exponential of a small matrix, by squaring a series."""

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def canonical(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NaN becomes NULL, values become doubles."""
-    return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols})
+def canonical(df: DataFrame, cols: list[str], finite: bool = False) -> DataFrame:
+    """NaN becomes NULL, and with ``finite`` what is infinite too; values become doubles."""
+    fine = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")) if finite else ~F.isnan(x)
+    return df.withColumns({c: F.when(fine(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols})
 
 
 def pattern_code(cols: list[str]) -> Column:

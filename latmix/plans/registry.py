@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import biases, catalogues, clusters, distributions, extras, headers, histograms, lattices, matrices, mixtures, warps
+from . import biases, catalogues, clusters, distributions, extras, headers, histograms, lattices, matrices, mixtures, more, warps
 
-MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras, warps, biases, headers)
+MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras, warps, biases, headers, more)
 
 
 def queries():

@@ -143,6 +143,13 @@ def dimension(recs: DataFrame, col: str) -> DataFrame:
     return seen.select("value", F.row_number().over(W.orderBy("seq")).alias("index"))
 
 
+def image_dimension(images: DataFrame, dim: str = "dim") -> DataFrame:
+    """(dimension): 3, or 2 where every image has one slice; images of both kinds are an error."""
+    own = F.when(F.coalesce(F.get(dim, F.lit(2)), F.lit(1)) == 1, 2).otherwise(3)
+    both = images.agg(F.min(own).alias("a"), F.max(own).alias("b")).where(F.col("a").isNotNull())
+    return both.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.lit("images of two and of three dimensions")).cast("int")).alias("dimension"))
+
+
 def validate_models(recs: DataFrame) -> DataFrame:
     """Records of model files: a missing type is an error."""
     return recs.withColumn("type", F.when(F.col("type").isNotNull(), F.col("type")).otherwise(F.raise_error(F.lit("a model record has no type")))).withColumn("modality", F.coalesce("modality", F.lit("")))
