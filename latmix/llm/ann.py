@@ -5,7 +5,9 @@ squared norm lacks to the largest). On a bounded sample (SAMPLE rows, least by h
 and TURNS rotations are learned, each so that rotated coordinates lie close to their signs; the signs
 are the code. Every row is indexed.
 
-Codes are cut into substrings, and a block of rows holds, for every substring, its rows by value.
+Codes are cut into substrings, one a rotation, and a block of rows holds, for every substring, its
+rows by value; the values within a radius of the query's are found by one pass over the block's
+distinct values, as neighbours here differ in two fifths of their bits, far too many to enumerate.
 For a Hamming radius r the substrings' radii follow from the pigeonhole principle: a code within r
 differs from the query in some substring by no more than that substring's radius, so probing the
 values within these radii finds every code within r. Those are reranked by the inner product of the
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import Scratch, lean, table
 from .vectors import matrix, unit, usable
 
-K, SAMPLE, TURNS, BITS, SUBSTRINGS, TARGET = 20, 20_000, 4, 64, 16, 0.97
+K, SAMPLE, TURNS, BITS, SUBSTRINGS, TARGET = 20, 20_000, 4, 64, 4, 0.94
 QUERY_BLOCK, ROW_BLOCK = 8192, 8192
 
 
@@ -64,13 +66,13 @@ class Codes:
         return np.hstack([x, rest[:, None]])
 
     def of(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """n x SUBSTRINGS substrings of 16 bits. A query's added dimension is 0 and its norm is no matter."""
+        """n x SUBSTRINGS substrings of 64 bits. A query's added dimension is 0 and its norm is no matter."""
         y = np.hstack([unit(x), np.zeros((len(x), 1))]) if query else self.extend(x)
         p = (y - self.mean) @ self.axes
         bits = np.zeros((len(x), TURNS, BITS), bool)
         for t, r in enumerate(self.turns):
             bits[:, t, : p.shape[1]] = p @ r > 0
-        return np.packbits(bits.reshape(len(x), -1), axis=1).view(np.uint16)
+        return np.packbits(bits.reshape(len(x), -1), axis=1).view(np.uint64)
 
     def _radius(self, x: np.ndarray, k: int) -> int:
         q = x[:: max(1, len(x) // 200)][:200]
