@@ -339,3 +339,100 @@ def test_tables_of_a_run_are_dropped(spark, sf):
         query(spark, sf).count()
     left = {t for d in set(os.listdir(root)) - before for t in os.listdir(f"{root}/{d}") if not t.startswith(".")}
     assert left == {"classes-out", "ranked"}
+
+
+def test_probing_finds_the_radius(spark):
+    """Probing by substrings gives every code within the radius, and no other."""
+    from latmix.llm import ann
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    codes = ann.Codes(x, np.abs(x).max(), np.linalg.norm(x / np.abs(x).max(), axis=1).max(), 20)
+    rows = codes.of(x)
+    index = ann.Index(rows)
+    assert sum(codes.radii()) == codes.radius + 1 - ann.SUBSTRINGS and rows.shape[1] == ann.SUBSTRINGS
+    for q in codes.of(x[:40], True):
+        far = np.bitwise_count(rows ^ q).sum(1)
+        got, probed = index.within(q, codes.radius, codes.radii())
+        assert (got == np.flatnonzero(far <= codes.radius)).all() and len(probed) < len(rows)
+
+
+# 6 and 9: plain versions, very long texts, clashing columns --------------------------------------------
+def test_word_vectors_by_hand(spark, docs, monkeypatch):
+    """Context sums over all neighbours, pooling and calibration against loops."""
+    from latmix.llm import quality
+
+    monkeypatch.setattr(quality, "FLUSH", 50)
+    few = docs.where("doc_id < 16 OR doc_id > 100").withColumns({c: F.lit(1) for c in ("score", "held_out", "quality", "chunk", "x", "y")})
+    texts = [r["text"] or "" for r in few.collect()]
+    place, sign = quality.index_vectors()
+    own, total, n = quality.Buckets(), np.zeros((quality.BUCKETS, quality.DIMS)), np.zeros(quality.BUCKETS)
+    for t in texts:
+        ids = own.of(t)
+        for a in range(len(ids)):
+            n[ids[a]] += 1
+            for b in range(max(0, a - quality.NEAR), min(len(ids), a + quality.NEAR + 1)):
+                if b != a:
+                    for k in range(quality.NONZERO):
+                        total[ids[a], place[ids[b], k]] += sign[ids[b], k]
+    mean = total / np.maximum(n, 1)[:, None]
+    mean[n > 0] -= total.sum(0) / n.sum()
+    want = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(few)
+    assert np.allclose(got, want, atol=1e-6) and np.allclose(quality.word_vectors(few.repartition(5)), got, atol=1e-7)
+    pool = quality.Pool(got)
+    for t in texts:
+        ids = own.of(t)
+        v = np.array([got[i] for i in ids], float).reshape(-1, quality.DIMS)
+        x = pool.of(t)
+        if len(ids):
+            assert np.allclose(x[: quality.DIMS], v.mean(0), atol=1e-5) and np.allclose(x[quality.DIMS : 2 * quality.DIMS], v.std(0), atol=1e-3)
+            assert np.allclose(x[2 * quality.DIMS : -3], got[np.unique(ids)].mean(0), atol=1e-5)
+        else:
+            assert not x.any()
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(float)
+    net = quality.Network().fit(x, y)
+    apart = np.arange(400) % 5 == 4
+    logit = net._logit((x[apart] - net.mean) / net.scale)
+    loss = lambda s: float(np.mean(-np.log(np.where(y[apart] == 1, 1 / (1 + np.exp(-logit / s)), 1 - 1 / (1 + np.exp(-logit / s))))))
+    assert all(loss(net.temperature) <= loss(s) + 1e-12 for s in np.geomspace(0.25, 8, 61))
+    assert np.allclose(net.predict(x[apart]), 1 / (1 + np.exp(-logit / net.temperature)))
+
+
+def test_quality_of_odd_tables(spark):
+    from latmix.llm import quality
+
+    rows = [(i, ("good words stand here " if i % 2 else "### *** $$$ ") * (1 + i % 5)) for i in range(60)] + [(60, "good words " * 40_000), (61, None), (61, None), (None, "good words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("score", "held_out", "predicted", "quality", "lang", "source")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (None, 1)], "doc_id long, quality int").withColumn("text", F.lit("own"))
+    got = quality.score(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    by = collections.defaultdict(list)
+    for r in got.collect():
+        by[r["doc_id"]].append((r["score"], r["predicted"]))
+    assert sum(map(len, by.values())) == 64 and len(by[61]) == 2 and len(set(by[61])) == 1 and by[60][0][1] == 1
+    assert sum(p == i % 2 for i in range(60) for _, p in by[i]) >= 54
+
+
+def test_repeats_in_a_very_long_text(spark):
+    from latmix.llm import suffix
+
+    rng = random.Random(17)
+    fill = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    shared = fill(900)
+    long = fill(90_000) + shared + fill(60_000) + shared[100:700] + fill(40_000)
+    texts = [(1, long), (2, fill(300) + shared[:500] + fill(300)), (3, "x" * 50_000), (4, fill(2000))]
+    rows = [(i, t.encode()) for i, t in texts]
+    seen = collections.Counter(hash(b[k : k + 400]) for _, b in rows for k in range(len(b) - 399))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("t", "n_bytes", "anchor", "kept_sha256")})
+    for r in suffix.remove_repeats(spark, frame).collect():
+        b = dict(rows)[r["doc_id"]]
+        cover = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - 399):
+            if seen[hash(b[k : k + 400])] > 1:
+                cover[k] += 1
+                cover[k + 400] -= 1
+        cover = np.cumsum(cover)[:-1] > 0
+        assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (len(b), int(cover.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest())
