@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import gmm
 
-#: Unknowns of all channels up to which they are solved for at once, as in the reference's switch.
+#: Unknowns of all channels up to which they are solved for at once. Fixed value.
 JOINT = 3000
 #: Unknowns up to which the Hessian is summed up; beyond, conjugate gradients ask for products with it.
 DENSE = 600
