@@ -14,6 +14,11 @@ document. So documents are first cut to what can repeat:
    suffix, sorts stably by it (the collection's Burrows-Wheeler order of that column), and updates the
    common prefixes of neighbours. Where a neighbour's common prefix reaches LENGTH, the string that
    starts there repeats. Collections are processed in blocks of bounded size, whole anchors at a time.
+4. An anchor with more than BLOCK different contexts is split until no part has more. Strings that start
+   in columns lo to hi all hold the bytes of columns hi to lo + LENGTH, so contexts that share one of
+   them agree there: each half of the columns is a collection of its own for each value of these bytes.
+   What is equal in all bytes that a half's strings cover repeats there, and one of it stands for all.
+   Halves of one column hold equal strings only, so there are at most nine rounds.
 
 Texts of which there are copies repeat entirely, and one of them stands for all.
 
@@ -34,7 +39,7 @@ from .common import Scratch, lean, table
 LENGTH, GRAM = 400, 32
 BACK = LENGTH - GRAM
 WIDTH = BACK + LENGTH
-#: Contexts sorted at once, unless one anchor has more.
+#: Contexts sorted at once; a task holds less than twice as many. Anchors that have more are split.
 BLOCK = 40_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,6 +206,55 @@ def _runs(batches):
         yield block(held)
 
 
+RUN = "t long, a long, b long"
+
+
+def sorted_runs(met: DataFrame) -> DataFrame:
+    """Stretches (t, a, b) of contexts (anchor, t, pos, before, bytes); an anchor's contexts meet in one task."""
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_runs), RUN)
+
+
+def halves(met: DataFrame) -> DataFrame:
+    """Contexts (anchor, lo, hi, t, pos, before, bytes), each as one row of each half of its columns in which a string of it starts.
+
+    anchor becomes a digest that also tells the bytes that all strings of the half hold, bytes are those
+    that its strings cover, and same is a digest of them and of where they lie.
+    """
+    left = F.expr(f"{BACK} - before")
+    met = met.withColumn("half", F.explode(F.expr("array(struct(lo, (lo + hi) div 2 AS hi), struct((lo + hi) div 2 + 1 AS lo, hi))"))).select("anchor", "half.*", "t", "pos", "bytes", left.alias("at"))
+    met = met.withColumn("first", F.greatest("lo", "at")).withColumn("last", F.least(F.col("hi"), F.expr(f"at + length(bytes) - {LENGTH}"))).where("first <= last")
+    held = F.expr(f"substring(bytes, int(hi - at + 1), int(lo + {LENGTH} - hi))")
+    met = met.withColumn("anchor", F.unhex(F.md5(F.concat("anchor", F.expr("encode(concat(':', lo, ':'), 'UTF-8')"), held))))
+    met = met.withColumn("bytes", F.expr(f"substring(bytes, int(first - at + 1), int(last - first + {LENGTH}))"))
+    return met.select("anchor", F.unhex(F.md5(F.concat(F.expr("encode(concat(first, ':'), 'UTF-8')"), "bytes"))).alias("same"), "lo", "hi", "t", "pos", F.expr(f"int({BACK} - first)").alias("before"), "bytes")
+
+
+def split_runs(met: DataFrame, scratch: Scratch, most: int) -> list[DataFrame]:
+    """Stretches (t, a, b) of contexts whose anchors have more than most of them, by halves of their columns."""
+    out, level = [], 0
+    met = scratch.keep(met.select(F.encode(F.col("anchor").cast("string"), "UTF-8").alias("anchor"), F.lit(0).cast("long").alias("lo"), F.lit(BACK).cast("long").alias("hi"), "t", "pos", "before", "bytes"), "split")
+    last = "split"
+    while not met.isEmpty():
+        level += 1
+        parts, kinds, groups, next_ = (f"{name}-{level}" for name in ("parts", "kinds", "groups", "split"))
+        part = scratch.keep(halves(met), parts)
+        scratch.drop(last)
+        # rows of one kind are alike in their bytes and where these lie
+        kind = part.groupBy("anchor", "same").agg(F.min(F.struct("t", "pos")).alias("one"), F.count("*").alias("c"))
+        kind = scratch.keep(kind, kinds)
+        group = scratch.keep(kind.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), groups)
+        equal = part.join(kind.where("c > 1").select("anchor", "same"), ["anchor", "same"])
+        out.append(scratch.keep(equal.select("t", F.expr("pos - before").alias("a"), F.expr("pos - before + length(bytes)").alias("b")), f"equal-{level}"))
+        one = kind.join(group, "anchor").select("anchor", "same", "one.*", "k")
+        one = part.join(one, ["anchor", "same", "t", "pos"]).select("anchor", "lo", "hi", "t", "pos", "before", "bytes", "k")
+        out.append(scratch.keep(sorted_runs(one.where(F.col("k") <= most).select("anchor", "t", "pos", "before", "bytes")), f"runs-{level}"))
+        met = scratch.keep(one.where(F.col("k") > most).drop("k"), next_)
+        scratch.drop(parts, kinds, groups)
+        last = next_
+    scratch.drop(last)
+    return out
+
+
 def merged(a, b) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for x, y in sorted(zip(a, b)):
@@ -247,8 +301,11 @@ def reread(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return by(keyed(docs), "text").join(by(wanted, *rest), ["no_id", "id", "k", "n"]).select("text", *rest)
 
 
-def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (doc_id, t, n, sha) of all rows, and spans (t, a, b) to remove of texts without copies."""
+def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows (doc_id, t, n, sha) of all rows, and spans (t, a, b) to remove of texts without copies.
+
+    Anchors with more than most contexts are split.
+    """
     kind = "doc_id long, k long, t long, n long, sha string, pos array<long>, anchor array<long>, ctx array<long>"
     rows = scratch.keep(keyed(docs).mapInArrow(lean(_scan), kind), "rows")
     # one place for each copy of a text
@@ -256,27 +313,35 @@ def stretches(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[D
     places = scratch.keep(places, "places")
     contexts = places.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("t", "pos")).alias("one"))
     contexts = scratch.keep(contexts, "contexts")
-    shared = contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    shared = contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
     whole = places.join(contexts.where("c > 1").select("anchor", "ctx"), ["anchor", "ctx"]).join(rows.groupBy("t").agg(F.first("n").alias("n")), "t")
     whole = whole.select("t", F.greatest(F.col("pos") - BACK, F.lit(0)).alias("a"), F.least(F.col("pos") + LENGTH, "n").alias("b"))
     whole = scratch.keep(whole, "whole")
-    wanted = contexts.join(shared, "anchor", "left_semi").select("anchor", "one.*")
-    wanted = wanted.groupBy("t").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"))
+    scratch.drop("places")
     reps = scratch.keep(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("k").alias("k")), "reps")
     # copies without an id would all be read: one stands for them
     of_id = docs.select("doc_id", "text")
     of_id = of_id.where("doc_id IS NOT NULL").union(of_id.where("doc_id IS NULL").groupBy(F.xxhash64("text"), F.octet_length("text")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text"))
-    found = reread(of_id, wanted.join(reps, "t")).select("t", "text", "pos", "anchor")
-    kind = "anchor long, t long, pos long, before int, bytes binary"
-    met = found.mapInArrow(lean(_contexts), kind).repartition("anchor").sortWithinPartitions("anchor")
-    runs = scratch.keep(met.mapInArrow(lean(_runs), "t long, a long, b long"), "runs")
-    return rows.select("doc_id", "t", "n", "sha"), whole.union(runs)
+
+    def met(anchors: DataFrame) -> DataFrame:
+        wanted = contexts.join(anchors, "anchor", "left_semi").select("anchor", "one.*")
+        wanted = wanted.groupBy("t").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"))
+        found = reread(of_id, wanted.join(reps, "t")).select("t", "text", "pos", "anchor")
+        return found.mapInArrow(lean(_contexts), "anchor long, t long, pos long, before int, bytes binary")
+
+    few, many = shared.where(F.col("k") <= most).select("anchor"), scratch.keep(shared.where(F.col("k") > most).select("anchor"), "many")
+    spans = whole.union(scratch.keep(sorted_runs(met(few)), "runs"))
+    if not many.isEmpty():
+        for more in split_runs(met(many), scratch, most):
+            spans = spans.union(more)
+    scratch.drop("contexts", "many")
+    return rows.select("doc_id", "t", "n", "sha"), spans
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row. Anchors with more than most contexts are split."""
     scratch = Scratch(spark, "suffix")
-    rows, spans = stretches(spark, docs, scratch)
+    rows, spans = stretches(spark, docs, scratch, most)
     reps = spark.read.parquet(scratch.path("reps"))
     per_text = spans.groupBy("t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     single = per_text.join(reps.where("copies = 1"), "t")
@@ -286,6 +351,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     copied = (F.col("copies") > 1) & (F.col("n") >= LENGTH)
     out = reps.select("t", "copies").join(done, "t", "left")
     out = scratch.keep(out, "texts-out")
+    scratch.drop("whole", "runs", "reps", "done", *(f"{name}-{level}" for level in range(1, 10) for name in ("equal", "runs")))
     out = rows.join(out, "t")
     return out.select(
         "doc_id",

@@ -509,6 +509,33 @@ def test_repeats_without_ids(spark):
     assert collections.Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("most", [2, 7])
+def test_repeats_around_a_frequent_passage_are_split(spark, most):
+    """An anchor with more contexts than a task may hold: its columns are halved, over several rounds, and no row differs."""
+    from latmix.llm import suffix
+
+    rng = random.Random(23)
+    fill = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, lefts, rights = fill(110), [fill(330) for _ in range(4)], [fill(330) for _ in range(4)]
+    texts = [
+        (i, fill(rng.randrange(300)) + rng.choice(lefts)[-rng.randrange(1, 330) :] + phrase + rng.choice(rights)[: rng.randrange(1, 330)] + fill(rng.randrange(300)))
+        for i in range(60)
+    ]
+    texts += [(100, lefts[0] + phrase), (101, phrase + rights[0]), (102, phrase), (103, None), (104, fill(50) + texts[0][1]), (105, lefts[1] + phrase + rights[1]), (105, lefts[1] + phrase + rights[1])]
+    rows = [(t or "").encode() for _, t in texts]
+    seen = collections.Counter(b[k : k + 400] for b in rows for k in range(len(b) - 399))
+    want = collections.Counter()
+    for (i, _), b in zip(texts, rows):
+        cover = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                cover[k : k + 400] = True
+        want[i, len(b), int(cover.sum()), int((np.diff(np.append(0, cover.astype(int))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest()] += 1
+    assert sum(k[2] > 0 for k in want) > 20
+    got = suffix.remove_repeats(spark, spark.createDataFrame(texts, "doc_id long, text string"), most).collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
 # 10 -------------------------------------------------------------------------------------------------
 def test_mixing(spark, docs, none, sf):
     from latmix.llm import mixing
