@@ -134,10 +134,11 @@ def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None
 def categorical_draw(df: DataFrame, weight: str, key: str, u: Column, buckets: int = 1024) -> DataFrame:
     """Rows with the cumulative share at which an inverse-CDF draw of u picks them (``picked``).
 
-    Rows lie in the order of their buckets (by a hash of the key), then of the key: running sums are
-    taken within buckets and of the buckets' totals, so no task sees all rows.
+    Rows lie in the order of their buckets (the first 32 bits of the key's MD5, modulo how many there
+    are), then of the key: running sums are taken within buckets and of the buckets' totals, so no task
+    sees all rows.
     """
-    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    rows = df.withColumn("__bucket", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % buckets)
     sums = rows.groupBy("__bucket").agg(F.sum(weight).alias("__sum"))
     ends = sums.select("__bucket", (F.sum("__sum").over(W.orderBy("__bucket")) - F.col("__sum")).alias("__start"), F.sum("__sum").over(W.partitionBy()).alias("__total"))
     out = rows.join(F.broadcast(ends), "__bucket").withColumn("__run", F.col("__start") + F.sum(weight).over(W.partitionBy("__bucket").orderBy(key)))  # so many rows as there are buckets

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import dist, special
 from .common import rs, table
 
-_LG = "lgamma({})".format
-_BL = lambda a, b: f"(lgamma({a}) + lgamma({b}) - lgamma(({a}) + ({b})))"
-
 
 def _events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -58,11 +55,12 @@ _ga, _gb = dist.gamma_params("0.5e0", "3e0", "gamma", _a)
 _lam, _ln = dist.gamma_update("1e0 + v / (1e0 + v)", "n / 100e0", "2e0", "5e0")
 _slam, _sln = dist.gamma_update_suffstat("n / 100e0", "s1", "s2", "m", "1e0 / (1e0 + v)", "2e0", "5e0")
 GAMMA = {
-    "logpdf": (dist.gamma_logpdf("2e0", _a, _b), dist.gamma_logpdf("2e0", _a, _b, _LG)),
-    "pdf": (dist.gamma_pdf("0.7e0", _a, _b), dist.gamma_pdf("0.7e0", _a, _b, _LG)),
-    "pdf_normal": (dist.gamma_pdf("0.7e0", _na, _nb), dist.gamma_pdf("0.7e0", _na, _nb, _LG)),
-    "pdf_gamma": (dist.gamma_pdf("0.7e0", _ga, _gb), dist.gamma_pdf("0.7e0", _ga, _gb, _LG)),
-    "kl": (dist.gamma_kl(_a, _b, "2e0", "1e0"), dist.gamma_kl(_a, _b, "2e0", "1e0", _LG, _psi)),
+    "logpdf": (dist.gamma_logpdf("2e0", _a, _b), f"{_a} * ln(2 * {_b}) - ln(2) - 2 * {_b} - lgamma({_a})"),
+    "pdf": (dist.gamma_pdf("0.7e0", _a, _b), f"(0.7 * {_b}) ** {_a} * exp(-0.7 * {_b}) / (0.7 * gamma({_a}))"),
+    # shape 6, rate 6 over the mean; shape 3 _a, rate 6 _a
+    "pdf_normal": (dist.gamma_pdf("0.7e0", _na, _nb), "(4.2 * (1 + v) / v) ** 6 * exp(-4.2 * (1 + v) / v) / (0.7 * 120)"),
+    "pdf_gamma": (dist.gamma_pdf("0.7e0", _ga, _gb), f"(4.2 * {_a}) ** (3 * {_a}) * exp(-4.2 * {_a}) / (0.7 * gamma(3 * {_a}))"),
+    "kl": (dist.gamma_kl(_a, _b, "2e0", "1e0"), f"({_a} - 2) * {_psi(_a)} - lgamma({_a}) + 2 * ln({_b}) + {_a} / {_b} - {_a}"),
     "e": (dist.gamma_mean(_a, _b), f"{_a} / {_b}"),
     "var": (dist.gamma_var(_a, _b), f"{_a} / ({_b} * {_b})"),
     "elog": (dist.gamma_elog(_a, _b), f"{_psi(_a)} - ln({_b})"),
@@ -72,22 +70,33 @@ GAMMA = {
     "up_suffstat": (_slam, "(5 + n / 100) / (2.5 + (s2 - 2 * m * s1 + n / 100 * m * m) / (1 + v))"),
 }
 _p = "(0.1e0 + 0.8e0 * abs(m) / (1e0 + abs(m)))"
+#: both shapes for 4 observations of 3 trials or failures each; the mean is the share itself
+_SHAPES = {
+    "ber": (f"(4 * {_p})", f"(4 * (1 - {_p}))"),
+    "bin": (f"(12 * {_p})", f"(12 * (1 - {_p}))"),
+    "nbin": (f"(12 * {_p} / (1 - {_p}))", "(12::DOUBLE)"),
+    "geom": ("(4::DOUBLE)", f"(4 * (1 - {_p}) / {_p})"),
+}
 BETA = {}
-for _kind in ("ber", "bin", "nbin", "geom"):
+for _kind, (_sx, _sy) in _SHAPES.items():
     _x, _y = dist.beta_params(_kind, _p, "4e0", "3e0")
+    _sum = f"({_sx} + {_sy})"
+    _norm = f"(lgamma({_sum}) - lgamma({_sx}) - lgamma({_sy}))"
     BETA |= {
-        f"logpdf_{_kind}": (dist.beta_logpdf("0.3e0", _x, _y), dist.beta_logpdf("0.3e0", _x, _y, _BL)),
-        f"mean_{_kind}": (dist.beta_mean(_x, _y), f"1 / (1 + {_y} / {_x})"),
-        f"var_{_kind}": (dist.beta_var(_x, _y), f"{_x} / ({_x} + {_y}) * {_y} / ({_x} + {_y}) / ({_x} + {_y} + 1)"),
-        f"elog_{_kind}": (dist.beta_elog(_x, _y), f"{_psi(_x)} - {_psi(f'{_x} + {_y}')}"),
-        f"vlog_{_kind}": (dist.beta_vlog(_x, _y), f"{_psi1(_x)} - {_psi1(f'{_x} + {_y}')}"),
-        f"kl_{_kind}": (dist.beta_kl(_x, _y, "2e0", "3e0"), dist.beta_kl(_x, _y, "2e0", "3e0", _BL, _psi)),
+        f"logpdf_{_kind}": (dist.beta_logpdf("0.3e0", _x, _y), f"{_norm} + ({_sx} - 1) * ln(0.3) + ({_sy} - 1) * ln(0.7)"),
+        f"mean_{_kind}": (dist.beta_mean(_x, _y), _p),
+        f"var_{_kind}": (dist.beta_var(_x, _y), f"{_p} * (1 - {_p}) / ({_sum} + 1)"),
+        f"elog_{_kind}": (dist.beta_elog(_x, _y), f"{_psi(_sx)} - {_psi(_sum)}"),
+        f"vlog_{_kind}": (dist.beta_vlog(_x, _y), f"{_psi1(_sx)} - {_psi1(_sum)}"),
+        # against shapes 2 and 3, of which the beta function is 1 / 12
+        f"kl_{_kind}": (dist.beta_kl(_x, _y, "2e0", "3e0"), f"{_norm} - ln(12) + ({_sx} - 2) * {_psi(_sx)} + ({_sy} - 3) * {_psi(_sy)} + (5 - {_sum}) * {_psi(_sum)}"),
     }
 #: the rates of a quarter as many successes as trials, of 2 trials or failures each
 for _kind, _share in (("ber", "0.25"), ("bin", "0.125"), ("nbin", "1 / 9"), ("geom", "4"), ("fgeom", "0.8")):
     _rate = dist.beta_rate(_kind, "n", "n / 4e0", "2e0")
     BETA[f"up_{_kind}"] = (dist.beta_update(_rate, "n", "0.5e0", "10e0")[0], f"(5 + n * ({_share})) / (10 + n)")
-BETA["pdf"] = (dist.beta_pdf("0.3e0", "2e0 + n / (1e0 + n)", "3e0"), dist.beta_pdf("0.3e0", "2e0 + n / (1e0 + n)", "3e0", _BL))
+_q = "(2 + n / (1 + n))"
+BETA["pdf"] = (dist.beta_pdf("0.3e0", "2e0 + n / (1e0 + n)", "3e0"), f"0.3 ** ({_q} - 1) * 0.49 * {_q} * ({_q} + 1) * ({_q} + 2) / 2")
 
 #: two-dimensional: V = [[1 + v', 0.2], [0.2, 1]] with v' bounded
 _v = "(1e0 + v / (1e0 + v))"

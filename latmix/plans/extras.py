@@ -154,10 +154,17 @@ SELECT (row_number() OVER (ORDER BY l_returnflag) - 1)::INT AS k, {rs('ma')} AS
 
 
 def draw(spark, sf_dir):
-    """The customer that a draw at half of all positive balances picks, and how many are picked."""
+    """The customer that a draw at half of all positive balances picks, its share's end, and how many are picked."""
     rows = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_acctbal").cast("double").alias("w"))
     out = kmeans.categorical_draw(rows, "w", "c_custkey", F.lit(0.5))
-    return out.agg(F.sum(F.col("picked").cast("long")).alias("picked"), r(F.max("cum")).alias("top"), F.count("*").alias("n"), r(F.sum("w"), 2).alias("total"))
+    return out.agg(F.sum(F.col("picked").cast("long")).alias("picked"), r(F.max("cum")).alias("top"), F.count("*").alias("n"), r(F.sum("w"), 2).alias("total"), F.max(F.when(F.col("picked"), F.col("c_custkey"))).alias("c_custkey"), r(F.max(F.when(F.col("picked"), F.col("cum")))).alias("cum"))
+
+
+DRAW = f"""WITH b AS (SELECT c_custkey, c_acctbal::DOUBLE AS w, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT % 1024 AS bucket FROM customer WHERE c_acctbal > 0),
+s AS (SELECT *, sum(w) OVER (ORDER BY bucket, c_custkey) AS run, sum(w) OVER () AS total FROM b),
+p AS (SELECT *, run > 0.5 * total AND run - w <= 0.5 * total AS picked FROM s)
+SELECT (count(*) FILTER (WHERE picked))::BIGINT AS picked, {rs('max(run / total)')} AS top, count(*) AS n, {rs('sum(w)', 2)} AS total,
+max(c_custkey) FILTER (WHERE picked) AS c_custkey, {rs('max(run / total) FILTER (WHERE picked)')} AS cum FROM p"""
 
 
 # warps and resampling ------------------------------------------------------------------------------------------
@@ -266,7 +273,7 @@ for _name, (_run, _sql) in {
     "general_mm": _general(4, 2, 3), "general_ms": _general(2, 4, 4, sym_b=True), "general_sm": _general(4, 4, 2, sym_a=True), "general_ss": _general(4, 4, 4, True, True),
     "general_tmm": _general(4, 2, 3, trans=True), "general_mv": _general(4, 5, 1), "general_sv": _general(4, 4, 1, sym_a=True), "general_tmv": _general(5, 4, 1, trans=True),
     "general_t_vv": (_shape, _SHAPE), "small_matrices": (small_matrices, SMALL), "wishart_updates": (wishart_updates, WISHART_UP), "kl_terms": (kl_terms, _kl_sql()), "mv_normal": (mv_normal, MV),
-    "gmm_start_labels": (start_from_labels, STARTS), "categorical_draw": (draw, f"SELECT 1::BIGINT AS picked, 1e0 AS top, count(*) AS n, {rs('sum(c_acctbal)', 2)} AS total FROM customer WHERE c_acctbal > 0"),
+    "gmm_start_labels": (start_from_labels, STARTS), "categorical_draw": (draw, DRAW),
     "warp_family": (warp_family, WARPS), "downsample": (downsample, DOWN), "resize": (resized, RESIZED), "reslice": (resliced, RESLICED),
     "cat_json_scan": (json_scan, JSON),
 }.items():

@@ -20,17 +20,19 @@ DIRICHLET = np.array([3.0, 5.0])
 
 
 def _logp_sql(model, code, k):
-    A, const, o = gmm.pattern_terms(model, code, k)
-    x = [COLS[i] for i in o]
-    quad = " + ".join(f"({float(A[i, j])!r}) * ({a} - {float(model.mu[k, o[i]])!r}) * ({b} - {float(model.mu[k, o[j]])!r})" for i, a in enumerate(x) for j, b in enumerate(x))
-    # the constant without the term in the mean, which the centred form has no need of
-    mu = model.mu[k, o]
-    return f"({float(const + 0.5 * mu @ A @ mu)!r} - 0.5 * ({quad}))" if x else "0e0"
+    """The log-density of a pattern from the covariance of the observed channels, which is a block of the whole covariance."""
+    o = [i for i in range(len(COLS)) if code >> i & 1]
+    if not o:
+        return "0e0"
+    cov = np.linalg.inv(model.A[k])[np.ix_(o, o)]
+    prec, norm = np.linalg.inv(cov), -0.5 * math.log((2 * math.pi) ** len(o) * np.linalg.det(cov))
+    quad = " + ".join(f"({float(prec[i, j])!r}) * ({COLS[a]} - {float(model.mu[k, a])!r}) * ({COLS[b]} - {float(model.mu[k, b])!r})" for i, a in enumerate(o) for j, b in enumerate(o))
+    return f"({norm!r} - 0.5 * ({quad}))"
 
 
-def _scored_sql(model, codes=range(8)):
+def _scored_sql(model, logpi=(math.log(0.4), math.log(0.6))):
     code = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {1 << i} ELSE 0 END" for i, c in enumerate(COLS))
-    case = lambda k: "CASE code " + " ".join(f"WHEN {c} THEN {_logp_sql(model, c, k)}" for c in codes) + f" END + {float(model.logpi[k])!r}"
+    case = lambda k: "CASE code " + " ".join(f"WHEN {c} THEN {_logp_sql(model, c, k)}" for c in range(8)) + f" END + {logpi[k]!r}"
     return f"SELECT *, exp(p0) / (exp(p0) + exp(p1)) AS z0, exp(p1) / (exp(p0) + exp(p1)) AS z1, ln(exp(p0) + exp(p1)) AS ev FROM (SELECT *, {case(0)} AS p0, {case(1)} AS p1 FROM (SELECT *, {code} AS code FROM {GAPS}))"
 
 
@@ -50,6 +52,10 @@ def gmm_apply_missing(spark, sf_dir):
     return _flag(gmm.score(gaps(spark, sf_dir), COLS, MODEL))
 
 
+#: Expected logarithms under (3, 5): digamma(3) - digamma(8) and digamma(5) - digamma(8) are sums of reciprocals.
+_DIRICHLET_LOGS = (-sum(1 / j for j in range(3, 8)), -sum(1 / j for j in range(5, 8)))
+
+
 def _with_dirichlet():
     logpi, alpha = gmm.proportions(DIRICHLET)
     return gmm.Mixture(MODEL.mu, MODEL.A, logpi, alpha=alpha)
@@ -327,7 +333,7 @@ QUERIES = {
 ORACLE = {
     "gmm_apply_flag_mass": _FLAG_SQL.format(f"SELECT * FROM ({_scored_sql(MODEL)}) WHERE code = 7"),
     "gmm_apply_missing": _FLAG_SQL.format(_scored_sql(MODEL)),
-    "gmm_apply_dirichlet_props": _FLAG_SQL.format(_scored_sql(_with_dirichlet())),
+    "gmm_apply_dirichlet_props": _FLAG_SQL.format(_scored_sql(MODEL, _DIRICHLET_LOGS)),
     "gmm_infer_missing": _infer_sql(),
     "gmm_sample_missing": _sample_sql(),
     "gmm_shared_prior": _shared_sql(),
