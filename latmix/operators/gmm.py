@@ -34,6 +34,8 @@ class Mixture:
     n: np.ndarray | None = None
     alpha: np.ndarray | None = None
     bound: list[float] = field(default_factory=list)
+    #: What each of the bounds is made of.
+    parts: list[dict] = field(default_factory=list)
 
     @property
     def pi(self) -> np.ndarray:
@@ -440,16 +442,20 @@ def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None
         model = start if isinstance(start, Mixture) else initial(base, cols, k, start, weight, prior, seed)
         k = len(model.mu)
         mg, bounds = None if lkp is None else class_weights(np.ones(k), lkp), []
+        parts: list[dict] = []
+
         def passed(model, mg):
             """Statistics of a pass, and the bound of the model that it scores with."""
             log_mg = None if mg is None else np.log(np.maximum(mg, EPS))
             stats, (lx, lz, entropy) = _pass(base, cols, model, weight, variance, log_mg, label_logs, row_logpi)
-            bound = lx + lz - entropy
+            of = {"observations": float(lx), "responsibilities": float(lz - entropy)}
             if prior is not None and model.V is not None:
-                bound -= kl_gauss_wishart(model, prior)
+                precisions = sum(kl_wishart(model.V[i], model.n[i], prior.V[i], prior.n[i]) for i in range(k))
+                of |= {"means": precisions - kl_gauss_wishart(model, prior), "precisions": -precisions}
                 if prior.alpha is not None and model.alpha is not None:
-                    bound -= kl_dirichlet(model.alpha, prior.alpha)
-            bounds.append(float(bound))
+                    of["proportions"] = -kl_dirichlet(model.alpha, prior.alpha)
+            parts.append({"bound": sum(of.values()), **of})
+            bounds.append(parts[-1]["bound"])
             return stats
 
         done = False
@@ -465,7 +471,7 @@ def fit(df: DataFrame, cols: list[str], k: int | None = None, weight: str | None
             model = Mixture(mu, A, logpi, b, V, n, alpha)
         if last_score and not done and iterations:
             passed(model, mg)
-        model.bound = bounds
+        model.bound, model.parts = bounds, parts
         return model
     finally:
         base.unpersist()
@@ -635,21 +641,11 @@ def update_hyper(models: list[Mixture], iterations: int = 50) -> Prior:
 
 
 def palette_mix(z: str, palette: list[tuple[float, float, float]]) -> Column:
-    """Responsibilities to a colour: the palette weighted by them."""
-    total = sum((F.get(z, F.lit(i)) for i in range(len(palette))), F.lit(0.0))
+    """Responsibilities to a colour: the palette weighted by them; nulls where they sum to 0."""
+    total = F.nullif(sum((F.get(z, F.lit(i)) for i in range(len(palette))), F.lit(0.0)), F.lit(0.0))
     return F.array(*(sum((F.get(z, F.lit(i)) * F.lit(float(c[j])) for i, c in enumerate(palette)), F.lit(0.0)) / total for j in range(3)))
 
 
-def curve(model: Mixture, channel: int, points: int = 100) -> list[tuple[int, float, float]]:
-    """(cluster, x, density) of each marginal over three standard deviations: what a plot of the fit shows."""
-    out = []
-    for k in range(len(model.mu)):
-        var = np.linalg.inv(model.A[k])[channel, channel]
-        for x in np.linspace(model.mu[k, channel] - 3 * var**0.5, model.mu[k, channel] + 3 * var**0.5, points):
-            out.append((k, float(x), float(model.pi[k] * math.exp(-0.5 * (x - model.mu[k, channel]) ** 2 / var) / math.sqrt(2 * math.pi * var))))
-    return out
-
-
 def start_linspace(df: DataFrame, cols: list[str], k: int) -> np.ndarray:
     box = ranges(df, cols)
     return np.stack([[box[c][0] + (box[c][1] - box[c][0]) * (i + 1) / (k + 1) for c in cols] for i in range(k)])

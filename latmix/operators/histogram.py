@@ -13,7 +13,8 @@ def bin_index(x: Column, lo: float, width: float, bins: int) -> Column:
     """From 0; the last bin is closed; null where x is."""
     if width == 0:
         return F.when(x.isNotNull(), F.lit(0))
-    return F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    # least() alone would put nulls into the last bin
+    return F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int"))
 
 
 def edge_index(x: Column, edges: list[float]) -> Column:

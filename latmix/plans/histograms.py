@@ -28,7 +28,7 @@ def hist2d(spark, sf_dir):
 
 _HIST2 = f"""WITH o AS (SELECT * FROM {GAPS}), b AS (SELECT min(x1) AS l1, (max(x1) - min(x1)) / 10 AS b1, min(x2) AS l2, (max(x2) - min(x2)) / 6 AS b2 FROM o)
 SELECT i AS bin_x1, j AS bin_x2, {rs('CASE WHEN i < 10 THEN l1 + (i + 0.5e0) * b1 END')} AS v_x1, {rs('CASE WHEN j < 6 THEN l2 + (j + 0.5e0) * b2 END')} AS v_x2, sum(l_quantity) AS w
-FROM (SELECT *, coalesce(least(floor((x1 - l1) / b1), 9), 10)::INT AS i, coalesce(least(floor((x2 - l2) / b2), 5), 6)::INT AS j FROM o, b) GROUP BY i, j, l1, b1, l2, b2"""
+FROM (SELECT *, CASE WHEN x1 IS NULL THEN 10 ELSE least(floor((x1 - l1) / b1), 9) END::INT AS i, CASE WHEN x2 IS NULL THEN 6 ELSE least(floor((x2 - l2) / b2), 5) END::INT AS j FROM o, b) GROUP BY i, j, l1, b1, l2, b2"""
 CENTRES = [5.0, 15.0, 20.0, 40.0]
 
 

@@ -84,6 +84,12 @@ def test_kmeans(spark):
         kmeans.ordered(np.zeros((2, 1)), np.zeros(2), "random")
 
 
+def test_missing_values_have_a_bin_of_their_own(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (4.0, None), (4.0, 2.0), (None, 2.0), (None, None)], "a double, b double")
+    got = {(r["bin_a"], r["bin_b"]): (r["v_a"], r["v_b"], r["w"]) for r in histogram.histogram(df, ["a", "b"], [2, 4], keep_zero=False, missing=True).collect()}
+    assert got == {(0, 0): (1.0, 1.125, 1.0), (1, 4): (3.0, None, 1.0), (1, 3): (3.0, 1.875, 1.0), (2, 3): (None, 1.875, 1.0), (2, 4): (None, None, 1.0)}
+
+
 def test_histogram_keeps_weight(spark):
     df = obs(spark).withColumn("w", F.lit(2.0))
     for missing in (False, True):

@@ -56,3 +56,25 @@ def test_subjects_entries(spark):
     assert got["o"]["modalities"] is None and got["o"]["labels"] is None and got["o"]["segmentations"] is None and got["o"]["records"] == 1
     assert catalog.subjects(spark.createDataFrame([], F_)).count() == 0
     assert catalog.populations(catalog.subjects(spark.createDataFrame(rows, F_))).where(F.col("population") == "p").count() == 1
+
+
+def test_views_of_odd_tables(spark):
+    import numpy as np
+
+    from latmix.operators import gmm, views
+
+    rows = [(1.0, 5.0, None, 2.0), (3.0, 5.0, None, 1.0), (None, 5.0, None, 7.0)]
+    got = views.channel_density(spark.createDataFrame(rows, "a double, b double, c double, w double"), ["a", "b", "c"], 4, "w").collect()
+    of = {(r["channel"], r["bin"]): (r["centre"], r["density"]) for r in got}
+    assert len(of) == 12 and of[0, 0] == (1.25, 2 / 3 / 0.5) and of[0, 1] == (1.75, 0.0) and of[0, 3] == (2.75, 1 / 3 / 0.5)
+    assert of[1, 0] == (5.0, None) and of[2, 3] == (None, None)
+    model = gmm.Mixture(np.array([[0.0, 1.0], [2.0, 3.0]]), np.array([[[4.0, 1.0], [1.0, 1.0]], [[1.0, 0.0], [0.0, 2.0]]]), np.log([0.25, 0.75]))
+    line = views.curves(spark, model, 601).where("channel = 0 AND cluster = 0").orderBy("point").collect()
+    assert abs(line[0]["x"] + 1.5) < 1e-12 and abs(line[-1]["x"] - 1.5) < 1e-12
+    assert abs(sum(r["density"] for r in line) * 3 / 600 - 0.25 * 0.9973) < 1e-3
+    seen = views.contours(spark, model, 61).where("cluster = 1").collect()
+    assert len(seen) == 61 * 61 and abs(sum(r["density"] for r in seen) * 0.1 * 0.1 / 2**0.5 - 0.9946) < 2e-3
+    # the middle contour of a density is an ellipse at sqrt(2 ln 2) deviations
+    assert all(r["inside"] == ((r["x"] - 2) ** 2 + 2 * (r["y"] - 3) ** 2 < 2 * np.log(2)) for r in seen)
+    flat = spark.createDataFrame([(1, 1, 1, [0.5, 0.5]), (2, 1, 1, [0.0, 0.0])], "i int, j int, k int, z array<double>")
+    assert sorted(map(tuple, views.class_slices(flat, "z", (2, 1, 1), views.hues(2)).collect()), key=str) == [("axial", 1, 1, 0.5, 0.5, 0.5), ("axial", 2, 1, None, None, None)]
