@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import biases, catalogues, clusters, distributions, extras, headers, histograms, lattices, matrices, mixtures, more, views, warps
+from . import biases, catalogues, clusters, distributions, extras, headers, histograms, lattices, matrices, mixtures, more, variational, views, warps
 
-MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras, warps, biases, headers, more, views)
+MODULES = (mixtures, clusters, histograms, distributions, matrices, lattices, catalogues, extras, warps, biases, headers, more, views, variational)
 
 
 def queries():
