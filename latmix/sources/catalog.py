@@ -56,11 +56,14 @@ def file_parts(path: Column) -> tuple[Column, Column, Column]:
 def resolve_paths(recs: DataFrame, listing: DataFrame) -> DataFrame:
     """Empty paths become the file's sibling of the same stem, relative ones lie in the file's folder; missing: ''. listing: (path)."""
     folder, stem, _ = file_parts(F.col("file"))
-    given = F.when(F.col("pth") == "", F.array(*(F.concat(folder, F.lit("/"), stem, F.lit(e)) for e in EXTENSIONS))).otherwise(F.array(F.when(is_absolute(F.col("pth")), F.col("pth")).otherwise(F.concat(folder, F.lit("/"), F.col("pth")))))
-    tried = recs.withColumn("__id", F.monotonically_increasing_id()).select("*", F.posexplode(given).alias("__n", "__path"))
-    found = tried.join(listing.select(F.col("path").alias("__path"), F.lit(True).alias("__has")).distinct(), "__path", "left")
-    best = found.groupBy("__id").agg(F.min(F.when(F.col("__has"), F.struct("__n", "__path"))).alias("__best"), *(F.first(c).alias(c) for c in recs.columns))
-    return best.withColumn("pth", F.coalesce("__best.__path", F.lit(""))).select(*recs.columns)
+    named = F.when(is_absolute(F.col("pth")), F.col("pth")).otherwise(F.concat(folder, F.lit("/"), F.col("pth")))
+    sibling = F.coalesce(F.col("pth") == "", F.lit(False))
+    # what a file can be asked for by: its path, or its path without an extension that is tried
+    asked = [F.struct(F.lit(False).alias("__sibling"), F.col("path").alias("__key"), F.lit(0).alias("__n"))]
+    asked += [F.when(F.col("path").endswith(e), F.struct(F.lit(True).alias("__sibling"), F.expr(f"left(path, length(path) - {len(e)})").alias("__key"), F.lit(n).alias("__n"))) for n, e in enumerate(EXTENSIONS)]
+    known = listing.select("path", F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())).alias("x")).groupBy("x.__sibling", "x.__key").agg(F.min_by("path", "x.__n").alias("__path"))
+    keyed = recs.withColumns({"__sibling": sibling, "__key": F.when(sibling, F.concat(folder, F.lit("/"), stem)).otherwise(named)})
+    return keyed.join(known, ["__sibling", "__key"], "left").withColumn("pth", F.coalesce("__path", F.lit(""))).select(*recs.columns)
 
 
 def subjects(recs: DataFrame) -> DataFrame:

@@ -78,3 +78,14 @@ def test_views_of_odd_tables(spark):
     assert all(r["inside"] == ((r["x"] - 2) ** 2 + 2 * (r["y"] - 3) ** 2 < 2 * np.log(2)) for r in seen)
     flat = spark.createDataFrame([(1, 1, 1, [0.5, 0.5]), (2, 1, 1, [0.0, 0.0])], "i int, j int, k int, z array<double>")
     assert sorted(map(tuple, views.class_slices(flat, "z", (2, 1, 1), views.hues(2)).collect()), key=str) == [("axial", 1, 1, 0.5, 0.5, 0.5), ("axial", 2, 1, None, None, None)]
+
+
+def test_paths_by_extension_and_repeated_records(spark):
+    from latmix.sources import catalog
+
+    rows = [("/d/a.json", ""), ("/d/a.json", ""), ("/d/b.json", ""), ("/d/c.json", "x.nii"), ("/d/c.json", "/e/y.img"), ("/d/c.json", "none.nii"), ("/d/c.json", None), (None, ""), (None, "z")]
+    recs = spark.createDataFrame(rows, "file string, pth string")
+    files = spark.createDataFrame([(p,) for p in ("/d/a.img", "/d/a.nii.gz", "/d/a.nii.gz", "/d/b.img.gz", "/d/b.txt", "/d/x.nii", "/e/y.img", None)], "path string")
+    got = sorted((r["file"] or "", r["pth"]) for r in catalog.resolve_paths(recs, files).collect())
+    assert got == sorted([("/d/a.json", "/d/a.nii.gz")] * 2 + [("/d/b.json", "/d/b.img.gz"), ("/d/c.json", "/d/x.nii"), ("/d/c.json", "/e/y.img"), ("/d/c.json", ""), ("/d/c.json", ""), ("", ""), ("", "")])
+    assert catalog.resolve_paths(recs.limit(0), files).count() == 0
