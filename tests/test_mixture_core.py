@@ -162,3 +162,48 @@ def test_shared_prior():
     assert elog(h.V0, h.p0) == pytest.approx(np.mean([elog(h.V[k], h.p[k]) for k in range(3)]), abs=1e-3)
     assert np.isfinite(h.bound).all()
     assert special.np_trigamma(1.0) == pytest.approx(math.pi**2 / 6) and special.np_mv_trigamma(3.0, 2) == pytest.approx((special.np_mv_digamma(3.0 + 1e-5, 2) - special.np_mv_digamma(3.0 - 1e-5, 2)) / 2e-5, rel=1e-6)
+
+
+def test_a_pass_is_one_job_over_equal_rows_merged(spark, monkeypatch):
+    """All parts of the rows at once, not one after the other; what repeats is scored once a part."""
+    cols = ["a", "b"]
+    i = F.col("id")
+    df = spark.range(0, 6000, 1, 3).select((i % 5).cast("double").alias("a"), F.when(i % 3 != 0, i % 7 / 2.0).alias("b"))
+    start = gmm.Mixture(np.array([[1.0, 1.0], [3.0, 2.0]]), np.tile(np.eye(2), (2, 1, 1)), np.log([0.5, 0.5]))
+    seen, jobs, plain = [], [], gmm._pass
+
+    def watched(rows, *args):
+        seen.append((rows.count(), rows.agg(F.sum("__w")).head()[0]))
+        spark.sparkContext.setJobGroup(f"pass {len(seen)}", "")
+        out = plain(rows, *args)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pass {len(seen)}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out
+
+    monkeypatch.setattr(gmm, "_pass", watched)
+    prior = gmm.make_prior(2, 2, mu=[2.0, 1.5], b=0.5, n=3.0, alpha=1.0)
+    got = gmm.fit(df, cols, prior=prior, start=start, iterations=2, tolerance=0.0)
+    assert jobs == [1, 1, 1] and all(n <= 3 * 5 * 8 for n, _ in seen) and {w for _, w in seen} == {6000.0}
+    monkeypatch.setattr(gmm, "merge_equal", lambda rows, weight: rows)
+    want = gmm.fit(df, cols, prior=prior, start=start, iterations=2, tolerance=0.0)
+    assert seen[-1][0] == 6000 and np.allclose(got.mu, want.mu) and np.allclose(got.A, want.A) and np.allclose(got.bound, want.bound)
+
+
+@pytest.mark.parametrize("held", [1, 2000, 1 << 25])
+def test_merging_keeps_every_weight(spark, monkeypatch, held):
+    """In pieces of any size: nulls, NaN, weights of their own, and rows that don't repeat."""
+    monkeypatch.setattr(gmm, "HELD", held)
+    i = F.col("id")
+    value = F.when(i % 4 == 0, None).when(i % 4 == 1, math.nan).when(i % 4 == 2, 1.5).otherwise(i.cast("double"))
+    df = spark.range(0, 900, 1, 2).select(value.alias("x"), F.when(i % 3 != 0, "s").alias("tag"), (i % 10).cast("double").alias("w")).repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = gmm.merge_equal(df, "w").persist()
+        total = lambda d: sorted(map(str, d.groupBy("x", "tag").agg(F.sum("w")).collect()))
+        assert got.columns == ["x", "tag", "w"] and total(got) == total(df)
+        assert got.count() < 600 if held > 2000 else got.count() <= 900
+        got.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spoilt = gmm.merge_equal(df.withColumn("w", F.when(F.col("tag") == "s", F.col("w"))), "w")
+    assert spoilt.where(F.isnan("w") != F.col("tag").isNull()).count() == 0
