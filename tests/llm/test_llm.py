@@ -536,6 +536,42 @@ def test_repeats_around_a_frequent_passage_are_split(spark, most):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_contexts_of_a_frequent_passage_meet_in_no_task(spark):
+    """One anchor with a large part of all contexts: no task reads more than a few times its share of a shuffle's rows."""
+    from latmix.llm import suffix
+
+    rng = random.Random(31)
+    fill = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = fill(300)
+    texts = [(i, fill(rng.randrange(380, 500)) + phrase + fill(rng.randrange(380, 500))) for i in range(500)]
+    texts += [(i, texts[i - 500][1][:600]) for i in range(500, 510)]
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    core, no_quantiles = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        core.listenerBus().waitUntilEmpty()
+        found = core.statusStore().stageList(None, False, False, no_quantiles, None)
+        return {found.apply(i).stageId(): found.apply(i) for i in range(found.size())}
+
+    before_it = set(stages())
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = suffix.remove_repeats(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(8), 40).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["n_removed"] == 600 for r in got) == sum(r["n_removed"] > 0 for r in got) == 20
+    uneven = []
+    for k, stage in stages().items():
+        if k not in before_it and stage.shuffleReadRecords() >= 900:
+            tasks = core.statusStore().taskList(k, stage.attemptId(), 1000)
+            most = max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))
+            uneven.append((most / stage.shuffleReadRecords(), most, k))
+    assert len(uneven) > 3 and max(uneven)[0] < 0.12, sorted(uneven)
+
+
 # 10 -------------------------------------------------------------------------------------------------
 def test_mixing(spark, docs, none, sf):
     from latmix.llm import mixing
