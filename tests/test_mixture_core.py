@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from latmix.functions import special
 from latmix.operators import gmm
+from latmix.plans import mixtures
+from latmix.plans.common import gaps
 
 COLS = ["a", "b", "c"]
 
@@ -207,3 +209,64 @@ def test_merging_keeps_every_weight(spark, monkeypatch, held):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     spoilt = gmm.merge_equal(df.withColumn("w", F.when(F.col("tag") == "s", F.col("w"))), "w")
     assert spoilt.where(F.isnan("w") != F.col("tag").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("limit", [None, 1000])
+def test_rounds_go_on_until_what_they_reach_is_steady(spark, limit):
+    """One channel in plain numpy: a round's bound is of its new model under the responsibilities that made it, and the start has none."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, 200), rng.normal(2.2, 1, 200)])
+    prior = gmm.make_prior(2, 1, mu=[[0.5], [1.5]], b=0.1, V=1.0, n=2.0, alpha=1.0)
+    start = gmm.Mixture(np.array([[0.9], [1.2]]), np.ones((2, 1, 1)), np.log([0.5, 0.5]))
+    mu, half, a, logpi = start.mu[:, 0], np.zeros(2), np.ones(2), start.logpi
+    logs = lambda: half - 0.5 * math.log(2 * math.pi) - 0.5 * a * (x[:, None] - mu) ** 2
+    reached = []
+    while len(reached) < 3 or abs(reached[-1] - reached[-2]) > 1e-4 * (max(reached) - min(reached)):
+        z = np.exp(logs() + logpi)
+        z /= z.sum(1, keepdims=True)
+        s = z.sum(0)
+        b, n = 0.1 + s, 2.0 + s
+        mu = (z.T @ x + 0.1 * prior.mu[:, 0]) / b
+        V = 1 / (z.T @ x**2 + 0.1 * prior.mu[:, 0] ** 2 - b * mu**2 + 1.0)
+        a, half = n * V, 0.5 * (np.array([special.np_digamma(v / 2) for v in n]) + math.log(2) + np.log(V)) - 0.5 / b
+        logpi, alpha = gmm.dirichlet_logpi(1.0 + s), 1.0 + s
+        now = gmm.Mixture(mu[:, None], a[:, None, None], logpi, b, V[:, None, None], n, alpha)
+        reached.append((z * (logs() + logpi - np.log(z))).sum() - gmm.kl_gauss_wishart(now, prior) - gmm.kl_dirichlet(alpha, prior.alpha))
+    got = gmm.fit(spark.createDataFrame([(float(v),) for v in x], "x double"), ["x"], prior=prior, start=start, iterations=limit)
+    assert len(reached) > 30 and len(got.bound) == len(reached) + 1
+    assert np.allclose(got.mu[:, 0], mu) and np.allclose(got.alpha, alpha)
+
+
+def test_parts_of_what_a_round_reaches(spark, frame):
+    """With labels, weights of clusters in their class and the width of bins: the rounds still gain, and end."""
+    df = frame.withColumns({"g0": F.when(F.col("id") % 5 == 0, math.log(0.8)).otherwise(math.log(0.5)), "g1": F.when(F.col("id") % 5 == 0, math.log(0.2)).otherwise(math.log(0.5))})
+    prior = gmm.make_prior(2, 3, mu=[1.0, 1.0, 1.0], b=0.5, V=0.3 * np.eye(3), n=5.0, alpha=2.0)
+    got = gmm.fit(df, COLS, prior=prior, start=START, iterations=None, sub_iterations=None, label_logs=["g0", "g1"], bin_width=0.5, lkp=[0, 0])
+    again = gmm.fit(df, COLS, prior=prior, start=START, iterations=2000, label_logs=["g0", "g1"], bin_width=0.5, lkp=[0, 0])
+    assert 4 <= len(got.bound) < 500 and len(got.bound) == len(again.bound) and np.allclose(got.mu, again.mu)
+
+
+def test_query_has_no_limit_of_rounds(spark, monkeypatch):
+    """By the rule of the rounds, a fit of sf0.001 takes more than thirty."""
+    seen, plain = [], gmm._pass
+    monkeypatch.setattr(gmm, "_pass", lambda *args: seen.append(1) or plain(*args))
+    got = {r["k"]: r for r in mixtures.gmm_fit_variational(spark, "/root/testdata/sf0.001").collect()}
+    assert len(seen) > 31
+    prior = gmm.make_prior(2, 3, mu=[2.5, 2.5, 2.0], b=1e-2, V=0.5 * np.eye(3), n=4.0, alpha=1.0)
+    rows = gaps(spark, "/root/testdata/sf0.001")
+    long = gmm.fit(rows, mixtures.COLS, prior=prior, start=mixtures.MODEL, iterations=len(seen) - 1, tolerance=-1.0)
+    assert all(np.allclose([got[k + 1][c] for c in ("x1", "x2", "x3")], long.mu[k]) for k in range(2))
+
+
+@pytest.mark.parametrize("odd", [math.inf, None])
+def test_rounds_without_a_limit_end_on_odd_rows(spark, odd):
+    """Bounds that are no numbers, and no row at all, end the rounds."""
+    df = spark.createDataFrame([(0.0, 1.0), (odd, 2.0), (3.0, None)], "a double, b double").where(F.lit(odd is not None))
+    prior = gmm.make_prior(2, 2, mu=[1.0, 1.0], b=0.5, n=3.0, alpha=1.0)
+    start = gmm.Mixture(np.array([[0.0, 0.0], [2.0, 2.0]]), np.tile(np.eye(2), (2, 1, 1)), np.log([0.5, 0.5]))
+    try:
+        got = gmm.fit(df, ["a", "b"], prior=prior, start=start, iterations=None, sub_iterations=None)
+    except np.linalg.LinAlgError:
+        assert odd is not None
+        return
+    assert len(got.bound) <= 4 and (odd is not None or np.allclose(got.mu, prior.mu))
